@@ -83,3 +83,60 @@ def q_p2(spark, d):
                          large_line_count=40, large_byte_count=100000)
     return corpus.apply_stats_filters(_stats(spark, d), params).select(
         "repo", "snapshot_id", "path", "lines", "bytes")
+
+
+# ---- tree, rankings and health over the monthly file history --------------------
+from codehealth.operators import tree as tree_ops  # noqa: E402
+from codehealth.operators import rankings, health  # noqa: E402
+
+
+def history_tree(spark, d):
+    fh = td.file_history(spark, d)
+    contrib = tree_ops.contributions(fh.select("repo", "snapshot_id", "path", "lines", "code", "complexity"),
+                                     tree_ops.issues_long(fh))
+    return tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
+
+
+@query("a10_tree_rollup")
+def q_a10(spark, d):
+    return history_tree(spark, d)
+
+
+@query("a11_child_order")
+def q_a11(spark, d):
+    return tree_ops.child_order(history_tree(spark, d))
+
+
+@query("a12_node_counts")
+def q_a12(spark, d):
+    return tree_ops.node_counts(history_tree(spark, d), root=td.SOURCE_ROOT)
+
+
+@query("t5_file_hotspots")
+def q_t5(spark, d):
+    return rankings.file_hotspots(history_tree(spark, d), limit=10)
+
+
+@query("t6_dir_hotspots")
+def q_t6(spark, d):
+    return rankings.dir_hotspots(history_tree(spark, d), root=td.SOURCE_ROOT, limit=5)
+
+
+@query("t7_largest_files")
+def q_t7(spark, d):
+    return rankings.top_files_by(history_tree(spark, d), "code", 10)
+
+
+@query("t8_most_complex_files")
+def q_t8(spark, d):
+    return rankings.top_files_by(history_tree(spark, d), "complexity", 10)
+
+
+@query("a14_health_trend")
+def q_a14(spark, d):
+    fh = td.file_history(spark, d)
+    metrics = td.snapshot_metrics(fh)
+    contrib = tree_ops.contributions(fh.select("repo", "snapshot_id", "path", "lines", "code", "complexity"),
+                                     tree_ops.issues_long(fh))
+    tree = tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
+    return health.health_scores(metrics, health.tree_file_counts(tree))

@@ -144,3 +144,117 @@ WHERE NOT regexp_matches(path, '(^|.*/)de(/.*)?$')
   AND NOT regexp_matches(path, '(^|.*/)[^/]*\.test\.[^/]*$')
   AND NOT regexp_matches(path, '(^|/)src3(/|$)')
   AND lines <= 40 AND bytes <= 100000""")
+
+
+# ---- tree roll-up over the monthly file history ---------------------------------
+TREE = FILE_HISTORY + r""",
+ex AS (
+  SELECT *, array_to_string(string_split(path, '/')[1:i], '/') AS node,
+         i = len(string_split(path, '/')) AS is_self
+  FROM (SELECT *, unnest(generate_series(1, len(string_split(path, '/')))) AS i FROM fh)),
+tree AS (
+  SELECT repo, snapshot_id, node AS path,
+         string_split(node, '/')[-1] AS name,
+         CASE WHEN bool_or(is_self) THEN 'file' ELSE 'dir' END AS kind,
+         CASE WHEN node = 'src' THEN NULL
+              WHEN contains(node, '/') THEN regexp_replace(node, '/[^/]*$', '')
+              ELSE 'src' END AS parent,
+         CAST(max(CASE WHEN is_self THEN 1 ELSE 0 END)
+              + sum(CASE WHEN is_self THEN 0 ELSE 1 END) AS BIGINT) AS files,
+         CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(code) AS BIGINT) AS code,
+         CAST(sum(complexity) AS BIGINT) AS complexity, CAST(sum(unused) AS BIGINT) AS unused,
+         CAST(sum(duplication) AS BIGINT) AS duplication, CAST(sum(cycles) AS BIGINT) AS cycles,
+         CAST(sum(unused) + sum(duplication) + sum(cycles) AS BIGINT) AS total
+  FROM ex GROUP BY repo, snapshot_id, node)"""
+
+register("a10_tree_rollup", with_(TREE) + """
+SELECT repo, snapshot_id, path, name, kind, parent, files, lines, code, complexity,
+       unused, duplication, cycles, total FROM tree""")
+
+register("a11_child_order", with_(TREE) + """
+SELECT repo, snapshot_id, parent, path AS child, kind,
+       CAST(row_number() OVER (PARTITION BY repo, snapshot_id, parent
+                               ORDER BY CASE WHEN kind = 'dir' THEN 0 ELSE 1 END, path) AS BIGINT) AS position
+FROM tree WHERE parent IS NOT NULL""")
+
+register("a12_node_counts", with_(TREE) + """
+SELECT repo, snapshot_id, count(*) AS node_count, count(*) FILTER (WHERE kind = 'file') AS file_nodes,
+       count(*) FILTER (WHERE kind = 'dir') AS dir_nodes, 'src' AS root_id
+FROM tree GROUP BY repo, snapshot_id""")
+
+_HOT = """
+SELECT repo, snapshot_id, position, path, name, kind, score,
+       floor(cs * 100 + 0.5) / 100 AS complexity_signal, floor(ss * 100 + 0.5) / 100 AS size_signal,
+       floor(iss * 100 + 0.5) / 100 AS issues_signal, lines, code, complexity, total
+FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY repo, snapshot_id ORDER BY score DESC, path) AS BIGINT) AS position
+  FROM (
+    SELECT *, CAST(floor(({score}) * 100 + 0.5) AS BIGINT) AS score
+    FROM (
+      SELECT *, complexity / greatest(max(complexity) OVER w, 1) AS cs,
+                lines / greatest(max(lines) OVER w, 1) AS ss,
+                total / greatest(max(total) OVER w, 1) AS iss
+      FROM tree WHERE {where}
+      WINDOW w AS (PARTITION BY repo, snapshot_id)))
+  WHERE score > 0)
+WHERE position <= {limit}"""
+
+register("t5_file_hotspots", with_(TREE) + _HOT.format(
+    score="cs * 0.35 + ss * 0.25 + iss * 0.4", where="kind = 'file'", limit=10))
+register("t6_dir_hotspots", with_(TREE) + _HOT.format(
+    score="iss * 0.45 + cs * 0.35 + ss * 0.2", where="kind = 'dir' AND path <> 'src'", limit=5))
+
+_TOPF = """
+SELECT repo, snapshot_id, position, path, name, '{m}' AS primary_metric, {m} AS primary_value,
+       lines, code, complexity, total
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo, snapshot_id ORDER BY {order}, path) AS BIGINT)
+                AS position FROM tree WHERE kind = 'file')
+WHERE position <= 10"""
+register("t7_largest_files", with_(TREE) + _TOPF.format(
+    m="code", order="code DESC, lines DESC, complexity DESC"))
+register("t8_most_complex_files", with_(TREE) + _TOPF.format(
+    m="complexity", order="complexity DESC, code DESC, lines DESC"))
+
+register("a14_health_trend", with_(TREE.replace(FILE_HISTORY, FILE_HISTORY + """,
+sm0 AS (
+  SELECT repo, snapshot_id, ts, count(*) AS total_files,
+         CAST(sum(lines) AS BIGINT) AS total_lines, CAST(sum(code) AS BIGINT) AS total_code,
+         CAST(sum(complexity) AS BIGINT) AS total_complexity, CAST(sum(unused) AS BIGINT) AS total_issues,
+         CAST(sum(duplication) AS BIGINT) AS duplicated_lines, CAST(sum(cycles) AS BIGINT) AS cycle_count
+  FROM fh GROUP BY ALL),
+sm AS (
+  SELECT *, CAST((10000 * duplicated_lines + total_lines // 2) // greatest(total_lines, 1) AS DOUBLE) / 100
+            AS duplicated_lines_percent
+  FROM sm0)""")) + """,
+tc AS (
+  SELECT repo, snapshot_id, count(*) AS file_nodes,
+         count(*) FILTER (WHERE code > 350) AS oversized_files,
+         count(*) FILTER (WHERE complexity > 10) AS overly_complex_files
+  FROM tree WHERE kind = 'file' GROUP BY ALL),
+j AS (
+  SELECT sm.*, tc.file_nodes, tc.oversized_files, tc.overly_complex_files,
+         greatest(coalesce(CASE WHEN tc.file_nodes > 0 THEN tc.file_nodes END,
+                           CASE WHEN sm.total_files > 0 THEN sm.total_files END, 0), 1) AS denom
+  FROM sm LEFT JOIN tc USING (repo, snapshot_id)),
+s AS (
+  SELECT repo, snapshot_id, ts,
+    CAST(floor(greatest(0.0, 100 - duplicated_lines_percent * 5.0) + 0.5) AS BIGINT) AS duplication_score,
+    CAST(floor(greatest(0.0, 100 - (total_issues / greatest(total_files, 1)) * 50.0) + 0.5) AS BIGINT) AS unused_score,
+    CAST(floor(greatest(0.0, 100 - (total_complexity / greatest(total_code, 1) * 100) * 2.5) + 0.5) AS BIGINT)
+      AS complexity_score,
+    CAST(floor(greatest(0.0, 100 - coalesce(oversized_files, 0) / denom * 100) + 0.5) AS BIGINT)
+      AS oversized_files_score,
+    CAST(floor(greatest(0.0, 100 - coalesce(overly_complex_files, 0) / denom * 100) + 0.5) AS BIGINT)
+      AS overly_complex_files_score,
+    duplicated_lines_percent AS duplication_display,
+    coalesce(oversized_files, 0) / denom * 100 AS oversized_files_percent,
+    coalesce(overly_complex_files, 0) / denom * 100 AS overly_complex_files_percent
+  FROM j),
+o AS (
+  SELECT *, CAST(floor(((((duplication_score * 0.2 + unused_score * 0.2) + complexity_score * 0.2)
+                        + oversized_files_score * 0.2) + overly_complex_files_score * 0.2) + 0.5) AS BIGINT)
+            AS overall
+  FROM s)
+SELECT *, CAST(coalesce(overall - lag(overall) OVER (PARTITION BY repo ORDER BY ts, snapshot_id), 0) AS BIGINT)
+          AS trend
+FROM o""")
