@@ -140,3 +140,80 @@ def q_a14(spark, d):
                                      tree_ops.issues_long(fh))
     tree = tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
     return health.health_scores(metrics, health.tree_file_counts(tree))
+
+
+# ---- history over daily check results ---------------------------------------------
+from codehealth.operators import history as hist  # noqa: E402
+from codehealth.functions import formatting as fmt  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def _checks(spark, d):
+    return td.check_results(spark, d)
+
+
+def _trend(spark, d):
+    return hist.trend_vector(hist.first_metrics(_checks(spark, d)))
+
+
+@query("a2_status_counts")
+def q_a2(spark, d):
+    return hist.status_counts(_checks(spark, d))
+
+
+@query("p6_first_metric")
+def q_p6(spark, d):
+    return hist.first_metrics(_checks(spark, d))
+
+
+@query("a13_trend_vector")
+def q_a13(spark, d):
+    return _trend(spark, d)
+
+
+@query("w1_metric_deltas")
+def q_w1(spark, d):
+    return hist.metric_deltas(_trend(spark, d), hist.snapshots(_checks(spark, d)))
+
+
+@query("f9_trend_line")
+def q_f9(spark, d):
+    return hist.trend_line(_trend(spark, d), hist.snapshots(_checks(spark, d)))
+
+
+@query("a15_snapshot_range")
+def q_a15(spark, d):
+    return hist.snapshot_range(hist.snapshots(_checks(spark, d)))
+
+
+@query("w6_positions")
+def q_w6(spark, d):
+    return hist.positions(hist.snapshots(_checks(spark, d)))
+
+
+@query("w5_last_n")
+def q_w5(spark, d):
+    return hist.last_n(hist.snapshots(_checks(spark, d)))
+
+
+@query("t10_history_listing")
+def q_t10(spark, d):
+    return hist.history_listing(hist.snapshots(_checks(spark, d)), _trend(spark, d))
+
+
+@query("p7_derived_status")
+def q_p7(spark, d):
+    return hist.derive_status(_checks(spark, d))
+
+
+@query("w7_every_nth_commits")
+def q_w7(spark, d):
+    return hist.every_nth_commits(td.commits(spark, d), count=3, every=2)
+
+
+@query("p9_snapshot_ids")
+def q_p9(spark, d):
+    c = td.commits(spark, d)
+    return c.select("repo", "sha",
+                    fmt.snapshot_id(fmt.iso_timestamp(F.col("ts")), F.col("short_sha")).alias("snapshot_id"),
+                    fmt.commit_label(F.col("short_sha"), F.col("subject") == "fix").alias("commit_label"))

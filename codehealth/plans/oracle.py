@@ -258,3 +258,166 @@ o AS (
 SELECT *, CAST(coalesce(overall - lag(overall) OVER (PARTITION BY repo ORDER BY ts, snapshot_id), 0) AS BIGINT)
           AS trend
 FROM o""")
+
+
+# ---- history over daily check results -------------------------------------------
+CHECKS = r"""
+cr AS (
+  SELECT 'events' AS repo, strftime(ts, '%Y-%m-%d') AS snapshot_id, ts, event_id AS check_idx,
+         event_type AS name,
+         CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'skip' WHEN 'click' THEN 'warn'
+                         ELSE 'pass' END AS status,
+         CAST(floor(value * 1000 + 0.5) AS BIGINT) AS duration_ms,
+         CASE event_type WHEN 'purchase' THEN 'stats-overview' WHEN 'signup' THEN 'unused'
+                         WHEN 'click' THEN 'duplicates' WHEN 'error' THEN 'cycles' END AS kind,
+         user_id AS count_value, value AS percent_value, props AS output
+  FROM events),
+snaps AS (
+  SELECT repo, snapshot_id, min(ts) AS ts, CAST(sum(duration_ms) AS BIGINT) AS duration_ms,
+         count(*) FILTER (WHERE status = 'pass') AS pass, count(*) FILTER (WHERE status = 'warn') AS warn,
+         count(*) FILTER (WHERE status = 'fail') AS fail, count(*) FILTER (WHERE status = 'skip') AS skip,
+         bool_or(status = 'fail') AS failed
+  FROM cr GROUP BY repo, snapshot_id),
+fm AS (
+  SELECT repo, snapshot_id, kind, min(check_idx) AS check_idx, arg_min(name, check_idx) AS name,
+         arg_min(count_value, check_idx) AS count_value, arg_min(percent_value, check_idx) AS percent_value
+  FROM cr WHERE kind IS NOT NULL GROUP BY repo, snapshot_id, kind),
+tv0 AS (
+  SELECT repo, snapshot_id,
+         max(CASE WHEN kind = 'stats-overview' THEN count_value END) AS lines,
+         max(CASE WHEN kind = 'stats-overview' THEN CAST(floor(percent_value) AS BIGINT) END) AS complexity,
+         max(CASE WHEN kind = 'unused' THEN count_value END) AS unused,
+         max(CASE WHEN kind = 'duplicates' THEN percent_value END) AS duplication,
+         max(CASE WHEN kind = 'cycles' THEN count_value END) AS cycles,
+         count(DISTINCT kind) AS kinds
+  FROM fm GROUP BY repo, snapshot_id),
+tv AS (
+  SELECT repo, snapshot_id,
+         CASE WHEN kinds = 4 THEN lines END AS lines, CASE WHEN kinds = 4 THEN complexity END AS complexity,
+         CASE WHEN kinds = 4 THEN unused END AS unused, CASE WHEN kinds = 4 THEN duplication END AS duplication,
+         CASE WHEN kinds = 4 THEN cycles END AS cycles
+  FROM tv0)"""
+
+# display helpers (same integer-tenths rounding as codehealth.functions.formatting)
+def _num(x):
+    return f"coalesce(format('{{:,}}', CAST({x} AS BIGINT)), '-')"
+
+
+def _pct(x):
+    t = f"CAST(floor(({x}) * 10 + 0.5) AS BIGINT)"
+    return f"coalesce(CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%', '-')"
+
+
+def _delta(d):
+    return (f"CASE WHEN ({d}) = 0 THEN '=' WHEN ({d}) > 0 THEN '+' || format('{{:,}}', CAST({d} AS BIGINT)) "
+            f"ELSE '-' || format('{{:,}}', CAST(abs({d}) AS BIGINT)) END")
+
+
+def _pct_delta(d):
+    t = f"CAST(floor(abs({d}) * 10 + 0.5) AS BIGINT)"
+    return (f"CASE WHEN {t} = 0 THEN '=' ELSE (CASE WHEN ({d}) > 0 THEN '+' ELSE '-' END) || "
+            f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%' END")
+
+
+ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+register("a2_status_counts", with_(CHECKS) + """
+SELECT repo, snapshot_id, pass, warn, fail, skip, failed FROM snaps""")
+
+register("p6_first_metric", with_(CHECKS) + """
+SELECT repo, snapshot_id, kind, check_idx, name, count_value, percent_value FROM fm""")
+
+register("a13_trend_vector", with_(CHECKS) + """
+SELECT repo, snapshot_id, lines, complexity, unused, duplication, cycles FROM tv""")
+
+register("w1_metric_deltas", with_(CHECKS) + """
+, t AS (SELECT tv.*, snaps.ts FROM tv JOIN snaps USING (repo, snapshot_id))
+SELECT repo, snapshot_id, lines, complexity, unused, duplication, cycles,
+       lines - lag(lines) OVER w AS lines_delta,
+       complexity - lag(complexity) OVER w AS complexity_delta,
+       unused - lag(unused) OVER w AS unused_delta,
+       sign(duplication - lag(duplication) OVER w) * floor(abs(duplication - lag(duplication) OVER w) * 10 + 0.5)
+         / 10 + 0.0 AS duplication_delta,
+       cycles - lag(cycles) OVER w AS cycles_delta
+FROM t WINDOW w AS (PARTITION BY repo ORDER BY ts, snapshot_id)""")
+
+register("f9_trend_line", with_(CHECKS) + f"""
+, t AS (
+  SELECT tv.*, lag(lines) OVER w AS prev_lines, lag(complexity) OVER w AS prev_complexity,
+         lag(unused) OVER w AS prev_unused, lag(duplication) OVER w AS prev_duplication,
+         lag(cycles) OVER w AS prev_cycles
+  FROM tv JOIN snaps USING (repo, snapshot_id) WINDOW w AS (PARTITION BY repo ORDER BY ts, snapshot_id))
+SELECT repo, snapshot_id,
+  CASE WHEN lines IS NOT NULL AND prev_lines IS NOT NULL AND complexity IS NOT NULL
+        AND prev_complexity IS NOT NULL AND unused IS NOT NULL AND prev_unused IS NOT NULL
+        AND duplication IS NOT NULL AND prev_duplication IS NOT NULL AND cycles IS NOT NULL
+        AND prev_cycles IS NOT NULL THEN
+    'Lines ' || {_num('lines')} || ' (' || {_delta('lines - prev_lines')} || ')' || ' · ' ||
+    'Complexity ' || {_num('complexity')} || ' (' || {_delta('complexity - prev_complexity')} || ')' || ' · ' ||
+    'Unused ' || {_num('unused')} || ' (' || {_delta('unused - prev_unused')} || ')' || ' · ' ||
+    'Duplication ' || {_pct('duplication')} || ' (' || {_pct_delta('duplication - prev_duplication')} || ')'
+    || ' · ' || 'Cycles ' || {_num('cycles')} || ' (' || {_delta('cycles - prev_cycles')} || ')'
+  END AS trend_line
+FROM t""")
+
+register("a15_snapshot_range", with_(CHECKS) + f"""
+SELECT repo, {ISO.format('min(ts)')} AS start, {ISO.format('max(ts)')} AS "end" FROM snaps GROUP BY repo""")
+
+register("w6_positions", with_(CHECKS) + """
+SELECT repo, snapshot_id, CAST(row_number() OVER w AS BIGINT) AS position,
+       count(*) OVER (PARTITION BY repo) AS total,
+       lag(snapshot_id) OVER w AS previous_id, lead(snapshot_id) OVER w AS next_id
+FROM snaps WINDOW w AS (PARTITION BY repo ORDER BY ts, snapshot_id)""")
+
+register("w5_last_n", with_(CHECKS) + """
+SELECT repo, snapshot_id, age <= 10 AS in_last_10, total > 10 AS show_last_10,
+       age <= 25 AS in_last_25, total > 25 AS show_last_25
+FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, snapshot_id DESC) AS age,
+             count(*) OVER (PARTITION BY repo) AS total FROM snaps)""")
+
+_DAY = "day(ts)"
+register("t10_history_listing", with_(CHECKS) + f"""
+SELECT s.repo, s.snapshot_id,
+  CAST(row_number() OVER (PARTITION BY s.repo ORDER BY ts DESC, s.snapshot_id DESC) AS BIGINT) AS position,
+  {ISO.format('ts')} AS timestamp,
+  strftime(ts, '%a, %b ') || CAST({_DAY} AS VARCHAR) ||
+    CASE WHEN {_DAY} % 100 BETWEEN 11 AND 13 THEN 'th' WHEN {_DAY} % 10 = 1 THEN 'st'
+         WHEN {_DAY} % 10 = 2 THEN 'nd' WHEN {_DAY} % 10 = 3 THEN 'rd' ELSE 'th' END
+    || ' ' || CAST(year(ts) AS VARCHAR) AS label,
+  printf('%dp/%dw/%df/%ds', pass, warn, fail, skip) AS status,
+  CASE WHEN duration_ms < 1000 THEN CAST(duration_ms AS VARCHAR) || 'ms'
+       ELSE CAST((duration_ms + 50) // 100 // 10 AS VARCHAR) || '.' || CAST((duration_ms + 50) // 100 % 10 AS VARCHAR)
+            || 's' END AS duration,
+  {_num('lines')} AS lines, {_num('complexity')} AS complexity, {_num('unused')} AS unused,
+  {_pct('duplication')} AS duplication, {_num('cycles')} AS cycles
+FROM snaps s LEFT JOIN tv USING (repo, snapshot_id)""")
+
+register("p7_derived_status", with_(CHECKS) + r"""
+SELECT repo, snapshot_id, check_idx, name,
+  coalesce(CASE WHEN kind = 'stats-overview' THEN 'pass'
+                WHEN kind IN ('unused', 'duplicates', 'cycles') THEN
+                  CASE WHEN count_value > 0 THEN 'warn' ELSE 'pass' END END,
+           CASE WHEN regexp_matches(coalesce(output, ''), 'Unused|unused|Unlisted') THEN 'warn'
+                WHEN regexp_matches(coalesce(output, ''), 'Clone found|Found \d+ clones') THEN 'warn'
+                WHEN regexp_matches(coalesce(output, ''), 'error no-circular') THEN 'warn'
+                ELSE 'pass' END) AS derived_status
+FROM cr""")
+
+COMMITS = r"""
+cm AS (
+  SELECT 'repo-' || CAST(o_custkey AS VARCHAR) AS repo, o_orderkey AS sha,
+         lpad(lower(hex(o_orderkey)), 7, '0') AS short_sha, o_orderdate AS ts,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 'fix' ELSE 'feat' END AS subject
+  FROM orders)"""
+
+register("w7_every_nth_commits", with_(COMMITS) + """
+SELECT repo, sha, short_sha, CAST(rn - 1 AS BIGINT) AS idx, CAST(4 - (rn - 1) // 2 AS BIGINT) AS "order"
+FROM (SELECT *, count(*) OVER (PARTITION BY repo) AS available FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, sha DESC) AS rn FROM cm)
+      WHERE rn <= 7)
+WHERE available >= 7 AND rn - 1 > 0 AND (rn - 1) % 2 = 0""")
+
+register("p9_snapshot_ids", with_(COMMITS) + f"""
+SELECT repo, sha, replace({ISO.format('ts')}, ':', '-') || '_' || coalesce(short_sha, 'nogit') AS snapshot_id,
+       short_sha || CASE WHEN subject = 'fix' THEN '*' ELSE '' END AS commit_label
+FROM cm""")

@@ -147,6 +147,7 @@ def check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("kind"),
         F.col("user_id").alias("count_value"),
         F.col("value").alias("percent_value"),
+        F.col("props").alias("output"),
     )
 
 
@@ -227,7 +228,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.concat(F.lit("repo-"), F.col("o_custkey").cast("string")).alias("repo"),
         F.col("o_orderkey").alias("sha"),
-        F.lpad(F.conv(F.col("o_orderkey").cast("string"), 10, 16), 7, "0").alias("short_sha"),
+        F.lower(F.lpad(F.conv(F.col("o_orderkey").cast("string"), 10, 16), 7, "0")).alias("short_sha"),
         F.col("o_orderdate").alias("ts"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("fix")).otherwise(F.lit("feat")).alias("subject"),
     )
