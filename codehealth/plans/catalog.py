@@ -217,3 +217,121 @@ def q_p9(spark, d):
     return c.select("repo", "sha",
                     fmt.snapshot_id(fmt.iso_timestamp(F.col("ts")), F.col("short_sha")).alias("snapshot_id"),
                     fmt.commit_label(F.col("short_sha"), F.col("subject") == "fix").alias("commit_label"))
+
+
+# ---- dependency graph over part sequences --------------------------------------------
+from codehealth.operators import depgraph as g  # noqa: E402
+
+
+def _graph(spark, d):
+    return td.dep_edges(spark, d), td.modules(spark, d)
+
+
+def _by_file(spark, d):
+    e, m = _graph(spark, d)
+    return g.instability_by_file(g.coupling(e, m), g.circular_edges(e))
+
+
+def _circular_paths(spark, d):
+    e, m = _graph(spark, d)
+    return g.with_paths(g.circular_edges(e), m)
+
+
+@query("g2_coupling")
+def q_g2(spark, d):
+    e, m = _graph(spark, d)
+    return g.coupling(e, m)
+
+
+@query("g1_circular_edges")
+def q_g1(spark, d):
+    return _circular_paths(spark, d).select("src", "dst", "src_path", "dst_path")
+
+
+@query("a16_instability_by_file")
+def q_a16(spark, d):
+    return _by_file(spark, d).select("node", "path", "dependencies", "dependents", "instability", "in_cycle")
+
+
+@query("a6_instability_summary")
+def q_a6(spark, d):
+    return g.instability_summary(_by_file(spark, d))
+
+
+@query("t3_highly_unstable")
+def q_t3(spark, d):
+    return g.highly_unstable(_by_file(spark, d), 25).select(
+        "node", "path", "dependencies", "dependents", "instability", "in_cycle")
+
+
+@query("t4_stable_depended_on")
+def q_t4(spark, d):
+    return g.stable_depended_on(_by_file(spark, d), 25).select(
+        "node", "path", "dependencies", "dependents", "instability", "in_cycle")
+
+
+@query("g6_violations")
+def q_g6(spark, d):
+    return g.violations(_circular_paths(spark, d), "error")
+
+
+@query("a9_cycle_counts")
+def q_a9(spark, d):
+    return g.cycle_counts_by_file(_circular_paths(spark, d))
+
+
+@query("a5_cycle_metrics")
+def q_a5(spark, d):
+    e, m = _graph(spark, d)
+    circ = g.circular_edges(e)
+    return g.cycle_metrics(m, e, circ, violation_count=circ).select(
+        "total_modules", "total_dependencies", "circular_edges", "violations", "cycle_count")
+
+
+@query("g7_reachable")
+def q_g7(spark, d):
+    e, _ = _graph(spark, d)
+    return g.reachable(e, td.entries(spark, d))
+
+
+@query("c10_unused_files")
+def q_c10(spark, d):
+    e, m = _graph(spark, d)
+    return g.unused_files(m, g.reachable(e, td.entries(spark, d))).select("node", "path")
+
+
+@query("g3_scope")
+def q_g3(spark, d):
+    e, m = _graph(spark, d)
+    return g.scope(g.with_paths(e, m), r"^src/Brand#1[0-9]?/").select("src_path", "dst_path")
+
+
+@query("g4_layers")
+def q_g4(spark, d):
+    e, m = _graph(spark, d)
+    return g.collapse_layers(g.with_paths(e, m), r"^src/[^/]+/")
+
+
+@query("g5_focus")
+def q_g5(spark, d):
+    e, m = _graph(spark, d)
+    return g.focus(g.with_paths(e, m), r"^src/Brand#7/").select("src_path", "dst_path")
+
+
+@query("p4_filtered_edges")
+def q_p4(spark, d):
+    e, m = _graph(spark, d)
+    return g.filter_edges(g.with_paths(e, m), include_only="^src", exclude="^src/Brand#5/",
+                          do_not_follow="^src/Brand#4/").select("src_path", "dst_path")
+
+
+@query("g8_rule_violations")
+def q_g8(spark, d):
+    e, m = _graph(spark, d)
+    return g.rule_violations(g.with_paths(e, m), "same-manufacturer", r"^src/Brand#(\d)", r"^src/Brand#$1")
+
+
+@query("g9_more_unstable")
+def q_g9(spark, d):
+    e, m = _graph(spark, d)
+    return g.more_unstable_violations(g.with_paths(e, m), g.coupling(e, m))

@@ -421,3 +421,114 @@ register("p9_snapshot_ids", with_(COMMITS) + f"""
 SELECT repo, sha, replace({ISO.format('ts')}, ':', '-') || '_' || coalesce(short_sha, 'nogit') AS snapshot_id,
        short_sha || CASE WHEN subject = 'fix' THEN '*' ELSE '' END AS commit_label
 FROM cm""")
+
+
+# ---- dependency graph over part sequences ---------------------------------------------
+GRAPH = r"""
+e AS (
+  SELECT DISTINCT l_partkey AS src, nxt AS dst FROM (
+    SELECT l_partkey, l_quantity,
+           lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt
+    FROM lineitem)
+  WHERE l_quantity >= 48 AND nxt IS NOT NULL),
+m AS (SELECT p_partkey AS node, 'src/' || p_brand || '/' || CAST(p_partkey AS VARCHAR) AS path, p_size AS size
+      FROM part),
+ep AS (SELECT e.src, e.dst, ms.path AS src_path, md.path AS dst_path
+       FROM e JOIN m ms ON e.src = ms.node JOIN m md ON e.dst = md.node),
+cp AS (
+  SELECT m.node, m.path, coalesce(o.dependencies, 0) AS dependencies, coalesce(i.dependents, 0) AS dependents,
+         CASE WHEN coalesce(o.dependencies, 0) + coalesce(i.dependents, 0) > 0
+              THEN coalesce(o.dependencies, 0) / (coalesce(o.dependencies, 0) + coalesce(i.dependents, 0))
+              ELSE 0.0 END AS instability
+  FROM m
+  LEFT JOIN (SELECT src AS node, count(*) AS dependencies FROM e GROUP BY src) o USING (node)
+  LEFT JOIN (SELECT dst AS node, count(*) AS dependents FROM e GROUP BY dst) i USING (node))"""
+
+CLOSURE = r""",
+reach(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON r.b = e.src),
+circ AS (SELECT ep.* FROM ep WHERE EXISTS (SELECT 1 FROM reach r WHERE r.a = ep.dst AND r.b = ep.src)),
+bf AS (
+  SELECT cp.*, coalesce(ic.in_cycle, false) AS in_cycle
+  FROM cp LEFT JOIN (SELECT DISTINCT src AS node, true AS in_cycle FROM circ) ic USING (node))"""
+
+
+def with_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",".join(ctes) + "\n"
+
+
+register("g2_coupling", with_(GRAPH) + """
+SELECT node, path, dependencies, dependents, instability FROM cp""")
+
+register("g1_circular_edges", with_rec(GRAPH + CLOSURE) + """
+SELECT src, dst, src_path, dst_path FROM circ""")
+
+register("a16_instability_by_file", with_rec(GRAPH + CLOSURE) + """
+SELECT node, path, dependencies, dependents, instability, in_cycle FROM bf""")
+
+register("a6_instability_summary", with_rec(GRAPH + CLOSURE) + """
+SELECT count(*) AS total_files, count(*) FILTER (WHERE in_cycle) AS files_in_cycles,
+       round(avg(instability), 6) AS average_instability,
+       max(dependencies) AS highest_dependencies, max(dependents) AS highest_dependents
+FROM bf""")
+
+register("t3_highly_unstable", with_rec(GRAPH + CLOSURE) + """
+SELECT node, path, dependencies, dependents, instability, in_cycle FROM bf
+ORDER BY instability DESC, dependencies DESC, dependents DESC, path LIMIT 25""")
+
+register("t4_stable_depended_on", with_rec(GRAPH + CLOSURE) + """
+SELECT node, path, dependencies, dependents, instability, in_cycle FROM bf WHERE dependents > 0
+ORDER BY dependents DESC, instability, dependencies, path LIMIT 25""")
+
+register("g6_violations", with_rec(GRAPH + CLOSURE) + """
+SELECT 'no-circular' AS rule, 'error' AS severity, src_path AS from_path, dst_path AS to_path FROM circ""")
+
+register("a9_cycle_counts", with_rec(GRAPH + CLOSURE) + """
+SELECT path, count(*) AS cycles FROM (
+  SELECT unnest([a, b]) AS path FROM (
+    SELECT DISTINCT least(src_path, dst_path) AS a, greatest(src_path, dst_path) AS b FROM circ))
+GROUP BY path""")
+
+register("a5_cycle_metrics", with_rec(GRAPH + CLOSURE) + """
+SELECT (SELECT count(*) FROM m) AS total_modules, (SELECT count(*) FROM e) AS total_dependencies,
+       (SELECT count(*) FROM circ) AS circular_edges, (SELECT count(*) FROM circ) AS violations,
+       coalesce(nullif((SELECT count(*) FROM circ), 0), (SELECT count(*) FROM circ)) AS cycle_count""")
+
+REACH = r""",
+rch(node) AS (SELECT p_partkey FROM part WHERE p_size <= 5
+              UNION SELECT e.dst FROM rch JOIN e ON e.src = rch.node)"""
+
+register("g7_reachable", with_rec(GRAPH + REACH) + """
+SELECT node FROM rch""")
+
+register("c10_unused_files", with_rec(GRAPH + REACH) + """
+SELECT node, path FROM m WHERE node NOT IN (SELECT node FROM rch)""")
+
+register("g3_scope", with_(GRAPH) + r"""
+SELECT src_path, dst_path FROM ep
+WHERE regexp_matches(src_path, '^src/Brand#1[0-9]?/') AND regexp_matches(dst_path, '^src/Brand#1[0-9]?/')""")
+
+register("g4_layers", with_(GRAPH) + r"""
+SELECT src_layer, dst_layer, count(*) AS weight FROM (
+  SELECT coalesce(nullif(regexp_extract(src_path, '^src/[^/]+/', 0), ''), src_path) AS src_layer,
+         coalesce(nullif(regexp_extract(dst_path, '^src/[^/]+/', 0), ''), dst_path) AS dst_layer
+  FROM ep) WHERE src_layer <> dst_layer GROUP BY ALL""")
+
+register("g5_focus", with_(GRAPH) + r"""
+SELECT src_path, dst_path FROM ep
+WHERE regexp_matches(src_path, '^src/Brand#7/') OR regexp_matches(dst_path, '^src/Brand#7/')""")
+
+register("p4_filtered_edges", with_(GRAPH) + r"""
+SELECT src_path, dst_path FROM ep
+WHERE regexp_matches(src_path, '^src') AND regexp_matches(dst_path, '^src')
+  AND NOT (regexp_matches(src_path, '^src/Brand#5/') OR regexp_matches(dst_path, '^src/Brand#5/'))
+  AND NOT regexp_matches(src_path, '^src/Brand#4/')""")
+
+register("g8_rule_violations", with_(GRAPH) + r"""
+SELECT 'same-manufacturer' AS rule, src_path, dst_path FROM ep
+WHERE regexp_matches(src_path, '^src/Brand#(\d)')
+  AND NOT regexp_matches(dst_path, replace('^src/Brand#$1', '$1', regexp_extract(src_path, '^src/Brand#(\d)', 1)))""")
+
+register("g9_more_unstable", with_(GRAPH) + """
+SELECT ep.src_path, ep.dst_path, s.instability AS src_i, d.instability AS dst_i
+FROM ep JOIN cp s ON ep.src = s.node JOIN cp d ON ep.dst = d.node
+WHERE d.instability > s.instability""")
