@@ -335,3 +335,93 @@ def q_g8(spark, d):
 def q_g9(spark, d):
     e, m = _graph(spark, d)
     return g.more_unstable_violations(g.with_paths(e, m), g.coupling(e, m))
+
+
+# ---- unused code -----------------------------------------------------------------------
+from codehealth.operators import unused as un  # noqa: E402
+from codehealth.operators import churn as ch  # noqa: E402
+
+
+def _unused_parts(spark, d):
+    rows = td.export_rows(spark, d)
+    ux = un.unused_exports(rows, td.import_rows(spark, d))
+    dx = un.duplicate_exports(rows)
+    decl, used = td.declared_packages(spark, d), td.used_packages(spark, d)
+    ud = un.unused_dependencies(decl, used)
+    ul = un.unlisted_dependencies(used, decl)
+    ur = un.unresolved_imports(td.page_links(spark, d), td.page_targets(spark, d))
+    return ux, dx, ud, ul, ur
+
+
+def _issues(spark, d):
+    ux, dx, ud, ul, ur = _unused_parts(spark, d)
+    e, m = _graph(spark, d)
+    uf = g.unused_files(m, g.reachable(e, td.entries(spark, d)))
+    return un.issue_table(uf, ux, dx, ud, ul, ur)
+
+
+@query("c11_unused_exports")
+def q_c11(spark, d):
+    return _unused_parts(spark, d)[0].select("file", "symbol", "kind")
+
+
+@query("c15_duplicate_exports")
+def q_c15(spark, d):
+    return un.duplicate_exports(td.export_rows(spark, d))
+
+
+@query("c12_unused_dependencies")
+def q_c12(spark, d):
+    return un.unused_dependencies(td.declared_packages(spark, d), td.used_packages(spark, d)).select(
+        "package", "kind")
+
+
+@query("c13_unlisted_dependencies")
+def q_c13(spark, d):
+    return un.unlisted_dependencies(td.used_packages(spark, d), td.declared_packages(spark, d))
+
+
+@query("c14_unresolved_imports")
+def q_c14(spark, d):
+    return un.unresolved_imports(td.page_links(spark, d), td.page_targets(spark, d)).select("file", "specifier")
+
+
+@query("a3_unused_metrics")
+def q_a3(spark, d):
+    return un.unused_metrics(_issues(spark, d))
+
+
+@query("a7_unused_by_file")
+def q_a7(spark, d):
+    return un.unused_by_file(_issues(spark, d))
+
+
+@query("p5_filtered_issues")
+def q_p5(spark, d):
+    return un.filter_issues(_issues(spark, d), include=("exports", "types", "files", "unresolved"),
+                            exclude=("unresolved",), workspace="src")
+
+
+# ---- churn -------------------------------------------------------------------------------
+def _churn(spark, d):
+    return ch.churn(td.commits(spark, d), td.touches(spark, d), days=90, subject_regex="^fix")
+
+
+@query("c17_churn")
+def q_c17(spark, d):
+    return _churn(spark, d)
+
+
+@query("c17_monthly_churn")
+def q_c17m(spark, d):
+    return ch.monthly_churn(td.commits(spark, d), td.touches(spark, d))
+
+
+@query("c18_churn_hotspots")
+def q_c18(spark, d):
+    return ch.churn_hotspots(_churn(spark, d), td.modules(spark, d), limit=20)
+
+
+@query("c18_recurring_hotspots")
+def q_c18r(spark, d):
+    return ch.recurring_hotspots(ch.monthly_churn(td.commits(spark, d), td.touches(spark, d)), top=20)

@@ -532,3 +532,94 @@ register("g9_more_unstable", with_(GRAPH) + """
 SELECT ep.src_path, ep.dst_path, s.instability AS src_i, d.instability AS dst_i
 FROM ep JOIN cp s ON ep.src = s.node JOIN cp d ON ep.dst = d.node
 WHERE d.instability > s.instability""")
+
+
+# ---- unused code over symbol / package / link adapters ------------------------------------
+SYMBOLS = r"""
+xr AS (
+  SELECT 'src/supp/' || CAST(l.l_suppkey AS VARCHAR) AS file, 'p' || CAST(l.l_partkey AS VARCHAR) AS symbol,
+         CASE split_part(p.p_type, ' ', 1) WHEN 'STANDARD' THEN 'exports' WHEN 'SMALL' THEN 'types'
+              WHEN 'MEDIUM' THEN 'classMembers' WHEN 'LARGE' THEN 'nsExports' WHEN 'ECONOMY' THEN 'enumMembers'
+              WHEN 'PROMO' THEN 'nsTypes' ELSE 'exports' END AS kind
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+im AS (
+  SELECT DISTINCT 'src/supp/' || CAST(l_suppkey AS VARCHAR) AS file, 'p' || CAST(l_partkey AS VARCHAR) AS symbol
+  FROM lineitem WHERE l_returnflag = 'R' AND l_quantity <= 10),
+ux AS (SELECT DISTINCT file, symbol, kind FROM xr
+       WHERE (file, symbol) NOT IN (SELECT (file, symbol) FROM im)),
+dx AS (SELECT file, symbol, count(*) AS copies FROM xr GROUP BY file, symbol HAVING count(*) > 1),
+decl AS (SELECT 'pkg-' || CAST(p_partkey AS VARCHAR) AS package,
+                CASE WHEN p_size >= 45 THEN 'devDependencies' ELSE 'dependencies' END AS kind
+         FROM part WHERE p_size >= 26),
+used AS (SELECT DISTINCT 'pkg-' || CAST(l_partkey AS VARCHAR) AS package,
+                'src/supp/' || CAST(l_suppkey AS VARCHAR) AS file
+         FROM lineitem WHERE l_quantity >= 48),
+ud AS (SELECT package, kind FROM decl WHERE package NOT IN (SELECT package FROM used)),
+ul AS (SELECT file, package FROM used WHERE package NOT IN (SELECT package FROM decl)),
+links AS (SELECT DISTINCT url AS file, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS specifier
+          FROM pages),
+ur AS (SELECT file, specifier FROM links
+       WHERE specifier NOT IN (SELECT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) FROM pages))"""
+
+ISSUES = r""",
+iss AS (
+  SELECT path AS file, 'files' AS kind, path AS name FROM m WHERE node NOT IN (SELECT node FROM rch)
+  UNION ALL SELECT file, kind, symbol FROM ux
+  UNION ALL SELECT file, 'duplicates', symbol FROM dx
+  UNION ALL SELECT 'package.json', kind, package FROM ud
+  UNION ALL SELECT file, 'unlisted', package FROM ul
+  UNION ALL SELECT file, 'unresolved', specifier FROM ur)"""
+
+register("c11_unused_exports", with_(SYMBOLS) + "SELECT file, symbol, kind FROM ux")
+register("c15_duplicate_exports", with_(SYMBOLS) + "SELECT file, symbol, copies FROM dx")
+register("c12_unused_dependencies", with_(SYMBOLS) + "SELECT package, kind FROM ud")
+register("c13_unlisted_dependencies", with_(SYMBOLS) + "SELECT file, package FROM ul")
+register("c14_unresolved_imports", with_(SYMBOLS) + "SELECT file, specifier FROM ur")
+
+register("a3_unused_metrics", with_rec(GRAPH + REACH + "," + SYMBOLS + ISSUES) + """
+SELECT count(*) FILTER (WHERE kind = 'files') AS unused_files,
+       count(*) FILTER (WHERE kind IN ('exports', 'nsExports', 'classMembers', 'enumMembers')) AS unused_exports,
+       count(*) FILTER (WHERE kind IN ('types', 'nsTypes')) AS unused_types,
+       count(*) FILTER (WHERE kind IN ('dependencies', 'devDependencies', 'optionalPeerDependencies', 'unlisted',
+                                       'binaries', 'unresolved', 'catalog')) AS unused_dependencies,
+       count(*) AS total_issues
+FROM iss""")
+
+register("a7_unused_by_file", with_rec(GRAPH + REACH + "," + SYMBOLS + ISSUES) + """
+SELECT file, count(*) AS unused FROM iss WHERE file IS NOT NULL AND file <> '' GROUP BY file""")
+
+register("p5_filtered_issues", with_rec(GRAPH + REACH + "," + SYMBOLS + ISSUES) + """
+SELECT file, kind, name FROM iss
+WHERE kind IN ('exports', 'types', 'files', 'unresolved') AND kind NOT IN ('unresolved')
+  AND starts_with(file, 'src/')""")
+
+# ---- churn over orders / lineitem ---------------------------------------------------------
+CHURN = r"""
+cmt AS (SELECT o_orderkey AS sha, o_orderdate AS ts,
+               CASE WHEN o_orderpriority = '1-URGENT' THEN 'fix' ELSE 'feat' END AS subject FROM orders),
+tch AS (SELECT l.l_orderkey AS sha, 'src/' || p.p_brand || '/' || CAST(l.l_partkey AS VARCHAR) AS file,
+               CAST(l.l_quantity AS BIGINT) AS lines
+        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+rc AS (SELECT * FROM cmt WHERE ts >= (SELECT max(ts) FROM cmt) - INTERVAL 90 DAYS),
+ch AS (SELECT file, count(DISTINCT sha) AS commits,
+              count(DISTINCT CASE WHEN regexp_matches(subject, '^fix') THEN sha END) AS fix_commits,
+              CAST(sum(lines) AS BIGINT) AS lines_touched
+       FROM tch JOIN rc USING (sha) GROUP BY file),
+mc AS (SELECT file, strftime(ts, '%Y-%m') AS month, count(DISTINCT sha) AS commits
+       FROM tch JOIN cmt USING (sha) GROUP BY ALL)"""
+
+register("c17_churn", with_(CHURN) + "SELECT file, commits, fix_commits, lines_touched FROM ch")
+register("c17_monthly_churn", with_(CHURN) + "SELECT file, month, commits FROM mc")
+register("c18_churn_hotspots", with_(CHURN + "," + GRAPH) + """
+, j AS (SELECT ch.file, ch.commits, m.size FROM ch JOIN m ON ch.file = m.path),
+t AS (SELECT count(*) AS n, sum(commits) AS sum_commits, sum(size) AS sum_size FROM j)
+SELECT file, commits, CAST(size AS BIGINT) AS size, CAST(commits * size AS BIGINT) AS score,
+       CASE WHEN commits * n >= sum_commits AND size * n >= sum_size THEN 'hotspot'
+            WHEN commits * n >= sum_commits THEN 'churning'
+            WHEN size * n >= sum_size THEN 'large' ELSE 'calm' END AS quadrant
+FROM j, t ORDER BY score DESC, file LIMIT 20""")
+register("c18_recurring_hotspots", with_(CHURN) + """
+, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY commits DESC, file) AS rk FROM mc)
+        WHERE rk <= 20)
+SELECT a.file, a.month, b.month AS next_month FROM r a JOIN r b
+  ON a.file = b.file AND strftime(CAST(a.month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') = b.month""")

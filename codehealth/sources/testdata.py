@@ -241,3 +241,22 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (li.join(part, li.l_partkey == part.p_partkey)
             .select(F.col("l_orderkey").alias("sha"), module_path("p_brand", "l_partkey").alias("file"),
                     F.col("l_quantity").cast("bigint").alias("lines")))
+
+
+# ---- links (import specifiers) -------------------------------------------------
+HREF = r'href="([^"]*)"'
+URL_PATH = r"^[a-z]+://[^/]+(/[^?#]*)"
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, specifier): every distinct link target a page refers to."""
+    p = read(spark, sf_dir, "pages")
+    return (p.select(F.col("url").alias("file"),
+                     F.explode(F.regexp_extract_all(F.col("html"), F.lit(HREF), 1)).alias("specifier"))
+            .distinct())
+
+
+def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target): the path of every known page."""
+    p = read(spark, sf_dir, "pages")
+    return p.select(F.regexp_extract(F.col("url"), URL_PATH, 1).alias("target"))
