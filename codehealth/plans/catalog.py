@@ -425,3 +425,38 @@ def q_c18(spark, d):
 @query("c18_recurring_hotspots")
 def q_c18r(spark, d):
     return ch.recurring_hotspots(ch.monthly_churn(td.commits(spark, d), td.touches(spark, d)), top=20)
+
+
+# ---- clones over the corpus ---------------------------------------------------------------
+from codehealth.operators import clones as cl  # noqa: E402
+from codehealth.params import CloneParams  # noqa: E402
+
+
+def _clones(spark, d, **kw):
+    return cl.clone_pairs(td.source_files(spark, d), CloneParams(**kw))
+
+
+@query("c5_clones")
+def q_c5(spark, d):
+    return _clones(spark, d)
+
+
+@query("c7_cross_folder_clones")
+def q_c7(spark, d):
+    return _clones(spark, d, skip_local=True)
+
+
+@query("a8_clone_counts")
+def q_a8(spark, d):
+    return cl.clone_counts_by_file(_clones(spark, d))
+
+
+@query("j3_clones_by_file")
+def q_j3(spark, d):
+    return cl.clones_by_file(_clones(spark, d))
+
+
+@query("a4_duplication_totals")
+def q_a4(spark, d):
+    files = td.source_files(spark, d)
+    return cl.duplication_totals(cl.clone_pairs(files, CloneParams()), files)

@@ -623,3 +623,85 @@ register("c18_recurring_hotspots", with_(CHURN) + """
         WHERE rk <= 20)
 SELECT a.file, a.month, b.month AS next_month FROM r a JOIN r b
   ON a.file = b.file AND strftime(CAST(a.month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') = b.month""")
+
+
+# ---- clones over the corpus ------------------------------------------------------------------
+CLONES = SOURCE_FILES + r""",
+raw AS (
+  SELECT repo, snapshot_id, path, unnest(generate_series(1, len(ls))) AS ln, unnest(ls) AS line
+  FROM (SELECT repo, snapshot_id, path, string_split(content, chr(10)) AS ls FROM sf)
+  WHERE len(ls) <= 1000),
+nl AS (
+  SELECT repo, snapshot_id, path, ln, t,
+         len(regexp_extract_all(t, '[\p{L}\p{N}_]+|[^ \t\n\f\r\p{L}\p{N}_]')) AS tok,
+         row_number() OVER (PARTITION BY repo, snapshot_id, path ORDER BY ln) AS pos
+  FROM (SELECT *, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS t FROM raw) WHERE t <> ''),
+sh AS (
+  SELECT * FROM (
+    SELECT repo, snapshot_id, path, pos, ln AS start_ln, lead(ln, 4) OVER w AS end_ln, tok AS tok_first,
+           tok + lead(tok, 1) OVER w + lead(tok, 2) OVER w + lead(tok, 3) OVER w + lead(tok, 4) OVER w
+             AS tok_window,
+           t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w || chr(10) || lead(t, 3) OVER w
+             || chr(10) || lead(t, 4) OVER w AS txt
+    FROM nl WINDOW w AS (PARTITION BY repo, snapshot_id, path ORDER BY pos))
+  WHERE end_ln IS NOT NULL),
+fo AS (
+  SELECT *, first_value(path) OVER g AS f_path, first_value(pos) OVER g AS f_pos,
+         first_value(start_ln) OVER g AS f_start, first_value(end_ln) OVER g AS f_end,
+         count(*) OVER (PARTITION BY repo, snapshot_id, txt) AS occ
+  FROM sh
+  WINDOW g AS (PARTITION BY repo, snapshot_id, txt ORDER BY path, pos
+               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+pr AS (
+  SELECT repo, snapshot_id, f_path AS first_file, path AS second_file, pos - f_pos AS diag, pos,
+         f_start, f_end, start_ln, end_ln, tok_first, tok_window
+  FROM fo WHERE occ > 1 AND NOT (path = f_path AND pos = f_pos)),
+isl AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY repo, snapshot_id, first_file, second_file, diag ORDER BY pos)
+            AS grp
+  FROM pr),
+runs AS (
+  SELECT repo, snapshot_id, first_file, second_file, diag, grp, min(pos) AS start_pos, max(pos) AS end_pos,
+         arg_min(f_start, pos) AS first_start, arg_max(f_end, pos) AS first_end,
+         arg_min(start_ln, pos) AS second_start, arg_max(end_ln, pos) AS second_end,
+         sum(tok_first) + arg_max(tok_window - tok_first, pos) AS tokens
+  FROM isl GROUP BY ALL),
+cl AS (
+  SELECT repo, snapshot_id, first_file, CAST(first_start AS BIGINT) AS first_start,
+         CAST(first_end AS BIGINT) AS first_end, second_file, CAST(second_start AS BIGINT) AS second_start,
+         CAST(second_end AS BIGINT) AS second_end, CAST(second_end - second_start + 1 AS BIGINT) AS lines,
+         CAST(end_pos - start_pos + 5 AS BIGINT) AS norm_lines, CAST(tokens AS BIGINT) AS tokens
+  FROM runs WHERE tokens >= 50)"""
+
+register("c5_clones", with_(CLONES) + "SELECT * FROM cl")
+
+register("c7_cross_folder_clones", with_(CLONES) + """
+SELECT * FROM cl
+WHERE regexp_replace(first_file, '/[^/]*$', '') <> regexp_replace(second_file, '/[^/]*$', '')""")
+
+register("a8_clone_counts", with_(CLONES) + """
+SELECT repo, snapshot_id, path, count(*) AS duplication FROM (
+  SELECT repo, snapshot_id, unnest([first_file, second_file]) AS path FROM cl) GROUP BY ALL""")
+
+register("j3_clones_by_file", with_(CLONES) + """
+SELECT repo, snapshot_id, lines, first_file AS path, first_start AS self_start, first_end AS self_end,
+       second_file AS other_path, second_start AS other_start, second_end AS other_end FROM cl
+UNION ALL
+SELECT repo, snapshot_id, lines, second_file, second_start, second_end, first_file, first_start, first_end FROM cl
+WHERE second_file <> first_file""")
+
+register("a4_duplication_totals", with_(CLONES) + """
+, tl AS (SELECT repo, snapshot_id, sum(len(string_split(content, chr(10)))) AS total_lines FROM sf GROUP BY ALL),
+tt AS (SELECT repo, snapshot_id, sum(tok) AS total_tokens FROM nl GROUP BY ALL),
+c AS (SELECT repo, snapshot_id, count(*) AS clones, sum(lines) AS dup_lines, sum(tokens) AS dup_tokens
+      FROM cl GROUP BY ALL),
+j AS (SELECT tl.repo, tl.snapshot_id, total_lines, total_tokens, coalesce(clones, 0) AS clones,
+             coalesce(dup_lines, 0) AS dup_lines, coalesce(dup_tokens, 0) AS dup_tokens
+      FROM tl JOIN tt USING (repo, snapshot_id) LEFT JOIN c USING (repo, snapshot_id))
+SELECT repo, snapshot_id, CAST(clones AS BIGINT) AS clones,
+       CAST((10000 * dup_lines + total_lines // 2) // greatest(total_lines, 1) AS DOUBLE) / 100
+         AS duplicated_lines_percent,
+       CAST((10000 * dup_tokens + total_tokens // 2) // greatest(total_tokens, 1) AS DOUBLE) / 100
+         AS duplicated_tokens_percent,
+       CAST(total_lines AS BIGINT) AS total_lines
+FROM j""")
