@@ -460,3 +460,29 @@ def q_j3(spark, d):
 def q_a4(spark, d):
     files = td.source_files(spark, d)
     return cl.duplication_totals(cl.clone_pairs(files, CloneParams()), files)
+
+
+# ---- details and dashboard rows ------------------------------------------------------------
+from codehealth.plans import dashboard as dash  # noqa: E402
+
+
+@query("j4_unused_items")
+def q_j4(spark, d):
+    return dash.unused_items(_issues(spark, d))
+
+
+@query("s14_dashboard_rows")
+def q_s14(spark, d):
+    fh = td.file_history(spark, d)
+    metrics = td.snapshot_metrics(fh)
+    contrib = tree_ops.contributions(fh.select("repo", "snapshot_id", "path", "lines", "code", "complexity"),
+                                     tree_ops.issues_long(fh))
+    tree = tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
+    trend = metrics.select("repo", "snapshot_id", F.col("total_lines").alias("lines"),
+                           F.col("total_complexity").alias("complexity"), F.col("total_issues").alias("unused"),
+                           F.col("duplicated_lines_percent").alias("duplication"),
+                           F.col("cycle_count").alias("cycles"))
+    rows = dash.dashboard_rows(metrics, trend=trend, node_counts=tree_ops.node_counts(tree, td.SOURCE_ROOT),
+                               health=health.health_scores(metrics, health.tree_file_counts(tree)))
+    return rows.select("repo", "snapshot_id", "timestamp", "label", "lines", "complexity", "unused",
+                       "duplication", "cycles", "node_count", "root_id", "overall", "trend")

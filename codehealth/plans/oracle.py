@@ -705,3 +705,27 @@ SELECT repo, snapshot_id, CAST(clones AS BIGINT) AS clones,
          AS duplicated_tokens_percent,
        CAST(total_lines AS BIGINT) AS total_lines
 FROM j""")
+
+
+# ---- details and dashboard rows ----------------------------------------------------------------
+def _labels_sql() -> str:
+    from codehealth.operators.unused import KIND_LABELS
+    vals = ", ".join(f"('{k}', '{v}')" for k, v in KIND_LABELS.items())
+    return f"lbl(kind, kind_label) AS (VALUES {vals})"
+
+
+register("j4_unused_items", with_rec(GRAPH + REACH + "," + SYMBOLS + ISSUES + "," + _labels_sql()) + """
+SELECT DISTINCT file, kind_label || ': ' || coalesce(name, '?') AS label FROM iss JOIN lbl USING (kind)""")
+
+register("s14_dashboard_rows", """
+SELECT h.repo, h.snapshot_id, """ + ISO.format("h.ts") + """ AS timestamp,
+       strftime(h.ts, '%a, %b ') || CAST(day(h.ts) AS VARCHAR) ||
+         CASE WHEN day(h.ts) % 100 BETWEEN 11 AND 13 THEN 'th' WHEN day(h.ts) % 10 = 1 THEN 'st'
+              WHEN day(h.ts) % 10 = 2 THEN 'nd' WHEN day(h.ts) % 10 = 3 THEN 'rd' ELSE 'th' END
+         || ' ' || CAST(year(h.ts) AS VARCHAR) AS label,
+       m.total_lines AS lines, m.total_complexity AS complexity, m.total_issues AS unused,
+       m.duplicated_lines_percent AS duplication, m.cycle_count AS cycles,
+       n.node_count, n.root_id, h.overall, h.trend
+FROM (""" + ORACLE["a14_health_trend"] + """) h
+JOIN (""" + with_(SNAPSHOT_METRICS) + "SELECT * FROM sm" + """) m USING (repo, snapshot_id)
+JOIN (""" + ORACLE["a12_node_counts"] + """) n USING (repo, snapshot_id)""")
