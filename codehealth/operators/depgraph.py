@@ -24,7 +24,40 @@ class IterationLimit(RuntimeError):
 
 # Propagation steps chained inside one Spark job. Steps past a fixpoint change
 # nothing, and the last step's flag still tells whether the fixpoint is reached.
-UNROLL = 2
+UNROLL = 3
+# Edge tables at or below this many rows (measured by the previous step's
+# aggregate) are broadcast to the propagation joins; larger ones are joined
+# with a shuffle. 2M (src, dst) pairs of BIGINT are about 32 MB.
+BROADCAST_EDGE_ROWS = 2_000_000
+
+
+def _maybe_broadcast(e: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(e) if rows <= BROADCAST_EDGE_ROWS else e
+
+
+class _LoopConf:
+    """Adaptive execution off while the edge side is broadcast.
+
+    With a broadcast edge table each step is one map-side join and one
+    aggregation; there is no shuffle join for AQE to re-plan or split, and
+    its per-stage re-planning would dominate the step. When the edges are too
+    large to broadcast, AQE stays on (skewed hub nodes in the shuffle join
+    are split by its skew-join handling).
+    """
+
+    def __init__(self, spark, broadcast: bool):
+        self.spark, self.broadcast, self.saved = spark, broadcast, None
+
+    def __enter__(self):
+        if self.broadcast:
+            self.saved = self.spark.conf.get("spark.sql.adaptive.enabled")
+            self.spark.conf.set("spark.sql.adaptive.enabled", "false")
+        return self
+
+    def __exit__(self, *exc):
+        if self.saved is not None:
+            self.spark.conf.set("spark.sql.adaptive.enabled", self.saved)
+        return False
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -129,7 +162,7 @@ class _Steps:
     step reads the previous state exactly once, so plans grow linearly.
     """
 
-    def __init__(self, every: int = 1):
+    def __init__(self, every: int = 3):
         self.every = every
         self.n = 0
         self.live: list[DataFrame] = []
@@ -168,8 +201,8 @@ def _trim(edges: DataFrame, steps: _Steps, passes: int = 3) -> DataFrame:
         if k == n:
             break
         n = k
-    e, _, _ = steps(e, durable=True)
-    return e
+    e, n, _ = steps(e, durable=True)
+    return e, n
 
 
 def _colour_step(colour: DataFrame, e: DataFrame) -> DataFrame:
@@ -212,7 +245,7 @@ def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
     at once. One Spark job per step.
     """
     steps = _Steps()
-    e = _trim(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), steps)
+    e, n_edges = _trim(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), steps)
     found = []
     for _ in range(max_iter):
         nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -220,31 +253,35 @@ def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
                                                 F.lit(True).alias("changed")))
         if n_nodes == 0:
             break
-        for _ in range(max_iter):
-            nxt = colour
-            for _ in range(UNROLL):
-                nxt = _colour_step(nxt, e)
-            colour, _, changed = steps(nxt, "changed")
-            if not changed:
-                break
-        else:
-            raise IterationLimit("colour propagation did not converge")
+        eb = _maybe_broadcast(e, n_edges)
+        with _LoopConf(e.sparkSession, n_edges <= BROADCAST_EDGE_ROWS):
+            for _ in range(max_iter):
+                nxt = colour
+                for _ in range(UNROLL):
+                    nxt = _colour_step(nxt, eb)
+                colour, _, changed = steps(nxt, "changed")
+                if not changed:
+                    break
+            else:
+                raise IterationLimit("colour propagation did not converge")
         colour = colour.select("node", "colour")
         ce = (e.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "c1"), "src")
               .join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "c2"), "dst")
               .filter(F.col("c1") == F.col("c2")).select("src", "dst", F.col("c1").alias("colour")))
-        ce, _, _ = steps(ce, durable=True)
+        ce, n_ce, _ = steps(ce, durable=True)
+        ceb = _maybe_broadcast(ce, n_ce)
         root = F.col("node") == F.col("colour")
         state, _, _ = steps(colour.select("node", "colour", root.alias("reached"), root.alias("frontier")))
-        for _ in range(max_iter):
-            nxt = state
-            for _ in range(UNROLL):
-                nxt = _backward_step(nxt, ce)
-            state, _, more = steps(nxt, "frontier")
-            if not more:
-                break
-        else:
-            raise IterationLimit("backward search did not converge")
+        with _LoopConf(e.sparkSession, n_ce <= BROADCAST_EDGE_ROWS):
+            for _ in range(max_iter):
+                nxt = state
+                for _ in range(UNROLL):
+                    nxt = _backward_step(nxt, ceb)
+                state, _, more = steps(nxt, "frontier")
+                if not more:
+                    break
+            else:
+                raise IterationLimit("backward search did not converge")
         state, _, _ = steps(state, durable=True)
         comp = state.filter("reached").select("node", F.col("colour").alias("component"))
         sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
@@ -254,7 +291,7 @@ def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
         rest = (ce.select("src", "dst")
                 .join(done.withColumnRenamed("node", "src"), "src", "left_anti")
                 .join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-        e = _trim(rest, steps)
+        e, n_edges = _trim(rest, steps)
     else:
         raise IterationLimit("component search did not converge")
     if not found:
@@ -321,15 +358,17 @@ def reachable(edges: DataFrame, starts: DataFrame, max_iter: int = 10_000) -> Da
     """Every node reachable from ``starts(node)`` (the starts included),
     frontier by frontier until the frontier is empty; one Spark job per step."""
     steps = _Steps()
-    e, _, _ = steps(edges.select("src", "dst").distinct(), durable=True)
+    e, n_edges, _ = steps(edges.select("src", "dst").distinct(), durable=True)
+    eb = _maybe_broadcast(e, n_edges)
     state, _, _ = steps(starts.select("node").distinct().withColumn("frontier", F.lit(True)))
-    for _ in range(max_iter):
-        nxt = state
-        for _ in range(UNROLL):
-            nxt = _reach_step(nxt, e)
-        state, _, more = steps(nxt, "frontier")
-        if not more:
-            return state.select("node")
+    with _LoopConf(e.sparkSession, n_edges <= BROADCAST_EDGE_ROWS):
+        for _ in range(max_iter):
+            nxt = state
+            for _ in range(UNROLL):
+                nxt = _reach_step(nxt, eb)
+            state, _, more = steps(nxt, "frontier")
+            if not more:
+                return state.select("node")
     raise IterationLimit("reachability did not converge")
 
 

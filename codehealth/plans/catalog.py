@@ -227,14 +227,19 @@ def _graph(spark, d):
     return td.dep_edges(spark, d), td.modules(spark, d)
 
 
+def _circular(spark, d):
+    from codehealth.plans.materialize import materialized
+    return materialized(spark, f"circular_edges:{d}", lambda: g.circular_edges(td.dep_edges(spark, d)))
+
+
 def _by_file(spark, d):
     e, m = _graph(spark, d)
-    return g.instability_by_file(g.coupling(e, m), g.circular_edges(e))
+    return g.instability_by_file(g.coupling(e, m), _circular(spark, d))
 
 
 def _circular_paths(spark, d):
-    e, m = _graph(spark, d)
-    return g.with_paths(g.circular_edges(e), m)
+    _, m = _graph(spark, d)
+    return g.with_paths(_circular(spark, d), m)
 
 
 @query("g2_coupling")
@@ -283,7 +288,7 @@ def q_a9(spark, d):
 @query("a5_cycle_metrics")
 def q_a5(spark, d):
     e, m = _graph(spark, d)
-    circ = g.circular_edges(e)
+    circ = _circular(spark, d)
     return g.cycle_metrics(m, e, circ, violation_count=circ).select(
         "total_modules", "total_dependencies", "circular_edges", "violations", "cycle_count")
 
