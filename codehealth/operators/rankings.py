@@ -15,9 +15,10 @@ from pyspark.sql import Window
 
 SNAP = ["repo", "snapshot_id"]
 
-# ---- fixed values: hotspot weights -----------------------------------------
+# ---- fixed values: hotspot weights and signal thresholds --------------------
 FILE_WEIGHTS = {"complexity": 0.35, "size": 0.25, "issues": 0.40}
 DIR_WEIGHTS = {"issues": 0.45, "complexity": 0.35, "size": 0.20}
+SIGNAL_ACTIVE = {"complexity": 0.3, "size": 0.3, "issues": 0.1}
 # -----------------------------------------------------------------------------
 
 
@@ -89,3 +90,16 @@ def top_files_by(tree: DataFrame, metric: str, limit: int = 10) -> DataFrame:
     return ranked.select(*SNAP, F.col("position").cast("bigint").alias("position"), "path", "name",
                          F.lit(metric).alias("primary_metric"), F.col(metric).alias("primary_value"),
                          "lines", "code", "complexity", "total")
+
+
+def signal_flags(hotspots: DataFrame) -> DataFrame:
+    """which signals of a hotspot are active."""
+    out = hotspots
+    for k, t in SIGNAL_ACTIVE.items():
+        out = out.withColumn(f"{k}_active", F.col(f"{k}_signal") >= F.lit(t))
+    return out
+
+
+def files_by_path(nodes: DataFrame) -> DataFrame:
+    """Every file in path order."""
+    return nodes.filter(F.col("kind") == "file").orderBy("repo", "snapshot_id", "path")

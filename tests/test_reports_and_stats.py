@@ -116,3 +116,47 @@ def test_line_stats_blank_comment_complexity(spark):
     r = corpus.line_stats(df).first()
     assert (r.lines, r.blanks, r.comments, r.code) == (7, 1, 2, 4)
     assert r.complexity == 4  # if, for, &&, ==
+
+
+def test_flatten_unused_items_and_labels(spark):
+    from codehealth.plans.dashboard import unused_items
+    doc = {"files": [], "issues": [{"file": "src/app.ts", "exports": [{"name": "unusedThing", "line": 9}],
+                                    "enumMembers": {"Status": [{"name": "Old"}]}, "unlisted": ["left-pad"]}]}
+    items = rp.unused_report_items(_reports(spark, doc))
+    got = sorted((r.kind, r.name, r.line) for r in items.collect())
+    assert got == [("enumMembers", "Old", None), ("exports", "unusedThing", 9), ("unlisted", "left-pad", None)]
+    labels = sorted(r.label for r in unused_items(items).collect())
+    assert labels == ["Unlisted dependency: left-pad", "Unused enum member: Old",
+                      "Unused export: unusedThing (line 9)"]
+
+
+def test_artifact_selection_and_fallback(spark):
+    arts = spark.createDataFrame([
+        ("r", "s1", 0, "stats-lines", "L"), ("r", "s1", 1, "stats-complexity", "C"),
+        ("r", "s2", 0, "stats-lines", "L2"), ("r", "s2", 1, "unused", "U")],
+        "repo string, snapshot_id string, check_idx int, artifact_id string, raw string")
+    got = {r.snapshot_id: r.raw for r in rp.stats_artifact(arts).collect()}
+    assert got == {"s1": "C", "s2": "L2"}
+    declared = spark.createDataFrame([("r", "s2", "unused")], "repo string, snapshot_id string, artifact_id string")
+    assert [r.raw for r in rp.select_artifacts(declared, arts).collect()] == ["U"]
+    assert rp.first_artifact(arts, "stats-lines").filter("snapshot_id = 's1'").first().raw == "L"
+
+
+def test_scan_source_files(spark, tmp_dir):
+    import os
+    from codehealth.sources.files import scan_source_files
+    os.makedirs(os.path.join(tmp_dir, "src", "lib"))
+    for rel, text in (("src/a.ts", "let a = 1\n"), ("src/lib/b.js", "if (x) {}\n"), ("src/readme.md", "# x\n"),
+                      ("other.ts", "x\n")):
+        with open(os.path.join(tmp_dir, rel), "w") as fh:
+            fh.write(text)
+    got = sorted(r.path for r in scan_source_files(spark, tmp_dir, "r", "s").collect())
+    assert got == ["src/a.ts", "src/lib/b.js"]
+
+
+def test_weak_and_strict_modes_differ(spark):
+    from codehealth.operators.clones import normalised_lines
+    df = spark.createDataFrame([("r", "s", "f", "a\n\n// c\n  b  ")],
+                               "repo string, snapshot_id string, path string, content string")
+    n = {m: [x.t for x in normalised_lines(df, m).first().arr] for m in ("strict", "mild", "weak")}
+    assert n == {"strict": ["a", "", "// c", "  b  "], "mild": ["a", "// c", "b"], "weak": ["a", "b"]}
