@@ -234,63 +234,80 @@ def _backward_step(state: DataFrame, ce: DataFrame) -> DataFrame:
                       (~F.col("was") & F.col("hit")).alias("frontier"))
 
 
+def _label_step(state: DataFrame, both: DataFrame) -> DataFrame:
+    """One step of simultaneous forward / backward max-label propagation.
+
+    ``both`` holds every edge twice: (a=src, t=dst, fwd=True) and
+    (a=dst, t=src, fwd=False). A node whose forward label changed pushes it to
+    its successors, a node whose backward label changed pushes it to its
+    predecessors; the state is read once, so plans grow linearly.
+    """
+    j = state.join(both, state.node == both.a, "left")
+    recs = F.array(
+        F.struct(F.col("node"), F.col("f"), F.col("b"), F.lit(True).alias("own")),
+        F.when(F.col("fwd") & F.col("cf"),
+               F.struct(F.col("t").alias("node"), F.col("f"), F.lit(None).cast("bigint").alias("b"),
+                        F.lit(False).alias("own"))),
+        F.when(~F.col("fwd") & F.col("cb"),
+               F.struct(F.col("t").alias("node"), F.lit(None).cast("bigint").alias("f"), F.col("b"),
+                        F.lit(False).alias("own"))))
+    x = j.select(F.explode(recs).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
+    agg = x.groupBy("node").agg(F.max("f").alias("f"), F.max("b").alias("b"),
+                               F.max(F.when(F.col("own"), F.col("f"))).alias("f0"),
+                               F.max(F.when(F.col("own"), F.col("b"))).alias("b0"))
+    return agg.select("node", "f", "b", (F.col("f") > F.col("f0")).alias("cf"),
+                      (F.col("b") > F.col("b0")).alias("cb"),
+                      ((F.col("f") > F.col("f0")) | (F.col("b") > F.col("b0"))).alias("changed"))
+
+
 def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
     """Strongly connected components of size > 1: (node, component).
 
-    Colouring method: every node takes the largest id that reaches it
-    (forward max propagation to a fixpoint, only changed nodes push); a
-    component is then the set of nodes of one colour that reach the colour's
-    root backwards inside that colour. Edges between different colours never
-    lie on a cycle and are dropped, so each round works on all colour classes
-    at once. One Spark job per step.
+    Every node takes the largest id among the nodes that reach it (f) and
+    among the nodes it reaches (b), both propagated in the same steps. A node
+    with f == b == c is reached by c and reaches c, so it lies in c's
+    component; two nodes of one component always share (f, b), so edges
+    between different pairs are dropped and each round works on all classes
+    at once. Each round resolves at least the component of every class's
+    largest node. One Spark job per few steps; reliable checkpoints bound
+    lineage.
     """
     steps = _Steps()
     e, n_edges = _trim(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), steps)
     found = []
     for _ in range(max_iter):
         nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        colour, n_nodes, _ = steps(nodes.select("node", F.col("node").alias("colour"),
-                                                F.lit(True).alias("changed")))
+        state, n_nodes, _ = steps(nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"),
+                                               F.lit(True).alias("cf"), F.lit(True).alias("cb"),
+                                               F.lit(True).alias("changed")))
         if n_nodes == 0:
             break
-        eb = _maybe_broadcast(e, n_edges)
-        with _LoopConf(e.sparkSession, n_edges <= BROADCAST_EDGE_ROWS):
-            for _ in range(max_iter):
-                nxt = colour
-                for _ in range(UNROLL):
-                    nxt = _colour_step(nxt, eb)
-                colour, _, changed = steps(nxt, "changed")
-                if not changed:
-                    break
-            else:
-                raise IterationLimit("colour propagation did not converge")
-        colour = colour.select("node", "colour")
-        ce = (e.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "c1"), "src")
-              .join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "c2"), "dst")
-              .filter(F.col("c1") == F.col("c2")).select("src", "dst", F.col("c1").alias("colour")))
-        ce, n_ce, _ = steps(ce, durable=True)
-        ceb = _maybe_broadcast(ce, n_ce)
-        root = F.col("node") == F.col("colour")
-        state, _, _ = steps(colour.select("node", "colour", root.alias("reached"), root.alias("frontier")))
-        with _LoopConf(e.sparkSession, n_ce <= BROADCAST_EDGE_ROWS):
+        both = e.select(F.col("src").alias("a"), F.col("dst").alias("t"), F.lit(True).alias("fwd")).union(
+            e.select(F.col("dst").alias("a"), F.col("src").alias("t"), F.lit(False).alias("fwd")))
+        bb = _maybe_broadcast(both, 2 * n_edges)
+        with _LoopConf(e.sparkSession, 2 * n_edges <= BROADCAST_EDGE_ROWS):
             for _ in range(max_iter):
                 nxt = state
                 for _ in range(UNROLL):
-                    nxt = _backward_step(nxt, ceb)
-                state, _, more = steps(nxt, "frontier")
-                if not more:
+                    nxt = _label_step(nxt, bb)
+                state, _, changed = steps(nxt, "changed")
+                if not changed:
                     break
             else:
-                raise IterationLimit("backward search did not converge")
-        state, _, _ = steps(state, durable=True)
-        comp = state.filter("reached").select("node", F.col("colour").alias("component"))
+                raise IterationLimit("label propagation did not converge")
+        state, _, _ = steps(state.select("node", "f", "b"), durable=True)
+        comp = state.filter(F.col("f") == F.col("b")).select("node", F.col("f").alias("component"))
         sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
         part, _, _ = steps(comp.join(sizes, "component", "left_semi").select("node", "component"), durable=True)
         found.append(part)
-        done = state.filter("reached").select("node")
-        rest = (ce.select("src", "dst")
-                .join(done.withColumnRenamed("node", "src"), "src", "left_anti")
-                .join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        # keep edges inside one (f, b) class whose ends are both unresolved
+        open_ = state.filter(F.col("f") != F.col("b"))
+        rest = (e.join(open_.select(F.col("node").alias("src"), F.col("f").alias("f1"), F.col("b").alias("b1")),
+                       "src")
+                .join(open_.select(F.col("node").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2")),
+                      "dst")
+                .filter((F.col("f1") == F.col("f2")) & (F.col("b1") == F.col("b2")))
+                .select("src", "dst"))
         e, n_edges = _trim(rest, steps)
     else:
         raise IterationLimit("component search did not converge")

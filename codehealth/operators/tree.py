@@ -43,6 +43,14 @@ def contributions(stats: DataFrame | None, issues: DataFrame | None) -> DataFram
     return out.fillna(0, subset=[*STAT_KEYS, *ISSUE_KEYS, "stat_rows"])
 
 
+def contributions_wide(rows: DataFrame) -> DataFrame:
+    """U1 when each row already carries stats and issue counts of one file:
+    one pass over the source instead of a union of two projections of it."""
+    return rows.select(*SNAP, "path", *[F.col(k).cast("bigint").alias(k) for k in STAT_KEYS],
+                       *[F.greatest(F.col(k).cast("bigint"), F.lit(0)).alias(k) for k in ISSUE_KEYS],
+                       F.lit(1).alias("stat_rows"))
+
+
 def issues_long(df: DataFrame) -> DataFrame:
     """Wide per-file issue columns (unused, duplication, cycles) -> long rows."""
     stacked = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("bigint").alias("count"))

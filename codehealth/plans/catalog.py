@@ -92,8 +92,7 @@ from codehealth.operators import rankings, health  # noqa: E402
 
 def history_tree(spark, d):
     fh = td.file_history(spark, d)
-    contrib = tree_ops.contributions(fh.select("repo", "snapshot_id", "path", "lines", "code", "complexity"),
-                                     tree_ops.issues_long(fh))
+    contrib = tree_ops.contributions_wide(fh)
     return tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
 
 
@@ -136,8 +135,7 @@ def q_t8(spark, d):
 def q_a14(spark, d):
     fh = td.file_history(spark, d)
     metrics = td.snapshot_metrics(fh)
-    contrib = tree_ops.contributions(fh.select("repo", "snapshot_id", "path", "lines", "code", "complexity"),
-                                     tree_ops.issues_long(fh))
+    contrib = tree_ops.contributions_wide(fh)
     tree = tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
     return health.health_scores(metrics, health.tree_file_counts(tree))
 
@@ -480,8 +478,7 @@ def q_j4(spark, d):
 def q_s14(spark, d):
     fh = td.file_history(spark, d)
     metrics = td.snapshot_metrics(fh)
-    contrib = tree_ops.contributions(fh.select("repo", "snapshot_id", "path", "lines", "code", "complexity"),
-                                     tree_ops.issues_long(fh))
+    contrib = tree_ops.contributions_wide(fh)
     tree = tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
     trend = metrics.select("repo", "snapshot_id", F.col("total_lines").alias("lines"),
                            F.col("total_complexity").alias("complexity"), F.col("total_issues").alias("unused"),
