@@ -36,27 +36,35 @@ def _maybe_broadcast(e: DataFrame, rows: int) -> DataFrame:
 
 
 class _LoopConf:
-    """Adaptive execution off while the edge side is broadcast.
+    """Loop settings while the edge side is broadcast.
 
     With a broadcast edge table each step is one map-side join and one
     aggregation; there is no shuffle join for AQE to re-plan or split, and
-    its per-stage re-planning would dominate the step. When the edges are too
-    large to broadcast, AQE stays on (skewed hub nodes in the shuffle join
-    are split by its skew-join handling).
+    its per-stage re-planning would dominate the step, so AQE is switched
+    off for the loop and the shuffle width is sized from the measured row
+    count (about 200k rows per partition, never above the session setting).
+    When the edges are too large to broadcast nothing is changed: AQE stays on
+    and splits skewed hub nodes in the shuffle join.
     """
 
-    def __init__(self, spark, broadcast: bool):
-        self.spark, self.broadcast, self.saved = spark, broadcast, None
+    ROWS_PER_PARTITION = 200_000
+
+    def __init__(self, spark, broadcast: bool, rows: int = 0):
+        self.spark, self.broadcast, self.rows, self.saved = spark, broadcast, rows, None
 
     def __enter__(self):
         if self.broadcast:
-            self.saved = self.spark.conf.get("spark.sql.adaptive.enabled")
-            self.spark.conf.set("spark.sql.adaptive.enabled", "false")
+            conf = self.spark.conf
+            self.saved = (conf.get("spark.sql.adaptive.enabled"), conf.get("spark.sql.shuffle.partitions"))
+            width = min(int(self.saved[1]), max(2, -(-self.rows // self.ROWS_PER_PARTITION)))
+            conf.set("spark.sql.adaptive.enabled", "false")
+            conf.set("spark.sql.shuffle.partitions", str(width))
         return self
 
     def __exit__(self, *exc):
         if self.saved is not None:
-            self.spark.conf.set("spark.sql.adaptive.enabled", self.saved)
+            self.spark.conf.set("spark.sql.adaptive.enabled", self.saved[0])
+            self.spark.conf.set("spark.sql.shuffle.partitions", self.saved[1])
         return False
 
 
@@ -205,35 +213,6 @@ def _trim(edges: DataFrame, steps: _Steps, passes: int = 3) -> DataFrame:
     return e, n
 
 
-def _colour_step(colour: DataFrame, e: DataFrame) -> DataFrame:
-    """Nodes whose colour changed push it along their out-edges; every node
-    keeps the maximum it has seen."""
-    j = colour.join(e, colour.node == e.src, "left")
-    recs = F.array(
-        F.struct(F.col("node"), F.col("colour"), F.lit(True).alias("own")),
-        F.when(F.col("changed") & F.col("dst").isNotNull(),
-               F.struct(F.col("dst").alias("node"), F.col("colour"), F.lit(False).alias("own"))))
-    x = j.select(F.explode(recs).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
-    agg = x.groupBy("node").agg(F.max("colour").alias("colour"),
-                               F.max(F.when(F.col("own"), F.col("colour"))).alias("old"))
-    return agg.select("node", "colour", (F.col("colour") > F.col("old")).alias("changed"))
-
-
-def _backward_step(state: DataFrame, ce: DataFrame) -> DataFrame:
-    """Frontier nodes mark their same-colour predecessors as reached."""
-    j = state.join(ce, (state.node == ce.dst) & (state.colour == ce.colour) & state.frontier, "left")
-    recs = F.array(
-        F.struct(F.col("node"), state.colour.alias("colour"), F.col("reached"), F.lit(False).alias("hit")),
-        F.when(F.col("src").isNotNull(),
-               F.struct(F.col("src").alias("node"), state.colour.alias("colour"), F.lit(False).alias("reached"),
-                        F.lit(True).alias("hit"))))
-    x = j.select(F.explode(recs).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
-    agg = x.groupBy("node").agg(F.max("colour").alias("colour"), F.max("reached").alias("was"),
-                               F.max("hit").alias("hit"))
-    return agg.select("node", "colour", (F.col("was") | F.col("hit")).alias("reached"),
-                      (~F.col("was") & F.col("hit")).alias("frontier"))
-
-
 def _label_step(state: DataFrame, both: DataFrame) -> DataFrame:
     """One step of simultaneous forward / backward max-label propagation.
 
@@ -285,7 +264,7 @@ def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
         both = e.select(F.col("src").alias("a"), F.col("dst").alias("t"), F.lit(True).alias("fwd")).union(
             e.select(F.col("dst").alias("a"), F.col("src").alias("t"), F.lit(False).alias("fwd")))
         bb = _maybe_broadcast(both, 2 * n_edges)
-        with _LoopConf(e.sparkSession, 2 * n_edges <= BROADCAST_EDGE_ROWS):
+        with _LoopConf(e.sparkSession, 2 * n_edges <= BROADCAST_EDGE_ROWS, n_nodes):
             for _ in range(max_iter):
                 nxt = state
                 for _ in range(UNROLL):
@@ -378,7 +357,7 @@ def reachable(edges: DataFrame, starts: DataFrame, max_iter: int = 10_000) -> Da
     e, n_edges, _ = steps(edges.select("src", "dst").distinct(), durable=True)
     eb = _maybe_broadcast(e, n_edges)
     state, _, _ = steps(starts.select("node").distinct().withColumn("frontier", F.lit(True)))
-    with _LoopConf(e.sparkSession, n_edges <= BROADCAST_EDGE_ROWS):
+    with _LoopConf(e.sparkSession, n_edges <= BROADCAST_EDGE_ROWS, n_edges):
         for _ in range(max_iter):
             nxt = state
             for _ in range(UNROLL):
