@@ -391,3 +391,25 @@ def more_unstable_violations(edges_p: DataFrame, by_file: DataFrame) -> DataFram
             .join(i.withColumnRenamed("node", "dst").withColumnRenamed("instability", "dst_i"), "dst")
             .filter(F.col("dst_i") > F.col("src_i"))
             .select("src_path", "dst_path", "src_i", "dst_i"))
+
+
+# ---- many snapshots at once ------------------------------------------------------------------
+def index_nodes(edges_by_path: DataFrame, keys=("repo", "snapshot_id")) -> tuple[DataFrame, DataFrame]:
+    """Give every (snapshot, path) a unique BIGINT id so the graphs of many
+    repositories and snapshots form one disjoint union that the iterative
+    operators process in the same steps.
+
+    ``edges_by_path``: (*keys, src_path, dst_path). Returns (edges(src, dst),
+    nodes(node, *keys, path)). Ids come from ``monotonically_increasing_id``
+    (unique without a shuffle, no hash collisions); the node table is
+    checkpointed because such ids are not stable if recomputed.
+    """
+    k = list(keys)
+    paths = (edges_by_path.select(*k, F.col("src_path").alias("path"))
+             .union(edges_by_path.select(*k, F.col("dst_path").alias("path"))).distinct())
+    nodes = _ckpt(paths.withColumn("node", F.monotonically_increasing_id()))
+    e = (edges_by_path
+         .join(nodes.withColumnRenamed("path", "src_path").withColumnRenamed("node", "src"), [*k, "src_path"])
+         .join(nodes.withColumnRenamed("path", "dst_path").withColumnRenamed("node", "dst"), [*k, "dst_path"])
+         .select("src", "dst"))
+    return e, nodes

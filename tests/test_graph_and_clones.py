@@ -105,3 +105,16 @@ def test_clone_ranges_are_equal_text(spark):
         spark.createDataFrame([("r", "s", "f", "f")], "repo string, snapshot_id string, first_file string, "
                                                         "second_file string")).collect()}
     assert counts == {"f": 2}  # a self-clone counts twice
+
+
+def test_many_snapshots_in_one_pass(spark):
+    rows = [("r", "s1", "a", "b"), ("r", "s1", "b", "a"), ("r", "s1", "b", "c"),
+            ("r", "s2", "a", "b"), ("r", "s2", "b", "c"), ("r", "s2", "c", "a")]
+    df = spark.createDataFrame(rows, "repo string, snapshot_id string, src_path string, dst_path string")
+    e, nodes = g.index_nodes(df)
+    circ = g.circular_edges(e)
+    named = (circ.join(nodes.select(F.col("node").alias("src"), "snapshot_id", F.col("path").alias("s")), "src")
+             .join(nodes.select(F.col("node").alias("dst"), F.col("path").alias("d")), "dst"))
+    got = sorted((r.snapshot_id, r.s, r.d) for r in named.collect())
+    assert got == [("s1", "a", "b"), ("s1", "b", "a"),
+                   ("s2", "a", "b"), ("s2", "b", "c"), ("s2", "c", "a")]
