@@ -14,6 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from codehealth.plans import materialize  # noqa: E402
 from codehealth.plans.catalog import QUERIES  # noqa: E402
 from codehealth.session import checkpoint_dir, get_spark  # noqa: E402
 
@@ -31,6 +32,17 @@ HEADLINE = [
 ]
 
 
+def _shuffle_written(spark) -> int:
+    """Total shuffle bytes written so far (executor summaries of the status store)."""
+    sc = spark.sparkContext._jsc.sc()
+    try:
+        sc.listenerBus().waitUntilEmpty()
+    except Exception:  # noqa: BLE001 - best effort; counters may lag slightly
+        time.sleep(0.5)
+    ex = sc.statusStore().executorList(False)
+    return sum(ex.apply(i).totalShuffleWrite() for i in range(ex.size()))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -39,14 +51,17 @@ def main() -> None:
     checkpoint_dir(spark)
     # warm-up: JIT and file listing, not timed
     QUERIES["a1_overview_totals"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, shuffled = {}, {}
     for label, name in HEADLINE:
+        materialize.clear()  # each timed query pays for every table it needs
+        before = _shuffle_written(spark)
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[label] = round(time.perf_counter() - t0, 3)
+        shuffled[label] = _shuffle_written(spark) - before
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({"metric": "headline_total_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf}))
+                      "unit": "sec", "queries": times, "sf": sf, "shuffle_write_bytes": shuffled}))
     spark.stop()
 
 

@@ -91,9 +91,13 @@ from codehealth.operators import rankings, health  # noqa: E402
 
 
 def history_tree(spark, d):
-    fh = td.file_history(spark, d)
-    contrib = tree_ops.contributions_wide(fh)
-    return tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
+    """The monthly directory tree; materialised once per session because
+    several reports read it twice (rows and per-snapshot maxima)."""
+    from codehealth.plans.materialize import materialized
+
+    def build():
+        return tree_ops.build_tree(tree_ops.contributions_wide(td.file_history(spark, d)), root=td.SOURCE_ROOT)
+    return materialized(spark, f"history_tree:{d}", build)
 
 
 @query("a10_tree_rollup")
@@ -133,11 +137,8 @@ def q_t8(spark, d):
 
 @query("a14_health_trend")
 def q_a14(spark, d):
-    fh = td.file_history(spark, d)
-    metrics = td.snapshot_metrics(fh)
-    contrib = tree_ops.contributions_wide(fh)
-    tree = tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
-    return health.health_scores(metrics, health.tree_file_counts(tree))
+    tree = history_tree(spark, d)
+    return health.health_scores(td.snapshot_metrics_from_tree(tree), health.tree_file_counts(tree))
 
 
 # ---- history over daily check results ---------------------------------------------
@@ -476,10 +477,8 @@ def q_j4(spark, d):
 
 @query("s14_dashboard_rows")
 def q_s14(spark, d):
-    fh = td.file_history(spark, d)
-    metrics = td.snapshot_metrics(fh)
-    contrib = tree_ops.contributions_wide(fh)
-    tree = tree_ops.build_tree(contrib, root=td.SOURCE_ROOT)
+    tree = history_tree(spark, d)
+    metrics = td.snapshot_metrics_from_tree(tree)
     trend = metrics.select("repo", "snapshot_id", F.col("total_lines").alias("lines"),
                            F.col("total_complexity").alias("complexity"), F.col("total_issues").alias("unused"),
                            F.col("duplicated_lines_percent").alias("duplication"),

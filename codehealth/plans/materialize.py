@@ -25,3 +25,8 @@ def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame])
         checkpoint_dir(spark)
         _TABLES[slot] = build().checkpoint(eager=True)
     return _TABLES[slot]
+
+
+def clear() -> None:
+    """Forget every shared table (the next query recomputes what it needs)."""
+    _TABLES.clear()

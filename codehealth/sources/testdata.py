@@ -107,6 +107,21 @@ def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def snapshot_metrics_from_tree(tree: DataFrame) -> DataFrame:
+    """The same per-snapshot metrics read off the root node of the roll-up
+    (its sums are the snapshot totals), so no second pass over the history."""
+    root = tree.filter(F.col("path") == SOURCE_ROOT)
+    out = root.select(
+        "repo", "snapshot_id",
+        F.to_timestamp(F.concat(F.col("snapshot_id"), F.lit("-01 00:00:00"))).alias("ts"),
+        F.col("files").alias("total_files"), F.col("lines").alias("total_lines"),
+        F.col("code").alias("total_code"), F.col("complexity").alias("total_complexity"),
+        F.col("unused").alias("total_issues"), F.col("duplication").alias("duplicated_lines"),
+        F.col("cycles").alias("cycle_count"))
+    pct_x100 = F.expr("(10000 * duplicated_lines + div(total_lines, 2)) div greatest(total_lines, 1)")
+    return out.withColumn("duplicated_lines_percent", pct_x100 / F.lit(100.0))
+
+
 def snapshot_metrics(history: DataFrame) -> DataFrame:
     """Per-snapshot metric values of the four metric kinds.
 
