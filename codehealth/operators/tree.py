@@ -105,18 +105,30 @@ def attach_dependency(tree: DataFrame, deps: DataFrame, root: str = "src") -> Da
     return tree.join(d, on=[*SNAP, "path"], how="left")
 
 
+# Characters of a child's name that form its ordering bucket in ``child_order``.
+CHILD_BUCKET_CHARS = 2
+
+
 def child_order(tree: DataFrame) -> DataFrame:
     """Ordered children of every directory: directories first, then path.
 
-    Returned as ranked rows (parent, child, position) rather than an array per
-    directory, so a directory with millions of children is a sorted window
-    partition (spillable), never one in-memory array.
+    A directory may hold a third of all files, so children are not ranked in
+    one window per directory. They are ranked inside order-preserving buckets
+    (kind, then the parent path plus the first characters of the name: every
+    path of an earlier bucket sorts before every path of a later one), and
+    each bucket's offset is a running sum over the small per-bucket count
+    table.
     """
-    children = tree.filter(F.col("parent").isNotNull())
-    w = Window.partitionBy(*SNAP, "parent").orderBy(
-        F.when(F.col("kind") == "dir", 0).otherwise(1), F.col("path"))
-    return children.select(*SNAP, "parent", F.col("path").alias("child"), "kind",
-                           F.row_number().over(w).cast("bigint").alias("position"))
+    children = (tree.filter(F.col("parent").isNotNull())
+                .withColumn("ko", F.when(F.col("kind") == "dir", 0).otherwise(1))
+                .withColumn("bucket", F.expr(f"substring(path, 1, length(parent) + 1 + {CHILD_BUCKET_CHARS})")))
+    key = [*SNAP, "parent", "ko", "bucket"]
+    local = children.withColumn("local", F.row_number().over(Window.partitionBy(*key).orderBy("path")))
+    sizes = children.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*SNAP, "parent").orderBy("ko", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return local.join(offsets, key).select(*SNAP, "parent", F.col("path").alias("child"), "kind",
+                                            (F.col("offset") + F.col("local")).cast("bigint").alias("position"))
 
 
 def node_counts(tree: DataFrame, root: str = "src") -> DataFrame:
