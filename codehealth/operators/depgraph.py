@@ -197,19 +197,23 @@ def _trim(edges: DataFrame, steps: _Steps, passes: int = 3) -> DataFrame:
     singleton components and cannot lie on a cycle; trimming only shrinks the
     graph, so it stops after a few passes. The result is checkpointed."""
     e, n, _ = steps(edges)
-    for _ in range(passes):
-        ends = e.select(F.explode(F.array(
-            F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
-            F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
-        live = (ends.groupBy("x.node").agg(F.max("x.o").alias("o"), F.max("x.i").alias("i"))
-                .filter("o = 1 AND i = 1").select("node"))
-        kept = (e.join(live.withColumnRenamed("node", "src"), "src", "left_semi")
-                .join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-        e, k, _ = steps(kept)
-        if k == n:
-            break
-        n = k
-    e, n, _ = steps(e, durable=True)
+    small = n <= BROADCAST_EDGE_ROWS
+    with _LoopConf(e.sparkSession, small, n):
+        for _ in range(passes):
+            ends = e.select(F.explode(F.array(
+                F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+                F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+            live = (ends.groupBy("x.node").agg(F.max("x.o").alias("o"), F.max("x.i").alias("i"))
+                    .filter("o = 1 AND i = 1").select("node"))
+            # the survivors are at most the nodes of an edge table that is itself broadcast-sized
+            live = F.broadcast(live) if small else live
+            kept = (e.join(live.withColumnRenamed("node", "src"), "src", "left_semi")
+                    .join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+            e, k, _ = steps(kept)
+            if k == n:
+                break
+            n = k
+        e, n, _ = steps(e, durable=True)
     return e, n
 
 
