@@ -32,7 +32,12 @@ COCOMO_A = 2.4
 COCOMO_B = 1.05
 # -----------------------------------------------------------------------------
 
-_KEYWORD_RX = "(?<!" + WORD_CHAR + ")(" + "|".join(BRANCH_KEYWORDS) + ")(?!" + WORD_CHAR + ")"
+# One scan counts both: keywords are letters and operators are symbols, so
+# their matches never overlap. The leading one-character lookahead rejects
+# most positions before the (costlier) Unicode word-boundary lookbehind runs.
+_FIRST_CHARS = "".join(sorted({k[0] for k in BRANCH_KEYWORDS})) + "&|=!"
+_BRANCH_RX = ("(?=[" + _FIRST_CHARS + "])(?:(?<!" + WORD_CHAR + ")(?:" + "|".join(BRANCH_KEYWORDS) + ")(?!"
+              + WORD_CHAR + ")|" + BRANCH_OPERATORS + ")")
 
 
 def line_stats(files: DataFrame) -> DataFrame:
@@ -40,8 +45,7 @@ def line_stats(files: DataFrame) -> DataFrame:
     lines = F.split(F.col("content"), "\n", -1)
     blanks = F.size(F.filter(lines, lambda x: x.rlike(BLANK_LINE)))
     comments = F.size(F.filter(lines, lambda x: ~x.rlike(BLANK_LINE) & x.rlike(COMMENT_LINE)))
-    complexity = (F.regexp_count(F.col("content"), F.lit(_KEYWORD_RX))
-                  + F.regexp_count(F.col("content"), F.lit(BRANCH_OPERATORS)))
+    complexity = F.regexp_count(F.col("content"), F.lit(_BRANCH_RX))
     out = files.select(*SNAP, "path", "language",
                        F.size(lines).cast("bigint").alias("lines"),
                        blanks.cast("bigint").alias("blanks"),
