@@ -10,10 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codehealth.params import StatsParams
-from codehealth.sources import testdata as td
+from codehealth.functions import formatting as fmt
+from codehealth.operators import churn as ch
+from codehealth.operators import clones as cl
 from codehealth.operators import corpus
+from codehealth.operators import depgraph as g
+from codehealth.operators import health, rankings
+from codehealth.operators import history as hist
+from codehealth.operators import tree as tree_ops
+from codehealth.operators import unused as un
+from codehealth.params import CloneParams, StatsParams
+from codehealth.plans import dashboard as dash
+from codehealth.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,8 +96,6 @@ def q_p2(spark, d):
 
 
 # ---- tree, rankings and health over the monthly file history --------------------
-from codehealth.operators import tree as tree_ops  # noqa: E402
-from codehealth.operators import rankings, health  # noqa: E402
 
 
 def history_tree(spark, d):
@@ -142,9 +150,6 @@ def q_a14(spark, d):
 
 
 # ---- history over daily check results ---------------------------------------------
-from codehealth.operators import history as hist  # noqa: E402
-from codehealth.functions import formatting as fmt  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 
 def _checks(spark, d):
@@ -219,7 +224,6 @@ def q_p9(spark, d):
 
 
 # ---- dependency graph over part sequences --------------------------------------------
-from codehealth.operators import depgraph as g  # noqa: E402
 
 
 def _graph(spark, d):
@@ -342,8 +346,6 @@ def q_g9(spark, d):
 
 
 # ---- unused code -----------------------------------------------------------------------
-from codehealth.operators import unused as un  # noqa: E402
-from codehealth.operators import churn as ch  # noqa: E402
 
 
 def _unused_parts(spark, d):
@@ -432,8 +434,6 @@ def q_c18r(spark, d):
 
 
 # ---- clones over the corpus ---------------------------------------------------------------
-from codehealth.operators import clones as cl  # noqa: E402
-from codehealth.params import CloneParams  # noqa: E402
 
 
 def _clones(spark, d, **kw):
@@ -467,7 +467,6 @@ def q_a4(spark, d):
 
 
 # ---- details and dashboard rows ------------------------------------------------------------
-from codehealth.plans import dashboard as dash  # noqa: E402
 
 
 @query("j4_unused_items")

@@ -5,7 +5,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from codehealth.operators import depgraph as g
 from codehealth.operators import health, history, rankings
 from codehealth.operators import tree as tr
 from codehealth.sources import reports as rp
