@@ -91,8 +91,12 @@ def clone_pairs(files: DataFrame, params: CloneParams = CloneParams()) -> DataFr
         f = f.filter(n_lines <= params.max_lines)
     if params.max_size:
         f = f.filter(F.octet_length("content") <= params.max_size)
+    if params.ignore:
+        from codehealth.functions.paths import exclude_globs
+        f = exclude_globs(f, "path", params.ignore)
     if params.ignore_pattern:
-        f = f.filter(~F.col("path").rlike(params.ignore_pattern))
+        # the pattern excludes content (e.g. license headers), like the detector's --ignore-pattern
+        f = f.filter(~F.col("content").rlike(params.ignore_pattern))
     sh = shingles(normalised_lines(f, params.mode), k)
     key = [*SNAP, "h1", "h2"]
     firsts = (sh.groupBy(*key)

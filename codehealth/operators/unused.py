@@ -91,8 +91,15 @@ def issue_table(unused_files: DataFrame | None = None, exports: DataFrame | None
     return out
 
 
-def filter_issues(issues: DataFrame, include=(), exclude=(), workspace: str | None = None) -> DataFrame:
-    """P5: include / exclude kinds and restrict to a workspace prefix."""
+# Files that are not production code (tests, stories, fixtures).
+NON_PRODUCTION_GLOBS = ("**/*.test.*", "**/*.spec.*", "**/__tests__/", "**/test/", "**/*.stories.*")
+
+
+def filter_issues(issues: DataFrame, include=(), exclude=(), workspace: str | None = None,
+                  tags_include=(), tags_exclude=(), production: bool = False) -> DataFrame:
+    """P5: include / exclude kinds, workspace prefix, tag filters (when the
+    issue table carries a ``tags`` array) and production-only mode (drops
+    non-production files and dev dependencies)."""
     out = issues
     if include:
         out = out.filter(F.col("kind").isin(list(include)))
@@ -100,6 +107,14 @@ def filter_issues(issues: DataFrame, include=(), exclude=(), workspace: str | No
         out = out.filter(~F.col("kind").isin(list(exclude)))
     if workspace:
         out = out.filter(F.col("file").startswith(workspace.rstrip("/") + "/"))
+    if (tags_include or tags_exclude) and "tags" in out.columns:
+        for t in tags_include:
+            out = out.filter(F.array_contains("tags", t))
+        for t in tags_exclude:
+            out = out.filter(~F.coalesce(F.array_contains("tags", t), F.lit(False)))
+    if production:
+        from codehealth.functions.paths import exclude_globs
+        out = exclude_globs(out, "file", NON_PRODUCTION_GLOBS).filter(F.col("kind") != "devDependencies")
     return out
 
 

@@ -71,3 +71,19 @@ def write_tables(tables: dict[str, DataFrame], base: str, partition_by=("repo",)
         if keys:
             w = w.partitionBy(*keys)
         w.parquet(f"{base.rstrip('/')}/{name}")
+
+
+def report_tables(status: DataFrame, checks: DataFrame | None = None, instability: DataFrame | None = None,
+                  top: int = 25) -> dict[str, DataFrame]:
+    """The tables of the run report: check summary, status counts,
+    instability summary and the two instability rankings."""
+    from codehealth.operators import depgraph
+    out = {"status_counts": status}
+    if checks is not None:
+        out["check_summary"] = checks.select(*[c for c in ("repo", "snapshot_id", "check_idx", "name", "status",
+                                                           "summary", "duration_ms") if c in checks.columns])
+    if instability is not None:
+        out["instability_summary"] = depgraph.instability_summary(instability)
+        out["highly_unstable"] = depgraph.highly_unstable(instability, top)
+        out["stable_depended_on"] = depgraph.stable_depended_on(instability, top)
+    return out

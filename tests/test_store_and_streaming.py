@@ -120,3 +120,26 @@ def test_results_json_sink(spark, tmp_dir):
     dashboard.write_results_json(df, path)
     back = spark.read.json(path).first()
     assert (back.name, back.status, back.duration_ms) == ("stats", "pass", 5)
+
+
+def test_issue_filters_gates_and_report_tables(spark, tmp_dir):
+    from codehealth.operators import unused as un
+    from codehealth.operators import clones as cl
+    from codehealth.functions import formatting as fmt
+    issues = spark.createDataFrame([
+        ("src/a.ts", "exports", "x", ["public"]), ("src/a.test.ts", "exports", "y", []),
+        ("package.json", "devDependencies", "jest", []), ("src/b.ts", "types", "T", ["internal"])],
+        "file string, kind string, name string, tags array<string>")
+    prod = {r.name for r in un.filter_issues(issues, production=True).collect()}
+    assert prod == {"x", "T"}
+    assert {r.name for r in un.filter_issues(issues, tags_exclude=("internal",)).collect()} == {"x", "y", "jest"}
+    m = un.unused_metrics(issues)
+    assert un.max_issues_gate(m, 3).first().exceeds_max_issues is True
+    totals = spark.createDataFrame([("r", "s", 2.5)], "repo string, snapshot_id string, duplicated_lines_percent double")
+    assert cl.threshold_gate(totals, 2.0).first().exceeds_threshold is True
+    assert spark.range(1).select(fmt.strip_ansi(F.lit("\x1b[31mred\x1b[0m")).alias("s")).first().s == "red"
+    status = spark.createDataFrame([("r", "s", 1, 0, 0, 0)], "repo string, snapshot_id string, pass long, "
+                                                             "warn long, fail long, skip long")
+    tables = dashboard.report_tables(status)
+    dashboard.write_tables(tables, os.path.join(tmp_dir, "report"))
+    assert spark.read.parquet(os.path.join(tmp_dir, "report", "status_counts")).count() == 1
