@@ -23,6 +23,7 @@ from codehealth.operators import tree as tree_ops
 from codehealth.operators import unused as un
 from codehealth.params import CloneParams, StatsParams
 from codehealth.plans import dashboard as dash
+from codehealth.sources import reports as rp
 from codehealth.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,3 +487,56 @@ def q_s14(spark, d):
                                health=health.health_scores(metrics, health.tree_file_counts(tree)))
     return rows.select("repo", "snapshot_id", "timestamp", "label", "lines", "complexity", "unused",
                        "duplication", "cycles", "node_count", "root_id", "overall", "trend")
+
+
+# ---- report round trips: analyzer-format JSON derived from the tables, read back ----------
+# One small document per file / issue / clone / edge, so no document grows with a hot key.
+
+
+def _as_reports(df, doc):
+    return df.select("repo", "snapshot_id", F.to_json(doc).alias("raw"))
+
+
+@query("s6_report_file_stats")
+def q_s6(spark, d):
+    st = _stats(spark, d)
+    doc = F.array(F.struct(F.col("language").alias("Name"), F.array(F.struct(
+        F.col("path").alias("Location"), F.col("lines").alias("Lines"), F.col("code").alias("Code"),
+        F.col("complexity").alias("Complexity"))).alias("Files")))
+    return rp.scc_files(_as_reports(st, doc)).select("repo", "snapshot_id", "path", "language", "lines",
+                                                     "code", "complexity")
+
+
+@query("s7_unused_report_metrics")
+def q_s7(spark, d):
+    iss = _issues(spark, d).withColumn("repo", F.lit("r")).withColumn("snapshot_id", F.lit("s"))
+
+    def inner(obj):  # '{"k":v}' -> '"k":v'
+        return F.expr(f"substring({obj}, 2, length({obj}) - 2)")
+    iss = (iss.withColumn("file_json", F.to_json(F.struct(F.col("file"))))
+              .withColumn("kind_json", F.to_json(F.create_map(F.col("kind"), F.array(F.struct(F.col("name")))))))
+    issue_doc = F.concat(F.lit('{"issues":[{'), inner("file_json"), F.lit(","), inner("kind_json"), F.lit("}]}"))
+    raw = (F.when(F.col("kind") == "files", F.to_json(F.struct(F.array(F.col("file")).alias("files"))))
+           .otherwise(issue_doc))
+    reports = iss.select("repo", "snapshot_id", raw.alias("raw"))
+    return rp.unused_report_metrics(reports).select("unused_files", "unused_exports", "unused_types",
+                                                    "unused_dependencies", "total_issues")
+
+
+@query("s8_clone_report_counts")
+def q_s8(spark, d):
+    c = _clones(spark, d)
+    side = lambda p, a, b: F.struct(F.col(p).alias("name"), F.struct(F.col(a).alias("line")).alias("startLoc"),
+                                    F.struct(F.col(b).alias("line")).alias("endLoc"))
+    doc = F.struct(F.array(F.struct(side("first_file", "first_start", "first_end").alias("firstFile"),
+                                    side("second_file", "second_start", "second_end").alias("secondFile"),
+                                    F.col("lines"))).alias("duplicates"))
+    return rp.clone_report_counts_by_file(_as_reports(c, doc))
+
+
+@query("s9_graph_report_cycle_counts")
+def q_s9(spark, d):
+    e = _circular_paths(spark, d).withColumn("repo", F.lit("r")).withColumn("snapshot_id", F.lit("s"))
+    doc = F.struct(F.array(F.struct(F.col("src_path").alias("source"), F.array(F.struct(
+        F.col("dst_path").alias("resolved"), F.lit(True).alias("circular"))).alias("dependencies"))).alias("modules"))
+    return rp.graph_cycle_counts_by_file(_as_reports(e, doc)).select("path", "cycles")

@@ -729,3 +729,11 @@ SELECT h.repo, h.snapshot_id, """ + ISO.format("h.ts") + """ AS timestamp,
 FROM (""" + ORACLE["a14_health_trend"] + """) h
 JOIN (""" + with_(SNAPSHOT_METRICS) + "SELECT * FROM sm" + """) m USING (repo, snapshot_id)
 JOIN (""" + ORACLE["a12_node_counts"] + """) n USING (repo, snapshot_id)""")
+
+
+# ---- report round trips (same numbers as the direct queries) -------------------------------------
+register("s6_report_file_stats", with_(LINE_STATS) + """
+SELECT repo, snapshot_id, path, language, lines, code, complexity FROM st""")
+register("s7_unused_report_metrics", ORACLE["a3_unused_metrics"])
+register("s8_clone_report_counts", ORACLE["a8_clone_counts"])
+register("s9_graph_report_cycle_counts", ORACLE["a9_cycle_counts"])
