@@ -299,14 +299,12 @@ def q_a5(spark, d):
 
 @query("g7_reachable")
 def q_g7(spark, d):
-    e, _ = _graph(spark, d)
-    return g.reachable(e, td.entries(spark, d))
+    return _reached(spark, d)
 
 
 @query("c10_unused_files")
 def q_c10(spark, d):
-    e, m = _graph(spark, d)
-    return g.unused_files(m, g.reachable(e, td.entries(spark, d))).select("node", "path")
+    return g.unused_files(td.modules(spark, d), _reached(spark, d)).select("node", "path")
 
 
 @query("g3_scope")
@@ -360,10 +358,15 @@ def _unused_parts(spark, d):
     return ux, dx, ud, ul, ur
 
 
+def _reached(spark, d):
+    from codehealth.plans.materialize import materialized
+    return materialized(spark, f"reachable:{d}",
+                        lambda: g.reachable(td.dep_edges(spark, d), td.entries(spark, d)))
+
+
 def _issues(spark, d):
     ux, dx, ud, ul, ur = _unused_parts(spark, d)
-    e, m = _graph(spark, d)
-    uf = g.unused_files(m, g.reachable(e, td.entries(spark, d)))
+    uf = g.unused_files(td.modules(spark, d), _reached(spark, d))
     return un.issue_table(uf, ux, dx, ud, ul, ur)
 
 
