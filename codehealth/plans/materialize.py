@@ -19,7 +19,10 @@ _TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    app = spark.sparkContext.applicationId
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect session
+        app = spark.conf.get("spark.app.id", None) or str(id(spark))
     slot = (app, key)
     if slot not in _TABLES:
         checkpoint_dir(spark)

@@ -63,7 +63,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is the shared folder named by ``spark.checkpoint.dir``.
     Only when nothing is configured (local tests) a fresh local folder is set.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
