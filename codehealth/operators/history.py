@@ -193,3 +193,22 @@ def every_nth_commits(commits: DataFrame, count: int, every: int) -> DataFrame:
     sel = avail.filter((F.col("available") >= need) & (idx > 0) & (idx % every == 0))
     return sel.select("repo", "sha", "short_sha", idx.cast("bigint").alias("idx"),
                       (F.lit(count + 1) - idx / every).cast("bigint").alias("order"))
+
+
+def previous_snapshot(runs: DataFrame, snaps: DataFrame) -> DataFrame:
+    """J2 for incoming runs: the newest stored snapshot strictly before each
+    run (``runs(repo, run_id, ts)``, ``snaps(repo, snapshot_id, ts)``).
+
+    An as-of lookup without pairing runs with snapshots: both are unioned,
+    ordered by time within the repository (a run sorts before a snapshot with
+    the same time, so only strictly older snapshots qualify), and the last
+    snapshot id seen so far is carried forward with ``last(ignorenulls)``.
+    """
+    r = runs.select("repo", "ts", F.col("run_id"), F.lit(None).cast("string").alias("snapshot_id"),
+                    F.lit(0).alias("order"))
+    s = snaps.select("repo", "ts", F.lit(None).cast(runs.schema["run_id"].dataType).alias("run_id"),
+                     F.col("snapshot_id"), F.lit(1).alias("order"))
+    w = (Window.partitionBy("repo").orderBy("ts", "order", "snapshot_id")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = r.unionByName(s).withColumn("previous_id", F.last("snapshot_id", ignorenulls=True).over(w))
+    return both.filter(F.col("order") == 0).select("repo", "run_id", "ts", "previous_id")

@@ -105,13 +105,13 @@ register("t1_top_complexity", with_(LINE_STATS) + """
 SELECT repo, snapshot_id, position, path, lines, code, complexity FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY repo, snapshot_id
                                     ORDER BY complexity DESC, lines DESC, path) AS BIGINT) AS position
-  FROM st) WHERE position <= 25""")
+  FROM st WHERE lines <= 99999) WHERE position <= 25""")
 
 register("t2_top_lines", with_(LINE_STATS) + """
 SELECT repo, snapshot_id, position, path, lines, code, complexity FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY repo, snapshot_id
                                     ORDER BY lines DESC, complexity DESC, path) AS BIGINT) AS position
-  FROM st) WHERE position <= 25""")
+  FROM st WHERE lines <= 99999) WHERE position <= 25""")
 
 register("c2_drop_duplicate_files", with_(SOURCE_FILES) + """
 SELECT repo, snapshot_id, sha256(content) AS content_hash, min(path) AS path, count(*) AS copies

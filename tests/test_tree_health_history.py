@@ -135,3 +135,12 @@ def test_snapshot_id_and_labels(spark):
     assert r.id == "2026-03-10T17-15-30.123Z_abc1234"
     assert r.label == "Tue, Mar 10th 2026"
     assert (r.c, r.n, r.d1, r.d0, r.k) == ("abc1234*", "nogit", "1.3s", "999ms", "1.2k")
+
+
+def test_previous_snapshot_as_of(spark):
+    snaps = spark.createDataFrame([("r", "a", 10), ("r", "b", 20), ("r", "c", 30), ("q", "z", 5)],
+                                  "repo string, snapshot_id string, ts long")
+    runs = spark.createDataFrame([("r", 1, 20), ("r", 2, 25), ("r", 3, 5), ("q", 4, 6)],
+                                 "repo string, run_id long, ts long")
+    got = {r.run_id: r.previous_id for r in history.previous_snapshot(runs, snaps).collect()}
+    assert got == {1: "a", 2: "b", 3: None, 4: "z"}
