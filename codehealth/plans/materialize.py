@@ -1,16 +1,22 @@
 """Derived tables shared by several queries of one session.
 
 Some queries start from the same expensive derived table (the strongly
-connected components of a dependency graph feed nine reports). Such a table
-is computed once per Spark application and input location, written with a
-reliable checkpoint (to the session's checkpoint directory, i.e. the
-cluster's shared folder), and reused by the later queries.
+connected components of a dependency graph feed nine reports, the monthly
+directory tree eight). Such a table is computed once per Spark application
+and input location and reused by the later queries.
+
+The shared tables have short lineage (the iterative graph operators already
+cut theirs with reliable checkpoints inside their loops), so they are
+persisted (memory, spilling to disk) rather than written again: a lost block
+is recomputed from a short plan. ``durable=True`` writes a reliable
+checkpoint to the session's checkpoint directory instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from codehealth.session import checkpoint_dir
@@ -18,18 +24,32 @@ from codehealth.session import checkpoint_dir
 _TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
-def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _app(spark: SparkSession) -> str:
     try:
-        app = spark.sparkContext.applicationId
+        return spark.sparkContext.applicationId
     except Exception:  # noqa: BLE001 - Spark Connect session
-        app = spark.conf.get("spark.app.id", None) or str(id(spark))
-    slot = (app, key)
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame], durable: bool = False) -> DataFrame:
+    slot = (_app(spark), key)
     if slot not in _TABLES:
-        checkpoint_dir(spark)
-        _TABLES[slot] = build().checkpoint(eager=True)
+        df = build()
+        if durable:
+            checkpoint_dir(spark)
+            df = df.checkpoint(eager=True)
+        else:
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            df.count()
+        _TABLES[slot] = df
     return _TABLES[slot]
 
 
 def clear() -> None:
     """Forget every shared table (the next query recomputes what it needs)."""
+    for df in _TABLES.values():
+        try:
+            df.unpersist()
+        except Exception:  # noqa: BLE001
+            pass
     _TABLES.clear()
