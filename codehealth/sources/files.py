@@ -7,6 +7,8 @@ other files are never read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def scan_source_files(spark: SparkSession, root: str, repo: str, snapshot_id: st
     glob = "*.{" + ",".join(extensions) + "}"
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
           .option("pathGlobFilter", glob).load(base))
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?" + base.replace(".", r"\.") + "/", "")
+    rel = F.regexp_replace(F.col("path"), r"^(file:)?" + re.escape(base) + "/", "")
     out = df.select(F.lit(repo).alias("repo"), F.lit(snapshot_id).alias("snapshot_id"), rel.alias("path"),
                     F.substring_index(rel, ".", -1).alias("language"),
                     F.decode(F.col("content"), "UTF-8").alias("content"))
