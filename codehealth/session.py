@@ -49,6 +49,8 @@ def get_spark(master: str | None = None, app: str = "codehealth",
                .config("spark.driver.memory", os.environ.get("CODEHEALTH_DRIVER_MEMORY", "16g"))
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               # delete checkpoint files of loop steps once their DataFrames are gone
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for key, value in SQL_DEFAULTS.items():
         builder = builder.config(key, value)
