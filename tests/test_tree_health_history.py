@@ -144,3 +144,23 @@ def test_previous_snapshot_as_of(spark):
                                  "repo string, run_id long, ts long")
     got = {r.run_id: r.previous_id for r in history.previous_snapshot(runs, snaps).collect()}
     assert got == {1: "a", 2: "b", 3: None, 4: "z"}
+
+
+def test_display_helpers(spark):
+    from codehealth.functions import formatting as fmt
+    df = spark.createDataFrame([(85, 0.35, 0.2, 0.1, 2_500_000, 3.0)],
+                               "score long, complexity_signal double, size_signal double, issues_signal double, "
+                               "big long, d double")
+    r = rankings.signal_flags(df).select(
+        health.score_tier(F.col("score")).alias("tier"), health.score_tier(F.col("score"), inverted=True).alias("hot"),
+        fmt.delta_class("lines", F.col("d")).alias("c_lines"), fmt.delta_class("unused", F.col("d")).alias("c_up"),
+        fmt.delta_class("unused", -F.col("d")).alias("c_down"), fmt.compact_number(F.col("big")).alias("m"),
+        "complexity_active", "size_active", "issues_active").first()
+    assert (r.tier, r.hot, r.c_lines, r.c_up, r.c_down, r.m) == ("low", "high", "neutral", "positive", "negative",
+                                                                 "2.5M")
+    assert (r.complexity_active, r.size_active, r.issues_active) == (True, False, True)
+
+
+def test_files_by_path(bundle_tree):
+    assert [r.path for r in rankings.files_by_path(bundle_tree).collect()] == [
+        "src/a.ts", "src/nested/b.ts", "src/unused.ts"]
