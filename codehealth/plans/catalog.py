@@ -449,6 +449,11 @@ def q_c5(spark, d):
     return _clones(spark, d)
 
 
+@query("c8_clones_strict")
+def q_c8(spark, d):
+    return _clones(spark, d, mode="strict")
+
+
 @query("c7_cross_folder_clones")
 def q_c7(spark, d):
     return _clones(spark, d, skip_local=True)

@@ -737,3 +737,9 @@ SELECT repo, snapshot_id, path, language, lines, code, complexity FROM st""")
 register("s7_unused_report_metrics", ORACLE["a3_unused_metrics"])
 register("s8_clone_report_counts", ORACLE["a8_clone_counts"])
 register("s9_graph_report_cycle_counts", ORACLE["a9_cycle_counts"])
+
+
+# C8 strict mode: raw lines, blank lines kept
+CLONES_STRICT = CLONES.replace("  FROM (SELECT *, regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS t FROM raw) WHERE t <> ''),", '  FROM (SELECT *, line AS t FROM raw)),')
+assert CLONES_STRICT != CLONES
+register("c8_clones_strict", with_(CLONES_STRICT) + "SELECT * FROM cl")
