@@ -454,6 +454,11 @@ def q_c8(spark, d):
     return _clones(spark, d, mode="strict")
 
 
+@query("c8_clones_weak")
+def q_c8w(spark, d):
+    return _clones(spark, d, mode="weak")
+
+
 @query("c7_cross_folder_clones")
 def q_c7(spark, d):
     return _clones(spark, d, skip_local=True)

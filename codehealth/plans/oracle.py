@@ -743,3 +743,11 @@ register("s9_graph_report_cycle_counts", ORACLE["a9_cycle_counts"])
 CLONES_STRICT = CLONES.replace("  FROM (SELECT *, regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS t FROM raw) WHERE t <> ''),", '  FROM (SELECT *, line AS t FROM raw)),')
 assert CLONES_STRICT != CLONES
 register("c8_clones_strict", with_(CLONES_STRICT) + "SELECT * FROM cl")
+
+# C8 weak mode: trimmed, blank and comment lines dropped
+CLONES_WEAK = CLONES.replace(
+    "FROM (SELECT *, regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS t FROM raw) WHERE t <> ''),",
+    "FROM (SELECT *, regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS t FROM raw)"
+    " WHERE t <> '' AND NOT regexp_matches(t, '^(//|#|/\\*|\\*|--)')),")
+assert CLONES_WEAK != CLONES
+register("c8_clones_weak", with_(CLONES_WEAK) + "SELECT * FROM cl")
