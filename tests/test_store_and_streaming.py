@@ -143,3 +143,15 @@ def test_issue_filters_gates_and_report_tables(spark, tmp_dir):
     tables = dashboard.report_tables(status)
     dashboard.write_tables(tables, os.path.join(tmp_dir, "report"))
     assert spark.read.parquet(os.path.join(tmp_dir, "report", "status_counts")).count() == 1
+
+
+def test_latest_per_repository(spark, tmp_dir):
+    for repo, hours in (("alpha", (10, 11, 12)), ("beta", (9,))):
+        for h in hours:
+            sid, doc = _summary(f"2026-03-10T{h:02d}:00:00.000Z", f"{repo[0]}{h}")
+            _write(tmp_dir, repo, sid, doc)
+    latest = {r.repo: r.git.commit for r in store.load_latest(spark, tmp_dir).collect()}
+    assert latest == {"alpha": "a12", "beta": "b9"}
+    two = store.load_summaries(spark, tmp_dir, limit=2)
+    assert sorted((r.repo, r.git.commit) for r in two.collect()) == [("alpha", "a11"), ("alpha", "a12"),
+                                                                      ("beta", "b9")]
