@@ -17,7 +17,7 @@ DEFAULT_CLONE_MODE = "mild"
 DEFAULT_CYCLE_SEVERITY = "error"
 DEFAULT_INCLUDE_ONLY = "^src"
 DEFAULT_LAYER_PATTERN = "^src/[^/]+/"
-DEFAULT_HISTORY_DIR = ".codeweather"
+DEFAULT_HISTORY_DIR = ".codehealth"
 SNAPSHOT_VERSION = 3
 # Clone-detector defaults stated in the reference's documentation.
 DEFAULT_MIN_LINES = 5
