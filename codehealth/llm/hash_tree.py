@@ -82,6 +82,6 @@ def shard(docs: DataFrame, tree: Tree, grown: Tree) -> DataFrame:
     runs = rows.groupBy("part", "shard").agg(F.count("*").alias("n"), F.min("seq").alias("first"))  # a row for each partition and shard in it
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("part", "shard", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(runs, ["part", "shard"]).select(
+    return rows.join(F.broadcast(runs), ["part", "shard"]).select(  # as many rows as partitions and shards, at most
         "doc_id", (F.col("bytes") + OVERHEAD).alias("size"), "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("base") + F.col("seq") - F.col("first")).alias("slot"), "grown_shard")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,9 @@ from codehealth.llm.common import Memo, ship_package
 #: Fixed value: the split pattern of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
+ROWS = 256  # texts that are encoded before their ids go back
+_TOKEN_BITS = 32
 _NEVER = math.inf
 
 
@@ -71,12 +73,13 @@ class PrefixBpe:
         self.suffixes = ahocorasick.Automaton()
         for s, i in vocab.items():
             if s not in self.special:
-                self.suffixes.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
+                self.suffixes.add_word(self.bytes_of[i].decode("latin-1"), i)
         self.suffixes.make_automaton()
         self.pieces = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.edges = lru_cache(maxsize=None)(self._edges)  # two entries a token at most
-        self.fits = Memo(self._compatible, 4 * MEMO_ENTRIES)
+        self.length = {i: len(b) for i, b in self.bytes_of.items()}
+        self.fits = Memo(self._compatible, 2 * MEMO_ENTRIES)
         self.piece_ids = Memo(self._encode_piece, MEMO_ENTRIES)
         self.after_blank = Memo(self._encode_after_blank, MEMO_ENTRIES)
 
@@ -87,9 +90,9 @@ class PrefixBpe:
         part, rank = self.halves[token][side], self.halves[token][2]
         return (*self.edges(part, side)[:-1], (part, rank), (token, _NEVER))
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        """No merge crosses the border of the two tokens while both are built up."""
-        left, right = self.edges(pair[0], 1), self.edges(pair[1], 0)
+    def _compatible(self, pair: int) -> bool:
+        """No merge crosses the border of the two tokens (first one in the high bits) while both are built up."""
+        left, right = self.edges(pair >> _TOKEN_BITS, 1), self.edges(pair & (1 << _TOKEN_BITS) - 1, 0)
         i = j = 0
         while True:
             (x, x_ends), (y, y_ends) = left[i], right[j]
@@ -105,25 +108,29 @@ class PrefixBpe:
 
     def _encode_piece(self, piece: str) -> bytes:
         data = piece.encode().decode("latin-1")
-        last: list[int] = [-1] * (len(data) + 1)
-        size: list[int] = [0] * (len(data) + 1)
-        fits = self.fits
-        for end, (token, length) in self.suffixes.iter(data):
-            start = end + 1 - length
-            if last[end + 1] < 0 and (start == 0 or last[start] >= 0 and fits[last[start], token]):
-                last[end + 1], size[end + 1] = token, length
-        ids, at = [], len(data)
-        while at:
+        last = [-1] * len(data)  # of each prefix, by the place where it ends
+        fits, length = self.fits, self.length
+        for end, token in self.suffixes.iter(data):
+            if last[end] < 0:
+                before = end - length[token]
+                if before < 0 or fits[last[before] << _TOKEN_BITS | token]:
+                    last[end] = token
+        ids, at = [], len(data) - 1
+        while at >= 0:
             ids.append(last[at])
-            at -= size[at]
-        return np.array(ids[::-1], dtype="<u4").tobytes()
+            at -= length[last[at]]
+        return b"".join([i.to_bytes(4, "little") for i in reversed(ids)])
 
     def _encode_chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.piece_ids.__getitem__, self.pieces.findall(chunk)))
 
     def _encode_after_blank(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # one piece
+            return self._encode_piece(" " + chunk)
         if not chunk or chunk[0].isspace():
             raise _Irregular
+        if chunk[-1] in ".," and chunk[:-1].isalpha():  # two
+            return self.after_blank[chunk[:-1]] + self.piece_ids[chunk[-1]]
         return self._encode_chunk(" " + chunk)
 
     def _encode_plain(self, text: str) -> bytes:
@@ -163,28 +170,51 @@ def _coder(spec: str) -> PrefixBpe:
     return PrefixBpe(spec)
 
 
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Batches cut small, so that what is made of one at a time is bounded."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode_column(text: Column, spec: str) -> Column:
     """Ids of a text column as binary (little-endian unsigned 32-bit integers)."""
     ship_package()
 
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(spec)
-        for batch in batches:
-            yield pd.Series([coder.encode(x) for x in batch], dtype=object)
+        for part in _parts(batches):
+            yield pa.array(map(coder.encode, part.to_pylist()), pa.binary())
     return encoded(text)
 
 
 def decode_column(ids: Column, spec: str) -> Column:
     """Text of a column of ids as made by :func:`encode_column`."""
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    ship_package()
+
+    @F.arrow_udf("string")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(spec)
-        for batch in batches:
-            yield pd.Series([coder.decode(x) for x in batch], dtype=object)
+        for part in _parts(batches):
+            yield pa.array(map(coder.decode, part.to_pylist()), pa.string())
     return decoded(ids)
 
 
+def round_trip_column(text: Column, spec: str) -> Column:
+    """Struct of ``ids`` and of their ``decoded`` text, in one pass."""
+    ship_package()
+
+    @F.arrow_udf("ids binary, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.StructArray]:
+        coder = _coder(spec)
+        for part in _parts(batches):
+            ids = [coder.encode(x) for x in part.to_pylist()]
+            texts = map(coder.decode, ids)
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["ids", "decoded"])
+    return both(text)
+
+
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -193,5 +223,5 @@ def read_spec(path: str) -> str:
 def encode_and_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (binary) and ``decoded`` (string); no shuffle, one pass."""
     spec = read_spec(vocabulary)
-    out = docs.withColumn("ids", encode_column(F.col(text), spec))
-    return out.withColumn("decoded", decode_column(F.col("ids"), spec))
+    out = docs.withColumn("__both", round_trip_column(F.col(text), spec))
+    return out.withColumns({"ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")}).drop("__both")

@@ -27,6 +27,7 @@ from pyspark.sql.types import LongType
 from codehealth.llm.common import Memo, saved, ship_package
 
 MEMO_ENTRIES = 400_000
+ROWS = 256  # texts that are encoded before their ids go back
 ROW_BITS = 33  # monotonically_increasing_id counts rows of a partition in the low 33 bits
 
 ORC_OPTIONS = {
@@ -78,7 +79,7 @@ def ids_column(text: Column, spec: str, end_id: int) -> Column:
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, end = _words(spec), np.array([end_id], dtype="<i4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             parts = [words.encode(x) + end for x in batch.to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
