@@ -34,18 +34,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Memo(dict):
     """A bounded memo: ``memo[key]`` computes a missing value once.
 
-    It is emptied when it holds ``limit`` entries, so memory stays bounded on
-    any input; frequent keys come back at once.
+    At ``limit`` entries it starts anew and keeps the full one to look things up in
+    until the next time, so memory stays bounded on any input and frequent keys stay.
     """
 
     def __init__(self, compute, limit: int):
         super().__init__()
         self.compute, self.limit = compute, limit
+        self.before: dict = {}
 
     def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 

@@ -34,7 +34,7 @@ from codehealth.llm.common import Memo, ship_package
 #: Fixed value: the split pattern of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 250_000
 ROWS = 256  # texts that are encoded before their ids go back
 _TOKEN_BITS = 32
 _NEVER = math.inf
@@ -79,8 +79,8 @@ class PrefixBpe:
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.edges = lru_cache(maxsize=None)(self._edges)  # two entries a token at most
         self.length = {i: len(b) for i, b in self.bytes_of.items()}
-        self.fits = Memo(self._compatible, 2 * MEMO_ENTRIES)
-        self.piece_ids = Memo(self._encode_piece, MEMO_ENTRIES)
+        self.fits = Memo(self._compatible, MEMO_ENTRIES)
+        self.piece_ids = Memo(self._encode_piece, MEMO_ENTRIES // 5)
         self.after_blank = Memo(self._encode_after_blank, MEMO_ENTRIES)
 
     def _edges(self, token: int, side: int) -> tuple[tuple[int, float], ...]:
@@ -206,7 +206,7 @@ def round_trip_column(text: Column, spec: str) -> Column:
     ship_package()
 
     @F.arrow_udf("ids binary, decoded string")
-    def both(batches: Iterator[pa.Array]) -> Iterator[pa.StructArray]:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(spec)
         for part in _parts(batches):
             ids = [coder.encode(x) for x in part.to_pylist()]

@@ -14,6 +14,7 @@ columns of the input are not stored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,10 +27,12 @@ from pyspark.sql.types import LongType
 
 from codehealth.llm.common import Memo, saved, ship_package
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 ROWS = 256  # texts that are encoded before their ids go back
 ROW_BITS = 33  # monotonically_increasing_id counts rows of a partition in the low 33 bits
 
+GROWS = "\u0130"  # the one letter that lower-casing makes longer
+
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -62,10 +65,17 @@ class _Words:
             return self.ids[chunk[:-1]] + self.ids[chunk[-1]]
         if chunk.isascii() and chunk.isalpha() and not chunk.islower():  # it lowers every letter by itself
             return self.ids[chunk.lower()]
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        return self._library(chunk)
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.ids.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if GROWS in text or not unicodedata.is_normalized("NFC", text):  # the library's ids then depend on what comes next
+            return self._library(text)
+        return b"".join(map(self.ids.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
 
 @lru_cache(maxsize=2)
