@@ -44,7 +44,7 @@ class _Irregular(Exception):
     """A blank is followed by white space or by the end."""
 
 
-def _byte_of_symbol() -> dict[str, int]:
+def byte_of_symbol() -> dict[str, int]:
     """The vocabulary file's printable symbol for each byte: itself if it is visible, else from 256 on."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(visible)]
@@ -59,7 +59,7 @@ class PrefixBpe:
 
         data = json.loads(spec)
         vocab, merges = data["model"]["vocab"], data["model"]["merges"]
-        symbol = _byte_of_symbol()
+        symbol = byte_of_symbol()
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes_of = {i: bytes(symbol[c] for c in s) for s, i in vocab.items() if s not in self.special}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}

@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from codehealth.llm.common import Memo, saved, ship_package
+from codehealth.llm.prefix_bpe import byte_of_symbol
 
 MEMO_ENTRIES = 250_000
 ROWS = 256  # texts that are encoded before their ids go back
 ROW_BITS = 33  # monotonically_increasing_id counts rows of a partition in the low 33 bits
 
+LATIN_END = "\u0250"
 GROWS = "\u0130"  # the one letter that lower-casing makes longer
 
 ORC_OPTIONS = {
@@ -56,6 +58,8 @@ class _Words:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.symbol = {b: s for s, b in byte_of_symbol().items()}
         self.ids = Memo(self._chunk, MEMO_ENTRIES)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -63,8 +67,11 @@ class _Words:
             return b""
         if chunk[-1] in ".," and chunk[:-1].isalpha():  # letters and punctuation are never one token
             return self.ids[chunk[:-1]] + self.ids[chunk[-1]]
-        if chunk.isascii() and chunk.isalpha() and not chunk.islower():  # it lowers every letter by itself
-            return self.ids[chunk.lower()]
+        if chunk.isalpha() and max(chunk) < LATIN_END:  # one piece; every letter is lowered by itself
+            if (lower := chunk.lower()) != chunk:
+                return self.ids[lower]
+            tokens = self.model.tokenize("".join([self.symbol[b] for b in chunk.encode()]))  # as the library's own splitter passes it on
+            return np.array([t.id for t in tokens], dtype="<i4").tobytes()
         return self._library(chunk)
 
     def encode(self, text: str | None) -> bytes:
