@@ -93,6 +93,13 @@ def _agree(p: Params, a: str, b: str, backwards: bool) -> Column:
     return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.lit(most))
 
 
+def _runs(length: int) -> Column:
+    """Every run of so many words: its place, length and text."""
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - length), lambda at: F.struct(
+        at.alias("at"), F.lit(length).alias("length"), F.array_join(F.slice("words", at + 1, F.lit(length)), " ").alias("run")))
+    return F.when(F.size("words") >= length, runs).otherwise(F.array().cast("array<struct<at:int,length:int,run:string>>"))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast what has been counted as small."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -133,10 +140,7 @@ def hits(docs: DataFrame, items: DataFrame, p: Params = Params()) -> tuple[DataF
     short = saved(items.where(F.size("words") < p.window).select("item_id", F.size("words").alias("length"), F.array_join("words", " ").alias("run")))
     lengths = sorted(r[0] for r in short.select("length").distinct().collect())  # at most window - 1 numbers
     if lengths:
-        runs = [F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i, n=n: F.struct(
-            i.alias("at"), F.lit(n).alias("length"), F.array_join(F.slice("words", i + 1, F.lit(n)), " ").alias("run"))) for n in lengths]
-        short_rows = rows.select("doc_id", "hash", F.inline(F.flatten(F.array(*[
-            F.when(F.size("words") >= n, run).otherwise(F.array().cast("array<struct<at:int,length:int,run:string>>")) for n, run in zip(lengths, runs, strict=True)]))))
+        short_rows = rows.select("doc_id", "hash", F.inline(F.flatten(F.array(*[_runs(n) for n in lengths]))))
         more = short_rows.join(_small(short, p.broadcast_rows), ["length", "run"])
         found = found.union(more.select("doc_id", "hash", "item_id", F.col("at").cast("long"), (F.col("at") + F.col("length") - 1).cast("long")))
     return per_doc, saved(found.distinct())
