@@ -125,7 +125,8 @@ def strip_ansi(s: Column) -> Column:
 
 
 def line_range(start: Column, end: Column) -> Column:
-    """F16: 'line n' or 'lines a–b'; '?' when the start is unknown."""
-    return (F.when(start.isNull(), F.lit("?"))
-            .when(end.isNull() | (end == start), F.concat(F.lit("line "), start.cast("string")))
-            .otherwise(F.concat(F.lit("lines "), start.cast("string"), F.lit("–"), end.cast("string"))))
+    """F16: 'line n' or 'lines a–b'; an unknown start is '?', an unknown end is the start."""
+    first = F.coalesce(start.cast("string"), F.lit("?"))
+    last = F.coalesce(end.cast("string"), first)
+    return (F.when(first == last, F.concat(F.lit("line "), first))
+            .otherwise(F.concat(F.lit("lines "), first, F.lit("–"), last)))

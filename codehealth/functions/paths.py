@@ -72,7 +72,9 @@ def ancestor_ids(col: Column, root: str) -> Column:
 
 
 # ---- glob compilation (driver side, once per parameter) ---------------------
-_REGEX_SPECIALS = re.compile(r"[|\\{}()\[\]^$+?.]")
+# What each piece of a glob stands for in the regular expression; other text is literal.
+_PIECES = re.compile(r"(?P<any_depth>\A\*\*/)|(?P<below>/\Z)|(?P<anything>(?<![^/])\*\*(?![^/]))|(?P<in_segment>\*)|(?P<literal>[^*/]+|/)")
+_MEANING = {"any_depth": "(^|.*/)", "below": "(/.*)?", "anything": ".*", "in_segment": "[^/]*"}
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -81,20 +83,9 @@ def glob_to_regex(pattern: str) -> str:
     ``**/`` prefix matches at any depth, ``*`` stays inside one segment, a
     trailing ``/`` matches the directory and everything below it.
     """
-    normalized = pattern.replace("\\", "/")
-    directory_only = normalized.endswith("/")
-    trimmed = normalized[:-1] if directory_only else normalized
-    leading_any = trimmed.startswith("**/")
-    body = trimmed[3:] if leading_any else trimmed
-    segments = []
-    for segment in (s for s in body.split("/") if s):
-        if segment == "**":
-            segments.append(".*")
-        else:
-            segments.append(_REGEX_SPECIALS.sub(lambda m: "\\" + m.group(0), segment).replace("*", "[^/]*"))
-    prefix = "(^|.*/)" if leading_any else "^"
-    suffix = "(/.*)?$" if directory_only else "$"
-    return prefix + "/".join(segments) + suffix
+    path = re.sub("/+", "/", pattern.replace("\\", "/")).removeprefix("/")
+    regex = "".join(_MEANING.get(m.lastgroup) or re.escape(m[0]) for m in _PIECES.finditer(path))
+    return f"{'' if path.startswith('**/') else '^'}{regex}$"
 
 
 def exclude_globs(df, path_col: str, patterns) -> "DataFrame":  # noqa: F821

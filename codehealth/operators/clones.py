@@ -6,7 +6,7 @@ Plan (all built-in expressions, no Python on the hot path):
 1. per file, one array of normalised non-blank lines with their original
    line numbers and token counts (mode: strict / mild / weak);
 2. one shingle per window of ``min_lines`` lines, hashed twice with
-   ``xxhash64`` (128-bit key, so collisions are negligible even at 10^12
+   ``xxhash64``, the second time after a salt (two independent 64-bit keys, so collisions are negligible even at 10^12
    shingles), exploded to rows;
 3. ``groupBy`` on (snapshot, key) keeps keys seen more than once together with
    their **first** occurrence (smallest path, position). Every other
@@ -68,7 +68,7 @@ def shingles(norm: DataFrame, k: int) -> DataFrame:
         return F.struct(
             i.alias("pos"),
             F.xxhash64(text).alias("h1"),
-            F.xxhash64(text, F.lit("#")).alias("h2"),
+            F.xxhash64(F.lit("#"), text).alias("h2"),
             F.element_at(part, 1)["ln"].alias("start_ln"),
             F.element_at(part, k)["ln"].alias("end_ln"),
             F.element_at(part, 1)["tok"].alias("tok_first"),
@@ -95,8 +95,8 @@ def clone_pairs(files: DataFrame, params: CloneParams = CloneParams()) -> DataFr
         from codehealth.functions.paths import exclude_globs
         f = exclude_globs(f, "path", params.ignore)
     if params.ignore_pattern:
-        # the pattern excludes content (e.g. license headers), like the detector's --ignore-pattern
-        f = f.filter(~F.col("content").rlike(params.ignore_pattern))
+        # matching text is ignored (e.g. license headers); the file's other lines stay
+        f = f.withColumn("content", F.regexp_replace("content", params.ignore_pattern, ""))
     sh = shingles(normalised_lines(f, params.mode), k)
     key = [*SNAP, "h1", "h2"]
     firsts = (sh.groupBy(*key)

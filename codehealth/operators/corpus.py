@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from codehealth.params import DEFAULT_LARGE_LINE_COUNT
 
 SNAP = ["repo", "snapshot_id"]
 
@@ -84,7 +83,7 @@ def overview_totals(stats: DataFrame) -> DataFrame:
 
 
 def top_files(stats: DataFrame, by: str = "complexity", top: int = 25,
-              max_lines: int | None = DEFAULT_LARGE_LINE_COUNT) -> DataFrame:
+              max_lines: int | None = None) -> DataFrame:
     """Top files per snapshot.
 
     complexity: complexity desc, lines desc, path asc; lines: lines desc,
@@ -98,7 +97,7 @@ def top_files(stats: DataFrame, by: str = "complexity", top: int = 25,
         order = [F.desc("lines"), F.desc("complexity"), F.asc("path")]
     else:
         raise ValueError(f"unknown ranking {by!r}")
-    if max_lines is not None:  # ranked modes skip files above the large-line cutoff
+    if max_lines is not None:  # an explicit large-line cutoff
         stats = stats.filter(F.col("lines") <= max_lines)
     w = Window.partitionBy(*SNAP).orderBy(*order)
     ranked = stats.withColumn("position", F.row_number().over(w))

@@ -18,54 +18,9 @@ from pyspark.sql import functions as F
 from codehealth.session import checkpoint_dir
 
 
-class IterationLimit(RuntimeError):
-    pass
-
-
 # Propagation steps chained inside one Spark job. Steps past a fixpoint change
 # nothing, and the last step's flag still tells whether the fixpoint is reached.
-UNROLL = 3
-# Edge tables at or below this many rows (measured by the previous step's
-# aggregate) are broadcast to the propagation joins; larger ones are joined
-# with a shuffle. 2M (src, dst) pairs of BIGINT are about 32 MB.
-BROADCAST_EDGE_ROWS = 2_000_000
-
-
-def _maybe_broadcast(e: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(e) if rows <= BROADCAST_EDGE_ROWS else e
-
-
-class _LoopConf:
-    """Loop settings while the edge side is broadcast.
-
-    With a broadcast edge table each step is one map-side join and one
-    aggregation; there is no shuffle join for AQE to re-plan or split, and
-    its per-stage re-planning would dominate the step, so AQE is switched
-    off for the loop and the shuffle width is sized from the measured row
-    count (about 200k rows per partition, never above the session setting).
-    When the edges are too large to broadcast nothing is changed: AQE stays on
-    and splits skewed hub nodes in the shuffle join.
-    """
-
-    ROWS_PER_PARTITION = 200_000
-
-    def __init__(self, spark, broadcast: bool, rows: int = 0):
-        self.spark, self.broadcast, self.rows, self.saved = spark, broadcast, rows, None
-
-    def __enter__(self):
-        if self.broadcast:
-            conf = self.spark.conf
-            self.saved = (conf.get("spark.sql.adaptive.enabled"), conf.get("spark.sql.shuffle.partitions"))
-            width = min(int(self.saved[1]), max(2, -(-self.rows // self.ROWS_PER_PARTITION)))
-            conf.set("spark.sql.adaptive.enabled", "false")
-            conf.set("spark.sql.shuffle.partitions", str(width))
-        return self
-
-    def __exit__(self, *exc):
-        if self.saved is not None:
-            self.spark.conf.set("spark.sql.adaptive.enabled", self.saved[0])
-            self.spark.conf.set("spark.sql.shuffle.partitions", self.saved[1])
-        return False
+UNROLL = 8
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -178,7 +133,9 @@ class _Steps:
     def __call__(self, df: DataFrame, flag: str | None = None, durable: bool = False):
         self.n += 1
         if durable or self.n % self.every == 0:
-            df = _ckpt(df.cache())
+            kept = df.cache()  # the checkpoint writes what is kept, not a second run
+            df = _ckpt(kept)
+            kept.unpersist()
         else:
             df = df.cache()
         self.live.append(df)
@@ -197,24 +154,19 @@ def _trim(edges: DataFrame, steps: _Steps, passes: int = 3) -> DataFrame:
     singleton components and cannot lie on a cycle; trimming only shrinks the
     graph, so it stops after a few passes. The result is checkpointed."""
     e, n, _ = steps(edges)
-    small = n <= BROADCAST_EDGE_ROWS
-    with _LoopConf(e.sparkSession, small, n):
-        for _ in range(passes):
-            ends = e.select(F.explode(F.array(
-                F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
-                F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
-            live = (ends.groupBy("x.node").agg(F.max("x.o").alias("o"), F.max("x.i").alias("i"))
-                    .filter("o = 1 AND i = 1").select("node"))
-            # the survivors are at most the nodes of an edge table that is itself broadcast-sized
-            live = F.broadcast(live) if small else live
-            kept = (e.join(live.withColumnRenamed("node", "src"), "src", "left_semi")
-                    .join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-            e, k, _ = steps(kept)
-            if k == n:
-                break
-            n = k
-        e, n, _ = steps(e, durable=True)
-    return e, n
+    for _ in range(passes):
+        ends = e.select(F.explode(F.array(
+            F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+            F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+        live = (ends.groupBy("x.node").agg(F.max("x.o").alias("o"), F.max("x.i").alias("i"))
+                .filter("o = 1 AND i = 1").select("node"))
+        kept = (e.join(live.withColumnRenamed("node", "src"), "src", "left_semi")
+                .join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        e, k, _ = steps(kept)
+        if k == n:
+            break
+        n = k
+    return steps(e, durable=True)[0]
 
 
 def _label_step(state: DataFrame, both: DataFrame) -> DataFrame:
@@ -243,7 +195,7 @@ def _label_step(state: DataFrame, both: DataFrame) -> DataFrame:
                       ((F.col("f") > F.col("f0")) | (F.col("b") > F.col("b0"))).alias("changed"))
 
 
-def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components of size > 1: (node, component).
 
     Every node takes the largest id among the nodes that reach it (f) and
@@ -256,9 +208,9 @@ def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
     lineage.
     """
     steps = _Steps()
-    e, n_edges = _trim(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), steps)
+    e = _trim(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), steps)
     found = []
-    for _ in range(max_iter):
+    while True:
         nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         state, n_nodes, _ = steps(nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"),
                                                F.lit(True).alias("cf"), F.lit(True).alias("cb"),
@@ -267,17 +219,13 @@ def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
             break
         both = e.select(F.col("src").alias("a"), F.col("dst").alias("t"), F.lit(True).alias("fwd")).union(
             e.select(F.col("dst").alias("a"), F.col("src").alias("t"), F.lit(False).alias("fwd")))
-        bb = _maybe_broadcast(both, 2 * n_edges)
-        with _LoopConf(e.sparkSession, 2 * n_edges <= BROADCAST_EDGE_ROWS, n_nodes):
-            for _ in range(max_iter):
-                nxt = state
-                for _ in range(UNROLL):
-                    nxt = _label_step(nxt, bb)
-                state, _, changed = steps(nxt, "changed")
-                if not changed:
-                    break
-            else:
-                raise IterationLimit("label propagation did not converge")
+        while True:
+            nxt = state
+            for _ in range(UNROLL):
+                nxt = _label_step(nxt, both)
+            state, _, changed = steps(nxt, "changed")
+            if not changed:
+                break
         state, _, _ = steps(state.select("node", "f", "b"), durable=True)
         comp = state.filter(F.col("f") == F.col("b")).select("node", F.col("f").alias("component"))
         sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
@@ -291,9 +239,7 @@ def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
                       "dst")
                 .filter((F.col("f1") == F.col("f2")) & (F.col("b1") == F.col("b2")))
                 .select("src", "dst"))
-        e, n_edges = _trim(rest, steps)
-    else:
-        raise IterationLimit("component search did not converge")
+        e = _trim(rest, steps)
     if not found:
         return edges.sparkSession.createDataFrame([], "node bigint, component bigint")
     out = found[0]
@@ -302,11 +248,11 @@ def components(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
     return out
 
 
-def circular_edges(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
+def circular_edges(edges: DataFrame) -> DataFrame:
     """G1: an edge u -> v is circular iff v reaches u: both ends in one
     strongly connected component, or a self-loop."""
     e = edges.select("src", "dst").distinct()
-    comp = components(e, max_iter)
+    comp = components(e)
     tagged = (e.join(comp.withColumnRenamed("node", "src").withColumnRenamed("component", "c1"), "src", "left")
               .join(comp.withColumnRenamed("node", "dst").withColumnRenamed("component", "c2"), "dst", "left"))
     return (tagged.filter((F.col("src") == F.col("dst")) | (F.col("c1") == F.col("c2")))
@@ -354,22 +300,19 @@ def _reach_step(state: DataFrame, e: DataFrame) -> DataFrame:
             .select("node", (~F.col("seen")).alias("frontier")))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_iter: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Every node reachable from ``starts(node)`` (the starts included),
     frontier by frontier until the frontier is empty; one Spark job per step."""
     steps = _Steps()
-    e, n_edges, _ = steps(edges.select("src", "dst").distinct(), durable=True)
-    eb = _maybe_broadcast(e, n_edges)
+    e, _, _ = steps(edges.select("src", "dst").distinct(), durable=True)
     state, _, _ = steps(starts.select("node").distinct().withColumn("frontier", F.lit(True)))
-    with _LoopConf(e.sparkSession, n_edges <= BROADCAST_EDGE_ROWS, n_edges):
-        for _ in range(max_iter):
-            nxt = state
-            for _ in range(UNROLL):
-                nxt = _reach_step(nxt, eb)
-            state, _, more = steps(nxt, "frontier")
-            if not more:
-                return state.select("node")
-    raise IterationLimit("reachability did not converge")
+    while True:
+        nxt = state
+        for _ in range(UNROLL):
+            nxt = _reach_step(nxt, e)
+        state, _, more = steps(nxt, "frontier")
+        if not more:
+            return state.select("node")
 
 
 def unused_files(modules: DataFrame, reached: DataFrame) -> DataFrame:

@@ -54,9 +54,9 @@ def trend_vector(first: DataFrame) -> DataFrame:
         pick("unused", F.col("count_value")).alias("unused"),
         pick("duplicates", F.col("percent_value")).alias("duplication"),
         pick("cycles", F.col("count_value")).alias("cycles"),
-        F.count_distinct("kind").alias("kinds"),
+        F.count_distinct(F.when(F.col("kind").isin(*METRIC_KINDS), F.col("kind"))).alias("kinds"),
     )
-    complete = F.col("kinds") == len(METRIC_KINDS)
+    complete = F.col("kinds") == len(METRIC_KINDS)  # a run may carry further kinds
     return agg.select(*SNAP, *[F.when(complete, F.col(k)).alias(k) for k in TREND_KEYS])
 
 

@@ -23,11 +23,11 @@ DEPENDENCY_KINDS = ("dependencies", "devDependencies", "optionalPeerDependencies
 PACKAGE_MANIFEST = "package.json"
 # Labels shown for each kind in file details.
 KIND_LABELS = {
-    "files": "Unused file", "dependencies": "Unused dependency", "devDependencies": "Unused devDependency",
+    "files": "Entire file unused", "dependencies": "Unused dependency", "devDependencies": "Unused devDependency",
     "optionalPeerDependencies": "Unused optional peer dependency", "unlisted": "Unlisted dependency",
-    "binaries": "Unlisted binary", "unresolved": "Unresolved import", "exports": "Unused export",
+    "binaries": "Unused binary", "unresolved": "Unresolved import", "exports": "Unused export",
     "nsExports": "Unused namespace export", "classMembers": "Unused class member", "types": "Unused type",
-    "nsTypes": "Unused namespace type", "enumMembers": "Unused enum member", "duplicates": "Duplicate export",
+    "nsTypes": "Unused namespace type", "enumMembers": "Unused enum member", "duplicates": "Duplicate entry",
     "catalog": "Unused catalog entry",
 }
 # -----------------------------------------------------------------------------------

@@ -5,29 +5,17 @@ Fixed values that must equal the reference's behaviour are grouped here.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---- fixed values (defaults of the reference's configuration) --------------
 DEFAULT_EXTENSIONS = ("ts", "tsx", "js", "jsx")
 DEFAULT_TOP = 25
 DEFAULT_STATS_EXCLUDE = ("**/mock/", "**/*.test.*")
-DEFAULT_LARGE_LINE_COUNT = 99999
-DEFAULT_CLONE_FORMATS = ("typescript", "tsx", "javascript", "jsx")
 DEFAULT_CLONE_MODE = "mild"
-DEFAULT_CYCLE_SEVERITY = "error"
-DEFAULT_INCLUDE_ONLY = "^src"
-DEFAULT_LAYER_PATTERN = "^src/[^/]+/"
-DEFAULT_HISTORY_DIR = ".codehealth"
 SNAPSHOT_VERSION = 3
 # Clone-detector defaults stated in the reference's documentation.
 DEFAULT_MIN_LINES = 5
 DEFAULT_MIN_TOKENS = 50
-DEFAULT_MAX_LINES = 1000
-# Dashboard limits.
-FILE_HOTSPOT_LIMIT = 10
-DIR_HOTSPOT_LIMIT = 5
-TOP_FILES_LIMIT = 10
-RANGE_CHOICES = (10, 25)
 # Health thresholds.
 OVERSIZED_CODE_LINES = 350
 OVERLY_COMPLEX = 10
@@ -45,15 +33,13 @@ class StatsParams:
     not_match: str | None = None
     large_line_count: int | None = None
     large_byte_count: int | None = None
-    no_min_gen: bool = True
-    no_duplicates: bool = False
 
 
 @dataclass(frozen=True)
 class CloneParams:
     min_lines: int = DEFAULT_MIN_LINES
     min_tokens: int = DEFAULT_MIN_TOKENS
-    max_lines: int = DEFAULT_MAX_LINES
+    max_lines: int | None = None
     max_size: int | None = None
     mode: str = DEFAULT_CLONE_MODE  # strict | mild | weak
     skip_local: bool = False
@@ -61,33 +47,3 @@ class CloneParams:
     ignore: tuple[str, ...] = ()
     ignore_pattern: str | None = None
 
-
-@dataclass(frozen=True)
-class CycleParams:
-    include_only: str | None = DEFAULT_INCLUDE_ONLY
-    exclude: str | None = None
-    do_not_follow: str | None = None
-    severity: str = DEFAULT_CYCLE_SEVERITY
-    max_iterations: int = 10_000
-
-
-@dataclass(frozen=True)
-class UnusedParams:
-    include: tuple[str, ...] = ()
-    exclude: tuple[str, ...] = ()
-    tags: tuple[str, ...] = ()
-    workspace: str | None = None
-    production: bool = False
-    include_entry_exports: bool = False
-    max_issues: int | None = None
-
-
-@dataclass(frozen=True)
-class Params:
-    src: str = "src"
-    extensions: tuple[str, ...] = DEFAULT_EXTENSIONS
-    stats: StatsParams = field(default_factory=StatsParams)
-    clones: CloneParams = field(default_factory=CloneParams)
-    cycles: CycleParams = field(default_factory=CycleParams)
-    unused: UnusedParams = field(default_factory=UnusedParams)
-    max_snapshots: int | None = None

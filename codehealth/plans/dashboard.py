@@ -36,7 +36,8 @@ def dashboard_rows(snaps: DataFrame, trend: DataFrame | None = None, node_counts
 
 def unused_items(issues: DataFrame, spark=None) -> DataFrame:
     """J4 + F17/F18: per file the distinct labels
-    '<kind label>: <name or ?>' with ' (line n)' when the line is known."""
+    '<kind label>: <name or ?>' with ' (line n)' when the line is known;
+    'Entire file unused' for a file."""
     spark = spark or issues.sparkSession
     labels = F.broadcast(spark.createDataFrame(list(KIND_LABELS.items()), "kind string, kind_label string"))
     i = issues if "line" in issues.columns else issues.withColumn("line", F.lit(None).cast("bigint"))
@@ -45,6 +46,7 @@ def unused_items(issues: DataFrame, spark=None) -> DataFrame:
                     F.when(F.col("line").isNotNull(),
                            F.concat(F.lit(" (line "), F.col("line").cast("string"), F.lit(")")))
                     .otherwise(F.lit("")))
+    text = F.when(F.col("kind") == "files", F.col("kind_label")).otherwise(text)
     return j.select("file", text.alias("label")).dropDuplicates(["file", "label"])
 
 
@@ -66,7 +68,8 @@ def write_results_json(checks: DataFrame, path: str) -> None:
 def write_tables(tables: dict[str, DataFrame], base: str, partition_by=("repo",)) -> None:
     """Write every dataset as parquet under ``base/<name>``."""
     for name, df in tables.items():
-        w = df.write.mode("overwrite")
+        # only the partitions that are written are replaced
+        w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         keys = [k for k in partition_by if k in df.columns]
         if keys:
             w = w.partitionBy(*keys)

@@ -105,13 +105,13 @@ register("t1_top_complexity", with_(LINE_STATS) + """
 SELECT repo, snapshot_id, position, path, lines, code, complexity FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY repo, snapshot_id
                                     ORDER BY complexity DESC, lines DESC, path) AS BIGINT) AS position
-  FROM st WHERE lines <= 99999) WHERE position <= 25""")
+  FROM st) WHERE position <= 25""")
 
 register("t2_top_lines", with_(LINE_STATS) + """
 SELECT repo, snapshot_id, position, path, lines, code, complexity FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY repo, snapshot_id
                                     ORDER BY lines DESC, complexity DESC, path) AS BIGINT) AS position
-  FROM st WHERE lines <= 99999) WHERE position <= 25""")
+  FROM st) WHERE position <= 25""")
 
 register("c2_drop_duplicate_files", with_(SOURCE_FILES) + """
 SELECT repo, snapshot_id, sha256(content) AS content_hash, min(path) AS path, count(*) AS copies
@@ -289,7 +289,7 @@ tv0 AS (
          max(CASE WHEN kind = 'unused' THEN count_value END) AS unused,
          max(CASE WHEN kind = 'duplicates' THEN percent_value END) AS duplication,
          max(CASE WHEN kind = 'cycles' THEN count_value END) AS cycles,
-         count(DISTINCT kind) AS kinds
+         count(DISTINCT kind) FILTER (WHERE kind IN ('stats-overview', 'unused', 'duplicates', 'cycles')) AS kinds
   FROM fm GROUP BY repo, snapshot_id),
 tv AS (
   SELECT repo, snapshot_id,
@@ -629,8 +629,7 @@ SELECT a.file, a.month, b.month AS next_month FROM r a JOIN r b
 CLONES = SOURCE_FILES + r""",
 raw AS (
   SELECT repo, snapshot_id, path, unnest(generate_series(1, len(ls))) AS ln, unnest(ls) AS line
-  FROM (SELECT repo, snapshot_id, path, string_split(content, chr(10)) AS ls FROM sf)
-  WHERE len(ls) <= 1000),
+  FROM (SELECT repo, snapshot_id, path, string_split(content, chr(10)) AS ls FROM sf)),
 nl AS (
   SELECT repo, snapshot_id, path, ln, t,
          len(regexp_extract_all(t, '[\p{L}\p{N}_]+|[^ \t\n\f\r\p{L}\p{N}_]')) AS tok,
@@ -715,7 +714,7 @@ def _labels_sql() -> str:
 
 
 register("j4_unused_items", with_rec(GRAPH + REACH + "," + SYMBOLS + ISSUES + "," + _labels_sql()) + """
-SELECT DISTINCT file, kind_label || ': ' || coalesce(name, '?') AS label FROM iss JOIN lbl USING (kind)""")
+SELECT DISTINCT file, CASE WHEN kind = 'files' THEN 'Entire file unused' ELSE kind_label || ': ' || coalesce(name, '?') END AS label FROM iss JOIN lbl USING (kind)""")
 
 register("s14_dashboard_rows", """
 SELECT h.repo, h.snapshot_id, """ + ISO.format("h.ts") + """ AS timestamp,

@@ -37,15 +37,14 @@ def get_spark(master: str | None = None, app: str = "codehealth",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine defaults.
 
-    On a cluster ``master`` is left to spark-submit; locally it defaults to
-    ``local[*]``.
+    Master and shuffle partitions are left to spark-submit unless they are given.
     """
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
-    parts = shuffle_partitions or int(os.environ.get("CODEHEALTH_SHUFFLE_PARTITIONS", "8"))
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (builder
-               .config("spark.sql.shuffle.partitions", str(parts))
                .config("spark.driver.memory", os.environ.get("CODEHEALTH_DRIVER_MEMORY", "16g"))
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
@@ -63,7 +62,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint directory.
 
     On a cluster this is the shared folder named by ``spark.checkpoint.dir``.
-    Only when nothing is configured (local tests) a fresh local folder is set.
+    Only when nothing is configured and the master is local a fresh local folder is
+    set; a cluster without a shared folder is an error.
     """
     try:
         sc = spark.sparkContext
@@ -76,6 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="codehealth-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from codehealth.operators.history import METRIC_KINDS
 from codehealth.params import SNAPSHOT_VERSION
 
 SNAP = ["repo", "snapshot_id"]
@@ -111,8 +112,8 @@ def trend_from_summaries(summaries: DataFrame) -> DataFrame:
         pick("unused", "totalIssues").alias("unused"),
         pick("duplicates", "duplicatedLinesPercent").alias("duplication"),
         pick("cycles", "cycleCount").alias("cycles"),
-        F.count_distinct("kind").alias("kinds"))
-    full = F.col("kinds") == 4
+        F.count_distinct(F.when(F.col("kind").isin(*METRIC_KINDS), F.col("kind"))).alias("kinds"))
+    full = F.col("kinds") == len(METRIC_KINDS)  # a run may carry further kinds
     return agg.select(*SNAP, *[F.when(full, F.col(k)).alias(k)
                                for k in ("lines", "complexity", "unused", "duplication", "cycles")])
 

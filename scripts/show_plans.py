@@ -24,7 +24,7 @@ KEEP = re.compile(r"(Scan parquet|PushedFilters|ReadSchema|Exchange|WindowGroupL
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_spark()
+    spark = get_spark(master="local[8]", shuffle_partitions=8)
     print("# Physical plans (excerpts)\n")
     print(f"Generated by `scripts/show_plans.py {sf}`: the operators that decide scale behaviour.\n")
     for name in SHOWN:

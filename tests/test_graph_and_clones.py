@@ -118,3 +118,16 @@ def test_many_snapshots_in_one_pass(spark):
     got = sorted((r.snapshot_id, r.s, r.d) for r in named.collect())
     assert got == [("s1", "a", "b"), ("s1", "b", "a"),
                    ("s2", "a", "b"), ("s2", "b", "c"), ("s2", "c", "a")]
+
+
+def test_long_files_and_ignored_text(spark):
+    from codehealth.operators import clones
+
+    long = "\n".join(f"call_{i}(a, b, c);" for i in range(1200))
+    block = "\n".join(f"copied line {i} = x + {i};" for i in range(20))
+    cols = "repo string, snapshot_id string, path string, content string"
+    files = spark.createDataFrame([("r", "s", "a.ts", long), ("r", "s", "b.ts", long)], cols)
+    got = clones.clone_pairs(files).collect()
+    assert [(r["first_start"], r["first_end"]) for r in got] == [(1, 1200)]
+    files = spark.createDataFrame([("r", "s", p, f"{p} own\n{block}\nCopyright {p}") for p in ("a.ts", "b.ts")], cols)
+    assert clones.clone_pairs(files, CloneParams(ignore_pattern="Copyright")).count() == 1

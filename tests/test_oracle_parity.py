@@ -48,4 +48,8 @@ def test_entry_flagship(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from codehealth.plans.catalog import QUERIES
+    from codehealth.plans.oracle import ORACLE
+
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

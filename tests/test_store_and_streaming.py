@@ -92,7 +92,7 @@ def test_unused_item_labels(spark):
                                     ("src/b.ts", "files", None, None)],
                                    "file string, kind string, name string, line long")
     got = sorted((r.file, r.label) for r in dashboard.unused_items(issues).collect())
-    assert got == [("src/a.ts", "Unused export: unusedThing (line 9)"), ("src/b.ts", "Unused file: ?")]
+    assert got == [("src/a.ts", "Unused export: unusedThing (line 9)"), ("src/b.ts", "Entire file unused")]
 
 
 def test_streaming_ingest(spark, tmp_dir):

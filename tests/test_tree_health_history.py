@@ -164,3 +164,13 @@ def test_display_helpers(spark):
 def test_files_by_path(bundle_tree):
     assert [r.path for r in rankings.files_by_path(bundle_tree).collect()] == [
         "src/a.ts", "src/nested/b.ts", "src/unused.ts"]
+
+
+def test_trend_needs_four_kinds_and_bears_more(spark):
+    from codehealth.operators import history
+
+    kinds = ["stats-overview", "unused", "duplicates", "cycles", "instability", "typecheck"]
+    rows = [("r", "s6", k, 1, k, 5, 2.5) for k in kinds] + [("r", "s3", k, 1, k, 5, 2.5) for k in kinds[:3] + kinds[4:]]
+    first = spark.createDataFrame(rows, "repo string, snapshot_id string, kind string, check_idx int, name string, count_value bigint, percent_value double")
+    got = {r["snapshot_id"]: (r["lines"], r["cycles"]) for r in history.trend_vector(first).collect()}
+    assert got == {"s6": (5, 5), "s3": (None, None)}
