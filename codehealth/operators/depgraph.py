@@ -1,8 +1,9 @@
 """Dependency-graph operators: coupling, instability, circular edges,
 reachability, scoped / collapsed / focused views and rule checks.
 
-Graphs are edge tables ``(src, dst)`` of node ids plus a ``modules(node,
-path)`` table. The iterative algorithms (strongly connected components and
+Graphs are edge tables ``(src, dst)`` of node ids plus a ``modules(repo,
+snapshot_id, node, path)`` table. An id belongs to one snapshot, so the graphs of
+all snapshots form one disjoint union and every result is per snapshot. The iterative algorithms (strongly connected components and
 reachability) are driver loops over DataFrames: every step is a join plus an
 aggregation on the executors, the driver only sees a "did anything change"
 flag per step. Lineage is cut with reliable ``checkpoint()`` into the
@@ -14,13 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from codehealth.session import checkpoint_dir
 
-
-# Propagation steps chained inside one Spark job. Steps past a fixpoint change
-# nothing, and the last step's flag still tells whether the fixpoint is reached.
-UNROLL = 8
+SNAP = ["repo", "snapshot_id"]
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -30,10 +29,11 @@ def _ckpt(df: DataFrame) -> DataFrame:
 
 # ---- filters on edges (P4, G3, G5) ----------------------------------------------
 def with_paths(edges: DataFrame, modules: DataFrame) -> DataFrame:
-    """Attach src_path / dst_path to node-id edges."""
-    m = modules.select("node", "path")
-    return (edges.join(m.withColumnRenamed("node", "src").withColumnRenamed("path", "src_path"), "src")
-            .join(m.withColumnRenamed("node", "dst").withColumnRenamed("path", "dst_path"), "dst"))
+    """Attach repo, snapshot_id, src_path and dst_path to node-id edges (an id is
+    unique over all snapshots)."""
+    src = modules.select(F.col("node").alias("src"), *SNAP, F.col("path").alias("src_path"))
+    dst = modules.select(F.col("node").alias("dst"), F.col("path").alias("dst_path"))
+    return edges.select("src", "dst").join(src, "src").join(dst, "dst")
 
 
 def filter_edges(edges: DataFrame, include_only: str | None = None, exclude: str | None = None,
@@ -62,13 +62,13 @@ def focus(edges_p: DataFrame, focus_regex: str) -> DataFrame:
 
 def collapse_layers(edges_p: DataFrame, pattern: str = "^src/[^/]+/") -> DataFrame:
     """Map each path to its layer (first match of the pattern, or the path
-    itself), count distinct module edges between different layers."""
+    itself), count distinct module edges between different layers of a snapshot."""
     def layer(c):
         hit = F.regexp_extract(F.col(c), pattern, 0)
         return F.when(hit == "", F.col(c)).otherwise(hit)
-    return (edges_p.select(layer("src_path").alias("src_layer"), layer("dst_path").alias("dst_layer"))
+    return (edges_p.select(*SNAP, layer("src_path").alias("src_layer"), layer("dst_path").alias("dst_layer"))
             .filter(F.col("src_layer") != F.col("dst_layer"))
-            .groupBy("src_layer", "dst_layer").agg(F.count(F.lit(1)).alias("weight")))
+            .groupBy(*SNAP, "src_layer", "dst_layer").agg(F.count(F.lit(1)).alias("weight")))
 
 
 # ---- coupling and instability (G2, A16, A6, T3, T4) --------------------------------
@@ -78,7 +78,7 @@ def coupling(edges: DataFrame, modules: DataFrame) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("dependencies")).withColumnRenamed("src", "node")
     inn = e.groupBy("dst").agg(F.count(F.lit(1)).alias("dependents")).withColumnRenamed("dst", "node")
-    m = (modules.select("node", "path").join(out, "node", "left").join(inn, "node", "left")
+    m = (modules.select(*SNAP, "node", "path").join(out, "node", "left").join(inn, "node", "left")
          .fillna(0, subset=["dependencies", "dependents"]))
     total = F.col("dependencies") + F.col("dependents")
     return m.withColumn("instability", F.when(total > 0, F.col("dependencies") / total).otherwise(F.lit(0.0)))
@@ -92,8 +92,8 @@ def instability_by_file(coupled: DataFrame, circular: DataFrame) -> DataFrame:
 
 
 def instability_summary(by_file: DataFrame) -> DataFrame:
-    """Files, files in cycles, average instability, max out / in degree."""
-    return by_file.agg(
+    """Per snapshot files, files in cycles, average instability, max out / in degree."""
+    return by_file.groupBy(*SNAP).agg(
         F.count(F.lit(1)).alias("total_files"),
         F.count_if(F.col("in_cycle")).alias("files_in_cycles"),
         F.round(F.avg("instability"), 6).alias("average_instability"),
@@ -101,17 +101,23 @@ def instability_summary(by_file: DataFrame) -> DataFrame:
         F.max("dependents").cast("bigint").alias("highest_dependents"))
 
 
+def _first_of_snapshot(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    # row_number <= limit is a partial WindowGroupLimit before the shuffle
+    w = Window.partitionBy(*SNAP).orderBy(*order)
+    return rows.withColumn("position", F.row_number().over(w).cast("bigint")).filter(F.col("position") <= limit)
+
+
 def highly_unstable(by_file: DataFrame, limit: int = 25) -> DataFrame:
-    """Instability desc, dependencies desc, dependents desc, path asc."""
-    return (by_file.orderBy(F.desc("instability"), F.desc("dependencies"), F.desc("dependents"), F.asc("path"))
-            .limit(limit))
+    """Per snapshot by instability desc, dependencies desc, dependents desc, path asc."""
+    return _first_of_snapshot(by_file, [F.desc("instability"), F.desc("dependencies"), F.desc("dependents"),
+                                        F.asc("path")], limit)
 
 
 def stable_depended_on(by_file: DataFrame, limit: int = 25) -> DataFrame:
-    """T4: dependents > 0; dependents desc, instability asc, dependencies asc, path asc."""
-    return (by_file.filter(F.col("dependents") > 0)
-            .orderBy(F.desc("dependents"), F.asc("instability"), F.asc("dependencies"), F.asc("path"))
-            .limit(limit))
+    """T4: dependents > 0; per snapshot by dependents desc, instability asc, dependencies asc, path asc."""
+    return _first_of_snapshot(by_file.filter(F.col("dependents") > 0),
+                              [F.desc("dependents"), F.asc("instability"), F.asc("dependencies"), F.asc("path")],
+                              limit)
 
 
 # ---- iteration support ---------------------------------------------------------------
@@ -120,9 +126,8 @@ class _Steps:
 
     Each step caches its DataFrame and, in the same job, aggregates the flag
     the loop needs. Every ``every`` steps (and at every round boundary) the
-    state is written with a reliable checkpoint instead, so recovery after a
-    lost executor replays at most that many steps and plans stay short. Every
-    step reads the previous state exactly once, so plans grow linearly.
+    state is written with a reliable checkpoint as well, so recovery after a
+    lost executor replays at most that many steps and plans stay short.
     """
 
     def __init__(self, every: int = 3):
@@ -149,12 +154,13 @@ class _Steps:
 
 
 # ---- strongly connected components (G1) --------------------------------------------
-def _trim(edges: DataFrame, steps: _Steps, passes: int = 3) -> DataFrame:
+def _trim(edges: DataFrame, steps: _Steps, gain: float = 0.05) -> DataFrame:
     """Drop edges touching nodes without in- or out-edges. Such nodes are
-    singleton components and cannot lie on a cycle; trimming only shrinks the
-    graph, so it stops after a few passes. The result is checkpointed."""
+    singleton components and cannot lie on a cycle. Trimming only shrinks the
+    graph (and its long chains, which cost propagation steps), so it goes on
+    while a pass removes at least ``gain`` of the edges. The result is checkpointed."""
     e, n, _ = steps(edges)
-    for _ in range(passes):
+    while n:
         ends = e.select(F.explode(F.array(
             F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
             F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
@@ -163,7 +169,7 @@ def _trim(edges: DataFrame, steps: _Steps, passes: int = 3) -> DataFrame:
         kept = (e.join(live.withColumnRenamed("node", "src"), "src", "left_semi")
                 .join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         e, k, _ = steps(kept)
-        if k == n:
+        if n - k < gain * n:
             break
         n = k
     return steps(e, durable=True)[0]
@@ -173,20 +179,16 @@ def _label_step(state: DataFrame, both: DataFrame) -> DataFrame:
     """One step of simultaneous forward / backward max-label propagation.
 
     ``both`` holds every edge twice: (a=src, t=dst, fwd=True) and
-    (a=dst, t=src, fwd=False). A node whose forward label changed pushes it to
-    its successors, a node whose backward label changed pushes it to its
-    predecessors; the state is read once, so plans grow linearly.
+    (a=dst, t=src, fwd=False). Only nodes whose label changed meet their edges:
+    a changed forward label goes to the successors, a changed backward label to
+    the predecessors. The join is inner, so AQE can split a hub's edges.
     """
-    j = state.join(both, state.node == both.a, "left")
-    recs = F.array(
-        F.struct(F.col("node"), F.col("f"), F.col("b"), F.lit(True).alias("own")),
-        F.when(F.col("fwd") & F.col("cf"),
-               F.struct(F.col("t").alias("node"), F.col("f"), F.lit(None).cast("bigint").alias("b"),
-                        F.lit(False).alias("own"))),
-        F.when(~F.col("fwd") & F.col("cb"),
-               F.struct(F.col("t").alias("node"), F.lit(None).cast("bigint").alias("f"), F.col("b"),
-                        F.lit(False).alias("own"))))
-    x = j.select(F.explode(recs).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
+    changed = state.filter("changed")
+    told = (changed.join(both, changed.node == both.a)
+            .filter(F.when(F.col("fwd"), F.col("cf")).otherwise(F.col("cb")))
+            .select(F.col("t").alias("node"), F.when(F.col("fwd"), F.col("f")).alias("f"),
+                    F.when(~F.col("fwd"), F.col("b")).alias("b"), F.lit(False).alias("own")))
+    x = state.select("node", "f", "b", F.lit(True).alias("own")).union(told)
     agg = x.groupBy("node").agg(F.max("f").alias("f"), F.max("b").alias("b"),
                                F.max(F.when(F.col("own"), F.col("f"))).alias("f0"),
                                F.max(F.when(F.col("own"), F.col("b"))).alias("b0"))
@@ -204,8 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
     component; two nodes of one component always share (f, b), so edges
     between different pairs are dropped and each round works on all classes
     at once. Each round resolves at least the component of every class's
-    largest node. One Spark job per few steps; reliable checkpoints bound
-    lineage.
+    largest node. One Spark job per step; reliable checkpoints bound lineage.
     """
     steps = _Steps()
     e = _trim(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), steps)
@@ -220,10 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("src").alias("a"), F.col("dst").alias("t"), F.lit(True).alias("fwd")).union(
             e.select(F.col("dst").alias("a"), F.col("src").alias("t"), F.lit(False).alias("fwd")))
         while True:
-            nxt = state
-            for _ in range(UNROLL):
-                nxt = _label_step(nxt, both)
-            state, _, changed = steps(nxt, "changed")
+            state, _, changed = steps(_label_step(state, both), "changed")
             if not changed:
                 break
         state, _, _ = steps(state.select("node", "f", "b"), durable=True)
@@ -261,58 +259,66 @@ def circular_edges(edges: DataFrame) -> DataFrame:
 
 def violations(circular_p: DataFrame, severity: str = "error") -> DataFrame:
     """One no-circular rule violation per circular edge."""
-    return circular_p.select(F.lit("no-circular").alias("rule"), F.lit(severity).alias("severity"),
+    return circular_p.select(*SNAP, F.lit("no-circular").alias("rule"), F.lit(severity).alias("severity"),
                              F.col("src_path").alias("from_path"), F.col("dst_path").alias("to_path"))
 
 
-def cycle_metrics(modules: DataFrame, edges: DataFrame, circular: DataFrame,
-                  violation_count: DataFrame | None = None) -> DataFrame:
-    """A5: modules, dependencies and cycle count (violations, or when that is
-    zero the number of directed circular edges)."""
-    m = modules.agg(F.count(F.lit(1)).alias("total_modules"))
-    d = edges.agg(F.count(F.lit(1)).alias("total_dependencies"))
-    c = circular.agg(F.count(F.lit(1)).alias("circular_edges"))
-    out = m.crossJoin(d).crossJoin(c)  # three one-row aggregates
-    if violation_count is not None:
-        out = out.crossJoin(violation_count.agg(F.count(F.lit(1)).alias("violations")))
+def cycle_metrics(modules: DataFrame, edges_p: DataFrame, circular_p: DataFrame,
+                  violations: DataFrame | None = None) -> DataFrame:
+    """A5: per snapshot modules, dependencies and cycle count (violations, or
+    when there is none the number of directed circular edges)."""
+    def counted(rows, name):
+        return rows.groupBy(*SNAP).agg(F.count(F.lit(1)).alias(name))
+    out = (counted(modules, "total_modules").join(counted(edges_p, "total_dependencies"), SNAP, "left")
+           .join(counted(circular_p, "circular_edges"), SNAP, "left"))
+    if violations is not None:
+        out = out.join(counted(violations, "violations"), SNAP, "left")
     else:
         out = out.withColumn("violations", F.lit(0).cast("bigint"))
+    out = out.fillna(0, subset=["total_dependencies", "circular_edges", "violations"])
     return out.withColumn("cycle_count", F.coalesce(F.nullif(F.col("violations"), F.lit(0)),
                                                     F.col("circular_edges")))
 
 
 def cycle_counts_by_file(circular_p: DataFrame) -> DataFrame:
-    """Each unordered circular pair once; both ends +1 (a self-loop +2)."""
-    pairs = circular_p.select(F.least("src_path", "dst_path").alias("a"),
+    """Each unordered circular pair of a snapshot once; both ends +1 (a self-loop +2)."""
+    pairs = circular_p.select(*SNAP, F.least("src_path", "dst_path").alias("a"),
                               F.greatest("src_path", "dst_path").alias("b")).distinct()
-    return (pairs.select(F.explode(F.array("a", "b")).alias("path"))
-            .groupBy("path").agg(F.count(F.lit(1)).alias("cycles")))
+    return (pairs.select(*SNAP, F.explode(F.array("a", "b")).alias("path"))
+            .groupBy(*SNAP, "path").agg(F.count(F.lit(1)).alias("cycles")))
 
 
 # ---- reachability (G7, C10) ------------------------------------------------------------
-def _reach_step(state: DataFrame, e: DataFrame) -> DataFrame:
-    j = state.join(e, (state.node == e.src) & state.frontier, "left")
-    recs = F.array(F.struct(F.col("node"), F.lit(True).alias("seen")),
-                   F.when(F.col("dst").isNotNull(),
-                          F.struct(F.col("dst").alias("node"), F.lit(False).alias("seen"))))
-    x = j.select(F.explode(recs).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
-    return (x.groupBy("node").agg(F.max("seen").alias("seen"))
-            .select("node", (~F.col("seen")).alias("frontier")))
-
-
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """Every node reachable from ``starts(node)`` (the starts included),
-    frontier by frontier until the frontier is empty; one Spark job per step."""
-    steps = _Steps()
-    e, _, _ = steps(edges.select("src", "dst").distinct(), durable=True)
-    state, _, _ = steps(starts.select("node").distinct().withColumn("frontier", F.lit(True)))
+def reachable(edges: DataFrame, starts: DataFrame, every: int = 3) -> DataFrame:
+    """Every node reachable from ``starts(node)`` (the starts included).
+
+    Only the frontier meets the edges (inner join, splittable), what was seen before
+    is taken away with an anti join, and the rest is the next frontier. One Spark job
+    a step; every ``every`` steps frontier and seen nodes are written with a reliable
+    checkpoint and the cached steps are released. A step's plan holds its predecessor
+    twice, so ``every`` stays small.
+    """
+    e = _ckpt(edges.select("src", "dst").distinct())
+    frontier = seen = _ckpt(starts.select("node").distinct())
+    kept: list[DataFrame] = []
     while True:
-        nxt = state
-        for _ in range(UNROLL):
-            nxt = _reach_step(nxt, e)
-        state, _, more = steps(nxt, "frontier")
-        if not more:
-            return state.select("node")
+        step = (frontier.join(e, frontier.node == e.src).select(F.col("dst").alias("node")).distinct()
+                .join(seen, "node", "left_anti").cache())
+        kept.append(step)
+        if step.count() == 0:
+            out = _ckpt(seen)
+            break
+        frontier = step
+        if len(kept) == every:
+            frontier = _ckpt(step)
+            seen = _ckpt(seen.union(frontier))
+            while kept:
+                kept.pop().unpersist()
+        else:
+            seen = seen.union(step)
+    while kept:
+        kept.pop().unpersist()
+    return out
 
 
 def unused_files(modules: DataFrame, reached: DataFrame) -> DataFrame:
@@ -323,12 +329,13 @@ def unused_files(modules: DataFrame, reached: DataFrame) -> DataFrame:
 # ---- rules (G8, G9) ----------------------------------------------------------------------
 def rule_violations(edges_p: DataFrame, name: str, from_regex: str, to_not_template: str) -> DataFrame:
     """Edges whose source matches ``from_regex`` and whose target does not
-    match ``to_not_template`` with ``$1`` replaced by the source's first group."""
-    g1 = F.regexp_extract(F.col("src_path"), from_regex, 1)
-    target_rx = F.regexp_replace(F.lit(to_not_template), r"\$1", g1)
+    match ``to_not_template`` with ``$1`` replaced by the source's first group, taken
+    literally."""
+    g1 = F.regexp_replace(F.regexp_extract(F.col("src_path"), from_regex, 1), r"([^\p{L}\p{N}_])", r"\\$1")
+    target_rx = F.replace(F.lit(to_not_template), F.lit("$1"), g1)
     hits = edges_p.filter(F.col("src_path").rlike(from_regex)).withColumn("target_rx", target_rx)
     return (hits.filter(~F.expr("dst_path RLIKE target_rx"))
-            .select(F.lit(name).alias("rule"), "src_path", "dst_path"))
+            .select(*SNAP, F.lit(name).alias("rule"), "src_path", "dst_path"))
 
 
 def more_unstable_violations(edges_p: DataFrame, by_file: DataFrame) -> DataFrame:
@@ -337,7 +344,7 @@ def more_unstable_violations(edges_p: DataFrame, by_file: DataFrame) -> DataFram
     return (edges_p.join(i.withColumnRenamed("node", "src").withColumnRenamed("instability", "src_i"), "src")
             .join(i.withColumnRenamed("node", "dst").withColumnRenamed("instability", "dst_i"), "dst")
             .filter(F.col("dst_i") > F.col("src_i"))
-            .select("src_path", "dst_path", "src_i", "dst_i"))
+            .select(*SNAP, "src_path", "dst_path", "src_i", "dst_i"))
 
 
 # ---- many snapshots at once ------------------------------------------------------------------

@@ -3,7 +3,7 @@
 Everything is a set difference expressed as ``left_anti`` joins on keys
 (shuffle joins that partition by the key; no pairs are generated), plus
 ``groupBy`` counts. Issues end up in one long table
-``(file, kind, name)`` from which the per-snapshot metrics (A3) and per-file
+``(repo, snapshot_id, file, kind, name)`` from which the per-snapshot metrics (A3) and per-file
 counts (A7) are aggregated.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SNAP = ["repo", "snapshot_id"]
+
 # ---- fixed values: issue kinds and their metric groups -----------------------------
 ISSUE_KINDS = ("dependencies", "devDependencies", "optionalPeerDependencies", "unlisted", "binaries",
                "unresolved", "exports", "nsExports", "classMembers", "types", "nsTypes", "enumMembers",
@@ -37,53 +39,55 @@ def unused_exports(exports: DataFrame, imports: DataFrame, entries: DataFrame |
                    include_entry_exports: bool = False) -> DataFrame:
     """C11: declared (file, symbol) nobody imports; entry files are exempt
     unless ``include_entry_exports``."""
-    declared = exports.select("file", "symbol", "kind").distinct()
-    out = declared.join(imports.select("file", "symbol"), ["file", "symbol"], "left_anti")
+    declared = exports.select(*SNAP, "file", "symbol", "kind").distinct()
+    out = declared.join(imports.select(*SNAP, "file", "symbol"), [*SNAP, "file", "symbol"], "left_anti")
     if entries is not None and not include_entry_exports:
-        out = out.join(entries.select("file"), "file", "left_anti")
+        out = out.join(entries.select(*SNAP, "file"), [*SNAP, "file"], "left_anti")
     return out
 
 
 def duplicate_exports(export_rows: DataFrame) -> DataFrame:
     """A symbol exported more than once from one file."""
-    return (export_rows.groupBy("file", "symbol").agg(F.count(F.lit(1)).alias("copies"))
+    return (export_rows.groupBy(*SNAP, "file", "symbol").agg(F.count(F.lit(1)).alias("copies"))
             .filter(F.col("copies") > 1))
 
 
 def unused_dependencies(declared: DataFrame, used: DataFrame) -> DataFrame:
     """Declared packages that no file uses."""
-    return declared.join(used.select("package").distinct(), "package", "left_anti")
+    return declared.join(used.select(*SNAP, "package").distinct(), [*SNAP, "package"], "left_anti")
 
 
 def unlisted_dependencies(used: DataFrame, declared: DataFrame) -> DataFrame:
     """Packages used by a file but not declared."""
-    return used.join(declared.select("package").distinct(), "package", "left_anti").select("file", "package")
+    return (used.join(declared.select(*SNAP, "package").distinct(), [*SNAP, "package"], "left_anti")
+            .select(*SNAP, "file", "package"))
 
 
 def unresolved_imports(specifiers: DataFrame, targets: DataFrame) -> DataFrame:
     """C14: import specifiers that resolve to no known module."""
-    return specifiers.join(targets.select(F.col("target").alias("specifier")).distinct(), "specifier", "left_anti")
+    known = targets.select(*SNAP, F.col("target").alias("specifier")).distinct()
+    return specifiers.join(known, [*SNAP, "specifier"], "left_anti")
 
 
 def issue_table(unused_files: DataFrame | None = None, exports: DataFrame | None = None,
                 duplicates: DataFrame | None = None, dependencies: DataFrame | None = None,
                 unlisted: DataFrame | None = None, unresolved: DataFrame | None = None) -> DataFrame:
-    """U1 for unused issues: one long (file, kind, name) table."""
+    """U1 for unused issues: one long (repo, snapshot_id, file, kind, name) table."""
     parts = []
     if unused_files is not None:
-        parts.append(unused_files.select(F.col("path").alias("file"), F.lit("files").alias("kind"),
+        parts.append(unused_files.select(*SNAP, F.col("path").alias("file"), F.lit("files").alias("kind"),
                                          F.col("path").alias("name")))
     if exports is not None:
-        parts.append(exports.select("file", "kind", F.col("symbol").alias("name")))
+        parts.append(exports.select(*SNAP, "file", "kind", F.col("symbol").alias("name")))
     if duplicates is not None:
-        parts.append(duplicates.select("file", F.lit("duplicates").alias("kind"), F.col("symbol").alias("name")))
+        parts.append(duplicates.select(*SNAP, "file", F.lit("duplicates").alias("kind"), F.col("symbol").alias("name")))
     if dependencies is not None:
-        parts.append(dependencies.select(F.lit(PACKAGE_MANIFEST).alias("file"), "kind",
+        parts.append(dependencies.select(*SNAP, F.lit(PACKAGE_MANIFEST).alias("file"), "kind",
                                          F.col("package").alias("name")))
     if unlisted is not None:
-        parts.append(unlisted.select("file", F.lit("unlisted").alias("kind"), F.col("package").alias("name")))
+        parts.append(unlisted.select(*SNAP, "file", F.lit("unlisted").alias("kind"), F.col("package").alias("name")))
     if unresolved is not None:
-        parts.append(unresolved.select("file", F.lit("unresolved").alias("kind"),
+        parts.append(unresolved.select(*SNAP, "file", F.lit("unresolved").alias("kind"),
                                        F.col("specifier").alias("name")))
     out = parts[0]
     for p in parts[1:]:
@@ -97,8 +101,8 @@ NON_PRODUCTION_GLOBS = ("**/*.test.*", "**/*.spec.*", "**/__tests__/", "**/test/
 
 def filter_issues(issues: DataFrame, include=(), exclude=(), workspace: str | None = None,
                   tags_include=(), tags_exclude=(), production: bool = False) -> DataFrame:
-    """P5: include / exclude kinds, workspace prefix, tag filters (when the
-    issue table carries a ``tags`` array) and production-only mode (drops
+    """P5: include / exclude kinds, workspace prefix, tag filters (on the
+    issue table's ``tags`` array; an error without one) and production-only mode (drops
     non-production files and dev dependencies)."""
     out = issues
     if include:
@@ -107,7 +111,7 @@ def filter_issues(issues: DataFrame, include=(), exclude=(), workspace: str | No
         out = out.filter(~F.col("kind").isin(list(exclude)))
     if workspace:
         out = out.filter(F.col("file").startswith(workspace.rstrip("/") + "/"))
-    if (tags_include or tags_exclude) and "tags" in out.columns:
+    if tags_include or tags_exclude:
         for t in tags_include:
             out = out.filter(F.array_contains("tags", t))
         for t in tags_exclude:
@@ -119,10 +123,10 @@ def filter_issues(issues: DataFrame, include=(), exclude=(), workspace: str | No
 
 
 def unused_metrics(issues: DataFrame) -> DataFrame:
-    """A3: unused files, exports, types, dependencies and the total (which
+    """A3: per snapshot unused files, exports, types, dependencies and the total (which
     also counts duplicate exports, included in no sub-total)."""
     k = F.col("kind")
-    return issues.agg(
+    return issues.groupBy(*SNAP).agg(
         F.count_if(k == "files").alias("unused_files"),
         F.count_if(k.isin(list(EXPORT_KINDS))).alias("unused_exports"),
         F.count_if(k.isin(list(TYPE_KINDS))).alias("unused_types"),
@@ -134,14 +138,9 @@ def unused_by_file(issues: DataFrame) -> DataFrame:
     """Issues per file (a whole unused file counts 1); rows without a
     file are skipped."""
     return (issues.filter(F.col("file").isNotNull() & (F.col("file") != ""))
-            .groupBy("file").agg(F.count(F.lit(1)).alias("unused")))
+            .groupBy(*SNAP, "file").agg(F.count(F.lit(1)).alias("unused")))
 
 
 def max_issues_gate(metrics: DataFrame, max_issues: int) -> DataFrame:
     """C9 (unused): the run fails when the total exceeds ``max_issues``."""
     return metrics.withColumn("exceeds_max_issues", F.col("total_issues") > F.lit(max_issues))
-
-
-def kind_labels(spark) -> DataFrame:
-    """The 15-row label table (broadcast-sized by construction)."""
-    return spark.createDataFrame(list(KIND_LABELS.items()), "kind string, label string")

@@ -254,12 +254,12 @@ def q_g2(spark, d):
 
 @query("g1_circular_edges")
 def q_g1(spark, d):
-    return _circular_paths(spark, d).select("src", "dst", "src_path", "dst_path")
+    return _circular_paths(spark, d).select("repo", "snapshot_id", "src", "dst", "src_path", "dst_path")
 
 
 @query("a16_instability_by_file")
 def q_a16(spark, d):
-    return _by_file(spark, d).select("node", "path", "dependencies", "dependents", "instability", "in_cycle")
+    return _by_file(spark, d).select("repo", "snapshot_id", "node", "path", "dependencies", "dependents", "instability", "in_cycle")
 
 
 @query("a6_instability_summary")
@@ -270,13 +270,13 @@ def q_a6(spark, d):
 @query("t3_highly_unstable")
 def q_t3(spark, d):
     return g.highly_unstable(_by_file(spark, d), 25).select(
-        "node", "path", "dependencies", "dependents", "instability", "in_cycle")
+        "repo", "snapshot_id", "node", "path", "dependencies", "dependents", "instability", "in_cycle", "position")
 
 
 @query("t4_stable_depended_on")
 def q_t4(spark, d):
     return g.stable_depended_on(_by_file(spark, d), 25).select(
-        "node", "path", "dependencies", "dependents", "instability", "in_cycle")
+        "repo", "snapshot_id", "node", "path", "dependencies", "dependents", "instability", "in_cycle", "position")
 
 
 @query("g6_violations")
@@ -292,9 +292,11 @@ def q_a9(spark, d):
 @query("a5_cycle_metrics")
 def q_a5(spark, d):
     e, m = _graph(spark, d)
-    circ = _circular(spark, d)
-    return g.cycle_metrics(m, e, circ, violation_count=circ).select(
-        "total_modules", "total_dependencies", "circular_edges", "violations", "cycle_count")
+    circ = _circular_paths(spark, d)
+    # the rule covers a part of the tree, so some snapshots have circular edges but no violation
+    broken = g.violations(circ.filter(F.col("src_path").rlike(r"^src/Brand#1")))
+    return g.cycle_metrics(m, g.with_paths(e, m), circ, broken).select(
+        "repo", "snapshot_id", "total_modules", "total_dependencies", "circular_edges", "violations", "cycle_count")
 
 
 @query("g7_reachable")
@@ -304,13 +306,13 @@ def q_g7(spark, d):
 
 @query("c10_unused_files")
 def q_c10(spark, d):
-    return g.unused_files(td.modules(spark, d), _reached(spark, d)).select("node", "path")
+    return g.unused_files(td.modules(spark, d), _reached(spark, d)).select("repo", "snapshot_id", "node", "path")
 
 
 @query("g3_scope")
 def q_g3(spark, d):
     e, m = _graph(spark, d)
-    return g.scope(g.with_paths(e, m), r"^src/Brand#1[0-9]?/").select("src_path", "dst_path")
+    return g.scope(g.with_paths(e, m), r"^src/Brand#1[0-9]?/").select("repo", "snapshot_id", "src_path", "dst_path")
 
 
 @query("g4_layers")
@@ -322,20 +324,20 @@ def q_g4(spark, d):
 @query("g5_focus")
 def q_g5(spark, d):
     e, m = _graph(spark, d)
-    return g.focus(g.with_paths(e, m), r"^src/Brand#7/").select("src_path", "dst_path")
+    return g.focus(g.with_paths(e, m), r"^src/Brand#7/").select("repo", "snapshot_id", "src_path", "dst_path")
 
 
 @query("p4_filtered_edges")
 def q_p4(spark, d):
     e, m = _graph(spark, d)
     return g.filter_edges(g.with_paths(e, m), include_only="^src", exclude="^src/Brand#5/",
-                          do_not_follow="^src/Brand#4/").select("src_path", "dst_path")
+                          do_not_follow="^src/Brand#4/").select("repo", "snapshot_id", "src_path", "dst_path")
 
 
 @query("g8_rule_violations")
 def q_g8(spark, d):
     e, m = _graph(spark, d)
-    return g.rule_violations(g.with_paths(e, m), "same-manufacturer", r"^src/Brand#(\d)", r"^src/Brand#$1")
+    return g.rule_violations(g.with_paths(e, m), "same-manufacturer", r"^src/(Brand#\d)", r"^src/$1(\d|/)")
 
 
 @query("g9_more_unstable")
@@ -349,7 +351,7 @@ def q_g9(spark, d):
 
 def _unused_parts(spark, d):
     rows = td.export_rows(spark, d)
-    ux = un.unused_exports(rows, td.import_rows(spark, d))
+    ux = un.unused_exports(rows, td.import_rows(spark, d), td.export_entries(spark, d))
     dx = un.duplicate_exports(rows)
     decl, used = td.declared_packages(spark, d), td.used_packages(spark, d)
     ud = un.unused_dependencies(decl, used)
@@ -372,7 +374,7 @@ def _issues(spark, d):
 
 @query("c11_unused_exports")
 def q_c11(spark, d):
-    return _unused_parts(spark, d)[0].select("file", "symbol", "kind")
+    return _unused_parts(spark, d)[0].select("repo", "snapshot_id", "file", "symbol", "kind")
 
 
 @query("c15_duplicate_exports")
@@ -383,7 +385,7 @@ def q_c15(spark, d):
 @query("c12_unused_dependencies")
 def q_c12(spark, d):
     return un.unused_dependencies(td.declared_packages(spark, d), td.used_packages(spark, d)).select(
-        "package", "kind")
+        "repo", "snapshot_id", "package", "kind")
 
 
 @query("c13_unlisted_dependencies")
@@ -393,7 +395,8 @@ def q_c13(spark, d):
 
 @query("c14_unresolved_imports")
 def q_c14(spark, d):
-    return un.unresolved_imports(td.page_links(spark, d), td.page_targets(spark, d)).select("file", "specifier")
+    return un.unresolved_imports(td.page_links(spark, d), td.page_targets(spark, d)).select(
+        "repo", "snapshot_id", "file", "specifier")
 
 
 @query("a3_unused_metrics")
@@ -429,7 +432,7 @@ def q_c17m(spark, d):
 
 @query("c18_churn_hotspots")
 def q_c18(spark, d):
-    return ch.churn_hotspots(_churn(spark, d), td.modules(spark, d), limit=20)
+    return ch.churn_hotspots(_churn(spark, d), td.repo_files(spark, d), limit=20)
 
 
 @query("c18_recurring_hotspots")
@@ -522,7 +525,7 @@ def q_s6(spark, d):
 
 @query("s7_unused_report_metrics")
 def q_s7(spark, d):
-    iss = _issues(spark, d).withColumn("repo", F.lit("r")).withColumn("snapshot_id", F.lit("s"))
+    iss = _issues(spark, d)
 
     def inner(obj):  # '{"k":v}' -> '"k":v'
         return F.expr(f"substring({obj}, 2, length({obj}) - 2)")
@@ -532,7 +535,7 @@ def q_s7(spark, d):
     raw = (F.when(F.col("kind") == "files", F.to_json(F.struct(F.array(F.col("file")).alias("files"))))
            .otherwise(issue_doc))
     reports = iss.select("repo", "snapshot_id", raw.alias("raw"))
-    return rp.unused_report_metrics(reports).select("unused_files", "unused_exports", "unused_types",
+    return rp.unused_report_metrics(reports).select("repo", "snapshot_id", "unused_files", "unused_exports", "unused_types",
                                                     "unused_dependencies", "total_issues")
 
 
@@ -549,7 +552,7 @@ def q_s8(spark, d):
 
 @query("s9_graph_report_cycle_counts")
 def q_s9(spark, d):
-    e = _circular_paths(spark, d).withColumn("repo", F.lit("r")).withColumn("snapshot_id", F.lit("s"))
+    e = _circular_paths(spark, d)
     doc = F.struct(F.array(F.struct(F.col("src_path").alias("source"), F.array(F.struct(
         F.col("dst_path").alias("resolved"), F.lit(True).alias("circular"))).alias("dependencies"))).alias("modules"))
-    return rp.graph_cycle_counts_by_file(_as_reports(e, doc)).select("path", "cycles")
+    return rp.graph_cycle_counts_by_file(_as_reports(e, doc)).select("repo", "snapshot_id", "path", "cycles")

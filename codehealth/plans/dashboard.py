@@ -35,7 +35,7 @@ def dashboard_rows(snaps: DataFrame, trend: DataFrame | None = None, node_counts
 
 
 def unused_items(issues: DataFrame, spark=None) -> DataFrame:
-    """J4 + F17/F18: per file the distinct labels
+    """J4 + F17/F18: per snapshot and file the distinct labels
     '<kind label>: <name or ?>' with ' (line n)' when the line is known;
     'Entire file unused' for a file."""
     spark = spark or issues.sparkSession
@@ -47,7 +47,7 @@ def unused_items(issues: DataFrame, spark=None) -> DataFrame:
                            F.concat(F.lit(" (line "), F.col("line").cast("string"), F.lit(")")))
                     .otherwise(F.lit("")))
     text = F.when(F.col("kind") == "files", F.col("kind_label")).otherwise(text)
-    return j.select("file", text.alias("label")).dropDuplicates(["file", "label"])
+    return j.select(*SNAP, "file", text.alias("label")).distinct()
 
 
 def clone_details(clones_by_file: DataFrame) -> DataFrame:

@@ -424,19 +424,25 @@ FROM cm""")
 
 
 # ---- dependency graph over part sequences ---------------------------------------------
-GRAPH = r"""
+MONTHLY = r"""
+mon AS (SELECT 'tpch' AS repo, strftime(o_orderdate, '%Y-%m') AS snapshot_id,
+               (year(o_orderdate) * 12 + month(o_orderdate)) * 17592186044416 AS base, l.*
+        FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)"""
+GRAPH = MONTHLY + r""",
 e AS (
-  SELECT DISTINCT l_partkey AS src, nxt AS dst FROM (
-    SELECT l_partkey, l_quantity,
+  SELECT DISTINCT base + l_partkey AS src, base + nxt AS dst FROM (
+    SELECT base, l_partkey,
            lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt
-    FROM lineitem)
-  WHERE l_quantity >= 48 AND nxt IS NOT NULL),
-m AS (SELECT p_partkey AS node, 'src/' || p_brand || '/' || CAST(p_partkey AS VARCHAR) AS path, p_size AS size
-      FROM part),
-ep AS (SELECT e.src, e.dst, ms.path AS src_path, md.path AS dst_path
+    FROM mon)
+  WHERE nxt IS NOT NULL),
+m AS (SELECT DISTINCT repo, snapshot_id, base + p_partkey AS node,
+             'src/' || p_brand || '/' || CAST(p_partkey AS VARCHAR) AS path, p_size AS size
+      FROM mon JOIN part ON l_partkey = p_partkey),
+ep AS (SELECT ms.repo, ms.snapshot_id, e.src, e.dst, ms.path AS src_path, md.path AS dst_path
        FROM e JOIN m ms ON e.src = ms.node JOIN m md ON e.dst = md.node),
 cp AS (
-  SELECT m.node, m.path, coalesce(o.dependencies, 0) AS dependencies, coalesce(i.dependents, 0) AS dependents,
+  SELECT m.repo, m.snapshot_id, m.node, m.path, coalesce(o.dependencies, 0) AS dependencies,
+         coalesce(i.dependents, 0) AS dependents,
          CASE WHEN coalesce(o.dependencies, 0) + coalesce(i.dependents, 0) > 0
               THEN coalesce(o.dependencies, 0) / (coalesce(o.dependencies, 0) + coalesce(i.dependents, 0))
               ELSE 0.0 END AS instability
@@ -457,172 +463,194 @@ def with_rec(*ctes: str) -> str:
 
 
 register("g2_coupling", with_(GRAPH) + """
-SELECT node, path, dependencies, dependents, instability FROM cp""")
+SELECT repo, snapshot_id, node, path, dependencies, dependents, instability FROM cp""")
 
 register("g1_circular_edges", with_rec(GRAPH + CLOSURE) + """
-SELECT src, dst, src_path, dst_path FROM circ""")
+SELECT repo, snapshot_id, src, dst, src_path, dst_path FROM circ""")
 
-register("a16_instability_by_file", with_rec(GRAPH + CLOSURE) + """
-SELECT node, path, dependencies, dependents, instability, in_cycle FROM bf""")
+_BF = "repo, snapshot_id, node, path, dependencies, dependents, instability, in_cycle"
+register("a16_instability_by_file", with_rec(GRAPH + CLOSURE) + f"SELECT {_BF} FROM bf")
 
 register("a6_instability_summary", with_rec(GRAPH + CLOSURE) + """
-SELECT count(*) AS total_files, count(*) FILTER (WHERE in_cycle) AS files_in_cycles,
+SELECT repo, snapshot_id, count(*) AS total_files, count(*) FILTER (WHERE in_cycle) AS files_in_cycles,
        round(avg(instability), 6) AS average_instability,
        max(dependencies) AS highest_dependencies, max(dependents) AS highest_dependents
-FROM bf""")
+FROM bf GROUP BY ALL""")
 
-register("t3_highly_unstable", with_rec(GRAPH + CLOSURE) + """
-SELECT node, path, dependencies, dependents, instability, in_cycle FROM bf
-ORDER BY instability DESC, dependencies DESC, dependents DESC, path LIMIT 25""")
-
-register("t4_stable_depended_on", with_rec(GRAPH + CLOSURE) + """
-SELECT node, path, dependencies, dependents, instability, in_cycle FROM bf WHERE dependents > 0
-ORDER BY dependents DESC, instability, dependencies, path LIMIT 25""")
+_RANKED = """
+SELECT {bf}, position FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY repo, snapshot_id ORDER BY {order}, path) AS BIGINT) AS position
+  FROM bf {where}) WHERE position <= 25"""
+register("t3_highly_unstable", with_rec(GRAPH + CLOSURE) + _RANKED.format(
+    bf=_BF, order="instability DESC, dependencies DESC, dependents DESC", where=""))
+register("t4_stable_depended_on", with_rec(GRAPH + CLOSURE) + _RANKED.format(
+    bf=_BF, order="dependents DESC, instability, dependencies", where="WHERE dependents > 0"))
 
 register("g6_violations", with_rec(GRAPH + CLOSURE) + """
-SELECT 'no-circular' AS rule, 'error' AS severity, src_path AS from_path, dst_path AS to_path FROM circ""")
+SELECT repo, snapshot_id, 'no-circular' AS rule, 'error' AS severity, src_path AS from_path, dst_path AS to_path
+FROM circ""")
 
 register("a9_cycle_counts", with_rec(GRAPH + CLOSURE) + """
-SELECT path, count(*) AS cycles FROM (
-  SELECT unnest([a, b]) AS path FROM (
-    SELECT DISTINCT least(src_path, dst_path) AS a, greatest(src_path, dst_path) AS b FROM circ))
-GROUP BY path""")
+SELECT repo, snapshot_id, path, count(*) AS cycles FROM (
+  SELECT repo, snapshot_id, unnest([a, b]) AS path FROM (
+    SELECT DISTINCT repo, snapshot_id, least(src_path, dst_path) AS a, greatest(src_path, dst_path) AS b FROM circ))
+GROUP BY ALL""")
 
 register("a5_cycle_metrics", with_rec(GRAPH + CLOSURE) + """
-SELECT (SELECT count(*) FROM m) AS total_modules, (SELECT count(*) FROM e) AS total_dependencies,
-       (SELECT count(*) FROM circ) AS circular_edges, (SELECT count(*) FROM circ) AS violations,
-       coalesce(nullif((SELECT count(*) FROM circ), 0), (SELECT count(*) FROM circ)) AS cycle_count""")
+, x AS (
+  SELECT repo, snapshot_id, 1 AS m, 0 AS d, 0 AS c, 0 AS v FROM m
+  UNION ALL SELECT repo, snapshot_id, 0, 1, 0, 0 FROM ep
+  UNION ALL SELECT repo, snapshot_id, 0, 0, 1, CASE WHEN starts_with(src_path, 'src/Brand#1') THEN 1 ELSE 0 END
+  FROM circ)
+SELECT repo, snapshot_id, CAST(sum(m) AS BIGINT) AS total_modules, CAST(sum(d) AS BIGINT) AS total_dependencies,
+       CAST(sum(c) AS BIGINT) AS circular_edges, CAST(sum(v) AS BIGINT) AS violations,
+       CAST(CASE WHEN sum(v) > 0 THEN sum(v) ELSE sum(c) END AS BIGINT) AS cycle_count
+FROM x GROUP BY ALL""")
 
 REACH = r""",
-rch(node) AS (SELECT p_partkey FROM part WHERE p_size <= 5
+rch(node) AS (SELECT node FROM m WHERE size <= 5
               UNION SELECT e.dst FROM rch JOIN e ON e.src = rch.node)"""
 
 register("g7_reachable", with_rec(GRAPH + REACH) + """
 SELECT node FROM rch""")
 
 register("c10_unused_files", with_rec(GRAPH + REACH) + """
-SELECT node, path FROM m WHERE node NOT IN (SELECT node FROM rch)""")
+SELECT repo, snapshot_id, node, path FROM m WHERE node NOT IN (SELECT node FROM rch)""")
 
 register("g3_scope", with_(GRAPH) + r"""
-SELECT src_path, dst_path FROM ep
+SELECT repo, snapshot_id, src_path, dst_path FROM ep
 WHERE regexp_matches(src_path, '^src/Brand#1[0-9]?/') AND regexp_matches(dst_path, '^src/Brand#1[0-9]?/')""")
 
 register("g4_layers", with_(GRAPH) + r"""
-SELECT src_layer, dst_layer, count(*) AS weight FROM (
-  SELECT coalesce(nullif(regexp_extract(src_path, '^src/[^/]+/', 0), ''), src_path) AS src_layer,
+SELECT repo, snapshot_id, src_layer, dst_layer, count(*) AS weight FROM (
+  SELECT repo, snapshot_id, coalesce(nullif(regexp_extract(src_path, '^src/[^/]+/', 0), ''), src_path) AS src_layer,
          coalesce(nullif(regexp_extract(dst_path, '^src/[^/]+/', 0), ''), dst_path) AS dst_layer
   FROM ep) WHERE src_layer <> dst_layer GROUP BY ALL""")
 
 register("g5_focus", with_(GRAPH) + r"""
-SELECT src_path, dst_path FROM ep
+SELECT repo, snapshot_id, src_path, dst_path FROM ep
 WHERE regexp_matches(src_path, '^src/Brand#7/') OR regexp_matches(dst_path, '^src/Brand#7/')""")
 
 register("p4_filtered_edges", with_(GRAPH) + r"""
-SELECT src_path, dst_path FROM ep
+SELECT repo, snapshot_id, src_path, dst_path FROM ep
 WHERE regexp_matches(src_path, '^src') AND regexp_matches(dst_path, '^src')
   AND NOT (regexp_matches(src_path, '^src/Brand#5/') OR regexp_matches(dst_path, '^src/Brand#5/'))
   AND NOT regexp_matches(src_path, '^src/Brand#4/')""")
 
 register("g8_rule_violations", with_(GRAPH) + r"""
-SELECT 'same-manufacturer' AS rule, src_path, dst_path FROM ep
-WHERE regexp_matches(src_path, '^src/Brand#(\d)')
-  AND NOT regexp_matches(dst_path, replace('^src/Brand#$1', '$1', regexp_extract(src_path, '^src/Brand#(\d)', 1)))""")
+SELECT repo, snapshot_id, 'same-manufacturer' AS rule, src_path, dst_path FROM ep
+WHERE regexp_matches(src_path, '^src/Brand#\d')
+  AND NOT (starts_with(dst_path, regexp_extract(src_path, '^src/Brand#\d', 0))
+           AND regexp_matches(dst_path, '^src/Brand#\d(\d|/)'))""")
 
 register("g9_more_unstable", with_(GRAPH) + """
-SELECT ep.src_path, ep.dst_path, s.instability AS src_i, d.instability AS dst_i
+SELECT ep.repo, ep.snapshot_id, ep.src_path, ep.dst_path, s.instability AS src_i, d.instability AS dst_i
 FROM ep JOIN cp s ON ep.src = s.node JOIN cp d ON ep.dst = d.node
 WHERE d.instability > s.instability""")
 
 
 # ---- unused code over symbol / package / link adapters ------------------------------------
-SYMBOLS = r"""
+_SYMBOLS = r"""
 xr AS (
-  SELECT 'src/supp/' || CAST(l.l_suppkey AS VARCHAR) AS file, 'p' || CAST(l.l_partkey AS VARCHAR) AS symbol,
+  SELECT repo, snapshot_id, 'src/supp/' || CAST(l.l_suppkey AS VARCHAR) AS file,
+         'p' || CAST(l.l_partkey AS VARCHAR) AS symbol, p_size,
          CASE split_part(p.p_type, ' ', 1) WHEN 'STANDARD' THEN 'exports' WHEN 'SMALL' THEN 'types'
               WHEN 'MEDIUM' THEN 'classMembers' WHEN 'LARGE' THEN 'nsExports' WHEN 'ECONOMY' THEN 'enumMembers'
-              WHEN 'PROMO' THEN 'nsTypes' ELSE 'exports' END AS kind
-  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
-im AS (
-  SELECT DISTINCT 'src/supp/' || CAST(l_suppkey AS VARCHAR) AS file, 'p' || CAST(l_partkey AS VARCHAR) AS symbol
-  FROM lineitem WHERE l_returnflag = 'R' AND l_quantity <= 10),
-ux AS (SELECT DISTINCT file, symbol, kind FROM xr
-       WHERE (file, symbol) NOT IN (SELECT (file, symbol) FROM im)),
-dx AS (SELECT file, symbol, count(*) AS copies FROM xr GROUP BY file, symbol HAVING count(*) > 1),
-decl AS (SELECT 'pkg-' || CAST(p_partkey AS VARCHAR) AS package,
+              WHEN 'PROMO' THEN 'nsTypes' ELSE 'exports' END AS kind,
+         l_returnflag = 'R' AND l_quantity <= 10 AS imported
+  FROM mon l JOIN part p ON l.l_partkey = p.p_partkey),
+ux AS (SELECT repo, snapshot_id, file, symbol, kind FROM (
+         SELECT *, bool_or(imported) OVER (PARTITION BY repo, snapshot_id, file, symbol) AS used_,
+                bool_or(p_size = 1) OVER (PARTITION BY repo, snapshot_id, file) AS entry_ FROM xr)
+       WHERE NOT used_ AND NOT entry_ GROUP BY ALL),
+dx AS (SELECT repo, snapshot_id, file, symbol, count(*) AS copies FROM xr
+       GROUP BY repo, snapshot_id, file, symbol HAVING count(*) > 1),
+decl AS (SELECT DISTINCT 'tpch' AS repo, strftime(l_shipdate, '%Y-%m') AS snapshot_id,
+                'pkg-' || CAST(p_partkey AS VARCHAR) AS package,
                 CASE WHEN p_size >= 45 THEN 'devDependencies' ELSE 'dependencies' END AS kind
-         FROM part WHERE p_size >= 26),
-used AS (SELECT DISTINCT 'pkg-' || CAST(l_partkey AS VARCHAR) AS package,
+         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 26),
+used AS (SELECT DISTINCT repo, snapshot_id, 'pkg-' || CAST(l_partkey AS VARCHAR) AS package,
                 'src/supp/' || CAST(l_suppkey AS VARCHAR) AS file
-         FROM lineitem WHERE l_quantity >= 48),
-ud AS (SELECT package, kind FROM decl WHERE package NOT IN (SELECT package FROM used)),
-ul AS (SELECT file, package FROM used WHERE package NOT IN (SELECT package FROM decl)),
-links AS (SELECT DISTINCT url AS file, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS specifier
-          FROM pages),
-ur AS (SELECT file, specifier FROM links
-       WHERE specifier NOT IN (SELECT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) FROM pages))"""
-
-ISSUES = r""",
+         FROM mon),
+ud AS (SELECT * FROM decl d WHERE NOT EXISTS (
+         SELECT 1 FROM used u WHERE u.snapshot_id = d.snapshot_id AND u.package = d.package)),
+ul AS (SELECT repo, snapshot_id, file, package FROM used u WHERE NOT EXISTS (
+         SELECT 1 FROM decl d WHERE u.snapshot_id = d.snapshot_id AND u.package = d.package)),
+pg AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS repo, url, html,
+              regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS target FROM pages),
+links AS (SELECT DISTINCT repo, url AS file, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS specifier
+          FROM pg),
+ur AS (SELECT repo, 'crawl' AS snapshot_id, file, specifier FROM links l WHERE NOT EXISTS (
+         SELECT 1 FROM pg WHERE pg.repo = l.repo AND pg.target = l.specifier))"""
+SYMBOLS = MONTHLY + "," + _SYMBOLS
+
+ISSUES = "," + _SYMBOLS + r""",
 iss AS (
-  SELECT path AS file, 'files' AS kind, path AS name FROM m WHERE node NOT IN (SELECT node FROM rch)
-  UNION ALL SELECT file, kind, symbol FROM ux
-  UNION ALL SELECT file, 'duplicates', symbol FROM dx
-  UNION ALL SELECT 'package.json', kind, package FROM ud
-  UNION ALL SELECT file, 'unlisted', package FROM ul
-  UNION ALL SELECT file, 'unresolved', specifier FROM ur)"""
-
-register("c11_unused_exports", with_(SYMBOLS) + "SELECT file, symbol, kind FROM ux")
-register("c15_duplicate_exports", with_(SYMBOLS) + "SELECT file, symbol, copies FROM dx")
-register("c12_unused_dependencies", with_(SYMBOLS) + "SELECT package, kind FROM ud")
-register("c13_unlisted_dependencies", with_(SYMBOLS) + "SELECT file, package FROM ul")
-register("c14_unresolved_imports", with_(SYMBOLS) + "SELECT file, specifier FROM ur")
-
-register("a3_unused_metrics", with_rec(GRAPH + REACH + "," + SYMBOLS + ISSUES) + """
-SELECT count(*) FILTER (WHERE kind = 'files') AS unused_files,
+  SELECT repo, snapshot_id, path AS file, 'files' AS kind, path AS name FROM m
+  WHERE node NOT IN (SELECT node FROM rch)
+  UNION ALL SELECT repo, snapshot_id, file, kind, symbol FROM ux
+  UNION ALL SELECT repo, snapshot_id, file, 'duplicates', symbol FROM dx
+  UNION ALL SELECT repo, snapshot_id, 'package.json', kind, package FROM ud
+  UNION ALL SELECT repo, snapshot_id, file, 'unlisted', package FROM ul
+  UNION ALL SELECT repo, snapshot_id, file, 'unresolved', specifier FROM ur)"""
+
+register("c11_unused_exports", with_(SYMBOLS) + "SELECT repo, snapshot_id, file, symbol, kind FROM ux")
+register("c15_duplicate_exports", with_(SYMBOLS) + "SELECT repo, snapshot_id, file, symbol, copies FROM dx")
+register("c12_unused_dependencies", with_(SYMBOLS) + "SELECT repo, snapshot_id, package, kind FROM ud")
+register("c13_unlisted_dependencies", with_(SYMBOLS) + "SELECT repo, snapshot_id, file, package FROM ul")
+register("c14_unresolved_imports", with_(SYMBOLS) + "SELECT repo, snapshot_id, file, specifier FROM ur")
+
+register("a3_unused_metrics", with_rec(GRAPH + REACH + ISSUES) + """
+SELECT repo, snapshot_id, count(*) FILTER (WHERE kind = 'files') AS unused_files,
        count(*) FILTER (WHERE kind IN ('exports', 'nsExports', 'classMembers', 'enumMembers')) AS unused_exports,
        count(*) FILTER (WHERE kind IN ('types', 'nsTypes')) AS unused_types,
        count(*) FILTER (WHERE kind IN ('dependencies', 'devDependencies', 'optionalPeerDependencies', 'unlisted',
                                        'binaries', 'unresolved', 'catalog')) AS unused_dependencies,
        count(*) AS total_issues
-FROM iss""")
+FROM iss GROUP BY repo, snapshot_id""")
 
-register("a7_unused_by_file", with_rec(GRAPH + REACH + "," + SYMBOLS + ISSUES) + """
-SELECT file, count(*) AS unused FROM iss WHERE file IS NOT NULL AND file <> '' GROUP BY file""")
+register("a7_unused_by_file", with_rec(GRAPH + REACH + ISSUES) + """
+SELECT repo, snapshot_id, file, count(*) AS unused FROM iss WHERE file IS NOT NULL AND file <> '' GROUP BY ALL""")
 
-register("p5_filtered_issues", with_rec(GRAPH + REACH + "," + SYMBOLS + ISSUES) + """
-SELECT file, kind, name FROM iss
+register("p5_filtered_issues", with_rec(GRAPH + REACH + ISSUES) + """
+SELECT repo, snapshot_id, file, kind, name FROM iss
 WHERE kind IN ('exports', 'types', 'files', 'unresolved') AND kind NOT IN ('unresolved')
   AND starts_with(file, 'src/')""")
 
 # ---- churn over orders / lineitem ---------------------------------------------------------
 CHURN = r"""
-cmt AS (SELECT o_orderkey AS sha, o_orderdate AS ts,
+cmt AS (SELECT 'repo-' || CAST(o_custkey AS VARCHAR) AS repo, o_orderkey AS sha, o_orderdate AS ts,
                CASE WHEN o_orderpriority = '1-URGENT' THEN 'fix' ELSE 'feat' END AS subject FROM orders),
 tch AS (SELECT l.l_orderkey AS sha, 'src/' || p.p_brand || '/' || CAST(l.l_partkey AS VARCHAR) AS file,
-               CAST(l.l_quantity AS BIGINT) AS lines
+               CAST(l.l_quantity AS BIGINT) AS lines, p_size AS size
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
-rc AS (SELECT * FROM cmt WHERE ts >= (SELECT max(ts) FROM cmt) - INTERVAL 90 DAYS),
-ch AS (SELECT file, count(DISTINCT sha) AS commits,
+rc AS (SELECT * FROM (SELECT *, max(ts) OVER (PARTITION BY repo) AS newest FROM cmt)
+       WHERE ts >= newest - INTERVAL 90 DAYS),
+ch AS (SELECT repo, file, count(DISTINCT sha) AS commits,
               count(DISTINCT CASE WHEN regexp_matches(subject, '^fix') THEN sha END) AS fix_commits,
-              CAST(sum(lines) AS BIGINT) AS lines_touched
-       FROM tch JOIN rc USING (sha) GROUP BY file),
-mc AS (SELECT file, strftime(ts, '%Y-%m') AS month, count(DISTINCT sha) AS commits
+              CAST(sum(lines) AS BIGINT) AS lines_touched, min(size) AS size
+       FROM tch JOIN rc USING (sha) GROUP BY repo, file),
+mc AS (SELECT repo, file, strftime(ts, '%Y-%m') AS month, count(DISTINCT sha) AS commits
        FROM tch JOIN cmt USING (sha) GROUP BY ALL)"""
 
-register("c17_churn", with_(CHURN) + "SELECT file, commits, fix_commits, lines_touched FROM ch")
-register("c17_monthly_churn", with_(CHURN) + "SELECT file, month, commits FROM mc")
-register("c18_churn_hotspots", with_(CHURN + "," + GRAPH) + """
-, j AS (SELECT ch.file, ch.commits, m.size FROM ch JOIN m ON ch.file = m.path),
-t AS (SELECT count(*) AS n, sum(commits) AS sum_commits, sum(size) AS sum_size FROM j)
-SELECT file, commits, CAST(size AS BIGINT) AS size, CAST(commits * size AS BIGINT) AS score,
-       CASE WHEN commits * n >= sum_commits AND size * n >= sum_size THEN 'hotspot'
-            WHEN commits * n >= sum_commits THEN 'churning'
-            WHEN size * n >= sum_size THEN 'large' ELSE 'calm' END AS quadrant
-FROM j, t ORDER BY score DESC, file LIMIT 20""")
+register("c17_churn", with_(CHURN) + "SELECT repo, file, commits, fix_commits, lines_touched FROM ch")
+register("c17_monthly_churn", with_(CHURN) + "SELECT repo, file, month, commits FROM mc")
+register("c18_churn_hotspots", with_(CHURN) + """
+, t AS (SELECT *, count(*) OVER w AS n, sum(commits) OVER w AS sum_commits, sum(size) OVER w AS sum_size
+        FROM ch WINDOW w AS (PARTITION BY repo))
+SELECT * FROM (
+  SELECT repo, file, commits, CAST(size AS BIGINT) AS size, CAST(commits * size AS BIGINT) AS score,
+         CASE WHEN commits * n >= sum_commits AND size * n >= sum_size THEN 'hotspot'
+              WHEN commits * n >= sum_commits THEN 'churning'
+              WHEN size * n >= sum_size THEN 'large' ELSE 'calm' END AS quadrant,
+         CAST(row_number() OVER (PARTITION BY repo ORDER BY commits * size DESC, file) AS BIGINT) AS position
+  FROM t) WHERE position <= 20""")
 register("c18_recurring_hotspots", with_(CHURN) + """
-, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY commits DESC, file) AS rk FROM mc)
+, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, month ORDER BY commits DESC, file) AS rk FROM mc)
         WHERE rk <= 20)
-SELECT a.file, a.month, b.month AS next_month FROM r a JOIN r b
-  ON a.file = b.file AND strftime(CAST(a.month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') = b.month""")
+SELECT a.repo, a.file, a.month, b.month AS next_month FROM r a JOIN r b
+  ON a.repo = b.repo AND a.file = b.file
+  AND strftime(CAST(a.month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') = b.month""")
 
 
 # ---- clones over the corpus ------------------------------------------------------------------
@@ -707,14 +735,19 @@ FROM j""")
 
 
 # ---- details and dashboard rows ----------------------------------------------------------------
-def _labels_sql() -> str:
-    from codehealth.operators.unused import KIND_LABELS
-    vals = ", ".join(f"('{k}', '{v}')" for k, v in KIND_LABELS.items())
-    return f"lbl(kind, kind_label) AS (VALUES {vals})"
-
-
-register("j4_unused_items", with_rec(GRAPH + REACH + "," + SYMBOLS + ISSUES + "," + _labels_sql()) + """
-SELECT DISTINCT file, CASE WHEN kind = 'files' THEN 'Entire file unused' ELSE kind_label || ': ' || coalesce(name, '?') END AS label FROM iss JOIN lbl USING (kind)""")
+# fixed values: the label of each issue kind
+_LABELS = """
+lbl(kind, kind_label) AS (VALUES
+  ('files', 'Entire file unused'), ('dependencies', 'Unused dependency'),
+  ('devDependencies', 'Unused devDependency'), ('unlisted', 'Unlisted dependency'),
+  ('unresolved', 'Unresolved import'), ('exports', 'Unused export'), ('nsExports', 'Unused namespace export'),
+  ('classMembers', 'Unused class member'), ('types', 'Unused type'), ('nsTypes', 'Unused namespace type'),
+  ('enumMembers', 'Unused enum member'), ('duplicates', 'Duplicate entry'))"""
+
+register("j4_unused_items", with_rec(GRAPH + REACH + ISSUES + "," + _LABELS) + """
+SELECT DISTINCT repo, snapshot_id, file,
+       CASE WHEN kind = 'files' THEN kind_label ELSE kind_label || ': ' || coalesce(name, '?') END AS label
+FROM iss JOIN lbl USING (kind)""")
 
 register("s14_dashboard_rows", """
 SELECT h.repo, h.snapshot_id, """ + ISO.format("h.ts") + """ AS timestamp,

@@ -9,10 +9,11 @@ canonical table               built from
 ``file_history``              ``lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ region``
                               (one monthly snapshot per order month)
 ``check_results``             ``events`` (one daily snapshot per event day)
-``dep_edges`` / ``modules``   ``lineitem`` order sequences / ``part``
-``entries``                   ``part`` with ``p_size <= 5``
+``modules`` / ``dep_edges``   parts and order sequences of ``lineitem``, one snapshot
+                              per order month
+``entries``                   modules with ``p_size <= 5``
 ``exports`` / ``imports``     ``lineitem`` (supplier files export part symbols)
-``declared`` / ``used``       ``part`` / ``lineitem`` packages
+``used`` / ``declared``       packages ordered / shipped in a month
 ``commits`` / ``touches``     ``orders`` / ``lineitem``
 ============================  =================================================
 
@@ -40,7 +41,8 @@ EVENT_STATUS = {"error": "fail", "view": "skip", "click": "warn"}
 # events.event_type -> metric kind carried by the check
 EVENT_METRIC_KIND = {"purchase": "stats-overview", "signup": "unused",
                      "click": "duplicates", "error": "cycles"}
-EDGE_MIN_QUANTITY = 48
+# a graph node is (month number, part key): month * NODE_STEP + key
+NODE_STEP = 1 << 44
 ENTRY_MAX_SIZE = 5
 IMPORT_MAX_QUANTITY = 10
 DECLARED_MIN_SIZE = 26
@@ -171,69 +173,99 @@ def module_path(brand: str, key: str):
     return F.concat(F.lit(SOURCE_ROOT + "/"), F.col(brand), F.lit("/"), F.col(key).cast("string"))
 
 
+def _monthly(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Line items with the repository and the snapshot (month) of their order."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", *columns)
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.lit(HISTORY_REPO).alias("repo"), F.date_format("o_orderdate", "yyyy-MM").alias("snapshot_id"),
+        (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("month_no"),
+        "l_orderkey", *columns)
+
+
+def _node(part: str):
+    return F.col("month_no") * F.lit(NODE_STEP) + F.col(part)
+
+
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node BIGINT, path STRING, size INT) – every part is a module."""
-    p = read(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("node"), module_path("p_brand", "p_partkey").alias("path"),
-                    F.col("p_size").alias("size"))
+    """(repo, snapshot_id, node BIGINT, path STRING, size INT): the parts ordered in a month."""
+    li = _monthly(spark, sf_dir, "l_partkey").select("repo", "snapshot_id", "month_no", "l_partkey").distinct()
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    return li.join(p, li.l_partkey == p.p_partkey).select(
+        "repo", "snapshot_id", _node("p_partkey").alias("node"),
+        module_path("p_brand", "p_partkey").alias("path"), F.col("p_size").alias("size"))
 
 
 def dep_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (src, dst) part-key edges: a part imports the next part of its order."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
-                                                 "l_linenumber", "l_quantity")
+    """Distinct (src, dst) node edges: a part imports the next part of its order."""
+    li = _monthly(spark, sf_dir, "l_partkey", "l_suppkey", "l_linenumber")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    nxt = li.withColumn("dst", F.lead("l_partkey").over(w))
-    return (nxt.filter((F.col("l_quantity") >= EDGE_MIN_QUANTITY) & F.col("dst").isNotNull())
-            .select(F.col("l_partkey").alias("src"), "dst").distinct())
+    nxt = li.withColumn("next_part", F.lead("l_partkey").over(w)).filter(F.col("next_part").isNotNull())
+    return nxt.select(_node("l_partkey").alias("src"), _node("next_part").alias("dst")).distinct()
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (read(spark, sf_dir, "part").filter(F.col("p_size") <= ENTRY_MAX_SIZE)
-            .select(F.col("p_partkey").alias("node")))
+    return modules(spark, sf_dir).filter(F.col("size") <= ENTRY_MAX_SIZE).select("node")
 
 
 # ---- symbols and packages ----------------------------------------------------
+def _supplier_file():
+    return F.concat(F.lit(SOURCE_ROOT + "/supp/"), F.col("l_suppkey").cast("string")).alias("file")
+
+
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (file, symbol, kind) export declaration, repeats kept.
+    """Every (repo, snapshot_id, file, symbol, kind) export declaration, repeats kept.
 
     A supplier file exports the symbols of the parts it ships; the symbol kind
     comes from the first word of the part type.
     """
-    li = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    li = _monthly(spark, sf_dir, "l_suppkey", "l_partkey")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_type")
     kind = F.lit("exports")
     for word, k in reversed(list(EXPORT_KIND_BY_TYPE.items())):
         kind = F.when(F.substring_index(F.col("p_type"), " ", 1) == word, F.lit(k)).otherwise(kind)
     return (li.join(part, li.l_partkey == part.p_partkey)
-            .select(F.concat(F.lit(SOURCE_ROOT + "/supp/"), F.col("l_suppkey").cast("string")).alias("file"),
+            .select("repo", "snapshot_id", _supplier_file(),
                     F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("symbol"),
                     kind.alias("kind")))
 
 
 def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, symbol) pairs somebody imports."""
-    li = read(spark, sf_dir, "lineitem")
+    """(repo, snapshot_id, file, symbol) that somebody imports: returned items of small quantity."""
+    li = _monthly(spark, sf_dir, "l_suppkey", "l_partkey", "l_returnflag", "l_quantity")
     return (li.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") <= IMPORT_MAX_QUANTITY))
-            .select(F.concat(F.lit(SOURCE_ROOT + "/supp/"), F.col("l_suppkey").cast("string")).alias("file"),
+            .select("repo", "snapshot_id", _supplier_file(),
                     F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("symbol"))
             .distinct())
 
 
+def export_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, snapshot_id, file): supplier files whose exports are public, those with a part of size 1."""
+    li = _monthly(spark, sf_dir, "l_suppkey", "l_partkey")
+    p = read(spark, sf_dir, "part").filter(F.col("p_size") == 1).select("p_partkey")
+    return (li.join(p, li.l_partkey == p.p_partkey, "left_semi")
+            .select("repo", "snapshot_id", _supplier_file()).distinct())
+
+
+def _package(key: str):
+    return F.concat(F.lit("pkg-"), F.col(key).cast("string")).alias("package")
+
+
 def declared_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part")
-    return (p.filter(F.col("p_size") >= DECLARED_MIN_SIZE)
-            .select(F.concat(F.lit("pkg-"), F.col("p_partkey").cast("string")).alias("package"),
+    """(repo, snapshot_id, package, kind): a month's manifest lists the larger parts shipped in it."""
+    li = read(spark, sf_dir, "lineitem").select(
+        "l_partkey", F.date_format("l_shipdate", "yyyy-MM").alias("snapshot_id")).distinct()
+    p = read(spark, sf_dir, "part").filter(F.col("p_size") >= DECLARED_MIN_SIZE).select("p_partkey", "p_size")
+    return (li.join(p, li.l_partkey == p.p_partkey)
+            .select(F.lit(HISTORY_REPO).alias("repo"), "snapshot_id", _package("p_partkey"),
                     F.when(F.col("p_size") >= 45, F.lit("devDependencies"))
                     .otherwise(F.lit("dependencies")).alias("kind")))
 
 
 def used_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem")
-    return (li.filter(F.col("l_quantity") >= EDGE_MIN_QUANTITY)
-            .select(F.concat(F.lit("pkg-"), F.col("l_partkey").cast("string")).alias("package"),
-                    F.concat(F.lit(SOURCE_ROOT + "/supp/"), F.col("l_suppkey").cast("string")).alias("file"))
-            .distinct())
+    """(repo, snapshot_id, package, file): every line item uses its part's package."""
+    li = _monthly(spark, sf_dir, "l_partkey", "l_suppkey")
+    return li.select("repo", "snapshot_id", _package("l_partkey"), _supplier_file()).distinct()
 
 
 # ---- commits ----------------------------------------------------------------
@@ -258,20 +290,37 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("l_quantity").cast("bigint").alias("lines")))
 
 
-# ---- links (import specifiers) -------------------------------------------------
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, size): every file a repository's commits touch."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    held = (li.join(o, li.l_orderkey == o.o_orderkey)
+            .select(F.concat(F.lit("repo-"), F.col("o_custkey").cast("string")).alias("repo"), "l_partkey").distinct())
+    return held.join(p, held.l_partkey == p.p_partkey).select(
+        "repo", module_path("p_brand", "p_partkey").alias("path"), F.col("p_size").alias("size"))
+
+
+# ---- links (import specifiers): one repository per host -------------------------
+CRAWL = "crawl"
 HREF = r'href="([^"]*)"'
+URL_HOST = r"^[a-z]+://([^/?#]*)"
 URL_PATH = r"^[a-z]+://[^/]+(/[^?#]*)"
 
 
+def _host():
+    return F.regexp_extract("url", URL_HOST, 1).alias("repo")
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, specifier): every distinct link target a page refers to."""
+    """(repo, snapshot_id, file, specifier): every distinct link target a page refers to."""
     p = read(spark, sf_dir, "pages")
-    return (p.select(F.col("url").alias("file"),
+    return (p.select(_host(), F.lit(CRAWL).alias("snapshot_id"), F.col("url").alias("file"),
                      F.explode(F.regexp_extract_all(F.col("html"), F.lit(HREF), 1)).alias("specifier"))
             .distinct())
 
 
 def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(target): the path of every known page."""
+    """(repo, snapshot_id, target): the path of every known page."""
     p = read(spark, sf_dir, "pages")
-    return p.select(F.regexp_extract(F.col("url"), URL_PATH, 1).alias("target"))
+    return p.select(_host(), F.lit(CRAWL).alias("snapshot_id"), F.regexp_extract("url", URL_PATH, 1).alias("target"))

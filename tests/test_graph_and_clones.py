@@ -66,9 +66,10 @@ def test_reachability_matches_brute_force(spark):
 
 
 def test_cycle_counts_pairs_once_self_loop_twice(spark):
-    df = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c")], "src_path string, dst_path string")
-    got = {r.path: r.cycles for r in g.cycle_counts_by_file(df).collect()}
-    assert got == {"a": 1, "b": 1, "c": 2}
+    df = spark.createDataFrame([("r", "s", "a", "b"), ("r", "s", "b", "a"), ("r", "s", "c", "c"), ("r", "t", "a", "b")],
+                               "repo string, snapshot_id string, src_path string, dst_path string")
+    got = {(r.snapshot_id, r.path): r.cycles for r in g.cycle_counts_by_file(df).collect()}
+    assert got == {("s", "a"): 1, ("s", "b"): 1, ("s", "c"): 2, ("t", "a"): 1, ("t", "b"): 1}
 
 
 def _files(spark, docs):

@@ -127,9 +127,9 @@ def test_issue_filters_gates_and_report_tables(spark, tmp_dir):
     from codehealth.operators import clones as cl
     from codehealth.functions import formatting as fmt
     issues = spark.createDataFrame([
-        ("src/a.ts", "exports", "x", ["public"]), ("src/a.test.ts", "exports", "y", []),
-        ("package.json", "devDependencies", "jest", []), ("src/b.ts", "types", "T", ["internal"])],
-        "file string, kind string, name string, tags array<string>")
+        ("r", "s", "src/a.ts", "exports", "x", ["public"]), ("r", "s", "src/a.test.ts", "exports", "y", []),
+        ("r", "s", "package.json", "devDependencies", "jest", []), ("r", "s", "src/b.ts", "types", "T", ["internal"])],
+        "repo string, snapshot_id string, file string, kind string, name string, tags array<string>")
     prod = {r.name for r in un.filter_issues(issues, production=True).collect()}
     assert prod == {"x", "T"}
     assert {r.name for r in un.filter_issues(issues, tags_exclude=("internal",)).collect()} == {"x", "y", "jest"}
