@@ -1,8 +1,8 @@
 """Display expressions (column functions) for history and dashboard tables.
 
-Rounding for display is done in integer tenths (``floor(x * 10 + 0.5)``) so
-that the text is the same on every engine and halves round up, as the
-reference's ``toFixed`` does for non-negative values.
+Rounding for display is done in integer tenths of the exact binary value: 0.35
+is a little less than 35 hundredths and becomes 0.3, 0.25 is exact and its half
+goes up, as the reference's ``toFixed`` does for non-negative values.
 """
 
 from __future__ import annotations
@@ -20,7 +20,11 @@ ANSI_COLOUR = r"\x1B\[[0-9;]*m"
 
 def _tenths(x: Column) -> Column:
     """Non-negative x rounded to tenths, as BIGINT count of tenths."""
-    return F.floor(x * 10 + F.lit(0.5)).cast("bigint")
+    x = x.cast("double")
+    whole = F.floor(x)
+    # the fraction in units of 2^-57 is exact from 0.04 up, and below that it rounds to no tenth
+    fraction = F.floor((x - whole) * float(1 << 57)).cast("bigint")
+    return (whole * 10 + F.shiftright(fraction * 10 + F.lit(1 << 56), 57)).cast("bigint")
 
 
 def _tenths_text(t: Column) -> Column:
@@ -63,7 +67,7 @@ def round_half_away(x: Column, decimals: int) -> Column:
 
 def format_duration(ms: Column) -> Column:
     """'<n>ms' under one second, else seconds with one decimal."""
-    t = F.floor((ms + 50) / 100).cast("bigint")
+    t = _tenths(ms / 1000)
     return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(
         F.concat(_tenths_text(t), F.lit("s")))
 

@@ -135,17 +135,36 @@ def _parent(c):
     return F.regexp_replace(F.col(c), "/[^/]*$", "")
 
 
+def _covered(clones: DataFrame) -> DataFrame:
+    """The disjoint line spans (repo, snapshot_id, path, start, end) of second files that clones cover."""
+    spans = clones.select(*SNAP, F.col("second_file").alias("path"), F.col("second_start").alias("start"),
+                          F.col("second_end").alias("end")).distinct()
+    by_start = Window.partitionBy(*SNAP, "path").orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    parts = spans.withColumn("opens", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    parts = parts.withColumn("part", F.sum("opens").over(by_start))
+    return (parts.groupBy(*SNAP, "path", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+            .drop("part"))
+
+
 def duplication_totals(clones: DataFrame, files: DataFrame, mode: str = "mild") -> DataFrame:
     """Clones, duplicated-lines and duplicated-tokens percent (two
-    decimals, integer arithmetic) and total lines, per snapshot."""
+    decimals, integer arithmetic) and total lines, per snapshot. A line of a second
+    file counts once, however many clones cover it."""
     norm = normalised_lines(files, mode)
     base = norm.select(*SNAP, F.aggregate("arr", F.lit(0), lambda a, s: a + s["tok"]).alias("tok"))
     totals = files.select(*SNAP, F.size(F.split(F.col("content"), "\n", -1)).alias("lines")).groupBy(*SNAP).agg(
         F.sum("lines").alias("total_lines"))
     tok_tot = base.groupBy(*SNAP).agg(F.sum("tok").alias("total_tokens"))
-    c = clones.groupBy(*SNAP).agg(F.count(F.lit(1)).alias("clones"), F.sum("lines").alias("dup_lines"),
-                                  F.sum("tokens").alias("dup_tokens"))
-    j = totals.join(tok_tot, SNAP).join(c, SNAP, "left").fillna(0, subset=["clones", "dup_lines", "dup_tokens"])
+    c = clones.groupBy(*SNAP).agg(F.count(F.lit(1)).alias("clones"))
+    covered = _covered(clones).groupBy(*SNAP, "path").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    inside = norm.join(covered, [*SNAP, "path"]).select(
+        *SNAP, F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"] + 1).alias("lines"),
+        F.aggregate("arr", F.lit(0), lambda a, s: a + F.when(
+            F.exists("spans", lambda x: s["ln"].between(x["start"], x["end"])), s["tok"]).otherwise(0)).alias("tok"))
+    dup = inside.groupBy(*SNAP).agg(F.sum("lines").alias("dup_lines"), F.sum("tok").alias("dup_tokens"))
+    j = (totals.join(tok_tot, SNAP).join(c, SNAP, "left").join(dup, SNAP, "left")
+         .fillna(0, subset=["clones", "dup_lines", "dup_tokens"]))
 
     def pct(num, den):
         return F.expr(f"(10000 * {num} + div({den}, 2)) div greatest({den}, 1)") / F.lit(100.0)

@@ -159,18 +159,22 @@ def history_listing(snaps: DataFrame, trend: DataFrame) -> DataFrame:
 
 
 def derive_status(checks: DataFrame) -> DataFrame:
-    """Check status from its metrics, with the text fallback when a check
-    carries no metrics (unused / clones / cycle wording in the output)."""
+    """A check that was skipped or failed stays so; otherwise the status comes
+    from its metrics, and without metrics from the wording of its own output. A
+    check is told by its ``kind`` or, without one, its ``name``; the words of one
+    check mean nothing in the output of another."""
     count = F.col("count_value")
-    from_metrics = (F.when(F.col("kind") == "stats-overview", F.lit("pass"))
-                    .when(F.col("kind").isin("unused", "duplicates", "cycles"),
-                          F.when(count > 0, F.lit("warn")).otherwise(F.lit("pass"))))
+    check = F.coalesce(F.col("kind"), F.col("name"))
+    own_words = (F.when(check == "unused", F.lit("Unused|unused|Unlisted"))
+                 .when(check == "duplicates", F.lit(r"Clone found|Found \d+ clones"))
+                 .when(check == "cycles", F.lit("error no-circular")))
+    from_metrics = (F.when(F.col("kind").isin("unused", "duplicates", "cycles") & count.isNotNull(),
+                           F.when(count > 0, F.lit("warn")).otherwise(F.lit("pass"))))
     text = F.coalesce(F.col("output"), F.lit(""))
-    fallback = (F.when(text.rlike("Unused|unused|Unlisted"), F.lit("warn"))
-                .when(text.rlike(r"Clone found|Found \d+ clones"), F.lit("warn"))
-                .when(text.rlike("error no-circular"), F.lit("warn"))
-                .otherwise(F.lit("pass")))
-    return checks.select(*SNAP, "check_idx", "name", F.coalesce(from_metrics, fallback).alias("derived_status"))
+    from_text = F.when(F.regexp_like(text, own_words), F.lit("warn")).otherwise(F.lit("pass"))
+    status = (F.when(F.col("status").isin("skip", "fail"), F.col("status"))
+              .otherwise(F.coalesce(from_metrics, from_text)))
+    return checks.select(*SNAP, "check_idx", "name", status.alias("derived_status"))
 
 
 def every_nth_commits(commits: DataFrame, count: int, every: int) -> DataFrame:

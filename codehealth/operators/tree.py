@@ -40,6 +40,9 @@ def contributions(stats: DataFrame | None, issues: DataFrame | None) -> DataFram
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
+    for k in (*STAT_KEYS, *ISSUE_KEYS):  # one kind of input alone
+        if k not in out.columns:
+            out = out.withColumn(k, F.lit(0).cast("bigint"))
     return out.fillna(0, subset=[*STAT_KEYS, *ISSUE_KEYS, "stat_rows"])
 
 
@@ -58,6 +61,14 @@ def issues_long(df: DataFrame) -> DataFrame:
     return df.select(*SNAP, "path", stacked.alias("kv")).select(*SNAP, "path", "kv.key", "kv.count")
 
 
+def _repo_path(cwd: str | None):
+    path = normalize_path(F.col("path"))
+    if cwd:
+        base = cwd.rstrip("/") + "/"
+        path = F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
+    return path
+
+
 def build_tree(contrib: DataFrame, root: str = "src", cwd: str | None = None) -> DataFrame:
     """A10 + J1: roll contributions up to every ancestor.
 
@@ -67,11 +78,7 @@ def build_tree(contrib: DataFrame, root: str = "src", cwd: str | None = None) ->
     below a directory (a file listed twice counts twice there); a file known
     only from issues exists with files = 0.
     """
-    path = normalize_path(F.col("path"))
-    if cwd:
-        base = cwd.rstrip("/") + "/"
-        path = F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
-    c = contrib.withColumn("path", path).filter((F.col("path") != "") & within_root(F.col("path"), root))
+    c = contrib.withColumn("path", _repo_path(cwd)).filter((F.col("path") != "") & within_root(F.col("path"), root))
     exploded = c.select("*", F.posexplode(ancestor_ids(F.col("path"), root)).alias("pos", "node"))
     agg = exploded.groupBy(*SNAP, "node").agg(
         F.max(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("is_file"),
@@ -94,15 +101,25 @@ def build_tree(contrib: DataFrame, root: str = "src", cwd: str | None = None) ->
     )
 
 
-def attach_dependency(tree: DataFrame, deps: DataFrame, root: str = "src") -> DataFrame:
-    """J1 (last step): left join of per-file dependency info.
+def attach_dependency(tree: DataFrame, deps: DataFrame, root: str = "src", cwd: str | None = None) -> DataFrame:
+    """J1 (last step): per-file dependency info joined to the tree.
 
     ``deps``: (repo, snapshot_id, path, dependencies, dependents, instability,
-    in_cycle). Files known only from the dependency graph are added as file
-    nodes with zero stats; their directories are assumed present.
+    in_cycle). Files known only from the dependency graph become file nodes
+    with zero stats, together with the directories above them that the tree
+    does not have yet.
     """
-    d = deps.withColumn("path", normalize_path(F.col("path"))).filter(within_root(F.col("path"), root))
-    return tree.join(d, on=[*SNAP, "path"], how="left")
+    d = (deps.withColumn("path", _repo_path(cwd))
+         .filter((F.col("path") != "") & within_root(F.col("path"), root)))
+    above = d.select(*SNAP, F.posexplode(ancestor_ids(F.col("path"), root)).alias("pos", "node"))
+    missing = (above.groupBy(*SNAP, "node").agg(F.min("pos").alias("pos"))
+               .join(tree.select(*SNAP, F.col("path").alias("node")), [*SNAP, "node"], "left_anti"))
+    zero = [F.lit(0).cast("bigint").alias(k) for k in (*STAT_KEYS, *ISSUE_KEYS, "total")]
+    added = missing.select(*SNAP, F.col("node").alias("path"), base_name(F.col("node")).alias("name"),
+                           F.when(F.col("pos") == 0, F.lit("file")).otherwise(F.lit("dir")).alias("kind"),
+                           parent_path(F.col("node"), root).alias("parent"),
+                           F.lit(0).cast("bigint").alias("files"), *zero)
+    return tree.unionByName(added).join(d, on=[*SNAP, "path"], how="left")
 
 
 # Characters of a child's name that form its ordering bucket in ``child_order``.

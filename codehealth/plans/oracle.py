@@ -298,13 +298,19 @@ tv AS (
          CASE WHEN kinds = 4 THEN cycles END AS cycles
   FROM tv0)"""
 
-# display helpers (same integer-tenths rounding as codehealth.functions.formatting)
+# display helpers: tenths of the exact binary value, halves up
+def _tenths(x):
+    exact = f"CAST((({x}) - floor({x})) * 144115188075855872 AS HUGEINT)"
+    return (f"(CAST(floor({x}) AS BIGINT) * 10 + CAST(({exact} * 10 + 72057594037927936) "
+            f"// 144115188075855872 AS BIGINT))")
+
+
 def _num(x):
     return f"coalesce(format('{{:,}}', CAST({x} AS BIGINT)), '-')"
 
 
 def _pct(x):
-    t = f"CAST(floor(({x}) * 10 + 0.5) AS BIGINT)"
+    t = _tenths(x)
     return f"coalesce(CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%', '-')"
 
 
@@ -314,7 +320,7 @@ def _delta(d):
 
 
 def _pct_delta(d):
-    t = f"CAST(floor(abs({d}) * 10 + 0.5) AS BIGINT)"
+    t = _tenths(f"abs({d})")
     return (f"CASE WHEN {t} = 0 THEN '=' ELSE (CASE WHEN ({d}) > 0 THEN '+' ELSE '-' END) || "
             f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%' END")
 
@@ -386,21 +392,23 @@ SELECT s.repo, s.snapshot_id,
     || ' ' || CAST(year(ts) AS VARCHAR) AS label,
   printf('%dp/%dw/%df/%ds', pass, warn, fail, skip) AS status,
   CASE WHEN duration_ms < 1000 THEN CAST(duration_ms AS VARCHAR) || 'ms'
-       ELSE CAST((duration_ms + 50) // 100 // 10 AS VARCHAR) || '.' || CAST((duration_ms + 50) // 100 % 10 AS VARCHAR)
-            || 's' END AS duration,
+       ELSE CAST({_tenths('duration_ms / 1000')} // 10 AS VARCHAR) || '.' ||
+            CAST({_tenths('duration_ms / 1000')} % 10 AS VARCHAR) || 's' END AS duration,
   {_num('lines')} AS lines, {_num('complexity')} AS complexity, {_num('unused')} AS unused,
   {_pct('duplication')} AS duplication, {_num('cycles')} AS cycles
 FROM snaps s LEFT JOIN tv USING (repo, snapshot_id)""")
 
 register("p7_derived_status", with_(CHECKS) + r"""
 SELECT repo, snapshot_id, check_idx, name,
-  coalesce(CASE WHEN kind = 'stats-overview' THEN 'pass'
-                WHEN kind IN ('unused', 'duplicates', 'cycles') THEN
-                  CASE WHEN count_value > 0 THEN 'warn' ELSE 'pass' END END,
-           CASE WHEN regexp_matches(coalesce(output, ''), 'Unused|unused|Unlisted') THEN 'warn'
-                WHEN regexp_matches(coalesce(output, ''), 'Clone found|Found \d+ clones') THEN 'warn'
-                WHEN regexp_matches(coalesce(output, ''), 'error no-circular') THEN 'warn'
-                ELSE 'pass' END) AS derived_status
+  CASE WHEN status IN ('skip', 'fail') THEN status
+       WHEN kind IN ('unused', 'duplicates', 'cycles') AND count_value IS NOT NULL THEN
+         CASE WHEN count_value > 0 THEN 'warn' ELSE 'pass' END
+       WHEN coalesce(kind, name) = 'unused' AND regexp_matches(coalesce(output, ''), 'Unused|unused|Unlisted')
+         THEN 'warn'
+       WHEN coalesce(kind, name) = 'duplicates'
+            AND regexp_matches(coalesce(output, ''), 'Clone found|Found \d+ clones') THEN 'warn'
+       WHEN coalesce(kind, name) = 'cycles' AND contains(coalesce(output, ''), 'error no-circular') THEN 'warn'
+       ELSE 'pass' END AS derived_status
 FROM cr""")
 
 COMMITS = r"""
@@ -720,11 +728,15 @@ WHERE second_file <> first_file""")
 register("a4_duplication_totals", with_(CLONES) + """
 , tl AS (SELECT repo, snapshot_id, sum(len(string_split(content, chr(10)))) AS total_lines FROM sf GROUP BY ALL),
 tt AS (SELECT repo, snapshot_id, sum(tok) AS total_tokens FROM nl GROUP BY ALL),
-c AS (SELECT repo, snapshot_id, count(*) AS clones, sum(lines) AS dup_lines, sum(tokens) AS dup_tokens
-      FROM cl GROUP BY ALL),
+dl AS (SELECT DISTINCT repo, snapshot_id, second_file AS path, unnest(generate_series(second_start, second_end)) AS ln
+       FROM cl),
+c AS (SELECT repo, snapshot_id, count(*) AS clones FROM cl GROUP BY ALL),
+dd AS (SELECT dl.repo, dl.snapshot_id, count(*) AS dup_lines, sum(tok) AS dup_tokens
+       FROM dl LEFT JOIN nl USING (repo, snapshot_id, path, ln) GROUP BY ALL),
 j AS (SELECT tl.repo, tl.snapshot_id, total_lines, total_tokens, coalesce(clones, 0) AS clones,
              coalesce(dup_lines, 0) AS dup_lines, coalesce(dup_tokens, 0) AS dup_tokens
-      FROM tl JOIN tt USING (repo, snapshot_id) LEFT JOIN c USING (repo, snapshot_id))
+      FROM tl JOIN tt USING (repo, snapshot_id) LEFT JOIN c USING (repo, snapshot_id)
+       LEFT JOIN dd USING (repo, snapshot_id))
 SELECT repo, snapshot_id, CAST(clones AS BIGINT) AS clones,
        CAST((10000 * dup_lines + total_lines // 2) // greatest(total_lines, 1) AS DOUBLE) / 100
          AS duplicated_lines_percent,

@@ -132,3 +132,43 @@ def test_long_files_and_ignored_text(spark):
     assert [(r["first_start"], r["first_end"]) for r in got] == [(1, 1200)]
     files = spark.createDataFrame([("r", "s", p, f"{p} own\n{block}\nCopyright {p}") for p in ("a.ts", "b.ts")], cols)
     assert clones.clone_pairs(files, CloneParams(ignore_pattern="Copyright")).count() == 1
+
+
+def test_lines_in_two_clones_count_once(spark):
+    shared = [f"shared_{i}(alpha, beta, gamma, {i});" for i in range(20)]
+    docs = [("src/a.ts", "\n".join(shared[7:13])), ("src/b.ts", "\n".join(shared)), ("src/c.ts", "\n".join(shared))]
+    files = _files(spark, docs)
+    clones = cl.clone_pairs(files, CloneParams(min_lines=5, min_tokens=100))
+    totals = cl.duplication_totals(clones, files).first()
+    assert (totals.total_lines, totals.duplicated_lines_percent) == (46, 43.48)
+
+
+def test_spans_of_many_clones_are_joined(spark):
+    clones = spark.createDataFrame([("r", "s", "f", 1, 10), ("r", "s", "f", 3, 5), ("r", "s", "f", 8, 12),
+                                    ("r", "s", "f", 20, 21), ("r", "t", "f", 2, 2)],
+                                   "repo string, snapshot_id string, second_file string, second_start long, second_end long")
+    got = sorted((r.snapshot_id, r.start, r.end) for r in cl._covered(clones).collect())
+    assert got == [("s", 1, 12), ("s", 20, 21), ("t", 2, 2)]
+
+
+def test_rankings_are_per_snapshot(spark):
+    rows = [("r", s, p, i, 1, v, False) for s in ("s1", "s2") for i, (p, v) in enumerate((("a", 0.5), ("b", 0.9)))]
+    files = spark.createDataFrame(rows, "repo string, snapshot_id string, path string, dependencies long, "
+                                        "dependents long, instability double, in_cycle boolean")
+    assert sorted((r.snapshot_id, r.path) for r in g.highly_unstable(files, 1).collect()) == [("s1", "b"), ("s2", "b")]
+    assert sorted((r.snapshot_id, r.path) for r in g.stable_depended_on(files, 1).collect()) == [("s1", "a"), ("s2", "a")]
+
+
+def test_captured_text_of_a_rule_is_literal(spark):
+    edges = spark.createDataFrame([("r", "s", "src/a.b/x", "src/a.b/y"), ("r", "s", "src/a.b/x", "src/aXb/y")],
+                                  "repo string, snapshot_id string, src_path string, dst_path string")
+    got = g.rule_violations(edges, "own-folder", "^src/([^/]+)/", "^src/$1/").collect()
+    assert [r.dst_path for r in got] == ["src/aXb/y"]
+
+
+def test_a_hub_and_a_long_chain(spark):
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(200, 240)] + [(1, 200), (240, 0)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {(r.src, r.dst) for r in g.circular_edges(df).collect()} == {(0, 1), (1, 200), (240, 0)} | {
+        (i, i + 1) for i in range(200, 240)}
+    assert g.reachable(df, spark.createDataFrame([(1,)], "node long")).count() == 241

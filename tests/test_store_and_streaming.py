@@ -88,9 +88,10 @@ def test_commit_log(spark, tmp_dir):
 
 
 def test_unused_item_labels(spark):
-    issues = spark.createDataFrame([("src/a.ts", "exports", "unusedThing", 9), ("src/a.ts", "exports", "unusedThing", 9),
-                                    ("src/b.ts", "files", None, None)],
-                                   "file string, kind string, name string, line long")
+    issues = spark.createDataFrame([("r", "s", "src/a.ts", "exports", "unusedThing", 9),
+                                    ("r", "s", "src/a.ts", "exports", "unusedThing", 9),
+                                    ("r", "s", "src/b.ts", "files", None, None)],
+                                   "repo string, snapshot_id string, file string, kind string, name string, line long")
     got = sorted((r.file, r.label) for r in dashboard.unused_items(issues).collect())
     assert got == [("src/a.ts", "Unused export: unusedThing (line 9)"), ("src/b.ts", "Entire file unused")]
 

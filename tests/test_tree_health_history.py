@@ -174,3 +174,37 @@ def test_trend_needs_four_kinds_and_bears_more(spark):
     first = spark.createDataFrame(rows, "repo string, snapshot_id string, kind string, check_idx int, name string, count_value bigint, percent_value double")
     got = {r["snapshot_id"]: (r["lines"], r["cycles"]) for r in history.trend_vector(first).collect()}
     assert got == {"s6": (5, 5), "s3": (None, None)}
+
+
+def test_halves_of_binary_values(spark):
+    from codehealth.functions import formatting as fmt
+    r = spark.range(1).select(
+        fmt.format_percent(F.lit(0.35)).alias("a"), fmt.format_percent(F.lit(0.25)).alias("b"),
+        fmt.format_percent(F.lit(99.95)).alias("c"), fmt.format_percent(F.lit(0.0)).alias("d"),
+        fmt.format_percent(F.lit(1.0 - 2.0 ** -53)).alias("e"), fmt.format_duration(F.lit(1150)).alias("f"),
+        fmt.format_duration(F.lit(1250)).alias("g")).first()
+    assert tuple(r) == ("0.3%", "0.3%", "100.0%", "0.0%", "1.0%", "1.1s", "1.3s")
+
+
+def test_dependency_only_files_join_the_tree(spark):
+    stats = spark.createDataFrame([("r", "s", "src/a.ts", 3, 2, 1)],
+                                  "repo string, snapshot_id string, path string, lines long, code long, complexity long")
+    deps = spark.createDataFrame([("r", "s", "/work/src/x/only.ts", 1, 0, 1.0, False), ("r", "s", "src/a.ts", 0, 1, 0.0, False)],
+                                 "repo string, snapshot_id string, path string, dependencies long, dependents long, "
+                                 "instability double, in_cycle boolean")
+    tree = tr.attach_dependency(tr.build_tree(tr.contributions(stats, None)), deps, cwd="/work")
+    got = {r.path: (r.kind, r.parent, r.files, r.lines, r.instability) for r in tree.collect()}
+    assert got == {"src": ("dir", None, 1, 3, None), "src/a.ts": ("file", "src", 1, 3, 0.0),
+                   "src/x": ("dir", "src", 0, 0, None), "src/x/only.ts": ("file", "src/x", 0, 0, 1.0)}
+
+
+def test_status_words_belong_to_their_check(spark):
+    rows = [(1, "complexity", "pass", "stats-overview", 5, "src/unused.ts"), (2, "duplicates", "pass", None, None, "unused"),
+            (3, "duplicates", "pass", None, None, "Found 2 clones"), (4, "unused", "pass", "unused", 0, "Unused files"),
+            (5, "unused", "pass", None, None, "Unused files"), (6, "cycles", "fail", None, None, ""),
+            (7, "cycles", "skip", "cycles", 3, ""), (8, "cycles", "pass", "cycles", 3, "")]
+    checks = spark.createDataFrame([("r", "s", *x) for x in rows],
+                                   "repo string, snapshot_id string, check_idx long, name string, status string, kind string, "
+                                   "count_value long, output string")
+    got = [r.derived_status for r in history.derive_status(checks).orderBy("check_idx").collect()]
+    assert got == ["pass", "pass", "warn", "pass", "warn", "fail", "skip", "warn"]
