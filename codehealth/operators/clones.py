@@ -6,16 +6,17 @@ Plan (all built-in expressions, no Python on the hot path):
 1. per file, one array of normalised non-blank lines with their original
    line numbers and token counts (mode: strict / mild / weak);
 2. one shingle per window of ``min_lines`` lines, hashed twice with
-   ``xxhash64``, the second time after a salt (two independent 64-bit keys, so collisions are negligible even at 10^12
-   shingles), exploded to rows;
-3. ``groupBy`` on (snapshot, key) keeps keys seen more than once together with
-   their **first** occurrence (smallest path, position). Every other
-   occurrence is paired with that first one only, so a block copied m times
-   yields m-1 pairs, never m^2; a hot key shared by a third of all shingles
-   is one skewed sort-merge join side that AQE splits;
-4. gaps-and-islands over (first file, second file, diagonal) merges
-   consecutive shingle matches into one run;
-5. runs below ``min_tokens`` are dropped.
+   ``xxhash64``, the second time after a salt, exploded to rows;
+3. ``groupBy`` on (snapshot, key, path) and then (snapshot, key) links equal
+   shingles: those of one file in a row, the first one of each file with those of
+   the **smallest and the largest path** that hold it. A block copied m times is
+   linked about 2m times, never m^2, and a hot key is a partial aggregate and one
+   inner-join side that AQE splits;
+4. the links name pairs of files and line offsets (diagonals). Per pair the lines
+   themselves are compared along these diagonals: runs are maximal whatever third
+   files hold parts of them, and no hash decides a clone;
+5. runs below ``min_tokens`` are dropped, and of runs that end in the same second
+   place the longest stays, so m copies give m-1 clones.
 """
 
 from __future__ import annotations
@@ -58,28 +59,72 @@ def normalised_lines(files: DataFrame, mode: str = "mild") -> DataFrame:
 
 
 def shingles(norm: DataFrame, k: int) -> DataFrame:
-    """One row per window of k kept lines: key hashes, position, original
-    first/last line numbers, tokens of the first line and of the window."""
+    """One row per window of k kept lines: key hashes and position."""
     n = F.size("arr")
 
     def window(i):
-        part = F.slice(F.col("arr"), i, k)
-        text = F.array_join(F.transform(part, lambda s: s["t"]), "\n")
-        return F.struct(
-            i.alias("pos"),
-            F.xxhash64(text).alias("h1"),
-            F.xxhash64(F.lit("#"), text).alias("h2"),
-            F.element_at(part, 1)["ln"].alias("start_ln"),
-            F.element_at(part, k)["ln"].alias("end_ln"),
-            F.element_at(part, 1)["tok"].alias("tok_first"),
-            F.aggregate(part, F.lit(0), lambda acc, s: acc + s["tok"]).alias("tok_window"))
+        text = F.array_join(F.transform(F.slice(F.col("arr"), i, k), lambda s: s["t"]), "\n")
+        return F.struct(i.alias("pos"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("#"), text).alias("h2"))
     # guard n >= k: a descending sequence would produce bogus windows
     ws = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), window))
     return norm.select(*SNAP, "path", F.explode(ws).alias("w")).select(*SNAP, "path", "w.*")
 
 
+def _diagonals(norm: DataFrame, k: int) -> DataFrame:
+    """(first_file, second_file, diags): the line offsets at which two files, or a file
+    and itself, share a shingle. Equal shingles of one file are linked in a row; its
+    first one is linked to those of the smallest and the largest path that hold it."""
+    key = [*SNAP, "h1", "h2"]
+    held = shingles(norm, k).groupBy(*key, "path").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    within = held.filter(F.size("at") > 1).select(
+        *SNAP, F.col("path").alias("first_file"), F.col("path").alias("second_file"),
+        F.explode(F.zip_with(F.slice("at", F.lit(2), F.size("at") - 1), F.slice("at", F.lit(1), F.size("at") - 1),
+                             lambda x, y: x - y)).alias("diag"))
+    held = held.select(*key, "path", F.col("at")[0].alias("pos"))
+    ends = held.groupBy(*key).agg(F.min(F.struct("path", "pos")).alias("lo"), F.max(F.struct("path", "pos")).alias("hi"))
+    linked = held.join(ends.filter(F.col("lo.path") < F.col("hi.path")), key)
+    to_lo = F.struct(F.col("lo.path").alias("first_file"), F.col("path").alias("second_file"),
+                     (F.col("pos") - F.col("lo.pos")).alias("diag"))
+    to_hi = F.struct(F.col("path").alias("first_file"), F.col("hi.path").alias("second_file"),
+                     (F.col("hi.pos") - F.col("pos")).alias("diag"))
+    between = (linked.filter(F.col("path") > F.col("lo.path"))
+               .select(*SNAP, F.explode(F.array(to_lo, to_hi)).alias("c")).select(*SNAP, "c.*")
+               .filter(F.col("first_file") < F.col("second_file")))
+    return within.unionByName(between).groupBy(*SNAP, "first_file", "second_file").agg(
+        F.collect_set("diag").alias("diags"))
+
+
+def _runs(pairs: DataFrame, norm: DataFrame, k: int) -> DataFrame:
+    """Maximal runs of k or more lines of equal text on the diagonals of each pair of files."""
+    a = norm.select(*SNAP, F.col("path").alias("first_file"), F.col("arr").alias("a"))
+    b = norm.select(*SNAP, F.col("path").alias("second_file"), F.col("arr").alias("b"))
+    on = (pairs.join(a, [*SNAP, "first_file"]).join(b, [*SNAP, "second_file"])
+          .withColumn("diag", F.explode("diags")))
+    low, high = F.greatest(F.lit(1), F.col("diag") + 1), F.least(F.size("b"), F.size("a") + F.col("diag"))
+
+    def same(i):
+        return F.element_at("a", i - F.col("diag"))["t"] == F.element_at("b", i)["t"]
+    places = F.filter(F.sequence(low, high), same)
+    on = on.withColumn("at", places)
+    n = F.size("at")
+    inner = F.sequence(F.lit(1), n)
+    opens = F.filter(inner, lambda i: (i == 1) | (F.element_at("at", F.greatest(i - 1, F.lit(1))) != F.element_at("at", i) - 1))
+    closes = F.filter(inner, lambda i: (i == n) | (F.element_at("at", F.least(i + 1, n)) != F.element_at("at", i) + 1))
+    run = F.zip_with(opens, closes, lambda x, y: F.struct(F.element_at("at", x).alias("start_pos"),
+                                                          F.element_at("at", y).alias("end_pos")))
+    runs = on.filter(n >= k).withColumn(
+        "run", F.explode(F.filter(run, lambda r: r["end_pos"] - r["start_pos"] >= k - 1)))
+    start, end, diag = F.col("run.start_pos"), F.col("run.end_pos"), F.col("diag")
+    return runs.select(
+        *SNAP, "first_file", "second_file", start.alias("start_pos"), end.alias("end_pos"),
+        F.element_at("a", start - diag)["ln"].alias("first_start"), F.element_at("a", end - diag)["ln"].alias("first_end"),
+        F.element_at("b", start)["ln"].alias("second_start"), F.element_at("b", end)["ln"].alias("second_end"),
+        F.aggregate(F.slice("b", start, end - start + 1), F.lit(0).cast("bigint"),
+                    lambda acc, s: acc + s["tok"]).alias("tokens"))
+
+
 def clone_pairs(files: DataFrame, params: CloneParams = CloneParams()) -> DataFrame:
-    """C5 (+ C7 skip-local, P3 max-lines / max-size filters): one row per clone.
+    """C5 (+ C7 skip-local, P3 formats / max-lines / max-size filters): one row per clone.
 
     Columns: repo, snapshot_id, first_file, first_start, first_end,
     second_file, second_start, second_end, lines, norm_lines, tokens.
@@ -87,6 +132,9 @@ def clone_pairs(files: DataFrame, params: CloneParams = CloneParams()) -> DataFr
     k = params.min_lines
     f = files
     n_lines = F.size(F.split(F.col("content"), "\n", -1))
+    if params.formats:
+        from codehealth.functions.paths import extension
+        f = f.filter(extension(F.col("path")).isin(list(params.formats)))
     if params.max_lines:
         f = f.filter(n_lines <= params.max_lines)
     if params.max_size:
@@ -97,35 +145,21 @@ def clone_pairs(files: DataFrame, params: CloneParams = CloneParams()) -> DataFr
     if params.ignore_pattern:
         # matching text is ignored (e.g. license headers); the file's other lines stay
         f = f.withColumn("content", F.regexp_replace("content", params.ignore_pattern, ""))
-    sh = shingles(normalised_lines(f, params.mode), k)
-    key = [*SNAP, "h1", "h2"]
-    firsts = (sh.groupBy(*key)
-              .agg(F.count(F.lit(1)).alias("occurrences"),
-                   F.min(F.struct("path", "pos", "start_ln", "end_ln")).alias("first"))
-              .filter(F.col("occurrences") > 1)
-              .drop("occurrences"))
-    pairs = (sh.join(firsts, key)
-             .filter((F.col("path") != F.col("first.path")) | (F.col("pos") != F.col("first.pos")))
-             .select(*SNAP,
-                     F.col("first.path").alias("first_file"), F.col("path").alias("second_file"),
-                     (F.col("pos") - F.col("first.pos")).alias("diag"), "pos",
-                     F.col("first.start_ln").alias("f_start"), F.col("first.end_ln").alias("f_end"),
-                     "start_ln", "end_ln", "tok_first", "tok_window"))
-    w = Window.partitionBy(*SNAP, "first_file", "second_file", "diag").orderBy("pos")
-    islands = pairs.withColumn("grp", F.col("pos") - F.row_number().over(w))
-    runs = islands.groupBy(*SNAP, "first_file", "second_file", "diag", "grp").agg(
-        F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"),
-        F.min_by("f_start", "pos").alias("first_start"), F.max_by("f_end", "pos").alias("first_end"),
-        F.min_by("start_ln", "pos").alias("second_start"), F.max_by("end_ln", "pos").alias("second_end"),
-        (F.sum("tok_first") + F.max_by(F.col("tok_window") - F.col("tok_first"), "pos")).alias("tokens"))
+    norm = normalised_lines(f, params.mode)
+    runs = _runs(_diagonals(norm, k), norm, k).filter(F.col("tokens") >= params.min_tokens)
+    # a second place is listed with its longest match, the smallest first place among equals
+    longer = (Window.partitionBy(*SNAP, "second_file")
+              .orderBy("start_pos", F.desc("end_pos"), "first_file", "first_start")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("end_pos").over(longer)
+    runs = runs.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("reach") < F.col("end_pos")))
     out = runs.select(*SNAP, "first_file", F.col("first_start").cast("bigint").alias("first_start"),
                       F.col("first_end").cast("bigint").alias("first_end"), "second_file",
                       F.col("second_start").cast("bigint").alias("second_start"),
                       F.col("second_end").cast("bigint").alias("second_end"),
                       (F.col("second_end") - F.col("second_start") + 1).cast("bigint").alias("lines"),
-                      (F.col("end_pos") - F.col("start_pos") + k).cast("bigint").alias("norm_lines"),
+                      (F.col("end_pos") - F.col("start_pos") + 1).cast("bigint").alias("norm_lines"),
                       F.col("tokens").cast("bigint").alias("tokens"))
-    out = out.filter(F.col("tokens") >= params.min_tokens)
     if params.skip_local:
         out = out.filter(_parent("first_file") != _parent("second_file"))
     return out

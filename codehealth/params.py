@@ -42,6 +42,7 @@ class CloneParams:
     max_lines: int | None = None
     max_size: int | None = None
     mode: str = DEFAULT_CLONE_MODE  # strict | mild | weak
+    formats: tuple[str, ...] = ()  # file extensions, all if empty
     skip_local: bool = False
     threshold: float | None = None
     ignore: tuple[str, ...] = ()

@@ -680,33 +680,48 @@ sh AS (
              || chr(10) || lead(t, 4) OVER w AS txt
     FROM nl WINDOW w AS (PARTITION BY repo, snapshot_id, path ORDER BY pos))
   WHERE end_ln IS NOT NULL),
-fo AS (
-  SELECT *, first_value(path) OVER g AS f_path, first_value(pos) OVER g AS f_pos,
-         first_value(start_ln) OVER g AS f_start, first_value(end_ln) OVER g AS f_end,
-         count(*) OVER (PARTITION BY repo, snapshot_id, txt) AS occ
-  FROM sh
-  WINDOW g AS (PARTITION BY repo, snapshot_id, txt ORDER BY path, pos
-               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-pr AS (
-  SELECT repo, snapshot_id, f_path AS first_file, path AS second_file, pos - f_pos AS diag, pos,
-         f_start, f_end, start_ln, end_ln, tok_first, tok_window
-  FROM fo WHERE occ > 1 AND NOT (path = f_path AND pos = f_pos)),
+occ AS (SELECT repo, snapshot_id, txt, path, min(pos) AS pos FROM sh GROUP BY ALL),
+ends AS (
+  SELECT repo, snapshot_id, txt, min(path) AS lo, arg_min(pos, path) AS lo_pos, max(path) AS hi,
+         arg_max(pos, path) AS hi_pos
+  FROM occ GROUP BY ALL HAVING count(*) > 1),
+cand AS (
+  SELECT repo, snapshot_id, path AS first_file, path AS second_file, pos - before AS diag
+  FROM (SELECT *, lag(pos) OVER (PARTITION BY repo, snapshot_id, txt, path ORDER BY pos) AS before FROM sh)
+  WHERE before IS NOT NULL
+  UNION SELECT repo, snapshot_id, lo, path, pos - lo_pos
+        FROM occ JOIN ends USING (repo, snapshot_id, txt) WHERE path > lo
+  UNION SELECT repo, snapshot_id, path, hi, hi_pos - pos
+        FROM occ JOIN ends USING (repo, snapshot_id, txt) WHERE path > lo AND path < hi),
+eqs AS (
+  SELECT c.*, b.pos, a.ln AS f_ln, b.ln AS s_ln, b.tok
+  FROM cand c
+  JOIN nl b ON b.repo = c.repo AND b.snapshot_id = c.snapshot_id AND b.path = c.second_file
+  JOIN nl a ON a.repo = c.repo AND a.snapshot_id = c.snapshot_id AND a.path = c.first_file
+           AND a.pos = b.pos - c.diag AND a.t = b.t),
 isl AS (
   SELECT *, pos - row_number() OVER (PARTITION BY repo, snapshot_id, first_file, second_file, diag ORDER BY pos)
             AS grp
-  FROM pr),
-runs AS (
+  FROM eqs),
+alls AS (
   SELECT repo, snapshot_id, first_file, second_file, diag, grp, min(pos) AS start_pos, max(pos) AS end_pos,
-         arg_min(f_start, pos) AS first_start, arg_max(f_end, pos) AS first_end,
-         arg_min(start_ln, pos) AS second_start, arg_max(end_ln, pos) AS second_end,
-         sum(tok_first) + arg_max(tok_window - tok_first, pos) AS tokens
-  FROM isl GROUP BY ALL),
+         min(f_ln) AS first_start, max(f_ln) AS first_end, min(s_ln) AS second_start, max(s_ln) AS second_end,
+         sum(tok) AS tokens
+  FROM isl GROUP BY ALL HAVING count(*) >= 5 AND sum(tok) >= 50),
+runs AS (
+  SELECT * FROM alls r
+  WHERE NOT EXISTS (
+    SELECT 1 FROM alls o
+    WHERE o.repo = r.repo AND o.snapshot_id = r.snapshot_id AND o.second_file = r.second_file
+      AND o.start_pos <= r.start_pos AND o.end_pos >= r.end_pos
+      AND (o.start_pos < r.start_pos OR o.end_pos > r.end_pos
+           OR (o.first_file, o.first_start) < (r.first_file, r.first_start)))),
 cl AS (
   SELECT repo, snapshot_id, first_file, CAST(first_start AS BIGINT) AS first_start,
          CAST(first_end AS BIGINT) AS first_end, second_file, CAST(second_start AS BIGINT) AS second_start,
          CAST(second_end AS BIGINT) AS second_end, CAST(second_end - second_start + 1 AS BIGINT) AS lines,
-         CAST(end_pos - start_pos + 5 AS BIGINT) AS norm_lines, CAST(tokens AS BIGINT) AS tokens
-  FROM runs WHERE tokens >= 50)"""
+         CAST(end_pos - start_pos + 1 AS BIGINT) AS norm_lines, CAST(tokens AS BIGINT) AS tokens
+  FROM runs)"""
 
 register("c5_clones", with_(CLONES) + "SELECT * FROM cl")
 

@@ -172,3 +172,28 @@ def test_a_hub_and_a_long_chain(spark):
     assert {(r.src, r.dst) for r in g.circular_edges(df).collect()} == {(0, 1), (1, 200), (240, 0)} | {
         (i, i + 1) for i in range(200, 240)}
     assert g.reachable(df, spark.createDataFrame([(1,)], "node long")).count() == 241
+
+
+def test_clone_run_is_not_broken_by_a_third_file(spark):
+    block = [f"let value{i} = compute(alpha, beta, gamma);" for i in range(20)]
+    docs = [("src/a.ts", "\n".join(block[7:13])), ("src/b.ts", "\n".join(block)), ("src/c.ts", "\n".join(block))]
+    files = _files(spark, docs)
+    got = cl.clone_pairs(files, CloneParams(min_tokens=100))
+    assert [(r.first_file, r.second_file, r.second_start, r.second_end) for r in got.collect()] == \
+        [("src/b.ts", "src/c.ts", 1, 20)]
+    totals = cl.duplication_totals(got, files).first()
+    assert (totals.clones, totals.duplicated_lines_percent) == (1, 43.48)
+    # with few tokens asked for, the part that a holds is a clone of its own
+    short = cl.clone_pairs(files, CloneParams(min_tokens=50)).collect()
+    assert sorted((r.first_file, r.second_file, r.lines) for r in short) == \
+        [("src/a.ts", "src/b.ts", 6), ("src/b.ts", "src/c.ts", 20)]
+
+
+def test_clones_within_one_file_and_formats(spark):
+    block = "\n".join(f"let value{i} = compute(alpha, beta, gamma, {i});" for i in range(6))
+    files = _files(spark, [("src/a.ts", block + "\nmiddle\n" + block), ("src/b.md", block),
+                           ("src/same.ts", "\n".join(["repeat(the, same, line, again);"] * 300))])
+    got = cl.clone_pairs(files, CloneParams(min_tokens=20, formats=("ts",))).collect()
+    assert sorted((r.first_file, r.second_file, r.second_start, r.second_end) for r in got) == \
+        [("src/a.ts", "src/a.ts", 8, 13), ("src/same.ts", "src/same.ts", 2, 300)]
+    assert cl.clone_pairs(files.limit(0)).count() == 0
