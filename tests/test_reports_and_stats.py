@@ -159,3 +159,23 @@ def test_weak_and_strict_modes_differ(spark):
                                "repo string, snapshot_id string, path string, content string")
     n = {m: [x.t for x in normalised_lines(df, m).first().arr] for m in ("strict", "mild", "weak")}
     assert n == {"strict": ["a", "", "// c", "  b  "], "mild": ["a", "// c", "b"], "weak": ["a", "b"]}
+
+
+def test_malformed_unused_report_has_no_metrics(spark):
+    df = spark.createDataFrame([("r", "s1", "{not json"), ("r", "s2", '{"files":["a"]}'), ("r", "s3", "null"),
+                                ("r", "s4", '{"files":["a"]}'), ("r", "s4", ""), ("r", "s5", None)],
+                               "repo string, snapshot_id string, raw string")
+    assert [(r.snapshot_id, r.unused_files, r.total_issues) for r in rp.unused_report_metrics(df).collect()] == [("s2", 1, 1)]
+    assert [r.snapshot_id for r in rp.unused_counts_by_file(df).collect()] == ["s2"]
+
+
+def test_entries_at_any_depth(spark):
+    deep = {"exports": {"name": "foo"}, "enumMembers": {"A": {"B": {"C": {"D": {"E": [{"name": "x", "line": 3}, "y"]}}}}},
+            "types": [[["t"]], {"col": 4}, 7, None], "file": "f.ts"}
+    doc = {"files": {"group": [{"path": "gone.ts"}, "other.ts"]}, "issues": [deep, None, 5]}
+    got = sorted((r.file, r.kind, r.name or "", r.line or 0) for r in rp.unused_report_items(_reports(spark, doc)).collect())
+    assert got == [("f.ts", "enumMembers", "x", 3), ("f.ts", "enumMembers", "y", 0), ("f.ts", "exports", "foo", 0),
+                   ("f.ts", "types", "", 0), ("f.ts", "types", "t", 0), ("gone.ts", "files", "", 0),
+                   ("other.ts", "files", "", 0)]
+    m = rp.unused_report_metrics(_reports(spark, doc)).first()
+    assert (m.unused_files, m.unused_exports, m.unused_types) == (2, 2, 4)
