@@ -19,8 +19,16 @@ SNAP = ["repo", "snapshot_id"]
 # ---- fixed values of the line classifier ------------------------------------
 # A blank line holds only spaces, tabs or a carriage return.
 BLANK_LINE = r"^[ \t\r]*$"
-# A comment line starts (after indentation) with one of these markers.
+# A comment line starts (after indentation) with a marker of its language, or with any
+# of the markers if the language is not listed.
 COMMENT_LINE = r"^[ \t]*(//|#|/\*|\*|--)"
+LINE_MARKERS = {"//": ("c", "cpp", "cs", "css", "go", "java", "javascript", "js", "jsx", "kt", "rs", "rust", "scala",
+                       "scss", "swift", "ts", "tsx", "typescript"),
+                "#": ("py", "python", "rb", "ruby", "sh", "shell", "toml", "yaml", "yml"),
+                "--": ("hs", "lua", "sql")}
+# In languages of the first kind, and in SQL, a block comment spans lines.
+BLOCK_LANGUAGES = (*LINE_MARKERS["//"], "sql")
+BLOCK_COMMENT = r"(?m)^[ \t]*/\*(?s:.*?)(?:\*/|\z)"
 # Branch keywords and operators counted as complexity.
 BRANCH_KEYWORDS = ("if", "for", "while", "case", "catch")
 BRANCH_OPERATORS = r"&&|\|\||==|!="
@@ -41,21 +49,47 @@ _BRANCH_RX = ("(?=[" + _FIRST_CHARS + "])(?:(?<!" + WORD_CHAR + ")(?:" + "|".joi
               + WORD_CHAR + ")|" + BRANCH_OPERATORS + ")")
 
 
+def _comments(lines, pattern):
+    return F.size(F.filter(lines, lambda x: ~x.rlike(BLANK_LINE) & x.rlike(pattern)))
+
+
 def line_stats(files: DataFrame) -> DataFrame:
-    """Per file lines, blanks, comments, code and complexity."""
-    lines = F.split(F.col("content"), "\n", -1)
+    """Per file lines, blanks, comments, code and complexity.
+
+    Where the language has them, every line that a block comment opened at the start of a
+    line reaches is a comment, blank ones too; an unclosed one reaches the end. A line with
+    code after the end of the block comment counts as a comment.
+    """
+    language = F.lower("language")
+    blocks = F.when(language.isin(*BLOCK_LANGUAGES), F.regexp_extract_all("content", F.lit(BLOCK_COMMENT), 0))
+    # what is left of a block comment's lines is one line that is neither blank nor a line comment
+    rest = F.when(F.size(blocks) > 0, F.regexp_replace("content", BLOCK_COMMENT, "x")).otherwise(F.col("content"))
+    in_blocks = F.coalesce(F.aggregate(blocks, F.lit(0), lambda n, x: n + F.size(F.split(x, "\n", -1))), F.lit(0))
+    lines = F.split(rest, "\n", -1)
     blanks = F.size(F.filter(lines, lambda x: x.rlike(BLANK_LINE)))
-    comments = F.size(F.filter(lines, lambda x: ~x.rlike(BLANK_LINE) & x.rlike(COMMENT_LINE)))
+    comments = _comments(lines, COMMENT_LINE)
+    for marker, languages in LINE_MARKERS.items():
+        comments = F.when(language.isin(*languages), _comments(lines, rf"^[ \t]*{marker}")).otherwise(comments)
     complexity = F.regexp_count(F.col("content"), F.lit(_BRANCH_RX))
     out = files.select(*SNAP, "path", "language",
-                       F.size(lines).cast("bigint").alias("lines"),
+                       F.size(F.split(F.col("content"), "\n", -1)).cast("bigint").alias("lines"),
                        blanks.cast("bigint").alias("blanks"),
-                       comments.cast("bigint").alias("comments"),
+                       (comments + in_blocks).cast("bigint").alias("comments"),
                        complexity.cast("bigint").alias("complexity"),
                        F.octet_length("content").cast("bigint").alias("bytes"))
     return out.withColumn("code", F.col("lines") - F.col("blanks") - F.col("comments"))
 
 
+def overview_files(files: DataFrame, no_min_gen: bool = True, no_duplicates: bool = False) -> DataFrame:
+    """The files an overview counts: without minified and generated ones by default, and
+    one file per content on demand."""
+    if no_min_gen:
+        files = files.join(minified_or_generated(files).select(*SNAP, "path"), [*SNAP, "path"], "left_anti")
+    if no_duplicates:
+        files = files.join(drop_duplicate_files(files).select(*SNAP, "path"), [*SNAP, "path"], "left_semi")
+    return files
+
+
 def language_overview(stats: DataFrame) -> DataFrame:
     """A1: per (snapshot, language) totals, ranked lines desc then name."""
     per_lang = stats.groupBy(*SNAP, "language").agg(

@@ -182,7 +182,7 @@ def every_nth_commits(commits: DataFrame, count: int, every: int) -> DataFrame:
     count*every from HEAD (HEAD itself is index 0), oldest first.
 
     Repositories whose history is not longer than count*every get no rows
-    (the reference raises for them). Only the newest count*every + 1 commits
+    (the reference raises for them); :func:`short_histories` names them. Only the newest count*every + 1 commits
     of each repository are needed; ``row_number() <= k`` is planned as a
     partial WindowGroupLimit, so a repository with a huge history ships at
     most k rows per map task.
@@ -199,6 +199,13 @@ def every_nth_commits(commits: DataFrame, count: int, every: int) -> DataFrame:
                       (F.lit(count + 1) - idx / every).cast("bigint").alias("order"))
 
 
+def short_histories(commits: DataFrame, count: int, every: int) -> DataFrame:
+    """The repositories that :func:`every_nth_commits` passes over, with the number of commits
+    they have and need."""
+    return (commits.groupBy("repo").agg(F.count(F.lit(1)).alias("available"))
+            .withColumn("needed", F.lit(count * every + 1).cast("bigint")).filter("available < needed"))
+
+
 def previous_snapshot(runs: DataFrame, snaps: DataFrame) -> DataFrame:
     """J2 for incoming runs: the newest stored snapshot strictly before each
     run (``runs(repo, run_id, ts)``, ``snaps(repo, snapshot_id, ts)``).

@@ -46,11 +46,15 @@ def _top(df: DataFrame, score, limit: int) -> DataFrame:
     scored = df.withColumn("score", js_round(score * 100).cast("bigint")).filter(F.col("score") > 0)
     w = Window.partitionBy(*SNAP).orderBy(F.desc("score"), F.asc("path"))
     ranked = scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    # a tree with dependency information shows the instability of its files; it has no weight in the score
+    instability = F.when(F.col("kind") == "file", F.coalesce("instability", F.lit(0.0))).otherwise(F.lit(0.0)) \
+        if "instability" in df.columns else None
     return ranked.select(
         *SNAP, F.col("position").cast("bigint").alias("position"), "path", "name", "kind", "score",
         round2(F.col("complexity_signal")).alias("complexity_signal"),
         round2(F.col("size_signal")).alias("size_signal"),
         round2(F.col("issues_signal")).alias("issues_signal"),
+        *([] if instability is None else [round2(instability).alias("instability_signal")]),
         "lines", "code", "complexity", "total")
 
 

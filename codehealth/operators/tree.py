@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from codehealth.functions.paths import ancestor_ids, base_name, normalize_path, parent_path, within_root
+from codehealth.session import checkpoint_dir
 
 SNAP = ["repo", "snapshot_id"]
 ISSUE_KEYS = ("unused", "duplication", "cycles")
@@ -122,27 +123,24 @@ def attach_dependency(tree: DataFrame, deps: DataFrame, root: str = "src", cwd:
     return tree.unionByName(added).join(d, on=[*SNAP, "path"], how="left")
 
 
-# Characters of a child's name that form its ordering bucket in ``child_order``.
-CHILD_BUCKET_CHARS = 2
-
-
 def child_order(tree: DataFrame) -> DataFrame:
     """Ordered children of every directory: directories first, then path.
 
-    A directory may hold a third of all files, so children are not ranked in
-    one window per directory. They are ranked inside order-preserving buckets
-    (kind, then the parent path plus the first characters of the name: every
-    path of an earlier bucket sorts before every path of a later one), and
-    each bucket's offset is a running sum over the small per-bucket count
-    table.
+    A directory may hold a third of all files, so children are not ranked in one window
+    per directory: they are put into ranges of the whole order, which cut a large
+    directory into as many parts as it needs whatever its names are. Children are ranked
+    in their part, and a running sum over the few parts of a directory gives each part's
+    offset. The ranges come from a sample, so they are written once (checkpoint) and read twice.
     """
     children = (tree.filter(F.col("parent").isNotNull())
-                .withColumn("ko", F.when(F.col("kind") == "dir", 0).otherwise(1))
-                .withColumn("bucket", F.expr(f"substring(path, 1, length(parent) + 1 + {CHILD_BUCKET_CHARS})")))
-    key = [*SNAP, "parent", "ko", "bucket"]
-    local = children.withColumn("local", F.row_number().over(Window.partitionBy(*key).orderBy("path")))
-    sizes = children.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*SNAP, "parent").orderBy("ko", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+                .select(*SNAP, "parent", F.when(F.col("kind") == "dir", 0).otherwise(1).alias("ko"), "path", "kind"))
+    checkpoint_dir(tree.sparkSession)
+    placed = (children.repartitionByRange(*SNAP, "parent", "ko", "path")
+              .withColumn("part", F.spark_partition_id()).checkpoint())
+    key = [*SNAP, "parent", "part"]
+    local = placed.withColumn("local", F.row_number().over(Window.partitionBy(*key).orderBy("ko", "path")))
+    sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*SNAP, "parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     return local.join(offsets, key).select(*SNAP, "parent", F.col("path").alias("child"), "kind",
                                             (F.col("offset") + F.col("local")).cast("bigint").alias("position"))

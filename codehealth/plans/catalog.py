@@ -7,6 +7,7 @@ operator family on them; the matching DuckDB statement lives in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,9 @@ from codehealth.operators import tree as tree_ops
 from codehealth.operators import unused as un
 from codehealth.params import CloneParams, StatsParams
 from codehealth.plans import dashboard as dash
+from codehealth.session import checkpoint_dir
 from codehealth.sources import reports as rp
+from codehealth.sources import store
 from codehealth.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -556,3 +559,57 @@ def q_s9(spark, d):
     doc = F.struct(F.array(F.struct(F.col("src_path").alias("source"), F.array(F.struct(
         F.col("dst_path").alias("resolved"), F.lit(True).alias("circular"))).alias("dependencies"))).alias("modules"))
     return rp.graph_cycle_counts_by_file(_as_reports(e, doc)).select("repo", "snapshot_id", "path", "cycles")
+
+
+# ---- snapshot store round trip: daily snapshots saved as bundles in the shared folder, read back ----------
+KEEP_SNAPSHOTS = 10
+
+
+def _stored_history(spark, d):
+    """The folder of a new history: one bundle a day with the first check of each metric kind."""
+    kind, n = F.col("kind"), F.col("count_value")
+    metrics = F.struct(
+        kind, F.when(kind == "stats-overview", n).alias("totalLines"),
+        F.when(kind == "stats-overview", F.floor("percent_value")).alias("totalComplexity"),
+        F.when(kind == "unused", n).alias("totalIssues"),
+        F.when(kind == "duplicates", F.col("percent_value")).alias("duplicatedLinesPercent"),
+        F.when(kind == "cycles", n).alias("cycleCount"))
+    check = F.struct("check_idx", "name", F.lit("pass").alias("status"), metrics.alias("metrics"))
+    daily = hist.first_metrics(_checks(spark, d)).groupBy("repo", "snapshot_id").agg(
+        F.array_sort(F.collect_list(check)).alias("checks"), F.sum(n).alias("counted"))  # one check a kind
+    artifact = F.struct(F.lit("unused").alias("id"), F.lit("unused").alias("checkName"), F.lit("json").alias("format"),
+                        F.lit("artifacts/unused.json").alias("path"))
+    bundles = daily.select(
+        "repo", "snapshot_id", F.lit(store.SNAPSHOT_VERSION).alias("version"), F.col("snapshot_id").alias("id"),
+        F.transform("checks", lambda c: F.struct(c["name"], c["status"], c["metrics"])).alias("checks"),
+        F.array(artifact).alias("artifacts"), F.concat(F.lit("# "), "snapshot_id").alias("report_text"),
+        F.lit('{"rootId":"src"}').alias("tree_json"),
+        F.create_map(F.lit("unused"), F.to_json(F.struct(F.col("counted")))).alias("artifact_json"))
+    base = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    store.save_bundles(bundles, base)
+    return base
+
+
+@query("s1_stored_trend")
+def q_s1(spark, d):
+    return store.trend_from_summaries(store.load_summaries(spark, _stored_history(spark, d)))
+
+
+@query("s2_latest_snapshot")
+def q_s2(spark, d):
+    return store.load_latest(spark, _stored_history(spark, d)).select("repo", "snapshot_id", F.size("checks").cast("bigint").alias("checks"))
+
+
+@query("s3_bundles")
+def q_s3(spark, d):
+    b = store.load_bundles(spark, _stored_history(spark, d))
+    return b.select("repo", "snapshot_id", "report_text",
+                    F.variant_get(F.parse_json("tree_json"), "$.rootId", "string").alias("root_id"),
+                    F.variant_get(F.parse_json(F.col("artifact_json")["unused"]), "$.counted", "bigint").alias("counted"))
+
+
+@query("s5_retained_snapshots")
+def q_s5(spark, d):
+    kept, removed = store.prune_plan(store.load_summaries(spark, _stored_history(spark, d)), KEEP_SNAPSHOTS)
+    return kept.select("repo", "snapshot_id", F.lit(True).alias("kept")).unionByName(
+        removed.select("repo", "snapshot_id", F.lit(False).alias("kept")))

@@ -810,3 +810,19 @@ CLONES_WEAK = CLONES.replace(
     " WHERE t <> '' AND NOT regexp_matches(t, '^(//|#|/\\*|\\*|--)')),")
 assert CLONES_WEAK != CLONES
 register("c8_clones_weak", with_(CLONES_WEAK) + "SELECT * FROM cl")
+
+# ---- snapshot store round trip -----------------------------------------------------------------
+register("s1_stored_trend", with_(CHECKS) + "SELECT repo, snapshot_id, lines, complexity, unused, duplication, cycles FROM tv")
+
+register("s2_latest_snapshot", with_(CHECKS) + """
+SELECT repo, snapshot_id, count(*) AS checks FROM fm
+WHERE (repo, snapshot_id) IN (SELECT (repo, max(snapshot_id)) FROM fm GROUP BY repo) GROUP BY repo, snapshot_id""")
+
+register("s3_bundles", with_(CHECKS) + """
+SELECT repo, snapshot_id, '# ' || snapshot_id AS report_text, 'src' AS root_id,
+       CAST(sum(count_value) AS BIGINT) AS counted
+FROM fm GROUP BY repo, snapshot_id""")
+
+register("s5_retained_snapshots", with_(CHECKS) + """
+SELECT repo, snapshot_id, row_number() OVER (PARTITION BY repo ORDER BY snapshot_id DESC) <= 10 AS kept
+FROM (SELECT DISTINCT repo, snapshot_id FROM fm)""")

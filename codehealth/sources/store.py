@@ -3,9 +3,9 @@
 Two layouts are supported:
 
 * the reference's JSON layout ``<base>/<repo>/snapshots/<id>/summary.json``
-  (plus ``tree.json`` and ``artifacts/<id>.json``), read in parallel with
+  (plus ``report.md``, ``tree.json`` and ``artifacts/<id>.json``), read in parallel with
   ``spark.read.json`` — one record per file, malformed files kept as a
-  corrupt-record row so they can be skipped explicitly;
+  corrupt-record row so they can be skipped explicitly; ``save_bundles`` writes it;
 * partitioned tables ``<base>/<table>/repo=…/snapshot_id=…`` written by
   ``save_tables`` with dynamic partition overwrite (re-saving an id replaces
   it, as the reference does).
@@ -13,6 +13,12 @@ Two layouts are supported:
 
 from __future__ import annotations
 
+import sys
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +29,9 @@ from codehealth.params import SNAPSHOT_VERSION
 
 SNAP = ["repo", "snapshot_id"]
 
+# functions run on executors travel as a whole: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ---- schemas --------------------------------------------------------------------------
 METRICS = T.StructType([T.StructField(n, t) for n, t in (
     ("kind", T.StringType()),
@@ -52,38 +61,52 @@ SUMMARY = T.StructType([
 COMMIT_FIELDS = ("sha", "short_sha", "ts_raw", "subject")
 # -----------------------------------------------------------------------------------------
 
-_DIR_RX = r"/([^/]+)/snapshots/([^/]+)/[^/]+$"
+_FILE_RX = r"/([^/]+)/snapshots/([^/]+)/(.+)$"
 
 
 def _keys(path_col):
-    return (F.regexp_extract(path_col, _DIR_RX, 1).alias("repo"),
-            F.regexp_extract(path_col, _DIR_RX, 2).alias("snapshot_id"))
+    return (F.regexp_extract(path_col, _FILE_RX, 1).alias("repo"),
+            F.regexp_extract(path_col, _FILE_RX, 2).alias("snapshot_id"))
+
+
+def list_files(spark: SparkSession, base: str, name: str = "*") -> DataFrame:
+    """(path, repo, snapshot_id, rel) of the files of every bundle whose names fit, from
+    the listing alone: no file is opened."""
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name)
+             .load(f"{base.rstrip('/')}/*/snapshots/*").select("path"))
+    return found.select("path", *_keys(F.col("path")), F.regexp_extract("path", _FILE_RX, 3).alias("rel"))
 
 
-def read_summaries_raw(spark: SparkSession, base: str) -> DataFrame:
-    """Every ``summary.json`` under ``base`` as one row (malformed -> ``_bad``)."""
+def read_summaries_raw(spark: SparkSession, base: str, paths: list[str] | None = None) -> DataFrame:
+    """Every ``summary.json`` under ``base``, or those at ``paths``, as one row (malformed -> ``_bad``)."""
     df = (spark.read.schema(SUMMARY).option("multiLine", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_bad").json(f"{base.rstrip('/')}/*/snapshots/*/summary.json"))
+          .option("columnNameOfCorruptRecord", "_bad")
+          .json(f"{base.rstrip('/')}/*/snapshots/*/summary.json" if paths is None else paths))
     return df.select(*_keys(F.col("_metadata.file_path")), "*")
 
 
+def _newest(rows: DataFrame, limit: int) -> DataFrame:
+    w = Window.partitionBy("repo").orderBy(F.desc("snapshot_id"))
+    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= limit).drop("_rank")
+
+
 def load_summaries(spark: SparkSession, base: str, limit: int | None = None,
                    filter_first: bool = False) -> DataFrame:
     """Snapshots newest first (by directory name), at most ``limit`` per
     repository, malformed and non-version-3 summaries skipped.
 
     As in the reference the limit is applied to directory names *before* the
-    validity filter, so fewer than ``limit`` may come back
-    (``filter_first=True`` filters first instead).
+    validity filter, so fewer than ``limit`` may come back, and only the chosen files
+    are opened: their paths, ``limit`` a repository, go to the reader.
+    ``filter_first=True`` reads all and filters first instead.
     """
-    raw = read_summaries_raw(spark, base)
     valid = F.col("_bad").isNull() & (F.col("version") == SNAPSHOT_VERSION)
-    if filter_first:
-        raw = raw.filter(valid)
-    if limit is not None:
-        w = Window.partitionBy("repo").orderBy(F.desc("snapshot_id"))
-        raw = raw.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= limit).drop("_rank")
-    return raw.filter(valid).drop("_bad")
+    if limit is None or filter_first:
+        rows = read_summaries_raw(spark, base).filter(valid).drop("_bad")
+        return rows if limit is None else _newest(rows, limit)
+    listed = list_files(spark, base, "summary.json").filter(F.col("rel") == "summary.json")
+    paths = [r.path for r in _newest(listed, limit).select("path").toLocalIterator()]
+    return read_summaries_raw(spark, base, paths).filter(valid).drop("_bad")
 
 
 def load_latest(spark: SparkSession, base: str) -> DataFrame:
@@ -118,21 +141,86 @@ def trend_from_summaries(summaries: DataFrame) -> DataFrame:
                                for k in ("lines", "complexity", "unused", "duplication", "cycles")])
 
 
+def _files_at(base: str):
+    """The file system that holds ``base``, and its path there."""
+    if base.startswith("file:"):
+        base = "/" + base[5:].lstrip("/")
+    return fs.FileSystem.from_uri(base.rstrip("/"))
+
+
+def _reader(base: str):
+    def run(batches):
+        files, root = _files_at(base)
+        for batch in batches:
+            raw = []
+            for row in batch.to_pylist():
+                path = f"{root}/{row['repo']}/snapshots/{row['snapshot_id']}/{row['rel']}"
+                if files.get_file_info(path).type == fs.FileType.File:
+                    with files.open_input_stream(path) as source:
+                        raw.append(source.read().decode(errors="replace"))
+                else:
+                    raw.append(None)
+            yield batch.append_column("raw", pa.array(raw, pa.string()))
+    return run
+
+
 def load_bundles(spark: SparkSession, base: str) -> DataFrame:
-    """S3 + J5: snapshots whose bundle is complete (tree and every declared
-    artifact present); a missing part drops the whole bundle."""
-    summaries = load_summaries(spark, base)
-    b = base.rstrip("/")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.json").load(f"{b}/*/snapshots/*")
-             .select(F.col("path"))
-             .select(F.regexp_extract("path", r"/([^/]+)/snapshots/([^/]+)/(.+)$", 1).alias("repo"),
-                     F.regexp_extract("path", r"/([^/]+)/snapshots/([^/]+)/(.+)$", 2).alias("snapshot_id"),
-                     F.regexp_extract("path", r"/([^/]+)/snapshots/([^/]+)/(.+)$", 3).alias("rel")))
-    declared = summaries.select(*SNAP, F.explode("artifacts.path").alias("rel"))
-    needed = declared.unionByName(summaries.select(*SNAP, F.lit("tree.json").alias("rel")))
-    missing = needed.join(files, [*SNAP, "rel"], "left_anti").select(*SNAP).distinct()
-    return summaries.join(missing, SNAP, "left_anti")
+    """S3 + J5: complete bundles, the columns of S1 and ``report_text``, ``tree_json`` and
+    ``artifact_json`` (artifact id -> JSON text).
+
+    A bundle that lacks the report, the tree, the artifact list or a declared artifact,
+    or of which the tree or a declared artifact is not JSON, is dropped as a whole.
+    """
+    summaries = load_summaries(spark, base).filter(F.col("artifacts").isNotNull())
+    artifact = F.struct(F.col("a.id").alias("id"), F.col("a.path").alias("rel"))
+    declared = summaries.select(*SNAP, F.explode("artifacts").alias("a")).select(*SNAP, artifact.alias("a"))
+    fixed = F.array(*[F.struct(F.lit(None).cast("string").alias("id"), F.lit(rel).alias("rel"))
+                      for rel in ("report.md", "tree.json")])
+    needed = declared.unionByName(summaries.select(*SNAP, F.explode(fixed).alias("a"))).select(*SNAP, "a.*")
+    # tasks fetch what is named: Spark's own readers pass over empty files, and an empty report is a report
+    held = needed.mapInArrow(_reader(base), "repo string, snapshot_id string, id string, rel string, raw string")
+    usable = F.col("raw").isNotNull() & ((F.col("rel") == "report.md") | F.try_parse_json("raw").isNotNull())
+    # a run leaves a handful of artifacts, so a bundle is one row
+    whole = held.groupBy(*SNAP).agg(
+        F.bool_and(usable).alias("_whole"),
+        F.max(F.when(F.col("rel") == "report.md", F.col("raw"))).alias("report_text"),
+        F.max(F.when(F.col("rel") == "tree.json", F.col("raw"))).alias("tree_json"),
+        F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("id").isNotNull(), F.struct("id", "raw"))))
+                           ).alias("artifact_json"))
+    return summaries.join(whole.filter("_whole").drop("_whole"), SNAP)
+
+
+def _writer(base: str):
+    def run(batches):
+        files, root = _files_at(base)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                target = f"{root}/{row['repo']}/snapshots/{row['snapshot_id']}/{row['rel']}"
+                files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"  # a task that runs again, or twice, replaces the whole file
+                with files.open_output_stream(part) as out:
+                    out.write(row["raw"].encode())
+                files.move(part, target)
+            yield pa.RecordBatch.from_pydict({"n": [len(rows)]})
+    return run
+
+
+def save_bundles(bundles: DataFrame, base: str) -> int:
+    """Write bundles (the columns that :func:`load_bundles` returns) in the layout that
+    S1-S3 read; the same id is replaced. Every task writes its own files, the summaries
+    last, so that a bundle is listed only when it is whole. Returns the number of files."""
+    named = [f.name for f in SUMMARY.fields if f.name in bundles.columns]
+    fixed = F.array(F.struct(F.lit("report.md").alias("rel"), F.col("report_text").alias("raw")),
+                    F.struct(F.lit("tree.json").alias("rel"), F.col("tree_json").alias("raw")))
+    declared = F.transform(F.coalesce("artifacts", F.array().cast(T.ArrayType(ARTIFACT))), lambda a: F.struct(
+        a["path"].alias("rel"), F.try_element_at("artifact_json", a["id"]).alias("raw")))
+    parts = bundles.select(*SNAP, F.explode(F.concat(fixed, declared)).alias("p")).select(*SNAP, "p.rel", F.coalesce("p.raw", F.lit("")).alias("raw"))
+    heads = bundles.select(*SNAP, F.lit("summary.json").alias("rel"), F.to_json(F.struct(*named)).alias("raw"))
+    count = 0
+    for rows in (parts, heads):
+        count += rows.mapInArrow(_writer(base), "n long").agg(F.sum("n")).first()[0] or 0
+    return count
 
 
 def prune_plan(summaries: DataFrame, max_snapshots: int) -> tuple[DataFrame, DataFrame]:
@@ -146,32 +234,40 @@ def prune_plan(summaries: DataFrame, max_snapshots: int) -> tuple[DataFrame, Dat
             ranked.filter(F.col("_rank") > max_snapshots).drop("_rank"))
 
 
+def _deleter(base: str):
+    def run(batches):
+        files, root = _files_at(base)
+        for batch in batches:
+            for rel in batch.column("rel").to_pylist():
+                if files.get_file_info(f"{root}/{rel}").type == fs.FileType.Directory:  # gone already if the task runs again
+                    files.delete_dir(f"{root}/{rel}")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+    return run
+
+
 def prune_tables(spark: SparkSession, base: str, tables, max_snapshots: int) -> int:
     """S5 on partitioned tables: drop the partitions of removed snapshots.
 
-    The removed ids are computed on the cluster; only their partition paths
-    (one per removed snapshot) reach the driver, which deletes them as a
-    metadata operation. Returns the number of removed snapshots.
+    Snapshots are told from the listing (no file is opened), and the tasks that hold
+    them delete their folders. Returns the number of removed snapshots.
     """
-    snaps = spark.read.parquet(f"{base.rstrip('/')}/{tables[0]}").select(*SNAP).distinct()
-    _, removed = prune_plan(snaps, max_snapshots)
-    ids = [(r.repo, r.snapshot_id) for r in removed.toLocalIterator()]
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    for table in tables:
-        for repo, sid in ids:
-            p = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{table}/repo={repo}/snapshot_id={sid}")
-            p.getFileSystem(conf).delete(p, True)
-    return len(ids)
+    base = base.rstrip("/")
+    folder = r"/(repo=[^/]*)/(snapshot_id=[^/]*)/[^/]+$"
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{base}/{tables[0]}").select(
+        F.regexp_extract("path", folder, 1).alias("repo"), F.regexp_extract("path", folder, 2).alias("snapshot_id"))
+        .filter(F.col("snapshot_id") != "").distinct())
+    _, removed = prune_plan(listed, max_snapshots)
+    rel = F.concat_ws("/", F.col("table"), F.col("repo"), F.col("snapshot_id"))
+    doomed = removed.withColumn("table", F.explode(F.array(*[F.lit(t) for t in tables]))).select(rel.alias("rel"))
+    gone = doomed.mapInArrow(_deleter(base), "n long").agg(F.sum("n")).first()[0] or 0
+    return gone // len(tables)
 
 
 def save_tables(tables: dict[str, DataFrame], base: str) -> None:
     """Write each table partitioned by (repo, snapshot_id); re-saving a
     snapshot id replaces exactly its partitions."""
     for name, df in tables.items():
-        spark = df.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        df.write.mode("overwrite").partitionBy(*SNAP).parquet(f"{base.rstrip('/')}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SNAP).parquet(f"{base.rstrip('/')}/{name}")
 
 
 def read_commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -113,10 +113,32 @@ def test_line_stats_blank_comment_complexity(spark):
     df = spark.createDataFrame([("r", "s", "src/a.ts", "ts", text)],
                                "repo string, snapshot_id string, path string, language string, content string")
     r = corpus.line_stats(df).first()
-    assert (r.lines, r.blanks, r.comments, r.code) == (7, 1, 2, 4)
+    assert (r.lines, r.blanks, r.comments, r.code) == (7, 1, 1, 5)  # '#' opens no comment in this language
     assert r.complexity == 4  # if, for, &&, ==
 
 
+def test_comments_by_language(spark):
+    texts = [("ts", "#x = 1;\n--i;\n/* one\n two\n\n */\nlet a = 1; /* b */\n// c", (8, 0, 5, 3)),
+             ("py", "# note\n// 2\n\nx = 1", (4, 1, 1, 2)),
+             ("sql", "-- a\nselect 1\n/* open\nstill", (4, 0, 3, 1)),
+             ("en", "// a\n# b\n-- c\ntext", (4, 0, 3, 1)),
+             ("ts", "", (1, 1, 0, 0)), (None, "// a\nb", (2, 0, 1, 1))]
+    df = spark.createDataFrame([("r", "s", str(i), lang, text) for i, (lang, text, _) in enumerate(texts)],
+                               "repo string, snapshot_id string, path string, language string, content string")
+    got = {int(r.path): (r.lines, r.blanks, r.comments, r.code) for r in corpus.line_stats(df).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(texts)}
+
+
+def test_overview_files(spark):
+    df = spark.createDataFrame([("r", "s", "a", "ts", "x\ny"), ("r", "s", "b", "ts", "x\ny"), ("r", "s", "c", "ts", "z" * 999),
+                                ("r", "s", "d", "ts", "// @generated\nx")],
+                               "repo string, snapshot_id string, path string, language string, content string")
+    paths = lambda x: sorted(r.path for r in x.collect())
+    assert paths(corpus.overview_files(df)) == ["a", "b"]
+    assert paths(corpus.overview_files(df, no_duplicates=True)) == ["a"]
+    assert paths(corpus.overview_files(df, no_min_gen=False)) == ["a", "b", "c", "d"]
+
+
 def test_flatten_unused_items_and_labels(spark):
     from codehealth.plans.dashboard import unused_items
     doc = {"files": [], "issues": [{"file": "src/app.ts", "exports": [{"name": "unusedThing", "line": 9}],

@@ -23,6 +23,8 @@ def _write(base, repo, sid, doc, tree=True, artifacts=(), raw=None):
     os.makedirs(os.path.join(d, "artifacts"), exist_ok=True)
     with open(os.path.join(d, "summary.json"), "w") as fh:
         fh.write(raw if raw is not None else json.dumps(doc, indent=2))
+    with open(os.path.join(d, "report.md"), "w") as fh:
+        fh.write("# report\n")
     if tree:
         with open(os.path.join(d, "tree.json"), "w") as fh:
             fh.write("{}")
@@ -156,3 +158,35 @@ def test_latest_per_repository(spark, tmp_dir):
     two = store.load_summaries(spark, tmp_dir, limit=2)
     assert sorted((r.repo, r.git.commit) for r in two.collect()) == [("alpha", "a11"), ("alpha", "a12"),
                                                                       ("beta", "b9")]
+
+
+def test_bundles_need_every_part(spark, tmp_dir):
+    ids = []
+    for h in range(5):
+        sid, doc = _summary(f"2026-03-10T1{h}:00:00.000Z", f"c{h}", artifacts=("unused",))
+        _write(tmp_dir, "r", sid, doc, artifacts=("unused",))
+        ids.append(os.path.join(tmp_dir, "r", "snapshots", sid))
+    os.remove(os.path.join(ids[0], "report.md"))
+    for path in (os.path.join(ids[1], "tree.json"), os.path.join(ids[2], "artifacts", "unused.json")):
+        with open(path, "w") as fh:
+            fh.write("{not json")
+    with open(os.path.join(ids[3], "report.md"), "w") as fh:
+        fh.write("")  # an empty report is a report
+    got = {r.snapshot_id: (r.report_text, r.tree_json, r.artifact_json) for r in store.load_bundles(spark, tmp_dir).collect()}
+    assert got == {os.path.basename(ids[3]): ("", "{}", {"unused": "[]"}),
+                   os.path.basename(ids[4]): ("# report\n", "{}", {"unused": "[]"})}
+
+
+def test_bundle_round_trip(spark, tmp_dir):
+    base, copy = os.path.join(tmp_dir, "a"), os.path.join(tmp_dir, "b")
+    for h in range(3):
+        sid, doc = _summary(f"2026-03-10T1{h}:00:00.000Z", f"c{h}", artifacts=("unused", "cycles"),
+                            checks=[{"name": "stats", "status": "pass", "metrics": {"kind": "unused", "totalIssues": h}}])
+        _write(base, "r", sid, doc, artifacts=("unused", "cycles"))
+    bundles = store.load_bundles(spark, base)
+    assert store.save_bundles(bundles, copy) == 15
+    assert store.save_bundles(bundles, copy) == 15  # saved again: replaced
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(store.load_bundles(spark, copy)) == rows(bundles)
+    assert rows(store.load_summaries(spark, copy)) == rows(store.load_summaries(spark, base))
+    assert [r.snapshot_id for r in store.load_latest(spark, copy).collect()] == ["2026-03-10T12-00-00.000Z_c2"]
