@@ -27,11 +27,12 @@ COMPLEXITY_PENALTY = 2.5
 
 
 def tree_file_counts(tree: DataFrame) -> DataFrame:
-    files = tree.filter(F.col("kind") == "file")
-    return files.groupBy(*SNAP).agg(
-        F.count(F.lit(1)).alias("file_nodes"),
-        F.count_if(F.col("code") > OVERSIZED_CODE_LINES).alias("oversized_files"),
-        F.count_if(F.col("complexity") > OVERLY_COMPLEX).alias("overly_complex_files"))
+    """File counts of every snapshot that has a tree, be it one without files."""
+    is_file = F.col("kind") == "file"
+    return tree.groupBy(*SNAP).agg(
+        F.count_if(is_file).alias("file_nodes"),
+        F.count_if(is_file & (F.col("code") > OVERSIZED_CODE_LINES)).alias("oversized_files"),
+        F.count_if(is_file & (F.col("complexity") > OVERLY_COMPLEX)).alias("overly_complex_files"))
 
 
 def health_scores(metrics: DataFrame, tree_counts: DataFrame | None) -> DataFrame:

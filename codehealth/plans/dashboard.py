@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codehealth.functions import formatting as fmt
+from codehealth.operators import clones, health, history, rankings
 from codehealth.operators.unused import KIND_LABELS
+from codehealth.sources import reports, store
 
 SNAP = ["repo", "snapshot_id"]
 
@@ -90,3 +92,37 @@ def report_tables(status: DataFrame, checks: DataFrame | None = None, instabilit
         out["highly_unstable"] = depgraph.highly_unstable(instability, top)
         out["stable_depended_on"] = depgraph.stable_depended_on(instability, top)
     return out
+
+
+def stored_datasets(bundles: DataFrame) -> dict[str, DataFrame]:
+    """The eight tables of the dashboard from stored bundles (S3): snapshot rows, tree
+    nodes, the four rankings of each snapshot, and the details of unused items and clones."""
+    tree = store.tree_nodes(bundles)
+    metrics = store.health_metrics(bundles)
+    rows = dashboard_rows(metrics, trend=store.trend_from_summaries(bundles),
+                          health=health.health_scores(metrics, health.tree_file_counts(tree)),
+                          status=history.status_counts(store.checks_of(bundles)))
+    about = bundles.select(*SNAP, fmt.commit_label(F.col("git.commit"), F.col("git.dirty")).alias("commit"),
+                           F.col("git.branch").alias("branch"), F.col("tree.nodeCount").alias("node_count"),
+                           F.col("tree.rootId").alias("root_id"))
+
+    def report(name):
+        return bundles.select(*SNAP, F.try_element_at("artifact_json", F.lit(name)).alias("raw")).filter("raw is not null")
+    # the root of a tree is a directory as others are, but not ranked
+    roots = about.select(*SNAP, F.col("root_id").alias("path"))
+    return {
+        "rows": rows.join(about, SNAP), "tree": tree,
+        "largest_files": rankings.top_files_by(tree, "code"),
+        "complex_files": rankings.top_files_by(tree, "complexity"),
+        "file_hotspots": rankings.file_hotspots(tree),
+        "dir_hotspots": rankings.dir_hotspots(tree.join(roots, [*SNAP, "path"], "left_anti"), root=""),
+        "unused_items": unused_items(reports.unused_report_items(report("unused"))),
+        "clone_details": clone_details(clones.clones_by_file(reports.clone_report_pairs(report("duplicates")))),
+    }
+
+
+def write_dashboard(spark, base: str, out: str) -> None:
+    """Write the dashboard tables of every complete bundle under ``base``."""
+    bundles = store.load_bundles(spark, base).persist()
+    write_tables(stored_datasets(bundles), out)
+    bundles.unpersist()

@@ -58,6 +58,14 @@ SUMMARY = T.StructType([
                                         T.StructField("nodeCount", T.LongType())])),
     T.StructField("_bad", T.StringType()),
 ])
+_LONGS = lambda *names: T.StructType([T.StructField(n, T.LongType()) for n in names])
+TREE = T.StructType([T.StructField("nodes", T.MapType(T.StringType(), T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("stats", _LONGS("files", "lines", "code", "complexity")),
+    T.StructField("issues", _LONGS("total", "unused", "duplication", "cycles")),
+    T.StructField("dependency", T.StructType([
+        T.StructField("dependencies", T.LongType()), T.StructField("dependents", T.LongType()),
+        T.StructField("instability", T.DoubleType()), T.StructField("inCycle", T.BooleanType())]))])))])
 COMMIT_FIELDS = ("sha", "short_sha", "ts_raw", "subject")
 # -----------------------------------------------------------------------------------------
 
@@ -121,26 +129,53 @@ def checks_of(summaries: DataFrame) -> DataFrame:
                     F.col("c.duration").alias("duration_ms"), "c.metrics")
 
 
+def _first_of_kind(summaries: DataFrame) -> DataFrame:
+    """P6 on stored summaries: the first metric of each kind."""
+    c = checks_of(summaries).filter(F.col("metrics.kind").isNotNull())
+    return c.groupBy(*SNAP, F.col("metrics.kind").alias("kind")).agg(F.min_by("metrics", "check_idx").alias("m"))
+
+
+def _pick(kind: str, field: str):
+    return F.max(F.when(F.col("kind") == kind, F.col(f"m.{field}")))
+
+
 def trend_from_summaries(summaries: DataFrame) -> DataFrame:
     """A13 + P6 on stored summaries: first metric of each kind, all four needed."""
-    c = checks_of(summaries).filter(F.col("metrics.kind").isNotNull())
-    first = c.groupBy(*SNAP, F.col("metrics.kind").alias("kind")).agg(
-        F.min_by("metrics", "check_idx").alias("m"))
-
-    def pick(kind, field):
-        return F.max(F.when(F.col("kind") == kind, F.col(f"m.{field}")))
-    agg = first.groupBy(*SNAP).agg(
-        pick("stats-overview", "totalLines").alias("lines"),
-        pick("stats-overview", "totalComplexity").alias("complexity"),
-        pick("unused", "totalIssues").alias("unused"),
-        pick("duplicates", "duplicatedLinesPercent").alias("duplication"),
-        pick("cycles", "cycleCount").alias("cycles"),
+    agg = _first_of_kind(summaries).groupBy(*SNAP).agg(
+        _pick("stats-overview", "totalLines").alias("lines"),
+        _pick("stats-overview", "totalComplexity").alias("complexity"),
+        _pick("unused", "totalIssues").alias("unused"),
+        _pick("duplicates", "duplicatedLinesPercent").alias("duplication"),
+        _pick("cycles", "cycleCount").alias("cycles"),
         F.count_distinct(F.when(F.col("kind").isin(*METRIC_KINDS), F.col("kind"))).alias("kinds"))
     full = F.col("kinds") == len(METRIC_KINDS)  # a run may carry further kinds
     return agg.select(*SNAP, *[F.when(full, F.col(k)).alias(k)
                                for k in ("lines", "complexity", "unused", "duplication", "cycles")])
 
 
+def health_metrics(summaries: DataFrame) -> DataFrame:
+    """The input of the health score (A14) from stored summaries, one row per snapshot; NULL
+    where a check left no metric."""
+    agg = _first_of_kind(summaries).groupBy(*SNAP).agg(
+        _pick("stats-overview", "totalFiles").alias("total_files"),
+        _pick("stats-overview", "totalCode").alias("total_code"),
+        _pick("stats-overview", "totalComplexity").alias("total_complexity"),
+        _pick("unused", "totalIssues").alias("total_issues"),
+        _pick("duplicates", "duplicatedLinesPercent").alias("duplicated_lines_percent"))
+    return summaries.select(*SNAP, F.try_to_timestamp("timestamp").alias("ts")).join(agg, SNAP, "left")
+
+
+def tree_nodes(bundles: DataFrame) -> DataFrame:
+    """The nodes of the stored trees, in the columns of ``tree.attach_dependency``."""
+    nodes = bundles.select(*SNAP, F.explode(F.map_values(F.from_json("tree_json", TREE)["nodes"])).alias("n"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c.split(".")[-1])
+    return nodes.select(*SNAP, "n.*").select(
+        *SNAP, "path", "name", "kind", *[number(f"stats.{c}") for c in ("files", "lines", "code", "complexity")],
+        *[number(f"issues.{c}") for c in ("total", "unused", "duplication", "cycles")],
+        "dependency.dependencies", "dependency.dependents", "dependency.instability",
+        F.col("dependency.inCycle").alias("in_cycle"))
+
+
 def _files_at(base: str):
     """The file system that holds ``base``, and its path there."""
     if base.startswith("file:"):

@@ -190,3 +190,52 @@ def test_bundle_round_trip(spark, tmp_dir):
     assert rows(store.load_bundles(spark, copy)) == rows(bundles)
     assert rows(store.load_summaries(spark, copy)) == rows(store.load_summaries(spark, base))
     assert [r.snapshot_id for r in store.load_latest(spark, copy).collect()] == ["2026-03-10T12-00-00.000Z_c2"]
+
+
+def test_dashboard_from_stored_bundles(spark, tmp_dir):
+    def node(path, kind, lines, issues, **more):
+        return {"path": path, "name": path.split("/")[-1], "kind": kind, "childIds": [],
+                "stats": {"files": 1, "lines": lines, "code": lines, "complexity": lines // 10},
+                "issues": {"total": issues, "unused": issues, "duplication": 0, "cycles": 0}, **more}
+    nodes = [node("src", "dir", 500, 3), node("src/lib", "dir", 400, 2),
+             node("src/lib/a.ts", "file", 400, 2, dependency={"dependencies": 1, "dependents": 3, "instability": 0.25,
+                                                              "inCycle": False}),
+             node("src/b.ts", "file", 100, 1)]
+    checks = [{"name": "stats", "status": "pass", "metrics": {"kind": "stats-overview", "totalFiles": 2, "totalLines": 500,
+                                                              "totalCode": 500, "totalComplexity": 50}},
+              {"name": "unused", "status": "warn", "metrics": {"kind": "unused", "totalIssues": 3}},
+              {"name": "dup", "status": "warn", "metrics": {"kind": "duplicates", "duplicatedLinesPercent": 4.0}},
+              {"name": "cyc", "status": "pass", "metrics": {"kind": "cycles", "cycleCount": 0}},
+              {"name": "more", "status": "skip", "metrics": {"kind": "other"}}]
+    sid, doc = _summary("2026-03-10T10:00:00.000Z", "aaa1111", checks=checks, artifacts=("unused", "duplicates"))
+    summary = spark.createDataFrame([("r", sid, json.dumps(doc))], "repo string, snapshot_id string, j string")
+    parts = {"unused": {"files": ["src/b.ts"], "issues": [{"file": "src/lib/a.ts", "exports": [{"name": "x", "line": 2}]}]},
+             "duplicates": {"duplicates": [{"firstFile": {"name": "src/b.ts", "start": 1, "end": 9},
+                                            "secondFile": {"name": "src/lib/a.ts", "start": 5, "end": 13}, "lines": 9}]}}
+    tree = {"rootId": "src", "nodes": {n["path"]: n for n in nodes}}
+    bundle = (summary.select("repo", "snapshot_id", F.from_json("j", store.SUMMARY).alias("s")).select("repo", "snapshot_id", "s.*")
+              .withColumns({"report_text": F.lit("# report"), "tree_json": F.lit(json.dumps(tree)),
+                            "artifact_json": F.create_map(*[F.lit(x) for k, v in parts.items() for x in (k, json.dumps(v))])}))
+    base, out = os.path.join(tmp_dir, "hist"), os.path.join(tmp_dir, "out")
+    store.save_bundles(bundle, base)
+    dashboard.write_dashboard(spark, base, out)
+    read = lambda name: spark.read.parquet(f"{out}/{name}").collect()
+    row = read("rows")[0]
+    assert (row["pass"], row.warn, row.skip, row.lines, row.unused, row.duplication) == (2, 2, 1, 500, 3, 4.0)
+    # 100-4*5, 100-3/2*50, 100-50/500*100*2.5, one file of two above 350 lines, one above complexity 10
+    assert (row.overall, row.trend, row.commit, row.root_id) == (56, 0, "aaa1111", "src")
+    assert {r.path: (r.score, r.instability_signal) for r in read("file_hotspots")} == \
+        {"src/lib/a.ts": (100, 0.25), "src/b.ts": (35, 0.0)}
+    assert [(r.path, r.score, r.instability_signal) for r in read("dir_hotspots")] == [("src/lib", 100, 0.0)]
+    assert [r.path for r in sorted(read("largest_files"), key=lambda r: r.position)] == ["src/lib/a.ts", "src/b.ts"]
+    assert len(read("complex_files")) == 2 and len(read("tree")) == 4
+    assert sorted((r.file, r.label) for r in read("unused_items")) == \
+        [("src/b.ts", "Entire file unused"), ("src/lib/a.ts", "Unused export: x (line 2)")]
+    assert sorted((r.path, r.self_range, r.other_range) for r in read("clone_details")) == \
+        [("src/b.ts", "lines 1–9", "lines 5–13"), ("src/lib/a.ts", "lines 5–13", "lines 1–9")]
+
+
+def test_short_histories_are_named(spark):
+    from codehealth.operators import history
+    commits = spark.createDataFrame([("long", i) for i in range(5)] + [("short", 0)], "repo string, sha int")
+    assert [tuple(r) for r in history.short_histories(commits, 2, 2).collect()] == [("short", 1, 5)]
