@@ -613,3 +613,34 @@ def q_s5(spark, d):
     kept, removed = store.prune_plan(store.load_summaries(spark, _stored_history(spark, d)), KEEP_SNAPSHOTS)
     return kept.select("repo", "snapshot_id", F.lit(True).alias("kept")).unionByName(
         removed.select("repo", "snapshot_id", F.lit(False).alias("kept")))
+
+
+# ---- annotated sources: blank and comment lines, copies in different folders -------------------
+def _annotated_clones(spark, d, **kw):
+    return cl.clone_pairs(td.annotated_files(spark, d), CloneParams(**kw))
+
+
+@query("c1_annotated_line_stats")
+def q_c1_annotated(spark, d):
+    return corpus.line_stats(td.annotated_files(spark, d)).select(
+        "repo", "snapshot_id", "path", "language", "lines", "blanks", "comments", "code")
+
+
+@query("c7_annotated_cross_folder")
+def q_c7_annotated(spark, d):
+    return _annotated_clones(spark, d, mode="weak", skip_local=True)
+
+
+@query("c8_annotated_strict")
+def q_c8_annotated_strict(spark, d):
+    return _annotated_clones(spark, d, mode="strict")
+
+
+@query("c8_annotated_mild")
+def q_c8_annotated_mild(spark, d):
+    return _annotated_clones(spark, d)
+
+
+@query("c8_annotated_weak")
+def q_c8_annotated_weak(spark, d):
+    return _annotated_clones(spark, d, mode="weak")

@@ -826,3 +826,36 @@ FROM fm GROUP BY repo, snapshot_id""")
 register("s5_retained_snapshots", with_(CHECKS) + """
 SELECT repo, snapshot_id, row_number() OVER (PARTITION BY repo ORDER BY snapshot_id DESC) <= 10 AS kept
 FROM (SELECT DISTINCT repo, snapshot_id FROM fm)""")
+
+# ---- annotated sources -----------------------------------------------------------------------
+ANNOTATED = r"""
+sf AS (
+  SELECT lang AS repo, 'annotated' AS snapshot_id,
+         'src/' || source || '/' || CAST(doc_id AS VARCHAR) || '.' || ending AS path, ending AS language,
+         array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
+           CASE WHEN (i - 1 + doc_id) % 3 <> 0 THEN ''
+                WHEN i % 2 = 1 OR doc_id % 8 >= 4 THEN '// note' || chr(10) || chr(10)
+                ELSE '/* block' || chr(10) || ' still */' || chr(10) || chr(10) END || x), chr(10)) AS content
+  FROM (SELECT *, ['ts', 'py', 'sql', 'txt'][doc_id % 4 + 1] AS ending FROM documents))"""
+
+# the block comments are those put in above, so their lines are known by their text
+register("c1_annotated_line_stats", with_(ANNOTATED) + r"""
+, l AS (SELECT repo, snapshot_id, path, language, unnest(string_split(content, chr(10))) AS x FROM sf),
+k AS (SELECT *, regexp_matches(x, '^[ \t\r]*$') AS blank,
+             CASE language
+               WHEN 'ts' THEN regexp_matches(x, '^[ \t]*//') OR x IN ('/* block', ' still */')
+               WHEN 'sql' THEN regexp_matches(x, '^[ \t]*--') OR x IN ('/* block', ' still */')
+               WHEN 'py' THEN regexp_matches(x, '^[ \t]*#')
+               ELSE regexp_matches(x, '^[ \t]*(//|#|/\*|\*|--)') END AS comment
+      FROM l)
+SELECT repo, snapshot_id, path, language, count(*) AS lines, count(*) FILTER (WHERE blank) AS blanks,
+       count(*) FILTER (WHERE comment AND NOT blank) AS comments,
+       count(*) FILTER (WHERE NOT comment AND NOT blank) AS code
+FROM k GROUP BY ALL""")
+
+register("c7_annotated_cross_folder", with_(CLONES_WEAK.replace(SOURCE_FILES, ANNOTATED)) + """
+SELECT * FROM cl
+WHERE regexp_replace(first_file, '/[^/]*$', '') <> regexp_replace(second_file, '/[^/]*$', '')""")
+
+for _name, _clones in (("strict", CLONES_STRICT), ("mild", CLONES), ("weak", CLONES_WEAK)):
+    register(f"c8_annotated_{_name}", with_(_clones.replace(SOURCE_FILES, ANNOTATED)) + "SELECT * FROM cl")

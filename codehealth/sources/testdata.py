@@ -49,6 +49,7 @@ DECLARED_MIN_SIZE = 26
 # part type words -> unused-export kind (first word of p_type)
 EXPORT_KIND_BY_TYPE = {"STANDARD": "exports", "SMALL": "types", "MEDIUM": "classMembers",
                        "LARGE": "nsExports", "ECONOMY": "enumMembers", "PROMO": "nsTypes"}
+ANNOTATED_LANGUAGES = ("ts", "py", "sql", "txt")  # by doc_id
 # -----------------------------------------------------------------------------
 
 
@@ -70,6 +71,22 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as source files of one repository per language, a folder per source, with a
+    remark and a blank line before every third line, at places that differ by document: for
+    what tells blank and comment lines from code, and clones across folders."""
+    docs = read(spark, sf_dir, "documents")
+    remark = lambda i: F.when(i % 2 == 0, F.lit("// note\n\n")).otherwise(
+        F.when(F.col("doc_id") % 8 < 4, F.lit("/* block\n still */\n\n")).otherwise(F.lit("// note\n\n")))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(
+        F.when((i + F.col("doc_id")) % 3 == 0, remark(i)).otherwise(F.lit("")), x))
+    ending = F.element_at(F.array(*[F.lit(e) for e in ANNOTATED_LANGUAGES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs.select(F.col("lang").alias("repo"), F.lit("annotated").alias("snapshot_id"),
+                       F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ending).alias("path"),
+                       ending.alias("language"), F.array_join(lines, "\n").alias("content"))
+
+
+
 # ---- monthly file history ---------------------------------------------------
 def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (snapshot month, file) stats and issue counts.
