@@ -199,5 +199,7 @@ def test_entries_at_any_depth(spark):
     assert got == [("f.ts", "enumMembers", "x", 3), ("f.ts", "enumMembers", "y", 0), ("f.ts", "exports", "foo", 0),
                    ("f.ts", "types", "", 0), ("f.ts", "types", "t", 0), ("gone.ts", "files", "", 0),
                    ("other.ts", "files", "", 0)]
+    assert rp.unused_report_metrics(_reports(spark, doc)).count() == 0  # a null issue makes it malformed
+    doc["issues"].remove(None)
     m = rp.unused_report_metrics(_reports(spark, doc)).first()
     assert (m.unused_files, m.unused_exports, m.unused_types) == (2, 2, 4)
