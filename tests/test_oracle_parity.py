@@ -16,7 +16,8 @@ from codehealth.sources.testdata import TABLES  # noqa: E402
 SF = "/root/testdata/sf0.001"
 FAMILY = ["a1_language_overview", "c5_clones", "a10_tree_rollup", "t5_file_hotspots", "a14_health_trend",
           "f9_trend_line", "w7_every_nth_commits", "g1_circular_edges", "c10_unused_files", "a3_unused_metrics",
-          "c18_churn_hotspots", "s14_dashboard_rows"]
+          "c18_churn_hotspots", "s14_dashboard_rows", "s3_bundles", "s5_retained_snapshots", "a11_child_order",
+          "c1_annotated_line_stats", "c7_annotated_cross_folder", "c8_annotated_strict", "s7_unused_report_metrics"]
 
 
 @pytest.fixture(scope="module")
