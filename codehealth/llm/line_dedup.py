@@ -3,16 +3,18 @@
 1. Lines that occur in more than one document are found by hash. A run of such lines
    that follow each other is kept if it holds ``min_words`` words or more: no shorter
    run can hold a block that is deleted.
-2. Each kept line proposes earlier documents to align with: up to four early holders
-   if the line is rare (``rare`` documents or fewer), else its first holder. So pairs
-   grow with the lines, not with the square of a line's documents, and no line goes
-   without an earlier partner.
+2. :func:`deduplicate` proposes earlier documents by block: of the kept lines, every
+   shortest run of ``min_words`` words or more that begins or ends at a line proposes the
+   first document that holds the whole run. Each line of a block that any earlier
+   document shares is in such a run, so no block is missed however many documents hold
+   its lines, and pairs grow with the lines. (:func:`by_line` proposes by single lines:
+   up to four early holders of a line in ``rare`` documents or fewer, else the first.)
 3. Each pair is aligned by patience diff over its shared lines: lines that are unique
    in both anchor the longest increasing sequence, blocks grow from the anchors over
    equal neighbours, and the gaps are aligned the same way.
 4. Blocks of ``min_words`` words or more are deleted from the later document.
 
-"Later" is by document id, then by hash of the text. The first holder of a line is
+"Later" is by document id, then by hash of the text. The first holder of a block is
 never deleted from on its account.
 
 Defined cases: null texts stay null, empty texts empty; null ids come first; rows that
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,8 +127,65 @@ def _identity(text: str = "text"):
     return F.struct("doc_id", F.xxhash64(text).alias("hash"))
 
 
-def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``doc`` (id and text hash) and ``cut``, the ascending numbers (from 0) of the lines to delete."""
+def minimal_runs(at, words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the shortest runs with enough words that begin, or end, at a line."""
+    at, n = np.asarray(at), len(at)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    starts = np.concatenate([np.arange(n), np.searchsorted(total, total[1:] - min_words, "right") - 1])
+    ends = np.concatenate([np.searchsorted(total, total[:-1] + min_words) - 1, np.arange(n)])
+    fits = (starts >= 0) & (ends < n)
+    starts, ends = starts[fits], ends[fits]
+    whole = at[ends] - at[starts] == ends - starts  # lines that follow each other
+    return starts[whole], ends[whole]
+
+
+def _run_batches(min_words: int):
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(int(odd), -1, 1 << 64))
+
+    def powers(x: np.uint64, n: int) -> np.ndarray:
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x)]), dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, places = [], []
+            for i in range(batch.num_rows):
+                key, check, at, words = (batch.column(c)[i].values.to_numpy() for c in ("key", "check", "at", "words"))
+                n = len(at)
+                starts, ends = minimal_runs(at, words, min_words)
+                up, down = powers(odd, n), powers(back, n)
+                both = []
+                for x in (key, check):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x.view(np.uint64) * up, dtype=np.uint64)])
+                    both.append((sums[ends + 1] - sums[starts]) * down[starts])
+                found = np.unique(np.stack(both, axis=1), axis=0)
+                hashes.append(found)
+                places += [i] * len(found)
+            found = np.concatenate(hashes).view(np.int64) if hashes else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pa.array(places, pa.int64())), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc", "run", "run_check"])
+    return run
+
+
+def by_block(sequences: DataFrame, p: Params) -> DataFrame:
+    """``doc`` and ``partner``: for each minimal run of a document the first document that holds it."""
+    parts = sequences.select("doc", *[F.col(f"items.{c}").alias(c) for c in ("key", "check", "at", "words")])
+    runs = parts.mapInArrow(_run_batches(p.min_words), "doc struct<doc_id: bigint, hash: bigint>, run bigint, run_check bigint")
+    first = runs.groupBy("run", "run_check").agg(F.min("doc").alias("partner"), F.max("doc").alias("last")).where("partner < last").drop("last")
+    return runs.join(first, ["run", "run_check"]).where("partner < doc").select("doc", "partner").distinct()
+
+
+def by_line(sequences: DataFrame, p: Params) -> DataFrame:
+    """``doc`` and ``partner``: early holders of each line."""
+    return sequences.select("doc", F.explode(F.array_distinct(F.flatten("items.heads"))).alias("partner")).where("partner < doc")
+
+
+def removals(docs: DataFrame, p: Params = Params(), propose: Callable[[DataFrame, Params], DataFrame] = by_line) -> DataFrame:
+    """``doc`` (id and text hash) and ``cut``, the ascending numbers (from 0) of the lines to delete.
+
+    The queries propose :func:`by_block`; the default takes the partners that single lines propose.
+    """
+    ship_package(docs.sparkSession)
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("no"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))
     lines = docs.where("text is not null").select(_identity().alias("doc"), F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("at", "x"))
     lines = lines.select("doc", "at", "x.no", "x.line")
@@ -134,31 +193,35 @@ def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
                          F.size(F.split("line", r"\s+")).alias("words")).distinct()  # rows that are one document
     lines = saved(lines)
     group = F.pmod(F.xxhash64("doc"), F.lit(HEADS))
-    held = lines.select("key", "check", "doc").distinct()
-    holders = held.groupBy("key", "check").agg(
-        F.count("*").alias("docs"), F.min("doc").alias("first"),
-        *[F.min(F.when(group == g, F.col("doc"))).alias(f"first{g}") for g in range(HEADS)]).where("docs > 1")
-    heads = F.when(F.col("docs") <= p.rare, F.array(*[f"first{g}" for g in range(HEADS)])).otherwise(F.array("first"))
-    shared = lines.join(holders.select("key", "check", heads.alias("heads")), ["key", "check"])
+    if propose is by_line:
+        held = lines.select("key", "check", "doc").distinct()
+        holders = held.groupBy("key", "check").agg(
+            F.count("*").alias("docs"), F.min("doc").alias("first"),
+            *[F.min(F.when(group == g, F.col("doc"))).alias(f"first{g}") for g in range(HEADS)]).where("docs > 1")
+        heads = F.when(F.col("docs") <= p.rare, F.array(*[f"first{g}" for g in range(HEADS)])).otherwise(F.array("first"))
+        holders = holders.select("key", "check", heads.alias("heads"))
+    else:
+        ends = lines.groupBy("key", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+        holders = ends.where("first < last").select("key", "check", F.lit(None).cast("int").alias("heads"))
+    shared = lines.join(holders, ["key", "check"])
     by_place = Window.partitionBy("doc").orderBy("at")
     runs = shared.withColumn("run", F.col("at") - F.row_number().over(by_place))
     runs = runs.withColumn("held", F.sum("words").over(Window.partitionBy("doc", "run"))).where(F.col("held") >= p.min_words)
     item = F.struct("at", "no", "key", "check", "words", "heads")
     sequences = runs.groupBy("doc").agg(F.array_sort(F.collect_list(item)).alias("items"))
     sequences = saved(sequences)
-    partners = sequences.select("doc", F.explode(F.array_distinct(F.flatten("items.heads"))).alias("partner")).where("partner < doc")
+    partners = propose(sequences, p)
     a = sequences.select(F.col("doc").alias("partner"), F.col("items.key").alias("a_key"), F.col("items.check").alias("a_check"), F.col("items.at").alias("a_at"))
     b = sequences.select("doc", F.col("items.key").alias("b_key"), F.col("items.check").alias("b_check"),
                          F.col("items.at").alias("b_at"), F.col("items.no").alias("b_no"), F.col("items.words").alias("b_words"))
     pairs = partners.join(a, "partner").join(b, "doc").drop("partner")
-    ship_package(docs.sparkSession)
     cut = pairs.mapInArrow(_align_batches(p.min_words), "doc struct<doc_id: bigint, hash: bigint>, cut array<int>")
     return cut.select("doc", F.explode("cut").alias("line")).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("cut"))
 
 
 def deduplicate(docs: DataFrame, p: Params = Params(), cut: str = "line_cut") -> DataFrame:
     """``docs`` with the lines removed from ``text``, and their numbers in a new column."""
-    cuts = removals(docs, p).select(F.col("doc").alias("__cut_doc"), F.col("cut").alias(cut))
+    cuts = removals(docs, p, by_block).select(F.col("doc").alias("__cut_doc"), F.col("cut").alias(cut))
     rows = docs.withColumn("__doc", _identity())
     rows = rows.join(cuts, F.col("__doc") == F.col("__cut_doc"), "left").drop("__doc", "__cut_doc")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(cut, i))

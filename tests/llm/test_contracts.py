@@ -419,5 +419,14 @@ def test_many_holders_of_a_line(spark):
     assert all(f"own {r['doc_id']}" in r["text"] for r in out)
 
 
+def test_copies_of_a_passage_whose_lines_have_other_first_holders(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(15)) for c in "ab")
+    docs = [(0, f"{one}\nown zero"), (1, f"own one\n{two}"), *[(i, f"own {i}\n{one}\n{two}\nend {i}") for i in range(2, 40)]]
+    for p in (line_dedup.Params(rare=10), line_dedup.Params()):
+        out = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string"), p).collect()
+        assert sorted(r["doc_id"] for r in out if one in r["text"]) == [0, 2]
+        assert sorted(r["doc_id"] for r in out if two in r["text"]) == [1, 2]
+
+
 def test_odd_documents_pass_line_dedup(spark, tables):
     assert len(got(spark, "op1_line_dedup", tables[0], ["doc_id", "n_removed"])) == len(rows())
