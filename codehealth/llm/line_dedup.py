@@ -10,8 +10,9 @@
    its lines, and pairs grow with the lines. (:func:`by_line` proposes by single lines:
    up to four early holders of a line in ``rare`` documents or fewer, else the first.)
 3. Each pair is aligned by patience diff over its shared lines: lines that are unique
-   in both anchor the longest increasing sequence, blocks grow from the anchors over
-   equal neighbours, and the gaps are aligned the same way.
+   in both anchor the longest increasing sequence (equal occurrences, where none is),
+   blocks grow from the anchors over equal neighbours, and the gaps are aligned the same
+   way. Blocks that this leaves, as they moved or repeat, are found by their minimal runs.
 4. Blocks of ``min_words`` words or more are deleted from the later document.
 
 "Later" is by document id, then by hash of the text. The first holder of a block is
@@ -64,6 +65,16 @@ def _anchors(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _nth(x: list, start: int, end: int) -> dict:
+    """Places of ``x`` from ``start`` to ``end`` by line and number of its occurrence there."""
+    seen: Counter = Counter()
+    out = {}
+    for i in range(start, end):
+        out[x[i], seen[x[i]]] = i
+        seen[x[i]] += 1
+    return out
+
+
 def align(a: list, b: list) -> list[tuple[int, int]]:
     """Patience alignment of two sequences: matching places, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -81,6 +92,9 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {x: i for i, x in enumerate(b[b0:b1], b0) if in_b[x] == 1 and in_a[x] == 1}
         anchors = _anchors([(i, place[x]) for i, x in enumerate(a[a0:a1], a0) if x in place])
+        if not anchors:  # no line is unique in both: pair the k-th occurrences
+            places = _nth(b, b0, b1)
+            anchors = _anchors([(i, places[x]) for x, i in _nth(a, a0, a1).items() if x in places])
         if not anchors:
             continue
         out += anchors
@@ -89,11 +103,25 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def minimal_runs(at, words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the shortest runs with enough words that begin, or end, at a line."""
+    at, n = np.asarray(at), len(at)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    starts = np.concatenate([np.arange(n), np.searchsorted(total, total[1:] - min_words, "right") - 1])
+    ends = np.concatenate([np.searchsorted(total, total[:-1] + min_words) - 1, np.arange(n)])
+    fits = (starts >= 0) & (ends < n)
+    starts, ends = starts[fits], ends[fits]
+    whole = at[ends] - at[starts] == ends - starts  # lines that follow each other
+    return starts[whole], ends[whole]
+
+
 def common_blocks(a: list, b: list, a_at: list[int], b_at: list[int], words: list[int], min_words: int) -> list[int]:
-    """Places of ``b`` that are in aligned blocks with enough words.
+    """Places of ``b`` that are in blocks with enough words that ``a`` holds too.
 
     A block goes on as long as the aligned lines follow each other in both documents
-    (``a_at`` and ``b_at``: their numbers there, lines without words left out).
+    (``a_at`` and ``b_at``: their numbers there, lines without words left out). What one
+    alignment leaves, blocks that moved or stand more often in one of the two, is looked
+    up by the minimal runs of ``a``.
     """
     out, block = [], []
     for i, j in [*align(a, b), (-2, -2)]:
@@ -102,7 +130,17 @@ def common_blocks(a: list, b: list, a_at: list[int], b_at: list[int], words: lis
                 out += [y for _, y in block]
             block = []
         block.append((i, j))
-    return out
+    cut, in_a = set(out), set(a)
+    left = [(x, y) for x, y in zip(*map(np.ndarray.tolist, minimal_runs(b_at, words, min_words)), strict=True)
+            if b[x] in in_a and b[y] in in_a and not cut.issuperset(range(x, y + 1))]
+    if left:
+        size = dict(zip(b, words, strict=True))  # a line that is not in b is in no common run
+        runs = minimal_runs(a_at, [size.get(x, 0) for x in a], min_words)
+        held = {tuple(a[x:y + 1]) for x, y in zip(*map(np.ndarray.tolist, runs), strict=True)}
+        for x, y in left:
+            if tuple(b[x:y + 1]) in held:
+                cut.update(range(x, y + 1))
+    return sorted(cut)
 
 
 def _align_batches(min_words: int):
@@ -127,18 +165,6 @@ def _identity(text: str = "text"):
     return F.struct("doc_id", F.xxhash64(text).alias("hash"))
 
 
-def minimal_runs(at, words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last places of the shortest runs with enough words that begin, or end, at a line."""
-    at, n = np.asarray(at), len(at)
-    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    starts = np.concatenate([np.arange(n), np.searchsorted(total, total[1:] - min_words, "right") - 1])
-    ends = np.concatenate([np.searchsorted(total, total[:-1] + min_words) - 1, np.arange(n)])
-    fits = (starts >= 0) & (ends < n)
-    starts, ends = starts[fits], ends[fits]
-    whole = at[ends] - at[starts] == ends - starts  # lines that follow each other
-    return starts[whole], ends[whole]
-
-
 def _run_batches(min_words: int):
     odd = np.uint64(0x9E3779B97F4A7C15)
     back = np.uint64(pow(int(odd), -1, 1 << 64))

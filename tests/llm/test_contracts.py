@@ -428,5 +428,44 @@ def test_copies_of_a_passage_whose_lines_have_other_first_holders(spark):
         assert sorted(r["doc_id"] for r in out if two in r["text"]) == [1, 2]
 
 
+def test_blocks_that_repeat_or_moved_are_found():
+    p, q = (" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+
+    def places(a, b, least=25):
+        return line_dedup.common_blocks(a, b, list(range(len(a))), list(range(len(b))), [len(x.split()) for x in b], least)
+    assert line_dedup.align(["x", p, q, p, "y"], ["z", p, "w"]) == [(1, 1)]
+    assert places(["x", p, q, p, "y"], ["z", p, "w"]) == [1]
+    assert places([p, q], [q, p]) == [0, 1]
+    assert places([p], ["z", p, "w", p, "w", p]) == [1, 3, 5]
+    r = random.Random(8)
+    for _ in range(500):  # every line of every common block, by comparing all places
+        a, b = (r.choices(["a", "b c", "d e f", "g h i j"], k=r.randrange(14)) for _ in range(2))
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if sum(len(x.split()) for x in b[j:j + n]) >= 6:
+                    want |= set(range(j, j + n))
+        assert places(a, b, 6) == sorted(want)
+
+
+def test_deduplicate_equals_a_comparison_with_every_earlier_document(spark):
+    r = random.Random(9)
+    lines = [" ".join(r.choices("abcdefgh", k=r.choice([1, 4, 9]))) for _ in range(25)]
+    docs = [(i, "\n".join(r.choices(lines, k=r.randrange(1, 15)))) for i in range(60)]
+    split = [t.split("\n") for _, t in docs]
+    want = {}
+    for b in range(len(docs)):
+        cut = set()
+        for a in range(b):
+            words = [len(x.split()) for x in split[b]]
+            cut |= set(line_dedup.common_blocks(split[a], split[b], list(range(len(split[a]))), list(range(len(split[b]))), words, 8))
+        want[b] = sorted(cut)
+    out = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string"), line_dedup.Params(min_words=8, rare=2))
+    assert {x["doc_id"]: x["line_cut"] or [] for x in out.collect()} == want and any(want.values())
+
+
 def test_odd_documents_pass_line_dedup(spark, tables):
     assert len(got(spark, "op1_line_dedup", tables[0], ["doc_id", "n_removed"])) == len(rows())
