@@ -2,9 +2,11 @@ r"""Secret scan: fixed patterns, and a battery of randomness tests for other tok
 
 Fixed patterns (base spans): assignments, access keys and long hex runs.
 
-Battery: every other run of 20 or more key characters is a candidate. Its encoding
-(hex, base32, base62, base64) is inferred from the characters, and its symbols are
-tested against a uniform draw from that alphabet: chi-squared uniformity, runs about
+Battery: every other run of 20 or more key characters is a candidate; ``=`` that is
+not trailing padding parts it, base spans are cut out of it, and where no encoding holds
+the whole of a part, its longest parts within base64 and within base64url count. The
+encoding (hex, base32, base62, base64) is inferred from the characters, and the symbols
+are tested against a uniform draw from that alphabet: chi-squared uniformity, runs about
 the middle symbol, and lag-1 serial correlation. A candidate that a test rejects at
 ``alpha`` is not random. The rest have a p-value under "ordinary text", where
 chi-squared is noncentral in proportion to length. Among the candidates of a document,
@@ -12,8 +14,8 @@ a weighted Benjamini-Hochberg rule with weights in proportion to length holds th
 false-discovery rate at ``rate``; what it rejects are spans of kind ``random``.
 
 Defined cases: a null text counts as empty; an empty text has no spans; texts are read
-whole; offsets are code points, ends exclusive; a candidate that overlaps a base span
-adds nothing; spans that start together stand in the order of ``KINDS``; repeated rows
+whole; offsets are code points, ends exclusive; of two random spans, one within the
+other, the longer stays; spans that start together stand in the order of ``KINDS``; repeated rows
 give repeated results; an empty table gives an empty result.
 """
 
@@ -39,6 +41,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+PART = re.compile(r"[^=]+(?:=+\Z)?")
+BY_ALPHABET = (re.compile(r"[A-Za-z0-9+/]{20,}=*"), re.compile(r"[A-Za-z0-9_-]{20,}=*"))
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: name, alphabet, and the chance that two characters of ordinary text in it are equal
 ENCODINGS = (
@@ -61,17 +66,19 @@ def _chi2_above(x: float, df: int) -> float:
     return 1 - _below(((x / df) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
 
 
+def _encoding(body: str) -> tuple | None:
+    """The first of ``ENCODINGS`` that holds all characters."""
+    return next((e for e in ENCODINGS if set(body) <= set(e[1])), None)
+
+
 def tests(token: str) -> dict | None:
     """Encoding, p-values of the three tests, and the p-value under ordinary text; None if no encoding fits."""
     body = token.rstrip("=")
-    for name, alphabet, equal in ENCODINGS:
-        if set(body) <= set(alphabet):
-            break
-    else:
-        return None
-    n, k = len(body), len(alphabet)
-    if n < 2:
+    n = len(body)
+    if n < 2 or not (fits := _encoding(body)):
         return None
+    name, alphabet, equal = fits
+    k = len(alphabet)
     s = np.array([alphabet.index(c) for c in body], dtype=float)
     chi2 = k / n * float((np.bincount(s.astype(int), minlength=k) ** 2).sum()) - n
     high = s >= k / 2
@@ -106,6 +113,23 @@ def random_tokens(found: list[dict], alpha: float, rate: float) -> list[int]:
     return sorted(order[:taken])
 
 
+def _pieces(text: str, start: int, end: int, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Places of the tokens to test between ``start`` and ``end``; ``base`` are the spans that overlap this."""
+    free, at = [], start
+    for a, b in base:
+        free.append((at, a))
+        at = max(at, b)
+    for a, b in [*free, (at, end)]:
+        for m in PART.finditer(text[a:b]) if b - a >= LEAST else ():
+            if m.end() - m.start() < LEAST:
+                continue
+            if _encoding(m[0].rstrip("=")):
+                yield a + m.start(), a + m.end()
+                continue
+            for part in sorted((x.start(), x.end()) for one in BY_ALPHABET for x in one.finditer(m[0])):
+                yield a + m.start() + part[0], a + m.start() + part[1]
+
+
 def scan(text: str | None, alpha: float = 0.001, rate: float = 0.01) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text, by start and kind."""
     text = text or ""
@@ -113,16 +137,21 @@ def scan(text: str | None, alpha: float = 0.001, rate: float = 0.01) -> list[tup
     spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     base = sorted((a, b) for _, a, b in spans)
-    at, found, places = 0, [], []
-    reach = 0  # the furthest end of a base span that starts before the candidate ends
+    at, open_, found, places = 0, [], [], []  # open_: base spans that may overlap the candidate
     for m in CANDIDATE.finditer(text):
         while at < len(base) and base[at][0] < m.end():
-            reach = max(reach, base[at][1])
+            open_.append(base[at])
             at += 1
-        if reach <= m.start() and (t := tests(m[0])):
-            found.append(t)
-            places.append((m.start(), m.end()))
-    spans += [("random", *places[i]) for i in random_tokens(found, alpha, rate)]
+        open_ = [x for x in open_ if x[1] > m.start()]
+        for piece in _pieces(text, m.start(), m.end(), open_):
+            if t := tests(text[piece[0]:piece[1]]):
+                found.append(t)
+                places.append(piece)
+    reach = 0
+    for a, b in sorted((places[i] for i in random_tokens(found, alpha, rate)), key=lambda x: (x[0], -x[1])):
+        if b > reach:
+            spans.append(("random", a, b))
+            reach = b
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
