@@ -8,10 +8,13 @@ the whole of a part, its longest parts within base64 and within base64url count.
 encoding (hex, base32, base62, base64) is inferred from the characters, and the symbols
 are tested against a uniform draw from that alphabet: chi-squared uniformity, runs about
 the middle symbol, and lag-1 serial correlation. A candidate that a test rejects at
-``alpha`` is not random. The rest have a p-value under "ordinary text", where
-chi-squared is noncentral in proportion to length. Among the candidates of a document,
-a weighted Benjamini-Hochberg rule with weights in proportion to length holds the
-false-discovery rate at ``rate``; what it rejects are spans of kind ``random``.
+``alpha`` is not random. The rest have two p-values under "ordinary text": of
+chi-squared, there noncentral in proportion to length, and of the changes between
+letters and digits and from lower to upper case, which names, words and numbers have
+few of; Fisher's method joins them. Among ``FAMILY`` candidates that follow each other, a
+weighted Benjamini-Hochberg rule with weights in proportion to length holds the
+false-discovery rate at ``rate``; what it rejects are spans of kind ``random``. So what
+is found of a token does not depend on the length of its document.
 
 Defined cases: a null text counts as empty; an empty text has no spans; texts are read
 whole; offsets are code points, ends exclusive; of two random spans, one within the
@@ -45,12 +48,14 @@ LEAST = 20
 PART = re.compile(r"[^=]+(?:=+\Z)?")
 BY_ALPHABET = (re.compile(r"[A-Za-z0-9+/]{20,}=*"), re.compile(r"[A-Za-z0-9_-]{20,}=*"))
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: name, alphabet, and the chance that two characters of ordinary text in it are equal
+#: name, alphabet, and the chances that in ordinary text two characters are equal, and that the kind changes
 ENCODINGS = (
-    ("hex", DIGITS + "abcdef", 0.10), ("HEX", DIGITS + "ABCDEF", 0.10), ("base32", UPPER + "234567", 0.066),
-    ("base62", UPPER + LOWER + DIGITS, 0.062), ("base64", UPPER + LOWER + DIGITS + "+/", 0.062),
-    ("base64url", UPPER + LOWER + DIGITS + "-_", 0.062),
+    ("hex", DIGITS + "abcdef", 0.10, 0.10), ("HEX", DIGITS + "ABCDEF", 0.10, 0.10), ("base32", UPPER + "234567", 0.066, 0.08),
+    ("base62", UPPER + LOWER + DIGITS, 0.062, 0.20), ("base64", UPPER + LOWER + DIGITS + "+/", 0.062, 0.20),
+    ("base64url", UPPER + LOWER + DIGITS + "-_", 0.062, 0.20),
 )
+CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])")
+FAMILY = 10
 
 
 def _below(z: float) -> float:
@@ -66,6 +71,13 @@ def _chi2_above(x: float, df: int) -> float:
     return 1 - _below(((x / df) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
 
 
+def _binomial_above(x: int, n: int, p: float) -> float:
+    """Chance of ``x`` or more in ``n`` draws; beyond 200 draws by the normal approximation."""
+    if n > 200:
+        return _below((n * p - x + 0.5) / math.sqrt(n * p * (1 - p)))
+    return min(1.0, sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(x, n + 1)))
+
+
 def _encoding(body: str) -> tuple | None:
     """The first of ``ENCODINGS`` that holds all characters."""
     return next((e for e in ENCODINGS if set(body) <= set(e[1])), None)
@@ -77,7 +89,7 @@ def tests(token: str) -> dict | None:
     n = len(body)
     if n < 2 or not (fits := _encoding(body)):
         return None
-    name, alphabet, equal = fits
+    name, alphabet, equal, change = fits
     k = len(alphabet)
     s = np.array([alphabet.index(c) for c in body], dtype=float)
     chi2 = k / n * float((np.bincount(s.astype(int), minlength=k) ** 2).sum()) - n
@@ -95,14 +107,15 @@ def tests(token: str) -> dict | None:
     p_serial = math.erfc(abs(float((d[1:] * d[:-1]).sum()) / spread * math.sqrt(n)) / math.sqrt(2)) if spread else 0.0
     shift = n * max(k * equal - 1, 0.05)
     p_text = _below((chi2 - (k - 1 + shift)) / math.sqrt(2 * (k - 1 + 2 * shift)))
+    both = max(p_text * _binomial_above(len(CHANGE.findall(body)), n - 1, change), 1e-300)
+    p_text = both * (1 - math.log(both))  # Fisher's method for two p-values
     return {"encoding": name, "n": n, "uniform": _chi2_above(chi2, k - 1), "runs": p_runs, "serial": p_serial, "text": p_text}
 
 
 def random_tokens(found: list[dict], alpha: float, rate: float) -> list[int]:
-    """Indexes of the candidates of one document that are taken as random.
+    """Indexes of the candidates of one family that are taken as random.
 
-    The family of the false-discovery rule is every candidate; what the battery
-    rejects takes part with p-value 1.
+    What the battery rejects takes part in the false-discovery rule, with p-value 1.
     """
     if not found:
         return []
@@ -147,8 +160,9 @@ def scan(text: str | None, alpha: float = 0.001, rate: float = 0.01) -> list[tup
             if t := tests(text[piece[0]:piece[1]]):
                 found.append(t)
                 places.append(piece)
+    taken = [i + f for f in range(0, len(found), FAMILY) for i in random_tokens(found[f:f + FAMILY], alpha, rate)]
     reach = 0
-    for a, b in sorted((places[i] for i in random_tokens(found, alpha, rate)), key=lambda x: (x[0], -x[1])):
+    for a, b in sorted((places[i] for i in taken), key=lambda x: (x[0], -x[1])):
         if b > reach:
             spans.append(("random", a, b))
             reach = b

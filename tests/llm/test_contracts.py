@@ -189,6 +189,29 @@ def test_tokens_joined_to_other_text_are_tested():
     assert not [t for t in ordinary if any(k == "random" for k, *_ in secret_battery.scan(t))]
 
 
+@pytest.mark.parametrize("alphabet, n, least", [
+    ("0123456789ABCDEF", 32, 0.85), ("0123456789ABCDEF", 40, 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.65),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20, 0.55), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 32, 0.9)])
+def test_tokens_of_each_encoding_are_found_in_short_and_long_documents(alphabet, n, least):
+    r = random.Random(n)
+    words = "get set path file name value index count user config table load store parse build local share system".split()
+
+    def name():
+        w = r.choices(words, k=6)
+        return r.choice(["/".join(w), "_".join(w), "-".join(w), w[0] + "".join(x.title() for x in w[1:])])
+    for size, draws in [(1, 150), (30, 150), (300, 100)]:
+        found = false = 0
+        for _ in range(draws):
+            token, texts = "".join(r.choices(alphabet, k=n)), [name() for _ in range(size - 1)]
+            texts.insert(r.randrange(size), token)
+            text = " ".join(texts)
+            spans = [(a, b) for k, a, b in secret_battery.scan(text) if k == "random"]
+            hit = (text.index(token), text.index(token) + n) in spans
+            found, false = found + hit, false + len(spans) - hit
+        assert found >= least * draws, (size, found)
+        assert false <= 0.001 * size * draws
+
+
 @pytest.mark.parametrize("folder", ["odd", SF])
 def test_decontamination(spark, tables, folder):
     folder = tables[0] if folder == "odd" else folder
