@@ -2,14 +2,15 @@
 
 Rules (host and path prefixes, longest wins) judge some urls for certain. From these,
 two Markov models of variable order learn the characters of accepted and of rejected
-urls. A context is kept if at least ``1 / contexts`` of all places follow it, so an
-order keeps at most ``contexts`` of them; a place uses the longest kept context, whose
+urls. A context is kept if ``least`` places follow it (in small tables a ``1 / contexts``
+share of all, where that is fewer), so the model grows with the urls; a place uses the longest kept context, whose
 distribution is smoothed with that of the next shorter one. A url's score is the mean
 log-likelihood difference per character. The threshold is calibrated on rule-judged
 urls that were not learned from: the one with the best balanced accuracy.
 
-Urls are read as an alphabet of ``SYMBOLS``; so the model has at most
-``contexts * len(SYMBOLS)`` rows an order and is broadcast with that bound.
+Urls are read as an alphabet of ``SYMBOLS``. The model's tables are joined with the
+distinct runs of characters, not with every place; what has ``broadcast_rows`` rows or
+fewer when counted is broadcast, the rest is shuffled.
 
 Defined cases: a null url, and one without ``://``, has an empty host and path; a url
 without characters scores 0; without rule-judged urls of both kinds all scores and the
@@ -56,6 +57,8 @@ RULES = (
 class Params:
     order: int = 4  # longest context
     contexts: int = 4000
+    least: int = 40  # places that a context needs at most
+    broadcast_rows: int = 200_000
     smooth: float = 8.0
     held_out: int = 5  # one judged url in so many calibrates
     steps: int = 200  # thresholds a unit of score
@@ -113,17 +116,16 @@ def model(judged: DataFrame, p: Params) -> list[DataFrame]:
         seen = (long.groupBy(F.expr(f"right(run, {order + 1})").alias("gram"))
                 .agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum(F.col("yes") + F.col("no")).alias("n")))
         context = F.expr(f"left(gram, {order})")
-        share = 1.0 / p.contexts
         held = seen.groupBy(context.alias("context")).agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"), F.sum("n").alias("all"))
         total = seen.agg(F.sum("n")).first()[0] or 0
-        held = held.where(F.col("all") >= share * total).select("context", "all_yes", "all_no", alphabet)
+        held = held.where(F.col("all") >= min(p.least, total / p.contexts)).select("context", "all_yes", "all_no", alphabet)
         held = held.withColumn("gram", F.concat("context", "next"))
         here = held.join(seen.select("gram", "yes", "no"), "gram", "left")
         yes, no = F.coalesce("yes", F.lit(0)), F.coalesce("no", F.lit(0))
         if order:
             # a kept context's shorter one is kept as well: it is no rarer
             shorter = tables[-1].select(F.col("gram").alias("shorter"), F.col("p_yes").alias("q_yes"), F.col("p_no").alias("q_no"))
-            here = here.join(F.broadcast(shorter), F.expr(f"right(gram, {order})") == F.col("shorter"))
+            here = here.join(_sized(shorter, p), F.expr(f"right(gram, {order})") == F.col("shorter"))
             q_yes, q_no = F.col("q_yes"), F.col("q_no")
         else:
             q_yes = q_no = F.lit(1.0 / (len(SYMBOLS) - 1))
@@ -133,15 +135,22 @@ def model(judged: DataFrame, p: Params) -> list[DataFrame]:
     return [t.select("gram", F.ln(F.col("p_yes") / F.col("p_no")).alias("ratio")) for t in tables]
 
 
-def with_score(rows: DataFrame, tables: list[DataFrame], *keep: str) -> DataFrame:
+def _sized(table: DataFrame, p: Params) -> DataFrame:
+    """``table``, of saved rows, to be broadcast if it is counted as small."""
+    return F.broadcast(table) if table.count() <= p.broadcast_rows else table
+
+
+def with_score(rows: DataFrame, tables: list[DataFrame], p: Params, *keep: str) -> DataFrame:
     """``keep`` and ``score`` of each row; ``keep`` begins with a key that is unique."""
     order = len(tables) - 1
     places = _places(rows, order, keep[0])
+    runs = places.select("run").distinct()
     for k, t in enumerate(tables):
         t = t.select(F.col("gram").alias(f"gram{k}"), F.col("ratio").alias(f"ratio{k}"))
-        places = places.join(F.broadcast(t), F.expr(f"right(run, {k + 1})") == F.col(f"gram{k}"), "left")  # bound: see above
+        runs = runs.join(_sized(t, p), F.expr(f"right(run, {k + 1})") == F.col(f"gram{k}"), "left")
     ratio = F.coalesce(*[F.col(f"ratio{k}") for k in range(order, -1, -1)], F.lit(0.0))
-    scores = places.groupBy(keep[0]).agg(F.avg(ratio).alias("score"))
+    runs = saved(runs.select("run", ratio.alias("ratio")))
+    scores = places.join(_sized(runs, p), "run").groupBy(keep[0]).agg(F.avg("ratio").alias("score"))
     return rows.select(*keep).join(scores, keep[0], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -173,7 +182,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, p: Params = Params(
     kinds = known.where(~F.col("apart")).agg(F.min("accepted"), F.max("accepted")).first()
     if kinds[0] == 0 and kinds[1] == 1:
         tables = model(known.where(~F.col("apart")), p)
-        scored = saved(with_score(urls, tables, "key", "url", "host", "path", "rule", "judged"))
+        scored = saved(with_score(urls, tables, p, "key", "url", "host", "path", "rule", "judged"))
         cut = threshold(scored.where(apart & F.col("judged").isNotNull()).select("score", accepted), p)
     else:
         scored, cut = urls.withColumn("score", F.lit(0.0)), 0.0

@@ -286,6 +286,20 @@ def test_url_model_tells_kinds_apart_and_equals_a_plain_model(spark):
         assert out[i]["score"] == pytest.approx(want, abs=1e-9)
 
 
+def test_url_contexts_do_not_depend_on_what_else_is_there(spark):
+    r = random.Random(7)
+    few = [(f"zq{i}", i % 2) for i in range(60)]
+    many = [("".join(r.choices("abcdefgh", k=120)), i % 2) for i in range(2000)]
+    for broadcast_rows in (0, 200_000):
+        p = url_lm.Params(order=2, contexts=100, least=50, broadcast_rows=broadcast_rows)
+        tables = url_lm.model(spark.createDataFrame(few + many, "symbols string, accepted int"), p)
+        assert tables[2].where("gram = 'zq1'").count() == 1  # 60 of 240,000 places
+        scores = url_lm.with_score(spark.createDataFrame([(1, "zq1"), (2, "")], "key bigint, symbols string"), tables, p, "key").collect()
+        assert {x["key"] for x in scores} == {1, 2}
+        want = [t.where(f"gram = '{g}'").first()["ratio"] for t, g in zip([tables[2]] * 3, ["^^z", "^zq", "zq1"], strict=True)]
+        assert {x["key"]: x["score"] for x in scores} == {1: pytest.approx(sum(want) / 3), 2: 0.0}
+
+
 @pytest.mark.parametrize("folder", ["odd", SF])
 def test_shards(spark, tables, folder):
     import struct
