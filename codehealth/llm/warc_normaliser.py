@@ -365,9 +365,9 @@ def read_records(normalised: DataFrame, page_type: str = "bigint", payloads: boo
                         out, size = [], 0
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types, strict=True)], schema=schema)
-    # a row stands for megabytes of archive: dealt out by number, not by the rows' bytes
+    # a row stands for megabytes of archive: dealt out by number, not by the rows' bytes, and not left as the sum above has them
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = slices.repartition(width, "normalised", "slice").mapInArrow(
+    rows = slices.repartition(width, F.xxhash64("normalised", "slice")).mapInArrow(
         read, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, payload binary")
     return rows.withColumn("page_id", F.col("page_id").cast(page_type)).withColumn("refers_to", F.col("refers_to").cast(page_type))
 
