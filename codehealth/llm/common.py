@@ -41,15 +41,18 @@ class Memo(dict):
     """A bounded memo: ``memo[key]`` computes a missing value once.
 
     At ``limit`` entries it starts anew and keeps the full one to look things up in
-    until the next time, so memory stays bounded on any input and frequent keys stay.
+    until the next time, and texts of more than ``longest`` characters are not kept, so
+    memory stays bounded on any input and frequent keys stay.
     """
 
-    def __init__(self, compute, limit: int):
+    def __init__(self, compute, limit: int, longest: int | None = None):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.longest = compute, limit, longest
         self.before: dict = {}
 
     def __missing__(self, key):
+        if self.longest and len(key) > self.longest:
+            return self.compute(key)
         value = self.before.get(key)
         if value is None:
             value = self.compute(key)

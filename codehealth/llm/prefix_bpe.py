@@ -35,6 +35,7 @@ from codehealth.llm.common import Memo, ship_package
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 MEMO_ENTRIES = 250_000
+MEMO_CHARS = 32  # longer ones, as in text without blanks, are encoded each time
 ROWS = 256  # texts that are encoded before their ids go back
 _TOKEN_BITS = 32
 _NEVER = math.inf
@@ -80,8 +81,8 @@ class PrefixBpe:
         self.edges = lru_cache(maxsize=None)(self._edges)  # two entries a token at most
         self.length = {i: len(b) for i, b in self.bytes_of.items()}
         self.fits = Memo(self._compatible, MEMO_ENTRIES)
-        self.piece_ids = Memo(self._encode_piece, MEMO_ENTRIES // 5)
-        self.after_blank = Memo(self._encode_after_blank, MEMO_ENTRIES)
+        self.piece_ids = Memo(self._encode_piece, MEMO_ENTRIES // 5, MEMO_CHARS)
+        self.after_blank = Memo(self._encode_after_blank, MEMO_ENTRIES, MEMO_CHARS)
 
     def _edges(self, token: int, side: int) -> tuple[tuple[int, float], ...]:
         """What stands at one edge (0 left, 1 right) of a token while it is merged, each with the rank that ends it."""

@@ -7,13 +7,15 @@ filter on them lets a look-up skip stripes and row groups. Spark splits the file
 by stripe, so readers work side by side.
 
 Defined cases: a null text counts as empty and holds the end id alone; a null
-document id sorts first; rows with equal ids keep one order, that of the files;
+document id sorts first; rows with equal ids come in the order of their texts' hashes and may lie in several files;
 texts are tokenised whole; an empty table writes files without rows; further
 columns of the input are not stored.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -29,10 +31,13 @@ from codehealth.llm.common import Memo, saved, ship_package
 from codehealth.llm.prefix_bpe import byte_of_symbol
 
 MEMO_ENTRIES = 250_000
+MEMO_CHARS = 32  # longer chunks, as in text without blanks, are encoded each time
 ROWS = 256  # texts that are encoded before their ids go back
 ROW_BITS = 33  # monotonically_increasing_id counts rows of a partition in the low 33 bits
 
 LATIN_END = "\u0250"
+# letters and a run of these are never one token; an apostrophe may begin a piece with letters, and < a special token
+LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,./:;=?@\[\]^`{}~-]+)")
 GROWS = "\u0130"  # the one letter that lower-casing makes longer
 
 ORC_OPTIONS = {
@@ -60,18 +65,19 @@ class _Words:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.symbol = {b: s for s, b in byte_of_symbol().items()}
-        self.ids = Memo(self._chunk, MEMO_ENTRIES)
+        self.ids = Memo(self._chunk, MEMO_ENTRIES, MEMO_CHARS)
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if chunk[-1] in ".," and chunk[:-1].isalpha():  # letters and punctuation are never one token
-            return self.ids[chunk[:-1]] + self.ids[chunk[-1]]
+        if parts := LETTERS_AND_MARKS.fullmatch(chunk):
+            return self.ids[parts[1]] + self.ids[parts[2]]
         if chunk.isalpha() and max(chunk) < LATIN_END:  # one piece; every letter is lowered by itself
             if (lower := chunk.lower()) != chunk:
                 return self.ids[lower]
-            tokens = self.model.tokenize("".join([self.symbol[b] for b in chunk.encode()]))  # as the library's own splitter passes it on
-            return np.array([t.id for t in tokens], dtype="<i4").tobytes()
+            symbols = chunk if chunk.isascii() else "".join([self.symbol[b] for b in chunk.encode()])  # as the library's own splitter passes it on
+            tokens = [t.id for t in self.model.tokenize(symbols)]
+            return struct.pack(f"<{len(tokens)}i", *tokens)
         return self._library(chunk)
 
     def encode(self, text: str | None) -> bytes:
@@ -108,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, p
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
     rows = docs.select("doc_id", "text")
-    rows = rows.repartitionByRange(*([partitions] if partitions else []), "doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange(*([partitions] if partitions else []), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("seq"), ids_column(F.col("text"), spec, end_id).alias("ids"))
     rows.write.options(**ORC_OPTIONS).mode("errorifexists").orc(path)
 

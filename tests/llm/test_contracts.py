@@ -521,3 +521,23 @@ def test_deduplicate_equals_a_comparison_with_every_earlier_document(spark):
 
 def test_odd_documents_pass_line_dedup(spark, tables):
     assert len(got(spark, "op1_line_dedup", tables[0], ["doc_id", "n_removed"])) == len(rows())
+
+
+def test_texts_without_blanks_stay_out_of_the_memos():
+    r = random.Random(11)
+    lines = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(300)) for _ in range(2000)]
+    spec = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    words = token_orc._Words(spec)
+    assert all(words.encode(x) for x in lines) and max(map(len, words.ids), default=0) <= token_orc.MEMO_CHARS
+    encoder = prefix_bpe.PrefixBpe(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    for x in lines[:100]:
+        encoder._encode_plain(f"{x} {x}")
+    assert max(map(len, [*encoder.piece_ids, *encoder.after_blank]), default=0) <= prefix_bpe.MEMO_CHARS
+
+
+def test_marks_are_split_from_letters_as_the_library_does():
+    words = token_orc._Words(Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8"))
+    r = random.Random(12)
+    for _ in range(3000):
+        text = "".join(r.choices("aZéñ .,!?$%&*#'_<>|/-()\"1\n日İ", k=20))
+        assert words.encode(text) == words._library(text)
