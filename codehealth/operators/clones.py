@@ -1,22 +1,26 @@
-"""Clone detection: maximal runs of equal normalised lines shared by two
-places in a snapshot.
-
-Plan (all built-in expressions, no Python on the hot path):
-
-1. per file, one array of normalised non-blank lines with their original
-   line numbers and token counts (mode: strict / mild / weak);
-2. one shingle per window of ``min_lines`` lines, hashed twice with
-   ``xxhash64``, the second time after a salt, exploded to rows;
-3. ``groupBy`` on (snapshot, key, path) and then (snapshot, key) links equal
-   shingles: those of one file in a row, the first one of each file with those of
-   the **smallest and the largest path** that hold it. A block copied m times is
-   linked about 2m times, never m^2, and a hot key is a partial aggregate and one
-   inner-join side that AQE splits;
-4. the links name pairs of files and line offsets (diagonals). Per pair the lines
-   themselves are compared along these diagonals: runs are maximal whatever third
-   files hold parts of them, and no hash decides a clone;
-5. runs below ``min_tokens`` are dropped, and of runs that end in the same second
-   place the longest stays, so m copies give m-1 clones.
+"""Clone detection: maximal repeats of normalised lines within a snapshot.
+
+Two places are a clone if they hold the same run of lines and neither the lines before
+nor the lines behind it are equal. Places that share their first lines form the tree of
+their common beginnings, whose inner nodes are the maximal repeats; it is built by
+doubling, in steps that only compare numbers:
+
+1. per file, one array of normalised lines with their original line numbers and token
+   counts (mode: strict / mild / weak);
+2. every window of ``min_lines`` lines is a place. Places with one window form a group;
+   groups of one place, or whose places all have the same line before, go (the run
+   that begins one line earlier has them): what stays of a block's copies is where they begin;
+3. lengths are refined from the largest power of two down. The places of a group that also share
+   the next 2^j lines form a longer group, and leave their smallest place behind to stand
+   for them. In the end the places in a group differ in their next line;
+4. a group's smallest place is linked to each other one that has another line before it.
+   A block copied m times gives m-1 clones, places that differ earlier are linked in the
+   shorter group, so rows grow with the lines and no holder of a block is left out;
+5. both texts of a clone are compared by SHA-256, runs below ``min_tokens`` are dropped, and of
+   runs that lie in another one in the same second file the outer one stays.
+
+Groups are counted by partial sums and joined back, so a window that a third of all files
+hold is one inner-join side that AQE splits; there is no window over a group.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from codehealth.params import CloneParams
+from codehealth.session import saved
 
 SNAP = ["repo", "snapshot_id"]
 # ---- fixed values ------------------------------------------------------------------
@@ -58,78 +63,95 @@ def normalised_lines(files: DataFrame, mode: str = "mild") -> DataFrame:
     return files.select(*SNAP, "path", with_tok.alias("arr"))
 
 
-def shingles(norm: DataFrame, k: int) -> DataFrame:
-    """One row per window of k kept lines: key hashes and position."""
-    n = F.size("arr")
-
-    def window(i):
-        text = F.array_join(F.transform(F.slice(F.col("arr"), i, k), lambda s: s["t"]), "\n")
-        return F.struct(i.alias("pos"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("#"), text).alias("h2"))
+def _line_numbers(norm: DataFrame, levels: int) -> DataFrame:
+    """(repo, snapshot_id, path, at, ids): for each line, hashes of the 1, 2, 4 ... lines from there, null beyond the end."""
+    out = norm.withColumn("l0", F.transform("arr", lambda s: F.xxhash64(s["t"])))
+    for j in range(1, levels):
+        half, before = 1 << (j - 1), F.col(f"l{j - 1}")
+        places = F.size(before) - half
+        out = out.withColumn(f"l{j}", F.when(places > 0, F.transform(
+            F.sequence(F.lit(1), places), lambda i: F.xxhash64(F.element_at(before, i), F.element_at(before, i + half)))).otherwise(
+            F.array().cast("array<bigint>")))
+    rows = F.transform("l0", lambda x, i: F.struct((i + 1).alias("at"), F.array(*[F.get(f"l{j}", i) for j in range(levels)]).alias("ids")))
+    return out.select(*SNAP, "path", F.explode(rows).alias("x")).select(*SNAP, "path", "x.*")
+
+
+def _starts(norm: DataFrame, k: int) -> DataFrame:
+    """Places (with the number of lines from there on) in groups of equal windows whose places have different lines before them."""
+    ids = norm.select(*SNAP, "path", F.transform("arr", lambda s: F.xxhash64(s["t"])).alias("ids"))
+    n = F.size("ids")
+    window = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(
+        i.alias("pos"), F.xxhash64(F.slice("ids", i, k)).alias("g"), F.get("ids", i - 2).alias("left"), (n - i + 1).alias("rest")))
     # guard n >= k: a descending sequence would produce bogus windows
-    ws = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), window))
-    return norm.select(*SNAP, "path", F.explode(ws).alias("w")).select(*SNAP, "path", "w.*")
-
-
-def _diagonals(norm: DataFrame, k: int) -> DataFrame:
-    """(first_file, second_file, diags): the line offsets at which two files, or a file
-    and itself, share a shingle. Equal shingles of one file are linked in a row; its
-    first one is linked to those of the smallest and the largest path that hold it."""
-    key = [*SNAP, "h1", "h2"]
-    held = shingles(norm, k).groupBy(*key, "path").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    within = held.filter(F.size("at") > 1).select(
-        *SNAP, F.col("path").alias("first_file"), F.col("path").alias("second_file"),
-        F.explode(F.zip_with(F.slice("at", F.lit(2), F.size("at") - 1), F.slice("at", F.lit(1), F.size("at") - 1),
-                             lambda x, y: x - y)).alias("diag"))
-    held = held.select(*key, "path", F.col("at")[0].alias("pos"))
-    ends = held.groupBy(*key).agg(F.min(F.struct("path", "pos")).alias("lo"), F.max(F.struct("path", "pos")).alias("hi"))
-    linked = held.join(ends.filter(F.col("lo.path") < F.col("hi.path")), key)
-    to_lo = F.struct(F.col("lo.path").alias("first_file"), F.col("path").alias("second_file"),
-                     (F.col("pos") - F.col("lo.pos")).alias("diag"))
-    to_hi = F.struct(F.col("path").alias("first_file"), F.col("hi.path").alias("second_file"),
-                     (F.col("hi.pos") - F.col("pos")).alias("diag"))
-    between = (linked.filter(F.col("path") > F.col("lo.path"))
-               .select(*SNAP, F.explode(F.array(to_lo, to_hi)).alias("c")).select(*SNAP, "c.*")
-               .filter(F.col("first_file") < F.col("second_file")))
-    return within.unionByName(between).groupBy(*SNAP, "first_file", "second_file").agg(
-        F.collect_set("diag").alias("diags"))
-
-
-def _runs(pairs: DataFrame, norm: DataFrame, k: int) -> DataFrame:
-    """Maximal runs of k or more lines of equal text on the diagonals of each pair of files."""
-    a = norm.select(*SNAP, F.col("path").alias("first_file"), F.col("arr").alias("a"))
-    b = norm.select(*SNAP, F.col("path").alias("second_file"), F.col("arr").alias("b"))
-    on = (pairs.join(a, [*SNAP, "first_file"]).join(b, [*SNAP, "second_file"])
-          .withColumn("diag", F.explode("diags")))
-    low, high = F.greatest(F.lit(1), F.col("diag") + 1), F.least(F.size("b"), F.size("a") + F.col("diag"))
-
-    def same(i):
-        return F.element_at("a", i - F.col("diag"))["t"] == F.element_at("b", i)["t"]
-    places = F.filter(F.sequence(low, high), same)
-    on = on.withColumn("at", places)
-    n = F.size("at")
-    inner = F.sequence(F.lit(1), n)
-    opens = F.filter(inner, lambda i: (i == 1) | (F.element_at("at", F.greatest(i - 1, F.lit(1))) != F.element_at("at", i) - 1))
-    closes = F.filter(inner, lambda i: (i == n) | (F.element_at("at", F.least(i + 1, n)) != F.element_at("at", i) + 1))
-    run = F.zip_with(opens, closes, lambda x, y: F.struct(F.element_at("at", x).alias("start_pos"),
-                                                          F.element_at("at", y).alias("end_pos")))
-    runs = on.filter(n >= k).withColumn(
-        "run", F.explode(F.filter(run, lambda r: r["end_pos"] - r["start_pos"] >= k - 1)))
-    start, end, diag = F.col("run.start_pos"), F.col("run.end_pos"), F.col("diag")
-    return runs.select(
-        *SNAP, "first_file", "second_file", start.alias("start_pos"), end.alias("end_pos"),
-        F.element_at("a", start - diag)["ln"].alias("first_start"), F.element_at("a", end - diag)["ln"].alias("first_end"),
-        F.element_at("b", start)["ln"].alias("second_start"), F.element_at("b", end)["ln"].alias("second_end"),
-        F.aggregate(F.slice("b", start, end - start + 1), F.lit(0).cast("bigint"),
-                    lambda acc, s: acc + s["tok"]).alias("tokens"))
-
-
-def clone_pairs(files: DataFrame, params: CloneParams = CloneParams()) -> DataFrame:
-    """C5 (+ C7 skip-local, P3 formats / max-lines / max-size filters): one row per clone.
-
-    Columns: repo, snapshot_id, first_file, first_start, first_end,
-    second_file, second_start, second_end, lines, norm_lines, tokens.
-    """
-    k = params.min_lines
+    places = ids.select(*SNAP, "path", F.explode(F.when(n >= k, window)).alias("x")).select(*SNAP, "path", "x.*")
+    places = places.withColumn("left", F.when(F.col("pos") > 1, F.col("left")))
+    groups = places.groupBy(*SNAP, "g").agg(F.count("*").alias("n"), F.count("left").alias("lefts"), F.min("left").alias("lo"), F.max("left").alias("hi"))
+    groups = groups.filter((F.col("n") > 1) & ((F.col("lefts") < F.col("n")) | (F.col("lo") != F.col("hi"))))
+    return places.join(groups.select(*SNAP, "g"), [*SNAP, "g"])
+
+
+def repeats(norm: DataFrame, k: int) -> DataFrame:
+    """The tree's inner nodes: (repo, snapshot_id, g, len, path, pos, left, copies), one row for each place that stands for a
+    branch of the node ``g``; ``copies`` places lie in the branch."""
+    units = saved(_starts(norm, k))
+    most = units.agg(F.max("rest")).first()[0]
+    units = units.select(*SNAP, "g", F.lit(k).alias("len"), "path", "pos", "left", F.lit(1).cast("bigint").alias("copies"))
+    levels = max(0, most - k).bit_length() if most else 0
+    if not levels:
+        return units
+    names = [*SNAP, "g", "len", "path", "pos", "left", "copies"]
+    some = norm.join(units.select(*SNAP, "path").distinct(), [*SNAP, "path"], "left_semi")
+    lines = saved(_line_numbers(some, levels).repartition(*SNAP, "path", "at"))
+    for j in reversed(range(levels)):
+        on = lines.select(*SNAP, "path", "at", F.col("ids")[j].alias("next"))
+        placed = saved(units.withColumn("at", F.col("pos") + F.col("len")).join(on, [*SNAP, "path", "at"], "left").drop("at"))
+        key = [*SNAP, "g", "len", "next"]
+        more = placed.filter("next is not null").groupBy(*key).agg(
+            F.count("*").alias("n"), F.min(F.struct("path", "pos", "left")).alias("first"), F.sum("copies").alias("all")).filter("n > 1")
+        both = placed.join(more, key, "left")
+        longer = F.col("n").isNotNull()
+        units = both.select(*SNAP, F.when(longer, F.xxhash64("g", "next")).otherwise(F.col("g")).alias("g"),
+                            (F.col("len") + F.when(longer, 1 << j).otherwise(0)).alias("len"), "path", "pos", "left", "copies").unionByName(
+            more.select(*SNAP, "g", "len", "first.*", F.col("all").alias("copies"))).select(*names)
+    return units
+
+
+def _details(norm: DataFrame, runs: DataFrame) -> DataFrame:
+    """Line numbers, tokens and text digest of runs (repo, snapshot_id, path, pos, len)."""
+    wanted = runs.distinct().groupBy(*SNAP, "path").agg(F.collect_list(F.struct("pos", "len")).alias("runs"))
+
+    def told(r):
+        part = F.slice("arr", r["pos"], r["len"])
+        return F.struct(r["pos"].alias("pos"), r["len"].alias("len"), F.element_at(part, 1)["ln"].alias("start"), F.element_at(part, -1)["ln"].alias("end"),
+                        F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x["tok"]).alias("tokens"),
+                        F.sha2(F.array_join(F.transform(part, lambda x: x["t"]), "\n"), 256).alias("digest"))
+    return wanted.join(norm, [*SNAP, "path"]).select(*SNAP, "path", F.explode(F.transform("runs", told)).alias("x")).select(*SNAP, "path", "x.*")
+
+
+def _clones(norm: DataFrame, k: int) -> DataFrame:
+    """The links of every node: its smallest place to each branch with another line before it, as runs of equal text."""
+    branches = saved(repeats(norm, k))
+    key = [*SNAP, "g", "len"]
+    nodes = branches.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("path", "pos", "left")).alias("first"), F.sum("copies").alias("places")).filter("n > 1")
+    both = branches.join(nodes, key).filter(
+        ((F.col("path") != F.col("first.path")) | (F.col("pos") != F.col("first.pos")))
+        & (F.col("left").isNull() | F.col("first.left").isNull() | (F.col("left") != F.col("first.left"))))
+    links = saved(both.select(*SNAP, "len", F.col("first.path").alias("first_file"), F.col("first.pos").alias("first_pos"),
+                              F.col("path").alias("second_file"), F.col("pos").alias("second_pos"), F.col("places")))
+    told = _details(norm, links.select(*SNAP, F.col("first_file").alias("path"), F.col("first_pos").alias("pos"), "len").union(
+        links.select(*SNAP, "second_file", "second_pos", "len")))
+
+    def side(name):
+        return told.select(*SNAP, F.col("path").alias(f"{name}_file"), F.col("pos").alias(f"{name}_pos"), "len", F.col("start").alias(f"{name}_start"),
+                           F.col("end").alias(f"{name}_end"), F.col("tokens").alias(f"{name}_tokens"), F.col("digest").alias(f"{name}_digest"))
+    out = links.join(side("first"), [*SNAP, "first_file", "first_pos", "len"]).join(side("second"), [*SNAP, "second_file", "second_pos", "len"])
+    return out.filter("first_digest = second_digest").select(
+        *SNAP, "first_file", "second_file", "first_pos", F.col("second_pos").alias("start_pos"), (F.col("second_pos") + F.col("len") - 1).alias("end_pos"),
+        "first_start", "first_end", "second_start", "second_end", F.col("first_tokens").alias("tokens"), "places", "first_digest")
+
+
+def _chosen(files: DataFrame, params: CloneParams) -> DataFrame:
+    """Formats, ignored globs and text, largest files."""
     f = files
     n_lines = F.size(F.split(F.col("content"), "\n", -1))
     if params.formats:
@@ -145,8 +167,29 @@ def clone_pairs(files: DataFrame, params: CloneParams = CloneParams()) -> DataFr
     if params.ignore_pattern:
         # matching text is ignored (e.g. license headers); the file's other lines stay
         f = f.withColumn("content", F.regexp_replace("content", params.ignore_pattern, ""))
-    norm = normalised_lines(f, params.mode)
-    runs = _runs(_diagonals(norm, k), norm, k).filter(F.col("tokens") >= params.min_tokens)
+    return f
+
+
+def clone_classes(files: DataFrame, params: CloneParams = CloneParams()) -> DataFrame:
+    """One row for each maximal repeat, at its smallest place, with the number of places that hold it.
+
+    Columns: repo, snapshot_id, first_file, first_start, first_end, norm_lines, tokens, places. Its members
+    are the second places of ``clone_pairs`` that name the class's first place, and what is linked to these by longer runs.
+    """
+    norm = normalised_lines(_chosen(files, params), params.mode)
+    runs = _clones(norm, params.min_lines).filter(F.col("tokens") >= params.min_tokens)
+    return runs.select(*SNAP, "first_file", F.col("first_start").cast("bigint").alias("first_start"), F.col("first_end").cast("bigint").alias("first_end"),
+                       (F.col("end_pos") - F.col("start_pos") + 1).cast("bigint").alias("norm_lines"), "tokens", "places").distinct()
+
+
+def clone_pairs(files: DataFrame, params: CloneParams = CloneParams()) -> DataFrame:
+    """C5 (+ C7 skip-local, P3 formats / max-lines / max-size filters): one row per clone.
+
+    Columns: repo, snapshot_id, first_file, first_start, first_end,
+    second_file, second_start, second_end, lines, norm_lines, tokens.
+    """
+    norm = normalised_lines(_chosen(files, params), params.mode)
+    runs = _clones(norm, params.min_lines).filter(F.col("tokens") >= params.min_tokens)
     # a second place is listed with its longest match, the smallest first place among equals
     longer = (Window.partitionBy(*SNAP, "second_file")
               .orderBy("start_pos", F.desc("end_pos"), "first_file", "first_start")

@@ -455,6 +455,11 @@ def q_c5(spark, d):
     return _clones(spark, d)
 
 
+@query("c5_clone_classes")
+def q_c5_classes(spark, d):
+    return cl.clone_classes(td.source_files(spark, d))
+
+
 @query("c8_clones_strict")
 def q_c8(spark, d):
     return _clones(spark, d, mode="strict")

@@ -680,34 +680,40 @@ sh AS (
              || chr(10) || lead(t, 4) OVER w AS txt
     FROM nl WINDOW w AS (PARTITION BY repo, snapshot_id, path ORDER BY pos))
   WHERE end_ln IS NOT NULL),
-occ AS (SELECT repo, snapshot_id, txt, path, min(pos) AS pos FROM sh GROUP BY ALL),
-ends AS (
-  SELECT repo, snapshot_id, txt, min(path) AS lo, arg_min(pos, path) AS lo_pos, max(path) AS hi,
-         arg_max(pos, path) AS hi_pos
-  FROM occ GROUP BY ALL HAVING count(*) > 1),
-cand AS (
-  SELECT repo, snapshot_id, path AS first_file, path AS second_file, pos - before AS diag
-  FROM (SELECT *, lag(pos) OVER (PARTITION BY repo, snapshot_id, txt, path ORDER BY pos) AS before FROM sh)
-  WHERE before IS NOT NULL
-  UNION SELECT repo, snapshot_id, lo, path, pos - lo_pos
-        FROM occ JOIN ends USING (repo, snapshot_id, txt) WHERE path > lo
-  UNION SELECT repo, snapshot_id, path, hi, hi_pos - pos
-        FROM occ JOIN ends USING (repo, snapshot_id, txt) WHERE path > lo AND path < hi),
-eqs AS (
-  SELECT c.*, b.pos, a.ln AS f_ln, b.ln AS s_ln, b.tok
-  FROM cand c
-  JOIN nl b ON b.repo = c.repo AND b.snapshot_id = c.snapshot_id AND b.path = c.second_file
-  JOIN nl a ON a.repo = c.repo AND a.snapshot_id = c.snapshot_id AND a.path = c.first_file
-           AND a.pos = b.pos - c.diag AND a.t = b.t),
-isl AS (
-  SELECT *, pos - row_number() OVER (PARTITION BY repo, snapshot_id, first_file, second_file, diag ORDER BY pos)
-            AS grp
-  FROM eqs),
+same AS (  -- all pairs of places that share a window, joined to runs along their diagonals
+  SELECT a.repo, a.snapshot_id, a.path AS f, b.path AS s, a.pos AS fpos, b.pos AS spos,
+         a.pos - row_number() OVER (PARTITION BY a.repo, a.snapshot_id, a.path, b.path, b.pos - a.pos ORDER BY a.pos) AS grp
+  FROM sh a JOIN sh b ON a.repo = b.repo AND a.snapshot_id = b.snapshot_id AND a.txt = b.txt AND (a.path, a.pos) <> (b.path, b.pos)),
+pr AS (SELECT repo, snapshot_id, f, s, min(fpos) AS fpos, min(spos) AS spos, count(*) + 4 AS n FROM same GROUP BY repo, snapshot_id, f, s, spos - fpos, grp),
+held AS (  -- every run's text, as one place and a length, with all places that hold it
+  SELECT DISTINCT t.repo, t.snapshot_id, t.f, t.fpos, t.n, p.s AS path, p.spos + t.fpos - p.fpos AS pos
+  FROM (SELECT DISTINCT repo, snapshot_id, f, fpos, n FROM pr) t
+  JOIN pr p ON p.repo = t.repo AND p.snapshot_id = t.snapshot_id AND p.f = t.f AND t.fpos >= p.fpos AND p.n - (t.fpos - p.fpos) >= t.n
+  UNION SELECT repo, snapshot_id, f, fpos, n, f, fpos FROM pr),
+named AS (
+  SELECT *, min({'path': path, 'pos': pos}) OVER (PARTITION BY repo, snapshot_id, f, fpos, n) AS rep FROM held),
+members AS (
+  SELECT DISTINCT m.repo, m.snapshot_id, m.rep, m.n, m.path, m.pos, b.t AS before,
+         coalesce('=' || z.t, m.path || ':' || m.pos) AS behind
+  FROM named m
+  LEFT JOIN nl b ON b.repo = m.repo AND b.snapshot_id = m.snapshot_id AND b.path = m.path AND b.pos = m.pos - 1
+  LEFT JOIN nl z ON z.repo = m.repo AND z.snapshot_id = m.snapshot_id AND z.path = m.path AND z.pos = m.pos + m.n),
+branches AS (
+  SELECT repo, snapshot_id, rep, n, min({'path': path, 'pos': pos}) AS place, arg_min({'t': before}, {'path': path, 'pos': pos}) AS left_,
+         count(*) AS copies
+  FROM members GROUP BY repo, snapshot_id, rep, n, behind),
+links AS (
+  SELECT u.repo, u.snapshot_id, u.n, u.rep.path AS first_file, u.rep.pos AS first_pos, u.place.path AS second_file, u.place.pos AS start_pos,
+         (SELECT sum(copies) FROM branches x WHERE x.repo = u.repo AND x.snapshot_id = u.snapshot_id AND x.rep = u.rep AND x.n = u.n) AS places
+  FROM branches u JOIN branches r ON r.repo = u.repo AND r.snapshot_id = u.snapshot_id AND r.rep = u.rep AND r.n = u.n AND r.place = r.rep
+  WHERE u.place <> u.rep AND (u.left_.t IS NULL OR r.left_.t IS NULL OR u.left_.t <> r.left_.t)),
 alls AS (
-  SELECT repo, snapshot_id, first_file, second_file, diag, grp, min(pos) AS start_pos, max(pos) AS end_pos,
-         min(f_ln) AS first_start, max(f_ln) AS first_end, min(s_ln) AS second_start, max(s_ln) AS second_end,
-         sum(tok) AS tokens
-  FROM isl GROUP BY ALL HAVING count(*) >= 5 AND sum(tok) >= 50),
+  SELECT l.repo, l.snapshot_id, l.first_file, l.second_file, l.start_pos, l.start_pos + l.n - 1 AS end_pos, l.places,
+         min(a.ln) AS first_start, max(a.ln) AS first_end, min(b.ln) AS second_start, max(b.ln) AS second_end, sum(b.tok) AS tokens
+  FROM links l
+  JOIN nl b ON b.repo = l.repo AND b.snapshot_id = l.snapshot_id AND b.path = l.second_file AND b.pos BETWEEN l.start_pos AND l.start_pos + l.n - 1
+  JOIN nl a ON a.repo = l.repo AND a.snapshot_id = l.snapshot_id AND a.path = l.first_file AND a.pos = l.first_pos + b.pos - l.start_pos
+  GROUP BY ALL HAVING sum(b.tok) >= 50),
 runs AS (
   SELECT * FROM alls r
   WHERE NOT EXISTS (
@@ -725,6 +731,11 @@ cl AS (
 
 register("c5_clones", with_(CLONES) + "SELECT * FROM cl")
 
+register("c5_clone_classes", with_(CLONES) + """
+SELECT DISTINCT repo, snapshot_id, first_file, CAST(first_start AS BIGINT) AS first_start, CAST(first_end AS BIGINT) AS first_end,
+       CAST(end_pos - start_pos + 1 AS BIGINT) AS norm_lines, CAST(tokens AS BIGINT) AS tokens, CAST(places AS BIGINT) AS places
+FROM alls""")
+
 register("c7_cross_folder_clones", with_(CLONES) + """
 SELECT * FROM cl
 WHERE regexp_replace(first_file, '/[^/]*$', '') <> regexp_replace(second_file, '/[^/]*$', '')""")

@@ -197,3 +197,52 @@ def test_clones_within_one_file_and_formats(spark):
     assert sorted((r.first_file, r.second_file, r.second_start, r.second_end) for r in got) == \
         [("src/a.ts", "src/a.ts", 8, 13), ("src/same.ts", "src/same.ts", 2, 300)]
     assert cl.clone_pairs(files.limit(0)).count() == 0
+
+
+def test_copies_between_smaller_and_larger_holders_are_found(spark):
+    block = [f"let value{i} = compute(alpha, beta, gamma, {i});" for i in range(30)]
+    parts = {"a": (0, 12), "b": (8, 22), "c": (18, 30), "m": (0, 30), "n": (0, 30), "x": (0, 12), "y": (8, 22), "z": (18, 30)}
+    files = _files(spark, [(f"src/{f}.ts", "\n".join([f"own {f}", *block[i:j], f"end {f}"])) for f, (i, j) in parts.items()])
+    params = CloneParams(min_tokens=20)
+    rows = cl.clone_pairs(files, params).collect()
+    got = {(r.first_file[4], r.second_file[4], r.second_start, r.second_end) for r in rows}
+    assert got >= {("m", "n", 2, 31), ("a", "x", 2, 13), ("b", "y", 2, 15), ("c", "z", 2, 13), ("a", "m", 2, 13), ("b", "m", 10, 23), ("c", "m", 20, 31)}
+    assert not any(r.second_file == "src/n.ts" and r.norm_lines < 30 for r in rows)  # parts of the whole copy
+    classes = {(r.first_file[4], r.norm_lines): r.places for r in cl.clone_classes(files, params).collect()}
+    assert classes[("m", 30)] == 2 and classes[("a", 12)] == classes[("c", 12)] == 4 and classes[("b", 14)] == 4
+
+
+def test_clones_equal_a_comparison_of_all_places(spark):
+    """Every two places whose equal run can't be made longer lie in one class, by way of links of at least that length."""
+    import random
+    r = random.Random(7)
+    for k in (2, 3):
+        texts = {f"f{i}": [r.choice("abc") * 3 for _ in range(r.randrange(1, 25))] for i in range(6)} | {"g": ["abc"] * 40, "h": []}
+        files = _files(spark, [(f, "\n".join(x)) for f, x in texts.items()])
+        runs = cl._clones(cl.normalised_lines(files), k).collect()
+        near = {}
+        for run in runs:
+            n = run.end_pos - run.start_pos + 1
+            a, b = (run.first_file, run.first_pos), (run.second_file, run.start_pos)
+            assert texts[a[0]][a[1] - 1:a[1] - 1 + n] == texts[b[0]][b[1] - 1:b[1] - 1 + n]
+            for i in range(n - k + 1):  # a run links its inner places too
+                near.setdefault((a[0], a[1] + i), []).append(((b[0], b[1] + i), n - i))
+                near.setdefault((b[0], b[1] + i), []).append(((a[0], a[1] + i), n - i))
+        places = [(f, i + 1) for f, x in texts.items() for i in range(len(x))]
+        count = 0
+        for a in places:
+            for b in places:
+                n = 0
+                while a != b and a[1] + n <= len(texts[a[0]]) and b[1] + n <= len(texts[b[0]]) and texts[a[0]][a[1] + n - 1] == texts[b[0]][b[1] + n - 1]:
+                    n += 1
+                if n < k or a[1] > 1 and b[1] > 1 and texts[a[0]][a[1] - 2] == texts[b[0]][b[1] - 2]:
+                    continue
+                seen, todo = {a}, [a]
+                while todo:
+                    for c, length in near.get(todo.pop(), []):
+                        if length >= n and c not in seen:
+                            seen.add(c)
+                            todo.append(c)
+                assert b in seen, (k, a, b, n)
+                count += 1
+        assert count > len(runs) > 10
