@@ -183,7 +183,7 @@ def count_block(lang: str, texts: list[bytes], count_words: bool, reached: np.nd
 
 
 def count_shard(rows: DataFrame, count_words: bool, tables, p: Params) -> DataFrame:
-    """``lang, k, phrase, n`` of the active phrases of one shard, by partial sums."""
+    """``lang, k, phrase, n`` of the active phrases of one shard, once for each block of texts."""
     schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +193,7 @@ def count_shard(rows: DataFrame, count_words: bool, tables, p: Params) -> DataFr
                 for at in range(0, len(counts), 50_000):
                     part, n = phrases.slice(at, 50_000), counts[at:at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(np.full(len(n), k, np.int32)), part, pa.array(n)], schema=schema)
-    out = rows.select("lang", "text").mapInArrow(count, "lang string, k int, phrase string, n bigint")
-    return out.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").mapInArrow(count, "lang string, k int, phrase string, n bigint")
 
 
 def bit_table(phrases: DataFrame, bits: int) -> np.ndarray:
@@ -245,22 +244,31 @@ def frequent_phrases(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame,
     while step < p.shards or any(table.any() for table in latest):
         sent = spark.sparkContext.broadcast((reached, np.bitwise_or.reduce(latest)))
         shard = texts.where(F.col("shard") == step % p.shards)
-        count_shard(shard, step < p.shards, sent, p).write.parquet(f"{folder}/counts/{step}")
+        # one shuffle adds up this shard and joins what the cycle's other shards had
+        cycle = count_shard(shard, step < p.shards, sent, p).withColumn("before", F.lit(0).cast("bigint"))
+        if earlier := range(max(0, step - p.shards + 1), step):
+            cycle = cycle.unionByName(stored("counts", earlier).select(*key, F.lit(0).cast("bigint").alias("n"), F.col("n").alias("before")))
+        cycle = cycle.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("before").alias("before")).where("n > 0")
+        cycle.select(*key, "n", (F.col("n") + F.col("before")).alias("all")).write.parquet(f"{folder}/counts/{step}")
         sent.destroy()
-        cycle = stored("counts", range(max(0, step - p.shards + 1), step + 1))
-        cycle.groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") >= p.least).write.parquet(f"{folder}/frequent/{step}")
+        done = spark.read.schema(f"{counted}, all bigint").parquet(f"{folder}/counts/{step}")
+        done.where(F.col("all") >= p.least).select(*key, F.col("all").alias("n")).write.parquet(f"{folder}/frequent/{step}")
+        if step < p.shards:
+            done.where("k = 1").groupBy("lang").agg(F.sum("n").alias("total")).write.parquet(f"{folder}/totals/{step}")
+        if step >= p.shards - 1:
+            drop_path(spark, f"{folder}/counts/{step - p.shards + 1}")
         now = stored("frequent", [step])
         if step:
             now = now.join(stored("reached", range(step)).select(*key), key, "left_anti")
         now.write.parquet(f"{folder}/reached/{step}")
         new = bit_table(stored("reached", [step]).where(F.col("k") < p.longest), p.bits)
         reached, latest, step = reached | new, [*latest, new][-p.shards:], step + 1
-    stored("counts", range(p.shards)).where("k = 1").groupBy("lang").agg(F.sum("n").alias("total")).write.parquet(f"{folder}/totals")
     # a phrase's count is whole in the last step of its cycle and never larger in another
     stored("frequent", range(step)).groupBy(*key).agg(F.max("n").alias("n")).write.parquet(f"{folder}/phrases")
-    for done in ("texts", "counts", "frequent", "reached"):
-        drop_path(spark, f"{folder}/{done}")
-    return spark.read.schema(counted).parquet(f"{folder}/phrases"), spark.read.schema("lang string, total bigint").parquet(f"{folder}/totals")
+    for name in ("texts", "counts", "frequent", "reached"):
+        drop_path(spark, f"{folder}/{name}")
+    totals = spark.read.schema("lang string, total bigint").parquet(*[f"{folder}/totals/{i}" for i in range(p.shards)])
+    return spark.read.schema(counted).parquet(f"{folder}/phrases"), totals.groupBy("lang").agg(F.sum("total").alias("total"))
 
 
 def collocations(docs: DataFrame, p: Params = Params()) -> DataFrame:
