@@ -67,7 +67,7 @@ def shards(docs: DataFrame, path: str, n: int) -> DataFrame:
     """Write ``lang, text`` in ``n`` folders of about equal size, without a shuffle."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).write.partitionBy("shard").parquet(path)
+    rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).write.partitionBy("shard").parquet(path, compression="zstd")
     return spark.read.schema("lang string, text string, shard int").parquet(path)
 
 
@@ -249,7 +249,7 @@ def frequent_phrases(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame,
         if earlier := range(max(0, step - p.shards + 1), step):
             cycle = cycle.unionByName(stored("counts", earlier).select(*key, F.lit(0).cast("bigint").alias("n"), F.col("n").alias("before")))
         cycle = cycle.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("before").alias("before")).where("n > 0")
-        cycle.select(*key, "n", (F.col("n") + F.col("before")).alias("all")).write.parquet(f"{folder}/counts/{step}")
+        cycle.select(*key, "n", (F.col("n") + F.col("before")).alias("all")).write.parquet(f"{folder}/counts/{step}", compression="zstd")
         sent.destroy()
         done = spark.read.schema(f"{counted}, all bigint").parquet(f"{folder}/counts/{step}")
         done.where(F.col("all") >= p.least).select(*key, F.col("all").alias("n")).write.parquet(f"{folder}/frequent/{step}")
