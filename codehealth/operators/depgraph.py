@@ -124,8 +124,8 @@ def stable_depended_on(by_file: DataFrame, limit: int = 25) -> DataFrame:
 class _Steps:
     """Materialise one loop step per Spark job.
 
-    Each step caches its DataFrame and, in the same job, aggregates the flag
-    the loop needs. Every ``every`` steps (and at every round boundary) the
+    Each step caches its DataFrame and, in the same job, aggregates the number of
+    rows whose flag is set, which the loop needs. Every ``every`` steps (and at every round boundary) the
     state is written with a reliable checkpoint as well, so recovery after a
     lost executor replays at most that many steps and plans stay short.
     """
@@ -146,19 +146,19 @@ class _Steps:
         self.live.append(df)
         aggs = [F.count(F.lit(1)).alias("n")]
         if flag:
-            aggs.append(F.max(F.col(flag).cast("int")).alias("flag"))
+            aggs.append(F.count_if(F.col(flag)).alias("flag"))
         row = df.agg(*aggs).first()
         while len(self.live) > 4:
             self.live.pop(0).unpersist()
-        return df, row["n"], (bool(row["flag"]) if flag else None)
+        return df, row["n"], (row["flag"] if flag else None)
 
 
 # ---- strongly connected components (G1) --------------------------------------------
-def _trim(edges: DataFrame, steps: _Steps, gain: float = 0.05) -> DataFrame:
+def _trim(edges: DataFrame, steps: _Steps, gain: float = 0.3) -> DataFrame:
     """Drop edges touching nodes without in- or out-edges. Such nodes are
-    singleton components and cannot lie on a cycle. Trimming only shrinks the
-    graph (and its long chains, which cost propagation steps), so it goes on
-    while a pass removes at least ``gain`` of the edges. The result is checkpointed."""
+    singleton components and cannot lie on a cycle. It goes on while a pass removes at
+    least ``gain`` of the edges; long dead ends are left to ``_chains``, which makes
+    single edges of them. The result is checkpointed."""
     e, n, _ = steps(edges)
     while n:
         ends = e.select(F.explode(F.array(
@@ -197,10 +197,75 @@ def _label_step(state: DataFrame, both: DataFrame) -> DataFrame:
                       ((F.col("f") > F.col("f0")) | (F.col("b") > F.col("b0"))).alias("changed"))
 
 
+def _chains(edges: DataFrame, steps: _Steps, gain: float = 0.05):
+    """Take chains out of a trimmed graph: a node with one in- and one out-edge lies on
+    a cycle iff the chain's two ends lie on a common one, so the chain becomes one edge.
+
+    Pointer jumping: every chain node points at its predecessor and takes over its
+    pointer until that is the chain's first node; steps grow with the logarithm of the
+    longest chain. Rings of such nodes have no first node: their pointers stop settling,
+    and the largest id that their windows (doubled in each step) hold names the ring.
+    Returns (links(node, head, tail), rings(node, component), shorter edges), or None
+    if less than ``gain`` of the edges would go.
+    """
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.lit(None).alias("up")),
+        F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.col("src").alias("up"))
+    )).alias("x"))
+    inner, n, _ = steps(ends.groupBy("x.node").agg(F.sum("x.o").alias("o"), F.sum("x.i").alias("i"),
+                                                   F.max("x.up").alias("up"))
+                        .filter("o = 1 AND i = 1").select("node", "up"), durable=True)
+    if n == 0 or n < gain * edges.count():
+        return None
+    first = inner.join(inner.select(F.col("node").alias("up")), "up", "left_anti").select("node", "up")
+    top = first.select("node", F.col("up").alias("head"), F.lit(True).alias("is_first"))
+    state, _, active = steps(inner.join(top, "node", "left").select(
+        "node", F.when(F.col("is_first"), F.col("node")).otherwise(F.col("up")).alias("ptr"),
+        F.greatest("node", "up").alias("m"), F.coalesce("is_first", F.lit(False)).alias("done"))
+        .withColumn("active", ~F.col("done")), "active", durable=True)
+    while active:
+        other = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("m").alias("m2"),
+                             F.col("done").alias("done2"))
+        # a step joins unsettled nodes only; a node is active if it settles now or its window grew
+        jumped = state.filter(~F.col("done")).join(other, "ptr").select(
+            "node", F.col("ptr2").alias("ptr"), F.greatest("m", "m2").alias("m"), F.col("done2").alias("done"),
+            (F.col("done2") | (F.col("m2") > F.col("m"))).alias("active"))
+        state, _, active = steps(state.filter("done").withColumn("active", F.lit(False)).unionByName(jumped)
+                                 .repartition("node"), "active")
+    state, _, _ = steps(state, durable=True)
+    rings = state.filter(~F.col("done")).select("node", F.col("m").alias("component"))
+    chain = state.filter("done").select("node", F.col("ptr").alias("chain"))
+    heads = top.select(F.col("node").alias("chain"), "head")
+    named = chain.join(heads, "chain")                                   # node, chain, head
+    out = (edges.join(inner.select(F.col("node").alias("dst")), "dst", "left_anti")
+           .join(named.withColumnRenamed("node", "src"), "src", "left")
+           .select(F.coalesce("head", "src").alias("src"), "dst", "chain"))
+    out, _, _ = steps(out, durable=True)
+    links = (named.join(out.filter(F.col("chain").isNotNull()).select("chain", F.col("dst").alias("tail")), "chain")
+             .select("node", "head", "tail"))
+    links, _, _ = steps(links, durable=True)
+    rings, _, _ = steps(rings, durable=True)
+    return links, rings, out.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+
+
+def _put_back(comp: DataFrame, links: DataFrame, rings: DataFrame) -> DataFrame:
+    """Components of a graph from those of the graph without its chains."""
+    ends = (links.join(comp.select(F.col("node").alias("head"), F.col("component").alias("c1")), "head", "left")
+            .join(comp.select(F.col("node").alias("tail"), F.col("component").alias("c2")), "tail", "left"))
+    inside = ends.filter((F.col("head") == F.col("tail")) | (F.col("c1") == F.col("c2")))
+    name = F.coalesce(F.col("c1"), F.col("head"))
+    loops = inside.filter(F.col("c1").isNull()).select(F.col("head").alias("node"), F.col("head").alias("component"))
+    return (comp.select("node", "component").union(inside.select("node", name.alias("component")))
+            .union(loops.distinct()).union(rings))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Strongly connected components of size > 1: (node, component).
+    """Strongly connected components of size > 1: (node, component); a component is
+    named by one of its nodes.
 
-    Every node takes the largest id among the nodes that reach it (f) and
+    Nodes without in- or out-edges go first, then chains become single edges, both as
+    long as they shorten the graph. In what is left every node takes the largest id among
+    the nodes that reach it (f) and
     among the nodes it reaches (b), both propagated in the same steps. A node
     with f == b == c is reached by c and reaches c, so it lies in c's
     component; two nodes of one component always share (f, b), so edges
@@ -210,6 +275,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     steps = _Steps()
     e = _trim(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), steps)
+    taken = []
+    while (cut := _chains(e, steps)) is not None:
+        taken.append(cut[:2])
+        e = _trim(cut[2], steps)
     found = []
     while True:
         nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -238,11 +307,12 @@ def components(edges: DataFrame) -> DataFrame:
                 .filter((F.col("f1") == F.col("f2")) & (F.col("b1") == F.col("b2")))
                 .select("src", "dst"))
         e = _trim(rest, steps)
-    if not found:
-        return edges.sparkSession.createDataFrame([], "node bigint, component bigint")
-    out = found[0]
-    for f in found[1:]:
+    node_type = edges.schema["src"].dataType.simpleString()
+    out = edges.sparkSession.createDataFrame([], f"node {node_type}, component {node_type}")
+    for f in found:
         out = out.union(f)
+    for links, rings in reversed(taken):
+        out = _ckpt(_put_back(out, links, rings))
     return out
 
 
@@ -289,36 +359,59 @@ def cycle_counts_by_file(circular_p: DataFrame) -> DataFrame:
 
 
 # ---- reachability (G7, C10) ------------------------------------------------------------
-def reachable(edges: DataFrame, starts: DataFrame, every: int = 3) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Every node reachable from ``starts(node)`` (the starts included).
 
-    Only the frontier meets the edges (inner join, splittable), what was seen before
-    is taken away with an anti join, and the rest is the next frontier. One Spark job
-    a step; every ``every`` steps frontier and seen nodes are written with a reliable
-    checkpoint and the cached steps are released. A step's plan holds its predecessor
-    twice, so ``every`` stays small.
+    Reached sources are merged into one (a NULL ``src``). A node whose in-edges come from
+    one node only is reached iff that node is, so it points at it, and pointer jumping
+    finds the first ancestor with several sources (its root), a reached node, or none.
+    A round settles all such nodes, takes what the reached set points at, and keeps
+    only the edges between roots; it ends when none leads out of the reached set. Trees
+    and chains cost the logarithm of their depth, rounds grow with the depth of the
+    graph of the roots. Nodes with a root wait for it and are put back in reverse order.
+    Every table that a later step needs is written with a reliable checkpoint.
     """
-    e = _ckpt(edges.select("src", "dst").distinct())
-    frontier = seen = _ckpt(starts.select("node").distinct())
-    kept: list[DataFrame] = []
+    s = _ckpt(starts.select("node").filter(F.col("node").isNotNull()).distinct())
+    start = s.withColumn("hot", F.lit(True))
+    e = (edges.select("src", "dst").join(s.withColumnRenamed("node", "dst"), "dst", "left_anti")
+         .join(start.withColumnRenamed("node", "src"), "src", "left")
+         .select(F.when(~F.coalesce("hot", F.lit(False)), F.col("src")).alias("src"), "dst").distinct())
+    steps, found, waiting = _Steps(), [], []
     while True:
-        step = (frontier.join(e, frontier.node == e.src).select(F.col("dst").alias("node")).distinct()
-                .join(seen, "node", "left_anti").cache())
-        kept.append(step)
-        if step.count() == 0:
-            out = _ckpt(seen)
+        e, _, hot = steps(e.withColumn("hot", F.col("src").isNull()), "hot", durable=True)
+        if not hot:
             break
-        frontier = step
-        if len(kept) == every:
-            frontier = _ckpt(step)
-            seen = _ckpt(seen.union(frontier))
-            while kept:
-                kept.pop().unpersist()
-        else:
-            seen = seen.union(step)
-    while kept:
-        kept.pop().unpersist()
-    return out
+        # kind: 0 reached, 1 root (several sources), 2 unsettled, 3 never reached
+        into = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.max("src").alias("up"),
+                                    F.max("hot").alias("hot"))
+        kind = F.when(F.col("hot"), 0).when(F.col("n") > 1, 1).otherwise(2)
+        state, _, open_ = steps(into.select(F.col("dst").alias("node"), kind.alias("kind"),
+                                            F.when(kind == 1, F.col("dst")).when(kind == 2, F.col("up")).alias("up"))
+                                .withColumn("open", F.col("kind") == 2), "open", durable=True)
+        left = None
+        while open_ and open_ != left:  # what stays open hangs on a ring and is never reached
+            left = open_
+            other = state.select(F.col("node").alias("up"), F.col("kind").alias("k2"), F.col("up").alias("up2"))
+            jumped = (state.filter("kind = 2").join(other, "up", "left")
+                      .select("node", F.coalesce("k2", F.lit(3)).alias("kind"), F.col("up2").alias("up")))
+            state, _, open_ = steps(state.filter("kind < 2").select("node", "kind", "up")
+                                    .unionByName(jumped.filter("kind < 3")).repartition("node")
+                                    .withColumn("open", F.col("kind") == 2), "open")
+        state, _, _ = steps(state, durable=True)
+        found.append(state.filter("kind = 0").select("node"))
+        pending = state.filter("kind = 1")
+        waiting.append(pending.filter(F.col("node") != F.col("up")).select("node", F.col("up").alias("root")))
+        roots = pending.filter(F.col("node") == F.col("up")).select(F.col("node").alias("dst"))
+        settled = state.filter("kind < 2").select(F.col("node").alias("src"), F.col("up").alias("root"))
+        e = (e.select("src", "dst").join(roots, "dst", "left_semi").join(settled, "src")
+             .select(F.col("root").alias("src"), "dst")
+             .filter(F.col("src").isNull() | (F.col("src") != F.col("dst"))).distinct())
+    # a root of a round is settled in later rounds, so only what these found is looked up
+    out = s.limit(0)
+    for hits, w in zip(reversed(found), reversed(waiting)):
+        late = _ckpt(w.join(out.withColumnRenamed("node", "root"), "root", "left_semi").select("node"))
+        out = out.union(late).union(hits)
+    return out.union(s)
 
 
 def unused_files(modules: DataFrame, reached: DataFrame) -> DataFrame:

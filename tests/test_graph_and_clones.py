@@ -65,6 +65,58 @@ def test_reachability_matches_brute_force(spark):
     assert got == expected
 
 
+def _chained_graphs(seed, n_graphs=60):
+    """Disjoint random graphs whose edges are cut into chains, with rings, trees,
+    loops through one node and repeated edges among them."""
+    rnd = random.Random(seed)
+    edges, base = [], 0
+    for _ in range(n_graphs):
+        n = rnd.randrange(1, 9)
+        last = base + n
+        for _ in range(rnd.randrange(1, 2 * n + 2)):
+            a, b = base + rnd.randrange(n), base + rnd.randrange(n)
+            for _ in range(rnd.choice([0, 0, 1, 3, 12])):
+                edges.append((a, last))
+                a, last = last, last + 1
+            edges.append((a, b))
+        size = rnd.randrange(2, 20)
+        edges += [(last + i, last + (i + 1) % size) for i in range(size)]
+        if rnd.random() < 0.5:
+            edges.append((last, last + size))
+        base = last + size + 1
+    ids = list(range(base))
+    rnd.shuffle(ids)
+    return [(ids[a], ids[b]) for a, b in edges], ids
+
+
+def test_chains_rings_and_loops_match_brute_force(spark):
+    edges, ids = _chained_graphs(11)
+    reach = _closure(edges)
+    df = spark.createDataFrame(edges + edges[:50], "src long, dst long")
+    got = {(r.src, r.dst) for r in g.circular_edges(df).collect()}
+    assert got == {(a, b) for a, b in edges if a in reach.get(b, set())}
+    comp = [(r.node, r.component) for r in g.components(df).collect()]
+    groups = {}
+    for n, c in comp:
+        groups.setdefault(c, []).append(n)
+    expected = {frozenset(m for m in reach[n] if n in reach[m]) for n in reach if n in reach[n]}
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(x) for x in expected if len(x) > 1)
+    assert all(c in members for c, members in groups.items())
+    starts = ids[::17] + [-5]
+    expected = set(starts).union(*(reach.get(x, set()) for x in starts))
+    found = [r.node for r in g.reachable(df, spark.createDataFrame([(x,) for x in starts + starts[:3]],
+                                                                   "node long")).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_graph_searches_on_empty_tables(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    one = spark.createDataFrame([(3,)], "node long")
+    assert g.components(none).count() == 0
+    assert [r.node for r in g.reachable(none, one).collect()] == [3]
+    assert g.reachable(spark.createDataFrame([(3, 4)], "src long, dst long"), one.limit(0)).count() == 0
+
+
 def test_cycle_counts_pairs_once_self_loop_twice(spark):
     df = spark.createDataFrame([("r", "s", "a", "b"), ("r", "s", "b", "a"), ("r", "s", "c", "c"), ("r", "t", "a", "b")],
                                "repo string, snapshot_id string, src_path string, dst_path string")
