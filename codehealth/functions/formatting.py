@@ -117,10 +117,14 @@ def delta_class(metric: str, d: Column) -> Column:
 
 
 def compact_number(x: Column) -> Column:
-    """1.2k, 3.4M (one decimal), smaller numbers as they are."""
-    return (F.when(x >= 1_000_000, F.concat(_tenths_text(_tenths(x / 1_000_000)), F.lit("M")))
-            .when(x >= 1_000, F.concat(_tenths_text(_tenths(x / 1_000)), F.lit("k")))
-            .otherwise(x.cast("bigint").cast("string")))
+    """1.2k, -3.4M (one decimal); below 1,000 at most three decimals; NULL is an em dash."""
+    def short(unit: int, sign: str) -> Column:
+        return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
+                        _tenths_text(_tenths(F.abs(x) / unit)), F.lit(sign))
+    return (F.when(x.isNull(), F.lit("—"))
+            .when(F.abs(x) >= 1_000_000, short(1_000_000, "M"))
+            .when(F.abs(x) >= 1_000, short(1_000, "k"))
+            .otherwise(F.call_function("format_number", F.round(x.cast("double"), 3), F.lit("#,##0.###"))))
 
 
 def strip_ansi(s: Column) -> Column:

@@ -13,10 +13,14 @@ the whole history.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from codehealth.params import SEVERITIES, Rule
 from codehealth.session import checkpoint_dir
 
 SNAP = ["repo", "snapshot_id"]
@@ -420,15 +424,74 @@ def unused_files(modules: DataFrame, reached: DataFrame) -> DataFrame:
 
 
 # ---- rules (G8, G9) ----------------------------------------------------------------------
+_PLAIN = re.compile(r"(?:[\w/@# -]|\\[^\w\s])*")
+
+
+def _matches(path: Column, template: str, group: Column) -> Column:
+    """Whether ``path`` matches a regex in which ``$1`` stands for the text ``group``.
+
+    In a template that begins with ``^``, plain text and ``$1`` up to its last ``$1``, that
+    part is a comparison of prefixes and what follows it one constant pattern. Only other
+    templates need a pattern of their own for each row.
+    """
+    if "$1" not in template:
+        return path.rlike(template)
+    *before, tail = template.split("$1")
+    plain = before[0].startswith("^") and all(map(_PLAIN.fullmatch, [before[0][1:], *before[1:]]))
+    # an alternative or a quantifier right behind $1 reaches back into the prefix
+    if plain and "|" not in re.sub(r"\([^()]*\)|\\.", "", tail) and tail[:1] not in ("?", "*", "+", "{"):
+        texts = [re.sub(r"\\(.)", r"\1", t) for t in [before[0][1:], *before[1:]]]
+        prefix = F.concat(*[x for t in texts for x in (F.lit(t), group)])
+        rest = F.substr(path, F.length(prefix) + 1)
+        return path.startswith(prefix) & (rest.rlike(f"^{tail}") if tail else F.lit(True))
+    literal = F.regexp_replace(group, r"([^\p{L}\p{N}_])", r"\\$1")
+    return F.regexp(path, F.replace(F.lit(template), F.lit("$1"), literal))
+
+
+def rule_set_violations(edges_p: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Every rule that an edge breaks: (snapshot, rule, severity, src_path, dst_path).
+
+    A rule forbids edges that meet all the conditions it states: the source matches
+    ``from_path``, the target matches ``to_path`` and not ``to_path_not`` (``$1`` in them
+    is the source's first group, taken literally), and for ``circular`` the column of that name has
+    the asked value (NULL counts as false). All rules are tested in one pass over the edges
+    without a shuffle; ignored rules are left out. A NULL path breaks no rule.
+    """
+    broken = []
+    for r in rules:
+        if r.severity == "ignore":
+            continue
+        named = r.from_path and "$1" in (r.to_path or "") + (r.to_path_not or "")
+        group = F.regexp_extract("src_path", r.from_path, 1) if named else F.lit("")
+        hit = F.col("src_path").isNotNull() & F.col("dst_path").isNotNull()
+        if r.from_path:
+            hit = hit & F.col("src_path").rlike(r.from_path)
+        if r.to_path:
+            hit = hit & _matches(F.col("dst_path"), r.to_path, group)
+        if r.to_path_not:
+            hit = hit & ~_matches(F.col("dst_path"), r.to_path_not, group)
+        if r.circular is not None:
+            hit = hit & (F.coalesce(F.col("circular"), F.lit(False)) == F.lit(r.circular))
+        broken.append(F.when(hit, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"))))
+    none = F.lit(None).cast("struct<rule:string,severity:string>")
+    return (edges_p.withColumn("broken", F.explode(F.array_compact(F.array(none, *broken))))
+            .select(*SNAP, "broken.rule", "broken.severity", "src_path", "dst_path"))
+
+
+def rule_summary(snapshots: DataFrame, broken: DataFrame) -> DataFrame:
+    """Per snapshot of ``snapshots`` the number of broken rules of each severity, and whether the
+    snapshot passes (no error)."""
+    counts = broken.groupBy(*SNAP).agg(*[F.count_if(F.col("severity") == x).alias(x) for x in SEVERITIES])
+    return (snapshots.select(*SNAP).distinct().join(counts, SNAP, "left").fillna(0, subset=list(SEVERITIES))
+            .withColumn("passes", F.col("error") == 0))
+
+
 def rule_violations(edges_p: DataFrame, name: str, from_regex: str, to_not_template: str) -> DataFrame:
-    """Edges whose source matches ``from_regex`` and whose target does not
+    """G8 with a single rule: edges whose source matches ``from_regex`` and whose target does not
     match ``to_not_template`` with ``$1`` replaced by the source's first group, taken
     literally."""
-    g1 = F.regexp_replace(F.regexp_extract(F.col("src_path"), from_regex, 1), r"([^\p{L}\p{N}_])", r"\\$1")
-    target_rx = F.replace(F.lit(to_not_template), F.lit("$1"), g1)
-    hits = edges_p.filter(F.col("src_path").rlike(from_regex)).withColumn("target_rx", target_rx)
-    return (hits.filter(~F.expr("dst_path RLIKE target_rx"))
-            .select(*SNAP, F.lit(name).alias("rule"), "src_path", "dst_path"))
+    return (rule_set_violations(edges_p, [Rule(name, from_path=from_regex, to_path_not=to_not_template)])
+            .drop("severity"))
 
 
 def more_unstable_violations(edges_p: DataFrame, by_file: DataFrame) -> DataFrame:

@@ -162,7 +162,9 @@ def derive_status(checks: DataFrame) -> DataFrame:
     """A check that was skipped or failed stays so; otherwise the status comes
     from its metrics, and without metrics from the wording of its own output. A
     check is told by its ``kind`` or, without one, its ``name``; the words of one
-    check mean nothing in the output of another."""
+    check mean nothing in the output of another. With an ``exit_code`` column, a
+    code other than 0 makes a cycle check without metrics a warning and a line-count check a
+    failure; other checks end with such codes when they only found something."""
     count = F.col("count_value")
     check = F.coalesce(F.col("kind"), F.col("name"))
     own_words = (F.when(check == "unused", F.lit("Unused|unused|Unlisted"))
@@ -171,8 +173,12 @@ def derive_status(checks: DataFrame) -> DataFrame:
     from_metrics = (F.when(F.col("kind").isin("unused", "duplicates", "cycles") & count.isNotNull(),
                            F.when(count > 0, F.lit("warn")).otherwise(F.lit("pass"))))
     text = F.coalesce(F.col("output"), F.lit(""))
-    from_text = F.when(F.regexp_like(text, own_words), F.lit("warn")).otherwise(F.lit("pass"))
+    ended_badly = (F.coalesce(F.col("exit_code") != 0, F.lit(False)) if "exit_code" in checks.columns
+                   else F.lit(False))
+    from_text = F.when(F.regexp_like(text, own_words) | (ended_badly & (check == "cycles")),
+                       F.lit("warn")).otherwise(F.lit("pass"))
     status = (F.when(F.col("status").isin("skip", "fail"), F.col("status"))
+              .when(ended_badly & check.startswith("stats"), F.lit("fail"))
               .otherwise(F.coalesce(from_metrics, from_text)))
     return checks.select(*SNAP, "check_idx", "name", status.alias("derived_status"))
 

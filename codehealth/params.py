@@ -48,3 +48,17 @@ class CloneParams:
     ignore: tuple[str, ...] = ()
     ignore_pattern: str | None = None
 
+
+SEVERITIES = ("error", "warn", "info")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One dependency rule; conditions left None are not tested. ``severity`` is one of
+    ``SEVERITIES`` or ``ignore``."""
+    name: str
+    severity: str = "warn"
+    from_path: str | None = None
+    to_path: str | None = None
+    to_path_not: str | None = None
+    circular: bool | None = None

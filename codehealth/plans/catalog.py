@@ -22,7 +22,7 @@ from codehealth.operators import health, rankings
 from codehealth.operators import history as hist
 from codehealth.operators import tree as tree_ops
 from codehealth.operators import unused as un
-from codehealth.params import CloneParams, StatsParams
+from codehealth.params import CloneParams, Rule, StatsParams
 from codehealth.plans import dashboard as dash
 from codehealth.session import checkpoint_dir
 from codehealth.sources import reports as rp
@@ -214,6 +214,56 @@ def q_p7(spark, d):
     return hist.derive_status(_checks(spark, d))
 
 
+@query("p7_exit_codes")
+def q_p7_exit(spark, d):
+    """Checks of which some lost their metrics and some ended with a code other than 0."""
+    c = _checks(spark, d)
+    return hist.derive_status(
+        c.withColumn("count_value", F.when(F.col("check_idx") % 3 > 0, F.col("count_value")))
+        .withColumn("status", F.lit("pass")).withColumn("exit_code", F.col("check_idx") % 4))
+
+
+@query("w7_short_histories")
+def q_w7_short(spark, d):
+    return hist.short_histories(td.commits(spark, d), count=3, every=2)
+
+
+@query("f10_commit_labels")
+def q_f10(spark, d):
+    return td.commits(spark, d).select("repo", "sha", fmt.commit_label(
+        F.when(F.col("sha") % 5 > 0, F.col("short_sha")), F.col("subject") == "fix").alias("label"))
+
+
+@query("f12_score_tiers")
+def q_f12(spark, d):
+    """tiers of the health score and the direction of its trend."""
+    return q_a14(spark, d).select(
+        "repo", "snapshot_id", "overall", health.score_tier(F.col("overall")).alias("tier"),
+        health.score_tier(F.col("overall"), inverted=True).alias("heat"),
+        fmt.delta_class("health", F.col("trend")).alias("direction"))
+
+
+@query("f14_signal_flags")
+def q_f14(spark, d):
+    return rankings.signal_flags(q_t5(spark, d)).select(
+        "repo", "snapshot_id", "path", "complexity_active", "size_active", "issues_active")
+
+
+@query("f15_compact_numbers")
+def q_f15(spark, d):
+    balance = F.col("c_acctbal").cast("double")
+    return td.read(spark, d, "customer").select(
+        "c_custkey", fmt.compact_number(balance).alias("balance"),
+        fmt.compact_number(balance * F.col("c_custkey")).alias("weighted"),
+        fmt.compact_number(F.nullif(F.col("c_custkey") % 7, F.lit(0))).alias("small"))
+
+
+@query("t9_files_by_path")
+def q_t9(spark, d):
+    return rankings.files_by_path(history_tree(spark, d)).select("repo", "snapshot_id", "path", "lines", "code",
+                                                                 "complexity", "total")
+
+
 @query("w7_every_nth_commits")
 def q_w7(spark, d):
     return hist.every_nth_commits(td.commits(spark, d), count=3, every=2)
@@ -343,6 +393,33 @@ def q_g8(spark, d):
     return g.rule_violations(g.with_paths(e, m), "same-manufacturer", r"^src/(Brand#\d)", r"^src/$1(\d|/)")
 
 
+RULES = (
+    Rule("same-manufacturer", "warn", from_path=r"^src/(Brand#\d)", to_path="^src/Brand#[1-4]",
+         to_path_not=r"^src/$1(\d|/)"),
+    Rule("generic-stays-generic", "error", from_path="^src/Brand#5", to_path="^src/Brand#1"),
+    Rule("no-circular", "error", circular=True),
+    Rule("same-end", "info", from_path=r"(\d)$", to_path="$1$", to_path_not="^src/Brand#[24]"),
+    Rule("not-tested", "ignore", from_path="^src/"),
+)
+
+
+def _broken_rules(spark, d):
+    e, m = _graph(spark, d)
+    flagged = g.with_paths(e, m).join(_circular(spark, d).select("src", "dst", F.lit(True).alias("circular")),
+                                      ["src", "dst"], "left")
+    return m, g.rule_set_violations(flagged, RULES)
+
+
+@query("g8_rule_set")
+def q_g8_set(spark, d):
+    return _broken_rules(spark, d)[1]
+
+
+@query("g8_rule_summary")
+def q_g8_summary(spark, d):
+    return g.rule_summary(*_broken_rules(spark, d))
+
+
 @query("g9_more_unstable")
 def q_g9(spark, d):
     e, m = _graph(spark, d)

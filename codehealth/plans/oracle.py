@@ -418,6 +418,57 @@ cm AS (
          CASE WHEN o_orderpriority = '1-URGENT' THEN 'fix' ELSE 'feat' END AS subject
   FROM orders)"""
 
+register("p7_exit_codes", with_(CHECKS) + r"""
+SELECT repo, snapshot_id, check_idx, name,
+  CASE WHEN kind = 'stats-overview' AND check_idx % 4 <> 0 THEN 'fail'
+       WHEN kind IN ('unused', 'duplicates', 'cycles') AND check_idx % 3 > 0 AND count_value IS NOT NULL THEN
+         CASE WHEN count_value > 0 THEN 'warn' ELSE 'pass' END
+       WHEN kind = 'cycles' AND check_idx % 4 <> 0 THEN 'warn'
+       WHEN kind = 'unused' AND regexp_matches(coalesce(output, ''), 'Unused|unused|Unlisted') THEN 'warn'
+       WHEN kind = 'duplicates' AND regexp_matches(coalesce(output, ''), 'Clone found|Found \d+ clones') THEN 'warn'
+       WHEN kind = 'cycles' AND contains(coalesce(output, ''), 'error no-circular') THEN 'warn'
+       ELSE 'pass' END AS derived_status
+FROM cr""")
+
+register("w7_short_histories", with_(COMMITS) + """
+SELECT repo, count(*) AS available, CAST(7 AS BIGINT) AS needed FROM cm GROUP BY repo HAVING count(*) < 7""")
+
+register("f10_commit_labels", with_(COMMITS) + """
+SELECT repo, sha, CASE WHEN sha % 5 = 0 THEN 'nogit' WHEN subject = 'fix' THEN short_sha || '*'
+                       ELSE short_sha END AS label FROM cm""")
+
+register("f12_score_tiers", f"""
+SELECT repo, snapshot_id, overall,
+       CASE WHEN overall >= 80 THEN 'low' WHEN overall >= 50 THEN 'medium' ELSE 'high' END AS tier,
+       CASE WHEN overall <= 20 THEN 'low' WHEN overall <= 50 THEN 'medium' ELSE 'high' END AS heat,
+       CASE WHEN trend > 0 THEN 'positive' WHEN trend < 0 THEN 'negative' ELSE 'neutral' END AS direction
+FROM ({ORACLE["a14_health_trend"]})""")
+
+register("f14_signal_flags", f"""
+SELECT repo, snapshot_id, path, complexity_signal >= 0.3 AS complexity_active, size_signal >= 0.3 AS size_active,
+       issues_signal >= 0.1 AS issues_active
+FROM ({ORACLE["t5_file_hotspots"]})""")
+
+
+def _compact(x):
+    def short(unit, sign):
+        t = _tenths(f"abs({x}) / {unit}.0::DOUBLE")
+        return f"CASE WHEN ({x}) < 0 THEN '-' ELSE '' END || CAST({t} // 10 AS VARCHAR) || '.' || " \
+               f"CAST({t} % 10 AS VARCHAR) || '{sign}'"
+    return (f"CASE WHEN ({x}) IS NULL THEN '—' WHEN abs({x}) >= 1000000 THEN {short(1000000, 'M')} "
+            f"WHEN abs({x}) >= 1000 THEN {short(1000, 'k')} "
+            f"ELSE regexp_replace(printf('%.3f', round(CAST({x} AS DOUBLE), 3)), '\\.?0+$', '') END")
+
+
+register("f15_compact_numbers", f"""
+SELECT c_custkey, {_compact('CAST(c_acctbal AS DOUBLE)')} AS balance,
+       {_compact('CAST(c_acctbal AS DOUBLE) * c_custkey')} AS weighted,
+       {_compact('nullif(c_custkey % 7, 0)')} AS small
+FROM customer""")
+
+register("t9_files_by_path", with_(TREE) + """
+SELECT repo, snapshot_id, path, lines, code, complexity, total FROM tree WHERE kind = 'file'""")
+
 register("w7_every_nth_commits", with_(COMMITS) + """
 SELECT repo, sha, short_sha, CAST(rn - 1 AS BIGINT) AS idx, CAST(4 - (rn - 1) // 2 AS BIGINT) AS "order"
 FROM (SELECT *, count(*) OVER (PARTITION BY repo) AS available FROM (
@@ -551,6 +602,31 @@ WHERE regexp_matches(src_path, '^src/Brand#\d')
   AND NOT (starts_with(dst_path, regexp_extract(src_path, '^src/Brand#\d', 0))
            AND regexp_matches(dst_path, '^src/Brand#\d(\d|/)'))""")
 
+RULE_SET = r"""
+, flagged AS (SELECT ep.*, circ.src IS NOT NULL AS circular FROM ep LEFT JOIN circ USING (src, dst)),
+broken AS (
+  SELECT repo, snapshot_id, 'same-manufacturer' AS rule, 'warn' AS severity, src_path, dst_path FROM flagged
+  WHERE regexp_matches(src_path, '^src/Brand#\d') AND regexp_matches(dst_path, '^src/Brand#[1-4]')
+    AND NOT (starts_with(dst_path, regexp_extract(src_path, '^src/Brand#\d', 0))
+             AND regexp_matches(dst_path, '^src/Brand#\d(\d|/)'))
+  UNION ALL
+  SELECT repo, snapshot_id, 'generic-stays-generic', 'error', src_path, dst_path FROM flagged
+  WHERE starts_with(src_path, 'src/Brand#5') AND starts_with(dst_path, 'src/Brand#1')
+  UNION ALL
+  SELECT repo, snapshot_id, 'no-circular', 'error', src_path, dst_path FROM flagged WHERE circular
+  UNION ALL
+  SELECT repo, snapshot_id, 'same-end', 'info', src_path, dst_path FROM flagged
+  WHERE right(src_path, 1) = right(dst_path, 1) AND NOT regexp_matches(dst_path, '^src/Brand#[24]'))
+"""
+
+register("g8_rule_set", with_rec(GRAPH + CLOSURE) + RULE_SET + "SELECT * FROM broken")
+
+register("g8_rule_summary", with_rec(GRAPH + CLOSURE) + RULE_SET + """
+SELECT repo, snapshot_id, count(*) FILTER (WHERE severity = 'error') AS error,
+       count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info,
+       count(*) FILTER (WHERE severity = 'error') = 0 AS passes
+FROM (SELECT DISTINCT repo, snapshot_id FROM m) LEFT JOIN broken USING (repo, snapshot_id) GROUP BY ALL""")
+
 register("g9_more_unstable", with_(GRAPH) + """
 SELECT ep.repo, ep.snapshot_id, ep.src_path, ep.dst_path, s.instability AS src_i, d.instability AS dst_i
 FROM ep JOIN cp s ON ep.src = s.node JOIN cp d ON ep.dst = d.node

@@ -1,12 +1,13 @@
 """Graph and clone operators against brute force on small inputs."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from codehealth.operators import clones as cl
 from codehealth.operators import depgraph as g
-from codehealth.params import CloneParams
+from codehealth.params import CloneParams, Rule
 
 
 def _closure(edges):
@@ -218,6 +219,40 @@ def test_captured_text_of_a_rule_is_literal(spark):
     assert [r.dst_path for r in got] == ["src/aXb/y"]
 
 
+def test_rule_set(spark):
+    edges = spark.createDataFrame(
+        [("r", "s", "src/features/a.b/x", "src/features/a.b/y", None),
+         ("r", "s", "src/features/a.b/x", "src/features/aXb/y", True),
+         ("r", "s", "src/features/a", "src/lib/a|", False), ("r", "s", None, "src/ui/x", False),
+         ("r", "t", "src/domain/x", "src/ui/x", False), ("r", "u", "lib/x", "src/ui/x", False)],
+        "repo string, snapshot_id string, src_path string, dst_path string, circular boolean")
+    rules = [Rule("own", "warn", "^src/features/([^/]+)/", "^src/features/([^/]+)/", "^src/features/$1/"),
+             Rule("domain", "error", "^src/domain", "^src/ui"), Rule("loops", "error", circular=True),
+             Rule("straight", "info", "^src/features", circular=False), Rule("off", "ignore")]
+    broken = g.rule_set_violations(edges, rules)
+    assert sorted((r.snapshot_id, r.rule, r.severity, r.dst_path) for r in broken.collect()) == [
+        ("s", "loops", "error", "src/features/aXb/y"), ("s", "own", "warn", "src/features/aXb/y"),
+        ("s", "straight", "info", "src/features/a.b/y"), ("s", "straight", "info", "src/lib/a|"),
+        ("t", "domain", "error", "src/ui/x")]
+    assert sorted((r.snapshot_id, r.error, r.warn, r.info, r.passes) for r in
+                  g.rule_summary(edges, broken).collect()) == [
+        ("s", 1, 1, 2, False), ("t", 1, 0, 0, False), ("u", 0, 0, 0, True)]
+    assert g.rule_set_violations(edges, []).count() == 0
+
+
+def test_templates_equal_a_pattern_for_each_row(spark):
+    groups = ["a", "a.b", "x+", "", "$1", "a|b", "Brand#1"]
+    paths = [f"src/{x}{y}" for x in groups for y in ("", "/", "/f", "1", "1/", "|", "/a", "b")]
+    templates = ["^src/$1/", "^src/$1", r"^src/$1(\d|/)", "^src/$1|x", "^src/$1?/", "$1$", r"^s.c/$1/", "^src/$1/$1",
+                 r"^src\/$1(?:/|\|)$", "^src/$1/[^|]*$", "(^src/$1)/"]
+    df = spark.createDataFrame([(a, b) for a in groups for b in paths], "g string, path string")
+    cols = [g._matches(F.col("path"), t, F.col("g")).alias(f"t{i}") for i, t in enumerate(templates)]
+    for r in df.select("g", "path", *cols).collect():
+        for i, t in enumerate(templates):
+            expected = re.search(t.replace("$1", re.escape(r.g)), r.path) is not None
+            assert r[f"t{i}"] == expected, (t, r.g, r.path)
+
+
 def test_a_hub_and_a_long_chain(spark):
     edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(200, 240)] + [(1, 200), (240, 0)]
     df = spark.createDataFrame(edges, "src long, dst long")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from codehealth.functions import formatting as fmt
 from codehealth.operators import health, history, rankings
 from codehealth.operators import tree as tr
 from codehealth.sources import reports as rp
@@ -208,3 +209,21 @@ def test_status_words_belong_to_their_check(spark):
                                    "count_value long, output string")
     got = [r.derived_status for r in history.derive_status(checks).orderBy("check_idx").collect()]
     assert got == ["pass", "pass", "warn", "pass", "warn", "fail", "skip", "warn"]
+
+
+def test_exit_codes_decide_without_metrics(spark):
+    rows = [(1, "stats", None, 3), (2, "cycles", None, 1), (3, "cycles", 0, 1), (4, "cycles", None, 0),
+            (5, "unused", None, 1), (6, "cycles", None, None), (7, "stats", None, 0)]
+    checks = spark.createDataFrame([("r", "s", i, k, "pass", k, n, None, c) for i, k, n, c in rows],
+                                   "repo string, snapshot_id string, check_idx long, name string, status string, "
+                                   "kind string, count_value long, output string, exit_code int")
+    got = [r.derived_status for r in history.derive_status(checks).orderBy("check_idx").collect()]
+    assert got == ["fail", "warn", "pass", "pass", "pass", "pass", "pass"]
+
+
+def test_compact_numbers(spark):
+    values = [(-1500.0, "-1.5k"), (12.5, "12.5"), (0.12345, "0.123"), (None, "—"), (999.0, "999"), (1000.0, "1.0k"),
+              (-2_500_000.0, "-2.5M"), (0.0, "0"), (999.9996, "1,000"), (999_999.0, "1000.0k"), (-0.5, "-0.5")]
+    df = spark.createDataFrame(values, "x double, expected string")
+    for r in df.withColumn("got", fmt.compact_number(F.col("x"))).collect():
+        assert r.got == r.expected, r
