@@ -28,7 +28,12 @@ LINE_MARKERS = {"//": ("c", "cpp", "cs", "css", "go", "java", "javascript", "js"
                 "--": ("hs", "lua", "sql")}
 # In languages of the first kind, and in SQL, a block comment spans lines.
 BLOCK_LANGUAGES = (*LINE_MARKERS["//"], "sql")
-BLOCK_COMMENT = r"(?m)^[ \t]*/\*(?s:.*?)(?:\*/|\z)"
+BLOCK_COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
+# A string ends on its line, unless its language lets it span lines.
+SHORT_STRINGS = (r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'")
+LONG_STRINGS = {("js", "jsx", "ts", "tsx", "javascript", "typescript", "go"): (r"`[^`\\]*+(?:(?s:\\.)[^`\\]*+)*+(?:`|\z)",),
+                ("py", "python"): (r'"""(?s:.*?)(?:"""|\z)', r"'''(?s:.*?)(?:'''|\z)"),
+                ("sql",): (r"'[^']*+(?:'|\z)",)}
 # Branch keywords and operators counted as complexity.
 BRANCH_KEYWORDS = ("if", "for", "while", "case", "catch")
 BRANCH_OPERATORS = r"&&|\|\||==|!="
@@ -49,35 +54,62 @@ _BRANCH_RX = ("(?=[" + _FIRST_CHARS + "])(?:(?<!" + WORD_CHAR + ")(?:" + "|".joi
               + WORD_CHAR + ")|" + BRANCH_OPERATORS + ")")
 
 
-def _comments(lines, pattern):
-    return F.size(F.filter(lines, lambda x: ~x.rlike(BLANK_LINE) & x.rlike(pattern)))
+def _marked_lines(content, marker: str, blocks: bool, long_strings: tuple[str, ...]):
+    """The lines of a text with what they hold: ``x`` for code and strings, ``c`` for comments.
+
+    One scan cuts the text into strings, comments and what lies between; what opens
+    first wins, so a marker in a string is code and a quote in a comment is not a string.
+    Every line that a comment or string reaches is marked, blank ones too.
+    """
+    line_comment = f"{marker}[^\n]*+"
+    parts = [*([BLOCK_COMMENT] if blocks else []), line_comment, *long_strings, *SHORT_STRINGS,
+             r"[^\"'`/#-]++", "(?s:.)"]
+    tokens = F.regexp_extract_all(content, F.lit("|".join(f"(?:{x})" for x in parts)), 0)
+
+    def reach(token, sign):
+        return F.concat(F.lit(sign), F.replace(F.regexp_replace(token, r"[^\n]++", ""), F.lit("\n"), F.lit("\n" + sign)))
+
+    def mark(token):
+        comment = token.startswith(marker)
+        if blocks:
+            comment = comment | token.startswith("/*")
+        return (F.when(comment, reach(token, "c"))
+                .when((F.length(token) > 1) & token.rlike("^[\"'`]"), reach(token, "x"))
+                .otherwise(F.regexp_replace(token, r"[^ \t\r\n]++", "x")))
+    return F.split(F.array_join(F.transform(tokens, mark), ""), "\n", -1)
 
 
 def line_stats(files: DataFrame) -> DataFrame:
     """Per file lines, blanks, comments, code and complexity.
 
-    Where the language has them, every line that a block comment opened at the start of a
-    line reaches is a comment, blank ones too; an unclosed one reaches the end. A line with
-    code after the end of the block comment counts as a comment.
+    In the languages of ``LINE_MARKERS`` a line with anything outside comments is code, one
+    that only comments reach a comment (blank lines inside a block comment too; an
+    unclosed one reaches the end); markers inside strings are code. Regular-expression
+    literals and nested block comments are not told apart. In other languages a line
+    that starts with one of the markers is a comment. A NULL content has NULL counts.
     """
     language = F.lower("language")
-    blocks = F.when(language.isin(*BLOCK_LANGUAGES), F.regexp_extract_all("content", F.lit(BLOCK_COMMENT), 0))
-    # what is left of a block comment's lines is one line that is neither blank nor a line comment
-    rest = F.when(F.size(blocks) > 0, F.regexp_replace("content", BLOCK_COMMENT, "x")).otherwise(F.col("content"))
-    in_blocks = F.coalesce(F.aggregate(blocks, F.lit(0), lambda n, x: n + F.size(F.split(x, "\n", -1))), F.lit(0))
-    lines = F.split(rest, "\n", -1)
-    blanks = F.size(F.filter(lines, lambda x: x.rlike(BLANK_LINE)))
-    comments = _comments(lines, COMMENT_LINE)
+    lines = F.split("content", "\n", -1)
+    marked = F.transform(lines, lambda x: F.when(x.rlike(BLANK_LINE), F.lit(""))
+                         .when(x.rlike(COMMENT_LINE), F.lit("c")).otherwise(F.lit("x")))
     for marker, languages in LINE_MARKERS.items():
-        comments = F.when(language.isin(*languages), _comments(lines, rf"^[ \t]*{marker}")).otherwise(comments)
+        kinds: dict[tuple, list[str]] = {}
+        for name in languages:
+            strings = next((v for k, v in LONG_STRINGS.items() if name in k), ())
+            kinds.setdefault((name in BLOCK_LANGUAGES, strings), []).append(name)
+        for (blocks, strings), names in kinds.items():
+            marked = F.when(language.isin(*names),
+                            _marked_lines(F.col("content"), marker, blocks, strings)).otherwise(marked)
     complexity = F.regexp_count(F.col("content"), F.lit(_BRANCH_RX))
-    out = files.select(*SNAP, "path", "language",
-                       F.size(F.split(F.col("content"), "\n", -1)).cast("bigint").alias("lines"),
-                       blanks.cast("bigint").alias("blanks"),
-                       (comments + in_blocks).cast("bigint").alias("comments"),
+    # the marks are read twice, so they get a projection of their own
+    out = files.select(*SNAP, "path", "language", F.size(lines).cast("bigint").alias("lines"), marked.alias("marked"),
                        complexity.cast("bigint").alias("complexity"),
                        F.octet_length("content").cast("bigint").alias("bytes"))
-    return out.withColumn("code", F.col("lines") - F.col("blanks") - F.col("comments"))
+    code = F.size(F.filter("marked", lambda x: F.contains(x, F.lit("x"))))
+    comments = F.size(F.filter("marked", lambda x: ~F.contains(x, F.lit("x")) & F.contains(x, F.lit("c"))))
+    out = (out.withColumn("code", code.cast("bigint")).withColumn("comments", comments.cast("bigint"))
+           .withColumn("blanks", F.col("lines") - F.col("code") - F.col("comments")))
+    return out.select(*SNAP, "path", "language", "lines", "blanks", "comments", "complexity", "bytes", "code")
 
 
 def overview_files(files: DataFrame, no_min_gen: bool = True, no_duplicates: bool = False) -> DataFrame:

@@ -51,6 +51,12 @@ def q_c1(spark, d):
                                    "comments", "code", "complexity", "bytes")
 
 
+@query("c1_lexed_line_stats")
+def q_c1_lexed(spark, d):
+    return corpus.line_stats(td.lexed_files(spark, d)).select("repo", "path", "language", "lines", "blanks", "comments",
+                                                              "code")
+
+
 @query("a1_language_overview")
 def q_a1(spark, d):
     return corpus.language_overview(_stats(spark, d))

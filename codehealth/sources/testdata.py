@@ -86,6 +86,30 @@ def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ending.alias("language"), F.array_join(lines, "\n").alias("content"))
 
 
+# Lines put between the lines of a document, by turns: markers in strings, a block comment
+# opened after code and one that code follows, comments only, a string over several lines.
+LEXED_TS = ('let s = "/* no // \\" yet";', "run(); /* opens\n\n it's in */ done();", "/* a */ /* b */ // c", "t = `\n// in\n`;")
+LEXED_PY = ("s = '# no \\' yet'", 'x = """\n# in\n"""  # out', "  # it's a remark", "")
+
+
+def lexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as TypeScript (even ids) and Python files with a piece of ``LEXED_TS`` or
+    ``LEXED_PY`` before every line; quotes, grave accents, number signs, slashes and backslashes of the
+    documents themselves are blanked out."""
+    docs = read(spark, sf_dir, "documents")
+    even = F.col("doc_id") % 2 == 0
+
+    def piece(i):
+        turn = ((i + F.col("doc_id")) % 4 + 1).cast("int")
+        return F.when(even, F.element_at(F.array(*map(F.lit, LEXED_TS)), turn)).otherwise(
+            F.element_at(F.array(*map(F.lit, LEXED_PY)), turn))
+    lines = F.transform(F.split(F.translate("text", "\"'`#/\\", "      "), "\n", -1),
+                        lambda x, i: F.concat(piece(i), F.lit("\n"), x))
+    ending = F.when(even, F.lit("ts")).otherwise(F.lit("py"))
+    return docs.select(F.col("lang").alias("repo"), F.lit("lexed").alias("snapshot_id"),
+                       F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit("."), ending).alias("path"),
+                       ending.alias("language"), F.array_join(lines, "\n").alias("content"))
+
 
 # ---- monthly file history ---------------------------------------------------
 def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:

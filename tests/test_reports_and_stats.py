@@ -1,6 +1,7 @@
 """Fixture tests for the report readers and stats rankings (exact semantics)."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -119,6 +120,10 @@ def test_line_stats_blank_comment_complexity(spark):
 
 def test_comments_by_language(spark):
     texts = [("ts", "#x = 1;\n--i;\n/* one\n two\n\n */\nlet a = 1; /* b */\n// c", (8, 0, 5, 3)),
+             ("ts", 'let s = "/* no";\nrun(); /* opens\n\n "in */ done();\n/* a */ // b\nx = `\n// in\n\n`', (9, 0, 2, 7)),
+             ("rs", "fn f<'a>() // it's\n/* 'x */\n'\\'// no'\n`\n// `", (5, 0, 2, 3)),
+             ("py", 'x = """\n# in\n\n""" # out\n"a\n# b"', (6, 0, 1, 5)),
+             ("sql", "select 'it''s -- no\n-- in', 1 -- out\n/* '\n*/ select 2\n--'", (5, 0, 2, 3)),
              ("py", "# note\n// 2\n\nx = 1", (4, 1, 1, 2)),
              ("sql", "-- a\nselect 1\n/* open\nstill", (4, 0, 3, 1)),
              ("en", "// a\n# b\n-- c\ntext", (4, 0, 3, 1)),
@@ -129,6 +134,56 @@ def test_comments_by_language(spark):
     assert got == {i: want for i, (_, _, want) in enumerate(texts)}
 
 
+def _classes(text, marker, blocks, long_quotes):
+    """Blank, comment and code lines by reading one character after another."""
+    code, comment, i, line = set(), set(), 0, 0
+    while i < len(text):
+        quote = next((q for q in (*long_quotes, '"', "'") if text.startswith(q, i)), None)
+        if blocks and text.startswith("/*", i):
+            end = text.find("*/", i + 2)
+            end, seen = (len(text) if end < 0 else end + 2), comment
+        elif text.startswith(marker, i):
+            end, seen = (text + "\n").index("\n", i), comment
+        else:
+            seen, end = code, i + 1
+            while quote:
+                j, escapes = i + len(quote), quote != '"""' and quote != "'''" and marker != "--"
+                while j < len(text) and not text.startswith(quote, j) and (quote in long_quotes or text[j] != "\n"):
+                    j += 2 if escapes and text[j] == "\\" and text[j + 1:j + 2] != ("" if quote in long_quotes else "\n") \
+                        else 1
+                if j < len(text) and text.startswith(quote, j):
+                    end = j + len(quote)
+                elif quote in long_quotes:
+                    end = len(text)
+                break
+            if end == i + 1 and text[i] in " \t\r\n":
+                seen = set()
+        token = text[i:end]
+        seen.update(range(line, line + token.count("\n") + (1 if token != "\n" else 0)))
+        line += token.count("\n")
+        i = end
+    comment -= code
+    lines = text.count("\n") + 1
+    return lines, lines - len(comment) - len(code), len(comment), len(code)
+
+
+def test_line_classes_match_a_reader_by_characters(spark):
+    rnd = random.Random(5)
+    kinds = {"ts": ("//", True, "`"), "java": ("//", True, ()), "py": ("#", False, ('"""', "'''")), "sh": ("#", False, ())}
+    rows = []
+    for i in range(600):
+        lang = rnd.choice(list(kinds))
+        pieces = ["/*", "*/", "//", "#", "--", '"', "'", "`", '"""', "\n", "\n", "\n", " ", "x", "ab c", "-", "/", "*", "\\"]
+        rows.append(("r", "s", str(i), lang, "".join(rnd.choice(pieces) for _ in range(rnd.randrange(40)))))
+    long = "x = `" + "\\`" * 100_000 + "`; /*" + "*\n" * 100_000 + "*/"
+    rows.append(("r", "s", "600", "ts", long))
+    df = spark.createDataFrame(rows, "repo string, snapshot_id string, path string, language string, content string")
+    got = {r.path: (r.lines, r.blanks, r.comments, r.code) for r in corpus.line_stats(df).collect()}
+    for _, _, path, lang, text in rows[:-1]:
+        assert got[path] == _classes(text, *kinds[lang]), (lang, text)
+    assert got["600"] == (100_001, 0, 100_000, 1)
+
+
 def test_overview_files(spark):
     df = spark.createDataFrame([("r", "s", "a", "ts", "x\ny"), ("r", "s", "b", "ts", "x\ny"), ("r", "s", "c", "ts", "z" * 999),
                                 ("r", "s", "d", "ts", "// @generated\nx")],
