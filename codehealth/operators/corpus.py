@@ -31,7 +31,7 @@ BLOCK_LANGUAGES = (*LINE_MARKERS["//"], "sql")
 BLOCK_COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
 # A string ends on its line, unless its language lets it span lines.
 SHORT_STRINGS = (r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'")
-LONG_STRINGS = {("js", "jsx", "ts", "tsx", "javascript", "typescript", "go"): (r"`[^`\\]*+(?:(?s:\\.)[^`\\]*+)*+(?:`|\z)",),
+LONG_STRINGS = {("js", "jsx", "ts", "tsx", "javascript", "typescript", "go"): (r"`[^`\\]*+(?:(?s:\\.)[^`\\]*+)*+(?:`|\\?\z)",),
                 ("py", "python"): (r'"""(?s:.*?)(?:"""|\z)', r"'''(?s:.*?)(?:'''|\z)"),
                 ("sql",): (r"'[^']*+(?:'|\z)",)}
 # Branch keywords and operators counted as complexity.
