@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codehealth.functions.paths import ancestor_ids, exclude_globs, parent_path
+
 SNAP = ["repo", "snapshot_id"]
 
 # ---- fixed values: issue kinds and their metric groups -----------------------------
@@ -117,11 +119,57 @@ def filter_issues(issues: DataFrame, include=(), exclude=(), workspace: str | No
         for t in tags_exclude:
             out = out.filter(~F.coalesce(F.array_contains("tags", t), F.lit(False)))
     if production:
-        from codehealth.functions.paths import exclude_globs
         out = exclude_globs(out, "file", NON_PRODUCTION_GLOBS).filter(F.col("kind") != "devDependencies")
     return out
 
 
+# ---- workspaces (P5 strict, C12, C13) ----------------------------------------------------
+def workspace_owners(folders: DataFrame, manifests: DataFrame, strict: bool = False) -> DataFrame:
+    """The manifest folders that a folder may take packages from: (snapshot, folder, manifest).
+
+    All folders on the way up that hold a manifest (``.`` is the root), or with
+    ``strict`` the nearest alone. Every folder is exploded to its ancestors, so this is one equal
+    join whose rows grow with the depth, not with the manifests.
+    """
+    up = folders.select(*SNAP, "folder").distinct().select(
+        *SNAP, "folder", F.explode(F.array_distinct(ancestor_ids(F.col("folder"), "."))).alias("manifest"))
+    owners = up.join(manifests.select(*SNAP, F.col("folder").alias("manifest")).distinct(), [*SNAP, "manifest"])
+    if strict:
+        depth = F.when(F.col("manifest") == ".", 0).otherwise(F.size(F.split("manifest", "/")))
+        owners = owners.groupBy(*SNAP, "folder").agg(F.max_by("manifest", depth).alias("manifest"))
+    return owners.select(*SNAP, "folder", "manifest")
+
+
+def workspace_issues(used: DataFrame, declared: DataFrame, manifests: DataFrame, strict: bool = False,
+                     workspace: str | None = None) -> DataFrame:
+    """Unused and unlisted packages of repositories with several manifests: (snapshot, file, kind, name).
+
+    ``used(file, package)``, ``declared(manifest, package, kind)``, ``manifests(folder)``. A
+    package counts as used for every manifest that its file may take packages from, and is
+    unlisted if none of these declares it. ``strict`` looks at production files and direct
+    dependencies of the nearest manifest only: what an outer manifest declares doesn't help,
+    development dependencies neither count as declared nor are reported. ``workspace`` keeps the issues
+    of a folder and those below it. Rows without a file, folder or package are left out.
+    """
+    used = used.filter(F.col("file").isNotNull() & F.col("package").isNotNull()).select(*SNAP, "file", "package")
+    declared = declared.filter(F.col("manifest").isNotNull() & F.col("package").isNotNull())
+    if strict:
+        used = exclude_globs(used, "file", NON_PRODUCTION_GLOBS)
+        declared = declared.filter(F.col("kind") != "devDependencies")
+    used = used.withColumn("folder", parent_path(F.col("file"), ".")).distinct()
+    wants = used.select(*SNAP, "folder", "package").distinct()
+    offers = wants.join(workspace_owners(wants, manifests, strict), [*SNAP, "folder"])
+    unused = declared.select(*SNAP, "manifest", "package", "kind").distinct().join(
+        offers.select(*SNAP, "manifest", "package"), [*SNAP, "manifest", "package"], "left_anti")
+    listed = offers.join(declared.select(*SNAP, "manifest", "package"), [*SNAP, "manifest", "package"], "left_semi")
+    unlisted = used.join(listed.select(*SNAP, "folder", "package"), [*SNAP, "folder", "package"], "left_anti")
+    manifest = F.when(F.col("manifest") == ".", F.lit(PACKAGE_MANIFEST)).otherwise(
+        F.concat("manifest", F.lit("/" + PACKAGE_MANIFEST)))
+    out = unused.select(*SNAP, manifest.alias("file"), "kind", F.col("package").alias("name")).union(
+        unlisted.select(*SNAP, "file", F.lit("unlisted"), "package"))
+    return filter_issues(out, workspace=workspace)
+
+
 def unused_metrics(issues: DataFrame) -> DataFrame:
     """A3: per snapshot unused files, exports, types, dependencies and the total (which
     also counts duplicate exports, included in no sub-total)."""

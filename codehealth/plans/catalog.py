@@ -479,6 +479,21 @@ def q_c13(spark, d):
     return un.unlisted_dependencies(td.used_packages(spark, d), td.declared_packages(spark, d))
 
 
+@query("p5_workspace_issues")
+def q_p5_workspaces(spark, d):
+    return un.workspace_issues(*td.workspaces(spark, d))
+
+
+@query("p5_strict_issues")
+def q_p5_strict(spark, d):
+    return un.workspace_issues(*td.workspaces(spark, d), strict=True)
+
+
+@query("p5_one_workspace")
+def q_p5_one(spark, d):
+    return un.workspace_issues(*td.workspaces(spark, d), workspace="packages/r1")
+
+
 @query("c14_unresolved_imports")
 def q_c14(spark, d):
     return un.unresolved_imports(td.page_links(spark, d), td.page_targets(spark, d)).select(

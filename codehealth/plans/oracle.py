@@ -684,6 +684,39 @@ register("c12_unused_dependencies", with_(SYMBOLS) + "SELECT repo, snapshot_id,
 register("c13_unlisted_dependencies", with_(SYMBOLS) + "SELECT repo, snapshot_id, file, package FROM ul")
 register("c14_unresolved_imports", with_(SYMBOLS) + "SELECT repo, snapshot_id, file, specifier FROM ur")
 
+WORKSPACES = r"""
+nt AS (SELECT n_nationkey, 'packages/r' || CAST(n_regionkey AS VARCHAR) AS r,
+              'packages/r' || CAST(n_regionkey AS VARCHAR) || '/n' || CAST(n_nationkey AS VARCHAR) AS n FROM nation),
+wm AS (SELECT '.' AS folder UNION SELECT r FROM nt UNION SELECT n FROM nt WHERE n_nationkey % 2 = 0),
+wu0 AS (SELECT DISTINCT n || '/' || CAST(s_suppkey AS VARCHAR) || CASE WHEN s_suppkey % 7 = 0 THEN '.test.ts' ELSE '.ts' END
+               AS file, {package} AS package
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nt ON s_nationkey = n_nationkey),
+wu AS (SELECT * FROM wu0 WHERE {files}),
+wd0 AS (SELECT p_partkey AS l_partkey, CASE WHEN p_size >= 45 THEN 'devDependencies' ELSE 'dependencies' END AS kind FROM part),
+wd AS (SELECT manifest, {package} AS package, kind FROM (
+         SELECT '.' AS manifest, * FROM wd0 WHERE l_partkey % 3 = 0
+         UNION ALL SELECT 'packages/r' || CAST(l_partkey % 5 AS VARCHAR), * FROM wd0 WHERE l_partkey % 2 = 0
+         UNION ALL SELECT n, wd0.* FROM wd0 JOIN nt ON l_partkey % 25 = n_nationkey WHERE n_nationkey % 2 = 0)
+       WHERE {kinds}),
+wf AS (SELECT DISTINCT file FROM wu),
+wo0 AS (SELECT file, folder, row_number() OVER (PARTITION BY file ORDER BY CASE WHEN folder = '.' THEN 0 ELSE length(folder) END
+               DESC) AS nearest
+        FROM wf JOIN wm ON folder = '.' OR starts_with(file, folder || '/')),
+wo AS (SELECT wu.file, folder, package FROM wu JOIN wo0 USING (file) WHERE {owners}),
+wi AS (
+  SELECT CASE WHEN manifest = '.' THEN '' ELSE manifest || '/' END || 'package.json' AS file, kind, package AS name
+  FROM wd WHERE NOT EXISTS (SELECT 1 FROM wo WHERE wo.folder = manifest AND wo.package = wd.package)
+  UNION ALL
+  SELECT file, 'unlisted', package FROM wu
+  WHERE NOT EXISTS (SELECT 1 FROM wo JOIN wd ON wo.folder = wd.manifest AND wo.package = wd.package
+                    WHERE wo.file = wu.file AND wo.package = wu.package))"""
+for _name, _files, _kinds, _owners, _where in (
+        ("p5_workspace_issues", "true", "true", "true", "true"),
+        ("p5_strict_issues", "file NOT LIKE '%.test.%'", "kind = 'dependencies'", "nearest = 1", "true"),
+        ("p5_one_workspace", "true", "true", "true", "starts_with(file, 'packages/r1/')")):
+    register(_name, with_(WORKSPACES.format(package="'pkg-' || CAST(l_partkey AS VARCHAR)", files=_files, kinds=_kinds, owners=_owners)) + f"""
+SELECT 'workspaces' AS repo, 'all' AS snapshot_id, file, kind, name FROM wi WHERE {_where}""")
+
 register("a3_unused_metrics", with_rec(GRAPH + REACH + ISSUES) + """
 SELECT repo, snapshot_id, count(*) FILTER (WHERE kind = 'files') AS unused_files,
        count(*) FILTER (WHERE kind IN ('exports', 'nsExports', 'classMembers', 'enumMembers')) AS unused_exports,

@@ -309,6 +309,35 @@ def used_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("repo", "snapshot_id", _package("l_partkey"), _supplier_file()).distinct()
 
 
+def workspaces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers as files of one repository whose folders are regions and nations: used(file, package),
+    declared(manifest, package, kind), manifests(folder). The root, every region and every second
+    nation hold a manifest; a file uses the parts its supplier ships."""
+    snap = [F.lit("workspaces").alias("repo"), F.lit("all").alias("snapshot_id")]
+    region = F.concat(F.lit("packages/r"), F.col("n_regionkey").cast("string"))
+    nation = read(spark, sf_dir, "nation").select(
+        "n_nationkey", region.alias("r"), F.concat(region, F.lit("/n"), F.col("n_nationkey").cast("string")).alias("n"))
+    even = nation.filter(F.col("n_nationkey") % 2 == 0)
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    ending = F.when(F.col("s_suppkey") % 7 == 0, F.lit(".test.ts")).otherwise(F.lit(".ts"))
+    used = (li.join(supplier, li.l_suppkey == supplier.s_suppkey)
+            .join(F.broadcast(nation), F.col("s_nationkey") == nation.n_nationkey)
+            .select(*snap, F.concat("n", F.lit("/"), F.col("s_suppkey").cast("string"), ending).alias("file"),
+                    _package("l_partkey")))
+    key = F.col("p_partkey")
+    part = read(spark, sf_dir, "part").select(
+        "p_partkey", _package("p_partkey"),
+        F.when(F.col("p_size") >= 45, F.lit("devDependencies")).otherwise(F.lit("dependencies")).alias("kind"))
+    declared = (part.filter(key % 3 == 0).select(F.lit(".").alias("manifest"), "package", "kind")
+                .union(part.filter(key % 2 == 0).select(F.concat(F.lit("packages/r"), (key % 5).cast("string")),
+                                                        "package", "kind"))
+                .union(part.join(F.broadcast(even), key % 25 == even.n_nationkey).select("n", "package", "kind")))
+    folders = (nation.select(F.col("r").alias("folder")).distinct().union(even.select("n"))
+               .union(spark.range(1).select(F.lit("."))))
+    return used, declared.select(*snap, "*"), folders.select(*snap, "folder")
+
+
 # ---- commits ----------------------------------------------------------------
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, sha, short_sha, ts, subject): one repository per customer."""

@@ -184,6 +184,29 @@ def test_line_classes_match_a_reader_by_characters(spark):
     assert got["600"] == (100_001, 0, 100_000, 1)
 
 
+def test_workspaces_and_strict_mode(spark):
+    from codehealth.operators import unused as un
+    rows = lambda xs, cols: spark.createDataFrame([("r", "s", *x) for x in xs],
+                                                  "repo string, snapshot_id string, " + cols)
+    used = rows([("a.ts", "root"), ("a/x/f.ts", "root"), ("a/x/f.ts", "own"), ("a/x/deep/g.ts", "own"), ("a/x/f.ts", "tool"),
+                 ("b/h.ts", "own"), ("b/h.test.ts", "only-test"), (None, "n"), ("b/h.ts", None), ("ab/k.ts", "root")],
+                "file string, package string")
+    declared = rows([(".", "root", "dependencies"), (".", "idle", "dependencies"), ("a/x", "own", "dependencies"),
+                     ("a/x", "tool", "devDependencies"), ("b", "only-test", "dependencies"), ("b", None, "dependencies")],
+                    "manifest string, package string, kind string")
+    manifests = rows([(".",), ("a/x",), ("b",), ("a/x",)], "folder string")
+    got = lambda **k: sorted((r.file, r.kind, r.name) for r in
+                             un.workspace_issues(used, declared, manifests, **k).collect())
+    loose = [("b/h.ts", "unlisted", "own"), ("package.json", "dependencies", "idle")]
+    assert got() == loose
+    assert got(strict=True) == [("a/x/f.ts", "unlisted", "root"), ("a/x/f.ts", "unlisted", "tool"),
+                                ("b/h.ts", "unlisted", "own"), ("b/package.json", "dependencies", "only-test"),
+                                ("package.json", "dependencies", "idle")]
+    assert got(workspace="b") == loose[:1]
+    none = un.workspace_issues(used, declared.limit(0), manifests.limit(0))
+    assert none.count() == 8 and none.filter("kind <> 'unlisted'").count() == 0
+
+
 def test_overview_files(spark):
     df = spark.createDataFrame([("r", "s", "a", "ts", "x\ny"), ("r", "s", "b", "ts", "x\ny"), ("r", "s", "c", "ts", "z" * 999),
                                 ("r", "s", "d", "ts", "// @generated\nx")],
