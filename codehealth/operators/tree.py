@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from codehealth.functions.paths import ancestor_ids, base_name, normalize_path, parent_path, within_root
+from codehealth.functions.paths import ancestor_ids, base_name, normalize_path, parent_path, repo_relative_path, within_root
 from codehealth.session import checkpoint_dir
 
 SNAP = ["repo", "snapshot_id"]
@@ -63,11 +63,7 @@ def issues_long(df: DataFrame) -> DataFrame:
 
 
 def _repo_path(cwd: str | None):
-    path = normalize_path(F.col("path"))
-    if cwd:
-        base = cwd.rstrip("/") + "/"
-        path = F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
-    return path
+    return repo_relative_path(F.col("path"), cwd) if cwd else normalize_path(F.col("path"))
 
 
 def build_tree(contrib: DataFrame, root: str = "src", cwd: str | None = None) -> DataFrame:

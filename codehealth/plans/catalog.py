@@ -505,6 +505,11 @@ def q_a3(spark, d):
     return un.unused_metrics(_issues(spark, d))
 
 
+@query("c9_issue_gate")
+def q_c9_issues(spark, d):
+    return un.max_issues_gate(q_a3(spark, d), 500).select("repo", "snapshot_id", "total_issues", "exceeds_max_issues")
+
+
 @query("a7_unused_by_file")
 def q_a7(spark, d):
     return un.unused_by_file(_issues(spark, d))
@@ -589,6 +594,20 @@ def q_a4(spark, d):
     return cl.duplication_totals(cl.clone_pairs(files, CloneParams()), files)
 
 
+@query("c9_duplication_gate")
+def q_c9_clones(spark, d):
+    return cl.threshold_gate(q_a4(spark, d), 1.0).select("repo", "snapshot_id", "duplicated_lines_percent",
+                                                         "exceeds_threshold")
+
+
+@query("f16_clone_lines")
+def q_f16(spark, d):
+    return _clones(spark, d).select(
+        "repo", "snapshot_id", "first_file", "first_start", "second_file",
+        fmt.line_range(F.col("first_start"), F.col("first_end")).alias("first_lines"),
+        fmt.line_range(F.col("second_start"), F.col("second_end")).alias("second_lines"))
+
+
 # ---- details and dashboard rows ------------------------------------------------------------
 
 
@@ -629,8 +648,8 @@ def q_s6(spark, d):
                                                      "code", "complexity")
 
 
-@query("s7_unused_report_metrics")
-def q_s7(spark, d):
+def _unused_reports(spark, d):
+    """One analyzer report for each issue."""
     iss = _issues(spark, d)
 
     def inner(obj):  # '{"k":v}' -> '"k":v'
@@ -640,9 +659,18 @@ def q_s7(spark, d):
     issue_doc = F.concat(F.lit('{"issues":[{'), inner("file_json"), F.lit(","), inner("kind_json"), F.lit("}]}"))
     raw = (F.when(F.col("kind") == "files", F.to_json(F.struct(F.array(F.col("file")).alias("files"))))
            .otherwise(issue_doc))
-    reports = iss.select("repo", "snapshot_id", raw.alias("raw"))
-    return rp.unused_report_metrics(reports).select("repo", "snapshot_id", "unused_files", "unused_exports", "unused_types",
-                                                    "unused_dependencies", "total_issues")
+    return iss.select("repo", "snapshot_id", raw.alias("raw"))
+
+
+@query("f17_report_items")
+def q_f17(spark, d):
+    return rp.unused_report_items(_unused_reports(spark, d))
+
+
+@query("s7_unused_report_metrics")
+def q_s7(spark, d):
+    return rp.unused_report_metrics(_unused_reports(spark, d)).select("repo", "snapshot_id", "unused_files", "unused_exports", "unused_types",
+                                                                      "unused_dependencies", "total_issues")
 
 
 @query("s8_clone_report_counts")

@@ -995,3 +995,22 @@ WHERE regexp_replace(first_file, '/[^/]*$', '') <> regexp_replace(second_file, '
 
 for _name, _clones in (("strict", CLONES_STRICT), ("mild", CLONES), ("weak", CLONES_WEAK)):
     register(f"c8_annotated_{_name}", with_(_clones.replace(SOURCE_FILES, ANNOTATED)) + "SELECT * FROM cl")
+
+register("c9_issue_gate", f"""
+SELECT repo, snapshot_id, total_issues, total_issues > 500 AS exceeds_max_issues FROM ({ORACLE["a3_unused_metrics"]})""")
+register("c9_duplication_gate", f"""
+SELECT repo, snapshot_id, duplicated_lines_percent, duplicated_lines_percent > 1 AS exceeds_threshold
+FROM ({ORACLE["a4_duplication_totals"]})""")
+
+
+def _range(a, b):
+    return f"CASE WHEN {a} = {b} THEN 'line ' || CAST({a} AS VARCHAR) ELSE 'lines ' || CAST({a} AS VARCHAR) || '–' || " \
+           f"CAST({b} AS VARCHAR) END"
+
+
+register("f16_clone_lines", f"""
+SELECT repo, snapshot_id, first_file, first_start, second_file, {_range('first_start', 'first_end')} AS first_lines,
+       {_range('second_start', 'second_end')} AS second_lines FROM ({ORACLE["c5_clones"]})""")
+register("f17_report_items", with_rec(GRAPH + REACH + ISSUES) + """
+SELECT repo, snapshot_id, file, kind, CASE WHEN kind <> 'files' THEN name END AS name, CAST(NULL AS BIGINT) AS line
+FROM iss""")
