@@ -170,6 +170,60 @@ def workspace_issues(used: DataFrame, declared: DataFrame, manifests: DataFrame,
     return filter_issues(out, workspace=workspace)
 
 
+def manifest_issues(used: DataFrame, scripts: DataFrame, declared: DataFrame, manifests: DataFrame,
+                    provided: DataFrame, catalog: DataFrame) -> DataFrame:
+    """C12 and C13 over several manifests, all package kinds: (snapshot, file, kind, name).
+
+    ``used(file, package)``, ``scripts(manifest, binary)`` the commands that a manifest's scripts call,
+    ``declared(manifest, package, kind, spec)``, ``manifests(folder)``, ``provided(package, binary)``,
+    ``catalog(catalog, package)``. What a manifest declares serves its folder and all below.
+
+    * ``dependencies``, ``devDependencies``: no file imports the package and no script calls a
+      command that it provides.
+    * ``optionalPeerDependencies``: a file uses a package that is declared as an optional peer only.
+    * ``unlisted``: a file uses a package that no manifest above it declares at all.
+    * ``binaries``: a script calls a command that no package declared above it provides.
+    * ``catalog``: no manifest takes the entry (``spec`` is ``catalog:`` and the catalog's name; none is
+      ``default``); its name is ``<catalog>.<package>``, its file the root manifest.
+
+    Commands and their providers meet in semi joins only, so a command that many packages
+    provide and many scripts call makes no pairs. Rows with nulls in a key are left out, repeats count once.
+    """
+    optional = F.col("kind") == "optionalPeerDependencies"
+    used = used.select(*SNAP, "file", "package").dropna().withColumn("folder", parent_path(F.col("file"), ".")).distinct()
+    declared = declared.select(*SNAP, "manifest", "package", "kind", "spec").dropna(subset=[*SNAP, "manifest", "package", "kind"])
+    own = declared.filter(~optional).select(*SNAP, "manifest", "package", "kind").distinct()
+    calls = scripts.select(*SNAP, F.col("manifest").alias("folder"), "binary").dropna().distinct()
+    wants = used.select(*SNAP, "folder", "package").distinct()
+    owners = workspace_owners(wants.select(*SNAP, "folder").union(calls.select(*SNAP, "folder")), manifests)
+    key = [*SNAP, "manifest", "package"]
+
+    offers = wants.join(owners, [*SNAP, "folder"])
+    offered = calls.join(owners, [*SNAP, "folder"])
+    holds = own.join(provided.select(*SNAP, "package", "binary").dropna().distinct(), [*SNAP, "package"])
+    called = holds.join(offered.select(*SNAP, "manifest", "binary"), [*SNAP, "manifest", "binary"], "left_semi")
+    served = offered.join(holds.select(*SNAP, "manifest", "binary"), [*SNAP, "manifest", "binary"], "left_semi")
+
+    unused = own.join(offers.select(key).union(called.select(key)), key, "left_anti")
+    listed = offers.join(own, key, "left_semi").select(*SNAP, "folder", "package")
+    peers = (offers.join(declared.filter(optional), key, "left_semi").select(*SNAP, "folder", "package").distinct()
+             .withColumn("peer", F.lit(True)))
+    open_ = used.join(listed, [*SNAP, "folder", "package"], "left_anti").join(peers, [*SNAP, "folder", "package"], "left")
+    missing = calls.join(served.select(*SNAP, "folder", "binary"), [*SNAP, "folder", "binary"], "left_anti")
+    taken = declared.filter(F.col("spec").startswith("catalog:")).select(
+        *SNAP, F.coalesce(F.nullif(F.substr("spec", F.lit(len("catalog:") + 1)), F.lit("")), F.lit("default")).alias("catalog"), "package")
+    spare = catalog.select(*SNAP, "catalog", "package").dropna().distinct().join(taken, [*SNAP, "catalog", "package"], "left_anti")
+
+    def at(folder: str):
+        return F.when(F.col(folder) == ".", F.lit(PACKAGE_MANIFEST)).otherwise(
+            F.concat(folder, F.lit("/" + PACKAGE_MANIFEST))).alias("file")
+    kind = F.when(F.col("peer"), F.lit("optionalPeerDependencies")).otherwise(F.lit("unlisted")).alias("kind")
+    return (unused.select(*SNAP, at("manifest"), "kind", F.col("package").alias("name"))
+            .union(open_.select(*SNAP, "file", kind, "package"))
+            .union(missing.select(*SNAP, at("folder"), F.lit("binaries"), "binary"))
+            .union(spare.select(*SNAP, F.lit(PACKAGE_MANIFEST), F.lit("catalog"), F.concat_ws(".", "catalog", "package"))))
+
+
 def unused_metrics(issues: DataFrame) -> DataFrame:
     """A3: per snapshot unused files, exports, types, dependencies and the total (which
     also counts duplicate exports, included in no sub-total)."""

@@ -28,6 +28,7 @@ from codehealth.session import checkpoint_dir
 from codehealth.sources import reports as rp
 from codehealth.sources import store
 from codehealth.sources import testdata as td
+from codehealth.streaming import snapshots as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,6 +191,17 @@ def q_w1(spark, d):
     return hist.metric_deltas(_trend(spark, d), hist.snapshots(_checks(spark, d)))
 
 
+@query("w1_streamed_deltas")
+def q_w1_streamed(spark, d):
+    """The trend rows reach a stream in several files, not in the order of time."""
+    base = f"{checkpoint_dir(spark)}/deltas-{uuid.uuid4().hex}"
+    rows = _trend(spark, d).join(hist.snapshots(_checks(spark, d)).select("repo", "snapshot_id", "ts"), ["repo", "snapshot_id"])
+    rows.repartition(4, F.xxhash64("snapshot_id")).write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream.start_deltas(arriving, base, f"{base}/state").awaitTermination()
+    return stream.current_rows(spark, base)
+
+
 @query("f9_trend_line")
 def q_f9(spark, d):
     return hist.trend_line(_trend(spark, d), hist.snapshots(_checks(spark, d)))
@@ -494,6 +506,16 @@ def q_p5_one(spark, d):
     return un.workspace_issues(*td.workspaces(spark, d), workspace="packages/r1")
 
 
+@query("c12_manifest_issues")
+def q_c12_manifests(spark, d):
+    return un.manifest_issues(*td.manifests(spark, d))
+
+
+@query("a3_manifest_metrics")
+def q_a3_manifests(spark, d):
+    return un.unused_metrics(un.manifest_issues(*td.manifests(spark, d)))
+
+
 @query("c14_unresolved_imports")
 def q_c14(spark, d):
     return un.unresolved_imports(td.page_links(spark, d), td.page_targets(spark, d)).select(

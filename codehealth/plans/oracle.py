@@ -336,7 +336,8 @@ SELECT repo, snapshot_id, kind, check_idx, name, count_value, percent_value FROM
 register("a13_trend_vector", with_(CHECKS) + """
 SELECT repo, snapshot_id, lines, complexity, unused, duplication, cycles FROM tv""")
 
-register("w1_metric_deltas", with_(CHECKS) + """
+for _name in ("w1_metric_deltas", "w1_streamed_deltas"):
+    register(_name, with_(CHECKS) + """
 , t AS (SELECT tv.*, snaps.ts FROM tv JOIN snaps USING (repo, snapshot_id))
 SELECT repo, snapshot_id, lines, complexity, unused, duplication, cycles,
        lines - lag(lines) OVER w AS lines_delta,
@@ -717,6 +718,43 @@ for _name, _files, _kinds, _owners, _where in (
     register(_name, with_(WORKSPACES.format(package="'pkg-' || CAST(l_partkey AS VARCHAR)", files=_files, kinds=_kinds, owners=_owners)) + f"""
 SELECT 'workspaces' AS repo, 'all' AS snapshot_id, file, kind, name FROM wi WHERE {_where}""")
 
+MANIFESTS = WORKSPACES.format(package="'pkg-' || CAST(l_partkey AS VARCHAR)", files="true", kinds="true", owners="true") + r""",
+mp AS (SELECT 'pkg-' || CAST(p_partkey AS VARCHAR) AS package, p_partkey, p_size,
+              'bin-' || CAST(p_size AS VARCHAR) || '-' || CAST(p_partkey % 40 AS VARCHAR) AS cmd FROM part),
+md AS (SELECT manifest, wd.package, CASE WHEN p_size <= 5 THEN 'optionalPeerDependencies' ELSE kind END AS kind,
+              CASE WHEN p_partkey % 21 = 0 THEN 'old' WHEN p_partkey % 2 = 0 THEN 'default' END AS cat
+       FROM wd JOIN mp ON wd.package = mp.package),
+mo AS (SELECT manifest, package, kind FROM md WHERE kind <> 'optionalPeerDependencies'),
+mh AS (SELECT DISTINCT manifest, mo.package, cmd FROM mo JOIN mp ON mo.package = mp.package),
+ms AS (SELECT DISTINCT nt.n AS manifest, cmd
+       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nt ON s_nationkey = n_nationkey JOIN mp ON l_partkey = p_partkey
+       WHERE l_returnflag = 'A' AND n_nationkey % 2 = 0),
+mso AS (SELECT ms.manifest AS caller, cmd, folder FROM ms JOIN wm ON folder = '.' OR starts_with(ms.manifest || '/', folder || '/')),
+mi AS (
+  SELECT DISTINCT CASE WHEN manifest = '.' THEN '' ELSE manifest || '/' END || 'package.json' AS file, kind, package AS name FROM mo
+  WHERE NOT EXISTS (SELECT 1 FROM wo WHERE wo.folder = mo.manifest AND wo.package = mo.package)
+    AND NOT EXISTS (SELECT 1 FROM mso JOIN mh ON mh.cmd = mso.cmd AND mh.manifest = mso.folder
+                    WHERE mh.manifest = mo.manifest AND mh.package = mo.package)
+  UNION ALL
+  SELECT file, CASE WHEN EXISTS (SELECT 1 FROM wo JOIN md ON wo.folder = md.manifest AND wo.package = md.package
+                                 WHERE wo.file = wu.file AND wo.package = wu.package)
+               THEN 'optionalPeerDependencies' ELSE 'unlisted' END, package FROM wu
+  WHERE NOT EXISTS (SELECT 1 FROM wo JOIN mo ON wo.folder = mo.manifest AND wo.package = mo.package
+                    WHERE wo.file = wu.file AND wo.package = wu.package)
+  UNION ALL
+  SELECT manifest || '/package.json', 'binaries', cmd FROM ms
+  WHERE NOT EXISTS (SELECT 1 FROM mso JOIN mh ON mh.cmd = mso.cmd AND mh.manifest = mso.folder
+                    WHERE mso.caller = ms.manifest AND mso.cmd = ms.cmd)
+  UNION ALL
+  SELECT 'package.json', 'catalog', cat || '.' || package FROM (
+    SELECT 'default' AS cat, package FROM mp WHERE p_partkey % 5 = 0 UNION ALL SELECT 'old', package FROM mp WHERE p_partkey % 7 = 0) e
+  WHERE NOT EXISTS (SELECT 1 FROM md WHERE md.cat = e.cat AND md.package = e.package))"""
+register("c12_manifest_issues", with_(MANIFESTS) + "SELECT 'workspaces' AS repo, 'all' AS snapshot_id, file, kind, name FROM mi")
+register("a3_manifest_metrics", with_(MANIFESTS) + """
+SELECT 'workspaces' AS repo, 'all' AS snapshot_id, count(*) FILTER (WHERE kind = 'files') AS unused_files,
+       CAST(0 AS BIGINT) AS unused_exports, CAST(0 AS BIGINT) AS unused_types,
+       count(*) AS unused_dependencies, count(*) AS total_issues FROM mi""")
+
 register("a3_unused_metrics", with_rec(GRAPH + REACH + ISSUES) + """
 SELECT repo, snapshot_id, count(*) FILTER (WHERE kind = 'files') AS unused_files,
        count(*) FILTER (WHERE kind IN ('exports', 'nsExports', 'classMembers', 'enumMembers')) AS unused_exports,

@@ -338,6 +338,36 @@ def workspaces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return used, declared.select(*snap, "*"), folders.select(*snap, "folder")
 
 
+def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """The manifests of :func:`workspaces` with all kinds of entries: used, scripts(manifest, binary),
+    declared(manifest, package, kind, spec), manifests, provided(package, binary), catalog(catalog, package).
+    Parts of size 5 and less are optional peers; every fifth part stands in the default catalog and every seventh
+    in another; manifests take even parts from the first, multiples of 21 from the other; a part provides a command
+    that parts of its size share; scripts call
+    those of the parts with return flag A that their nation ships."""
+    used, declared, folders = workspaces(spark, sf_dir)
+    snap = [F.lit("workspaces").alias("repo"), F.lit("all").alias("snapshot_id")]
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    key = F.col("p_partkey")
+    binary = F.concat(F.lit("bin-"), F.col("p_size").cast("string"), F.lit("-"), (key % 40).cast("string")).alias("binary")
+    spec = (F.when(key % 21 == 0, F.lit("catalog:old")).when(key % 2 == 0, F.lit("catalog:")).otherwise(F.lit("^1.0.0")))
+    more = part.select(_package("p_partkey"), "p_size", spec.alias("spec"))
+    declared = declared.join(more, "package").select(
+        "repo", "snapshot_id", "manifest", "package",
+        F.when(F.col("p_size") <= 5, F.lit("optionalPeerDependencies")).otherwise(F.col("kind")).alias("kind"), "spec")
+    nation = read(spark, sf_dir, "nation").filter(F.col("n_nationkey") % 2 == 0).select(
+        "n_nationkey", F.concat(F.lit("packages/r"), F.col("n_regionkey").cast("string"), F.lit("/n"),
+                                F.col("n_nationkey").cast("string")).alias("manifest"))
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    li = read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "A").select("l_suppkey", "l_partkey").distinct()
+    scripts = (li.join(supplier, li.l_suppkey == supplier.s_suppkey)
+               .join(F.broadcast(nation), F.col("s_nationkey") == nation.n_nationkey)
+               .join(part, li.l_partkey == part.p_partkey).select(*snap, "manifest", binary).distinct())
+    catalog = (part.filter(key % 5 == 0).select(*snap, F.lit("default").alias("catalog"), _package("p_partkey"))
+               .union(part.filter(key % 7 == 0).select(*snap, F.lit("old"), _package("p_partkey"))))
+    return used, scripts, declared, folders, part.select(*snap, _package("p_partkey"), binary), catalog
+
+
 # ---- commits ----------------------------------------------------------------
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, sha, short_sha, ts, subject): one repository per customer."""

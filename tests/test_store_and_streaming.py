@@ -239,3 +239,62 @@ def test_short_histories_are_named(spark):
     from codehealth.operators import history
     commits = spark.createDataFrame([("long", i) for i in range(5)] + [("short", 0)], "repo string, sha int")
     assert [tuple(r) for r in history.short_histories(commits, 2, 2).collect()] == [("short", 1, 5)]
+
+
+def _trend_file(spark, folder, rows):
+    spark.createDataFrame(rows, _TREND).coalesce(1).write.mode("append").parquet(folder)
+
+
+_TREND = ("repo string, snapshot_id string, ts timestamp, lines bigint, complexity bigint, unused bigint, "
+          "duplication double, cycles bigint")
+
+
+def test_streamed_deltas_equal_batch_deltas_in_any_order(spark, tmp_dir):
+    import random
+    from datetime import datetime, timedelta
+
+    from codehealth.operators import history
+
+    r = random.Random(5)
+    rows = []
+    for repo in ("a", "b", None):
+        for i in range(9):
+            ts = datetime(2026, 1, 1) + timedelta(days=i // 2)  # ties are ordered by id
+            values = [r.randrange(1000), r.randrange(50), r.randrange(9), r.randrange(90) / 8, r.randrange(5)]
+            if i == 4:
+                values = [None] * 5
+            rows.append((repo, f"s{i}", ts, *values))
+    old = [("a", "s3", datetime(2026, 1, 9), 1, 1, 1, 1.0, 1)]  # saved again later, at another time
+    order = r.sample(rows, len(rows))
+    src, out, ckpt = (os.path.join(tmp_dir, n) for n in ("src", "out", "ckpt"))
+    # the stream is stopped and started again between the batches: the state carries over
+    for part in (old, order[:5], order[5:6], order[6:20], order[20:]):
+        _trend_file(spark, src, part)
+        arriving = spark.readStream.schema(_TREND).option("maxFilesPerTrigger", 1).parquet(src)
+        stream.start_deltas(arriving, out, ckpt).awaitTermination(120)
+    got = stream.current_rows(spark, out)
+    df = spark.createDataFrame([x for x in rows if x[0]], _TREND)
+    want = history.metric_deltas(df.drop("ts"), df.select("repo", "snapshot_id", "ts"))
+    plain = lambda d: sorted((tuple(x) for x in d.select(want.columns).collect()), key=repr)
+    assert plain(got.filter("repo IS NOT NULL")) == plain(want)
+    assert got.filter("repo IS NULL").count() == 9
+
+
+def test_trend_rows_of_a_stream_of_summaries(spark, tmp_dir):
+    checks = [{"name": "stats", "status": "pass", "metrics": {"kind": "stats-overview", "totalLines": 100, "totalComplexity": 7}},
+              {"name": "again", "status": "pass", "metrics": {"kind": "stats-overview", "totalLines": 1, "totalComplexity": 1}},
+              {"name": "none", "status": "skip"},
+              {"name": "unused", "status": "warn", "metrics": {"kind": "unused", "totalIssues": 2}},
+              {"name": "dup", "status": "warn", "metrics": {"kind": "duplicates", "duplicatedLinesPercent": 1.5}},
+              {"name": "cyc", "status": "fail", "metrics": {"kind": "cycles", "cycleCount": 1}}]
+    hist, out = os.path.join(tmp_dir, "hist"), os.path.join(tmp_dir, "out")
+    for ts, kept in (("2026-03-10T10:00:00.000Z", checks), ("2026-03-11T10:00:00.000Z", checks[:3]), ("2026-03-12T10:00:00.000Z", [])):
+        sid, doc = _summary(ts, "aaa1111", checks=kept)
+        _write(hist, "r", sid, doc)
+    rows = stream.trend_rows(stream.summary_stream(spark, hist))
+    stream.start_deltas(rows, out, os.path.join(tmp_dir, "ckpt")).awaitTermination(120)
+    got = [(r.lines, r.complexity, r.unused, r.duplication, r.cycles, r.lines_delta)
+           for r in stream.current_rows(spark, out).orderBy("snapshot_id").collect()]
+    assert got == [(100, 7, 2, 1.5, 1, None), (None,) * 6, (None,) * 6]
+    stored = store.trend_from_summaries(store.load_summaries(spark, hist)).orderBy("snapshot_id").first()
+    assert (stored.lines, stored.cycles) == (100, 1)
