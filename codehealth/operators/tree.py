@@ -119,9 +119,12 @@ def attach_dependency(tree: DataFrame, deps: DataFrame, root: str = "src", cwd:
     return tree.unionByName(added).join(d, on=[*SNAP, "path"], how="left")
 
 
-def child_order(tree: DataFrame) -> DataFrame:
+def child_order(tree: DataFrame, collation: str | None = None) -> DataFrame:
     """Ordered children of every directory: directories first, then path.
 
+    Paths are ordered by code points, or with ``collation`` (``UNICODE`` for display, where
+    ``_x``, ``a``, ``B`` come in this order) by it and then by code points.
+
     A directory may hold a third of all files, so children are not ranked in one window
     per directory: they are put into ranges of the whole order, which cut a large
     directory into as many parts as it needs whatever its names are. Children are ranked
@@ -131,10 +134,11 @@ def child_order(tree: DataFrame) -> DataFrame:
     children = (tree.filter(F.col("parent").isNotNull())
                 .select(*SNAP, "parent", F.when(F.col("kind") == "dir", 0).otherwise(1).alias("ko"), "path", "kind"))
     checkpoint_dir(tree.sparkSession)
-    placed = (children.repartitionByRange(*SNAP, "parent", "ko", "path")
+    order = ["ko", *([F.collate("path", collation)] if collation else []), "path"]
+    placed = (children.repartitionByRange(*SNAP, "parent", *order)
               .withColumn("part", F.spark_partition_id()).checkpoint())
     key = [*SNAP, "parent", "part"]
-    local = placed.withColumn("local", F.row_number().over(Window.partitionBy(*key).orderBy("ko", "path")))
+    local = placed.withColumn("local", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*SNAP, "parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

@@ -129,6 +129,11 @@ def q_a11(spark, d):
     return tree_ops.child_order(history_tree(spark, d))
 
 
+@query("a11_display_order")
+def q_a11_display(spark, d):
+    return tree_ops.child_order(tree_ops.build_tree(tree_ops.contributions(td.named_files(spark, d), None)), "UNICODE")
+
+
 @query("a12_node_counts")
 def q_a12(spark, d):
     return tree_ops.node_counts(history_tree(spark, d), root=td.SOURCE_ROOT)

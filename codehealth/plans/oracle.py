@@ -177,6 +177,18 @@ SELECT repo, snapshot_id, parent, path AS child, kind,
                                ORDER BY CASE WHEN kind = 'dir' THEN 0 ELSE 1 END, path) AS BIGINT) AS position
 FROM tree WHERE parent IS NOT NULL""")
 
+register("a11_display_order", """
+WITH named AS (
+  SELECT 'src/' || CASE WHEN p_size % 2 = 0 THEN lower(p_brand) ELSE p_brand END || '/' || replace(
+           CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN upper(p_name[1]) || p_name[2:]
+                              ELSE '_' || p_name END, ' ', '-') || '.' || CAST(p_partkey AS VARCHAR) AS path FROM part),
+kids AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path, 'dir' AS kind FROM named
+         UNION SELECT path, 'file' FROM named)
+SELECT 'tpch' AS repo, 'all' AS snapshot_id, regexp_replace(path, '/[^/]*$', '') AS parent, path AS child, kind,
+       CAST(row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '')
+                               ORDER BY CASE WHEN kind = 'dir' THEN 0 ELSE 1 END, path COLLATE en, path COLLATE "binary") AS BIGINT) AS position
+FROM kids""")
+
 register("a12_node_counts", with_(TREE) + """
 SELECT repo, snapshot_id, count(*) AS node_count, count(*) FILTER (WHERE kind = 'file') AS file_nodes,
        count(*) FILTER (WHERE kind = 'dir') AS dir_nodes, 'src' AS root_id

@@ -85,11 +85,11 @@ def list_files(spark: SparkSession, base: str, name: str = "*") -> DataFrame:
     return found.select("path", *_keys(F.col("path")), F.regexp_extract("path", _FILE_RX, 3).alias("rel"))
 
 
-def read_summaries_raw(spark: SparkSession, base: str, paths: list[str] | None = None) -> DataFrame:
-    """Every ``summary.json`` under ``base``, or those at ``paths``, as one row (malformed -> ``_bad``)."""
+def read_summaries_raw(spark: SparkSession, base: str) -> DataFrame:
+    """Every ``summary.json`` under ``base`` as one row (malformed -> ``_bad``)."""
     df = (spark.read.schema(SUMMARY).option("multiLine", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_bad")
-          .json(f"{base.rstrip('/')}/*/snapshots/*/summary.json" if paths is None else paths))
+          .json(f"{base.rstrip('/')}/*/snapshots/*/summary.json"))
     return df.select(*_keys(F.col("_metadata.file_path")), "*")
 
 
@@ -105,7 +105,7 @@ def load_summaries(spark: SparkSession, base: str, limit: int | None = None,
 
     As in the reference the limit is applied to directory names *before* the
     validity filter, so fewer than ``limit`` may come back, and only the chosen files
-    are opened: their paths, ``limit`` a repository, go to the reader.
+    are opened: tasks fetch them, no list of paths passes through the driver.
     ``filter_first=True`` reads all and filters first instead.
     """
     valid = F.col("_bad").isNull() & (F.col("version") == SNAPSHOT_VERSION)
@@ -113,8 +113,10 @@ def load_summaries(spark: SparkSession, base: str, limit: int | None = None,
         rows = read_summaries_raw(spark, base).filter(valid).drop("_bad")
         return rows if limit is None else _newest(rows, limit)
     listed = list_files(spark, base, "summary.json").filter(F.col("rel") == "summary.json")
-    paths = [r.path for r in _newest(listed, limit).select("path").toLocalIterator()]
-    return read_summaries_raw(spark, base, paths).filter(valid).drop("_bad")
+    chosen = _newest(listed, limit).select(*SNAP, F.lit(None).cast("string").alias("id"), "rel")
+    held = chosen.mapInArrow(_reader(base), HELD)
+    parsed = held.select(*SNAP, F.from_json("raw", SUMMARY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("s"))
+    return parsed.select(*SNAP, "s.*").filter(valid).drop("_bad")
 
 
 def load_latest(spark: SparkSession, base: str) -> DataFrame:
@@ -183,6 +185,9 @@ def _files_at(base: str):
     return fs.FileSystem.from_uri(base.rstrip("/"))
 
 
+HELD = "repo string, snapshot_id string, id string, rel string, raw string"
+
+
 def _reader(base: str):
     def run(batches):
         files, root = _files_at(base)
@@ -213,7 +218,7 @@ def load_bundles(spark: SparkSession, base: str) -> DataFrame:
                       for rel in ("report.md", "tree.json")])
     needed = declared.unionByName(summaries.select(*SNAP, F.explode(fixed).alias("a"))).select(*SNAP, "a.*")
     # tasks fetch what is named: Spark's own readers pass over empty files, and an empty report is a report
-    held = needed.mapInArrow(_reader(base), "repo string, snapshot_id string, id string, rel string, raw string")
+    held = needed.mapInArrow(_reader(base), HELD)
     usable = F.col("raw").isNotNull() & ((F.col("rel") == "report.md") | F.try_parse_json("raw").isNotNull())
     # a run leaves a handful of artifacts, so a bundle is one row
     whole = held.groupBy(*SNAP).agg(

@@ -368,6 +368,19 @@ def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     return used, scripts, declared, folders, part.select(*snap, _package("p_partkey"), binary), catalog
 
 
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, snapshot_id, path, lines, code, complexity): a file for each part below its brand, whose name is written in
+    one of four ways (as it is, capitals, capitals at word starts, after an underscore)."""
+    name, key = F.col("p_name"), F.col("p_partkey") % 4
+    written = (F.when(key == 0, name).when(key == 1, F.upper(name)).when(key == 2, F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1000)))
+               .otherwise(F.concat(F.lit("_"), name)))
+    return read(spark, sf_dir, "part").select(
+        F.lit(HISTORY_REPO).alias("repo"), F.lit("all").alias("snapshot_id"),
+        F.concat(F.lit(SOURCE_ROOT + "/"), F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")), F.lit("/"), F.regexp_replace(written, " ", "-"),
+                 F.lit("."), F.col("p_partkey").cast("string")).alias("path"),
+        *[F.col("p_size").cast("bigint").alias(c) for c in ("lines", "code", "complexity")])
+
+
 # ---- commits ----------------------------------------------------------------
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, sha, short_sha, ts, subject): one repository per customer."""

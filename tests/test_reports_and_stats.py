@@ -281,3 +281,39 @@ def test_entries_at_any_depth(spark):
     doc["issues"].remove(None)
     m = rp.unused_report_metrics(_reports(spark, doc)).first()
     assert (m.unused_files, m.unused_exports, m.unused_types) == (2, 2, 4)
+
+
+def test_package_kinds_over_several_manifests(spark):
+    from codehealth.operators import unused as un
+    rows = lambda xs, cols: spark.createDataFrame([("r", "s", *x) for x in xs],
+                                                  "repo string, snapshot_id string, " + cols)
+    used = rows([("a/x.ts", "lib"), ("a/x.ts", "peer"), ("a/x.ts", "both"), ("a/x.ts", "gone"), ("b/y.ts", "peer"), (None, "n"), ("b/y.ts", None)],
+                "file string, package string")
+    scripts = rows([("a", "lint"), ("a", "lint"), ("b", "lint"), ("b", "build"), (".", "pack"), ("b", None)], "manifest string, binary string")
+    declared = rows([(".", "lib", "dependencies", None), (".", "bundler", "devDependencies", "catalog:"), ("a", "linter", "devDependencies", "catalog:old"),
+                     ("a", "peer", "optionalPeerDependencies", "^1"), ("a", "both", "optionalPeerDependencies", "^1"), (".", "both", "dependencies", "catalog:"),
+                     ("b", "idle", "dependencies", "1"), ("b", "idle", "dependencies", "1"), ("b", "lib", "dependencies", "1"), ("b", None, "dependencies", "1")],
+                    "manifest string, package string, kind string, spec string")
+    folders = rows([(".",), ("a",), ("b",)], "folder string")
+    provided = rows([("linter", "lint"), ("other", "lint"), ("bundler", "build"), ("bundler", "bundle")], "package string, binary string")
+    catalog = rows([("default", "bundler"), ("default", "linter"), ("old", "linter"), ("old", "both"), ("default", "both")], "catalog string, package string")
+    out = un.manifest_issues(used, scripts, declared, folders, provided, catalog)
+    got = sorted((r.file, r.kind, r.name) for r in out.collect())
+    assert got == sorted([
+        ("b/package.json", "dependencies", "idle"), ("b/package.json", "dependencies", "lib"),
+        ("a/x.ts", "optionalPeerDependencies", "peer"), ("a/x.ts", "unlisted", "gone"), ("b/y.ts", "unlisted", "peer"),
+        ("b/package.json", "binaries", "lint"), ("package.json", "binaries", "pack"),
+        ("package.json", "catalog", "default.linter"), ("package.json", "catalog", "old.both")])
+    none = un.manifest_issues(*[x.limit(0) for x in (used, scripts, declared, folders, provided, catalog)])
+    assert none.count() == 0 and none.columns == ["repo", "snapshot_id", "file", "kind", "name"]
+
+
+def test_display_order_of_children(spark):
+    from codehealth.operators import tree as tree_ops
+    names = ["B", "a", "_x", "A", "b", "a-b", "é", "z"]
+    stats = spark.createDataFrame([("r", "s", f"src/{n}", 1, 1, 1) for n in names] + [("r", "s", "src/Zdir/k", 1, 1, 1)],
+                                  "repo string, snapshot_id string, path string, lines int, code int, complexity int")
+    tree = tree_ops.build_tree(tree_ops.contributions(stats, None))
+    listed = lambda *c: [r.child[4:] for r in tree_ops.child_order(tree, *c).filter("parent = 'src'").orderBy("position").collect()]
+    assert listed("UNICODE") == ["Zdir", "_x", "a", "A", "a-b", "b", "B", "é", "z"]
+    assert listed() == ["Zdir", *sorted(names)]
