@@ -2,9 +2,9 @@
 
 Rules (host and path prefixes, longest wins) judge some urls for certain. From these,
 two Markov models of variable order learn the characters of accepted and of rejected
-urls. A context is kept if ``least`` places follow it (in small tables a ``1 / contexts``
-share of all, where that is fewer), so the model grows with the urls; a place uses the longest kept context, whose
-distribution is smoothed with that of the next shorter one. A url's score is the mean
+urls. Every context that occurs is kept, so the model grows with the urls; the
+distribution after a context is smoothed with that of the next shorter one, and so on
+down to the alphabet. A url's score is the mean
 log-likelihood difference per character. The threshold is calibrated on rule-judged
 urls that were not learned from: the one with the best balanced accuracy.
 
@@ -56,8 +56,6 @@ RULES = (
 @dataclass(frozen=True)
 class Params:
     order: int = 4  # longest context
-    contexts: int = 4000
-    least: int = 40  # places that a context needs at most
     broadcast_rows: int = 200_000
     smooth: float = 8.0
     held_out: int = 5  # one judged url in so many calibrates
@@ -97,42 +95,21 @@ def symbols(url: Column) -> Column:
 def _places(rows: DataFrame, order: int, *keep: str) -> DataFrame:
     """A row for each character: ``run`` is it with the ``order`` symbols before it."""
     padded = F.concat(F.lit(START * order), F.col("symbols"))
-    return (rows.withColumn("__padded", padded)
+    return (rows.where("symbols != ''").withColumn("__padded", padded)
             .select(*keep, "__padded", F.explode(F.sequence(F.lit(1), F.char_length("symbols"))).alias("at"))
             .select(*keep, F.substr("__padded", F.col("at"), F.lit(order + 1)).alias("run")))
 
 
 def model(judged: DataFrame, p: Params) -> list[DataFrame]:
-    """For each order a table ``gram`` (context and next symbol), ``ratio`` (log accepted / rejected).
+    """For each order a table ``gram`` (context and next symbol), ``yes`` and ``no``: its places in accepted and
+    rejected urls. All that occur are kept.
 
     Rows of ``judged`` have ``symbols`` and ``accepted`` (1 or 0).
     """
-    long = _places(judged, p.order, "accepted").groupBy("run").agg(
-        F.sum("accepted").alias("yes"), F.sum(1 - F.col("accepted")).alias("no"))
-    long = saved(long)
-    alphabet = F.explode(F.array(*[F.lit(c) for c in SYMBOLS if c != START])).alias("next")
-    tables: list[DataFrame] = []
-    for order in range(p.order + 1):
-        seen = (long.groupBy(F.expr(f"right(run, {order + 1})").alias("gram"))
-                .agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum(F.col("yes") + F.col("no")).alias("n")))
-        context = F.expr(f"left(gram, {order})")
-        held = seen.groupBy(context.alias("context")).agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"), F.sum("n").alias("all"))
-        total = seen.agg(F.sum("n")).first()[0] or 0
-        held = held.where(F.col("all") >= min(p.least, total / p.contexts)).select("context", "all_yes", "all_no", alphabet)
-        held = held.withColumn("gram", F.concat("context", "next"))
-        here = held.join(seen.select("gram", "yes", "no"), "gram", "left")
-        yes, no = F.coalesce("yes", F.lit(0)), F.coalesce("no", F.lit(0))
-        if order:
-            # a kept context's shorter one is kept as well: it is no rarer
-            shorter = tables[-1].select(F.col("gram").alias("shorter"), F.col("p_yes").alias("q_yes"), F.col("p_no").alias("q_no"))
-            here = here.join(_sized(shorter, p), F.expr(f"right(gram, {order})") == F.col("shorter"))
-            q_yes, q_no = F.col("q_yes"), F.col("q_no")
-        else:
-            q_yes = q_no = F.lit(1.0 / (len(SYMBOLS) - 1))
-        here = here.select("gram", ((yes + p.smooth * q_yes) / (F.col("all_yes") + p.smooth)).alias("p_yes"),
-                           ((no + p.smooth * q_no) / (F.col("all_no") + p.smooth)).alias("p_no"))
-        tables.append(saved(here))
-    return [t.select("gram", F.ln(F.col("p_yes") / F.col("p_no")).alias("ratio")) for t in tables]
+    long = saved(_places(judged, p.order, "accepted").groupBy("run").agg(
+        F.sum("accepted").alias("yes"), F.sum(1 - F.col("accepted")).alias("no")))
+    return [saved(long.groupBy(F.expr(f"right(run, {order + 1})").alias("gram")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+            for order in range(p.order)] + [long.withColumnRenamed("run", "gram")]
 
 
 def _sized(table: DataFrame, p: Params) -> DataFrame:
@@ -140,16 +117,33 @@ def _sized(table: DataFrame, p: Params) -> DataFrame:
     return F.broadcast(table) if table.count() <= p.broadcast_rows else table
 
 
-def with_score(rows: DataFrame, tables: list[DataFrame], p: Params, *keep: str) -> DataFrame:
-    """``keep`` and ``score`` of each row; ``keep`` begins with a key that is unique."""
+def with_ratio(runs: DataFrame, tables: list[DataFrame], p: Params) -> DataFrame:
+    """``run`` and ``ratio``, the log ratio of its last symbol's probabilities after the symbols before.
+
+    The probability after a context is its counts smoothed by the one after the context without its
+    first symbol; a context that never occurs leaves that as it is. ``runs`` are distinct, so at most as many of
+    them as there are symbols meet one long gram or context, and tables of short ones are small.
+    """
     order = len(tables) - 1
-    places = _places(rows, order, keep[0])
-    runs = places.select("run").distinct()
+    q_yes = q_no = F.lit(1.0 / (len(SYMBOLS) - 1))
     for k, t in enumerate(tables):
-        t = t.select(F.col("gram").alias(f"gram{k}"), F.col("ratio").alias(f"ratio{k}"))
-        runs = runs.join(_sized(t, p), F.expr(f"right(run, {k + 1})") == F.col(f"gram{k}"), "left")
-    ratio = F.coalesce(*[F.col(f"ratio{k}") for k in range(order, -1, -1)], F.lit(0.0))
-    runs = saved(runs.select("run", ratio.alias("ratio")))
+        grams = t.select(F.col("gram").alias(f"gram{k}"), F.col("yes").alias(f"yes{k}"), F.col("no").alias(f"no{k}"))
+        runs = runs.join(_sized(grams, p), F.expr(f"right(run, {k + 1})") == F.col(f"gram{k}"), "left")
+        after = t.groupBy(F.expr(f"left(gram, {k})").alias(f"context{k}")).agg(F.sum("yes").alias(f"all_yes{k}"), F.sum("no").alias(f"all_no{k}"))
+        runs = runs.join(_sized(saved(after), p), F.expr(f"substring(run, {order + 1 - k}, {k})") == F.col(f"context{k}"), "left")
+        yes, no, all_yes, all_no = [F.coalesce(F.col(f"{c}{k}"), F.lit(0)) for c in ("yes", "no", "all_yes", "all_no")]
+        runs = runs.select("run", *[c for c in runs.columns if c in ("p_yes", "p_no")], yes.alias("y"), no.alias("n"), all_yes.alias("ay"), all_no.alias("an"))
+        if k:
+            q_yes, q_no = F.col("p_yes"), F.col("p_no")
+        runs = runs.select("run", ((F.col("y") + p.smooth * q_yes) / (F.col("ay") + p.smooth)).alias("p_yes"),
+                           ((F.col("n") + p.smooth * q_no) / (F.col("an") + p.smooth)).alias("p_no"))
+    return runs.select("run", F.ln(F.col("p_yes") / F.col("p_no")).alias("ratio"))
+
+
+def with_score(rows: DataFrame, tables: list[DataFrame], p: Params, *keep: str) -> DataFrame:
+    """``keep`` and ``score`` of each row; ``keep`` begins with a key that is unique."""
+    places = _places(rows, len(tables) - 1, keep[0])
+    runs = saved(with_ratio(places.select("run").distinct(), tables, p))
     scores = places.join(_sized(runs, p), "run").groupBy(keep[0]).agg(F.avg("ratio").alias("score"))
     return rows.select(*keep).join(scores, keep[0], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
