@@ -31,6 +31,7 @@ from codehealth.llm.common import ship_package
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
+SALTS = 32  # parts in which the documents of a language are ranked
 
 
 @dataclass(frozen=True)
@@ -221,8 +222,12 @@ def fit(docs: DataFrame, p: Training = Training()) -> Network | None:
     """
     order = F.xxhash64("doc_id")
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # a language may hold a third of all rows: its ids are ranked in SALTS parts, then the best of these
+    salt = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(SALTS)).alias("salt")
+    rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(order, "doc_id"))
+    best = known.select("doc_id", "lang", salt).withColumn("rank", rank).where(F.col("rank") <= p.docs_per_language).drop("rank", "salt")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= p.docs_per_language)
+    chosen = best.withColumn("rank", rank).where(F.col("rank") <= p.docs_per_language)
     chosen = chosen.orderBy("rank", order, "lang").limit(p.docs).select("doc_id").distinct()
     room = F.greatest(F.char_length("text") - p.window, F.lit(0)) + 1
     pieces = F.transform(F.sequence(F.lit(1), F.lit(p.pieces)), lambda i: F.substr(

@@ -3,12 +3,11 @@
 1. Lines that occur in more than one document are found by hash. A run of such lines
    that follow each other is kept if it holds ``min_words`` words or more: no shorter
    run can hold a block that is deleted.
-2. :func:`deduplicate` proposes earlier documents by block: of the kept lines, every
+2. Earlier documents are proposed by block: of the kept lines, every
    shortest run of ``min_words`` words or more that begins or ends at a line proposes the
    first document that holds the whole run. Each line of a block that any earlier
    document shares is in such a run, so no block is missed however many documents hold
-   its lines, and pairs grow with the lines. (:func:`by_line` proposes by single lines:
-   up to four early holders of a line in ``rare`` documents or fewer, else the first.)
+   its lines, and pairs grow with the lines.
 3. Each pair is aligned by patience diff over its shared lines: lines that are unique
    in both anchor the longest increasing sequence (equal occurrences, where none is),
    blocks grow from the anchors over equal neighbours, and the gaps are aligned the same
@@ -29,7 +28,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,13 +38,9 @@ from pyspark.sql import functions as F
 
 from codehealth.llm.common import saved, ship_package
 
-HEADS = 4
-
-
 @dataclass(frozen=True)
 class Params:
     min_words: int = 25
-    rare: int = 1000
 
 
 def _anchors(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -201,16 +196,8 @@ def by_block(sequences: DataFrame, p: Params) -> DataFrame:
     return runs.join(first, ["run", "run_check"]).where("partner < doc").select("doc", "partner").distinct()
 
 
-def by_line(sequences: DataFrame, p: Params) -> DataFrame:
-    """``doc`` and ``partner``: early holders of each line."""
-    return sequences.select("doc", F.explode(F.array_distinct(F.flatten("items.heads"))).alias("partner")).where("partner < doc")
-
-
-def removals(docs: DataFrame, p: Params = Params(), propose: Callable[[DataFrame, Params], DataFrame] = by_line) -> DataFrame:
-    """``doc`` (id and text hash) and ``cut``, the ascending numbers (from 0) of the lines to delete.
-
-    The queries propose :func:`by_block`; the default takes the partners that single lines propose.
-    """
+def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``doc`` (id and text hash) and ``cut``, the ascending numbers (from 0) of the lines to delete."""
     ship_package(docs.sparkSession)
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("no"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))
     lines = docs.where("text is not null").select(_identity().alias("doc"), F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("at", "x"))
@@ -218,25 +205,16 @@ def removals(docs: DataFrame, p: Params = Params(), propose: Callable[[DataFrame
     lines = lines.select("doc", "at", "no", F.xxhash64("line").alias("key"), F.xxhash64(F.concat(F.lit("#"), "line")).alias("check"),
                          F.size(F.split("line", r"\s+")).alias("words")).distinct()  # rows that are one document
     lines = saved(lines)
-    group = F.pmod(F.xxhash64("doc"), F.lit(HEADS))
-    if propose is by_line:
-        held = lines.select("key", "check", "doc").distinct()
-        holders = held.groupBy("key", "check").agg(
-            F.count("*").alias("docs"), F.min("doc").alias("first"),
-            *[F.min(F.when(group == g, F.col("doc"))).alias(f"first{g}") for g in range(HEADS)]).where("docs > 1")
-        heads = F.when(F.col("docs") <= p.rare, F.array(*[f"first{g}" for g in range(HEADS)])).otherwise(F.array("first"))
-        holders = holders.select("key", "check", heads.alias("heads"))
-    else:
-        ends = lines.groupBy("key", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        holders = ends.where("first < last").select("key", "check", F.lit(None).cast("int").alias("heads"))
+    ends = lines.groupBy("key", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    holders = ends.where("first < last").select("key", "check")
     shared = lines.join(holders, ["key", "check"])
     by_place = Window.partitionBy("doc").orderBy("at")
     runs = shared.withColumn("run", F.col("at") - F.row_number().over(by_place))
     runs = runs.withColumn("held", F.sum("words").over(Window.partitionBy("doc", "run"))).where(F.col("held") >= p.min_words)
-    item = F.struct("at", "no", "key", "check", "words", "heads")
+    item = F.struct("at", "no", "key", "check", "words")
     sequences = runs.groupBy("doc").agg(F.array_sort(F.collect_list(item)).alias("items"))
     sequences = saved(sequences)
-    partners = propose(sequences, p)
+    partners = by_block(sequences, p)
     a = sequences.select(F.col("doc").alias("partner"), F.col("items.key").alias("a_key"), F.col("items.check").alias("a_check"), F.col("items.at").alias("a_at"))
     b = sequences.select("doc", F.col("items.key").alias("b_key"), F.col("items.check").alias("b_check"),
                          F.col("items.at").alias("b_at"), F.col("items.no").alias("b_no"), F.col("items.words").alias("b_words"))
@@ -247,7 +225,7 @@ def removals(docs: DataFrame, p: Params = Params(), propose: Callable[[DataFrame
 
 def deduplicate(docs: DataFrame, p: Params = Params(), cut: str = "line_cut") -> DataFrame:
     """``docs`` with the lines removed from ``text``, and their numbers in a new column."""
-    cuts = removals(docs, p, by_block).select(F.col("doc").alias("__cut_doc"), F.col("cut").alias(cut))
+    cuts = removals(docs, p).select(F.col("doc").alias("__cut_doc"), F.col("cut").alias(cut))
     rows = docs.withColumn("__doc", _identity())
     rows = rows.join(cuts, F.col("__doc") == F.col("__cut_doc"), "left").drop("__doc", "__cut_doc")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(cut, i))

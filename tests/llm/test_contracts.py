@@ -257,7 +257,7 @@ def test_url_model_tells_kinds_apart_and_equals_a_plain_model(spark):
     urls = [(i, f"http://{r.choice(good)}-{r.choice(good)}.org/{r.randrange(99)}") for i in range(150)]
     urls += [(1000 + i, f"http://{r.choice(bad)}{r.choice(bad)}.com/de/{r.randrange(99)}") for i in range(150)]
     new = [(2000, "http://museum-library.net/7"), (2001, "http://betscasino.net/9")]
-    p = url_lm.Params(order=2, contexts=200)
+    p = url_lm.Params(order=2)
     out = {x["page_id"]: x for x in url_lm.judge(spark.createDataFrame(urls + new, "page_id bigint, url string"), p=p).collect()}
     assert out[2000]["verdict"] == "allow" and out[2001]["verdict"] == "block"
     # the same model in plain Python
@@ -270,13 +270,10 @@ def test_url_model_tells_kinds_apart_and_equals_a_plain_model(spark):
         for i in range(2, len(s)):
             for k in range(3):
                 counts[k][s[i - k:i + 1], ".org" in u] += 1
-    total = sum(counts[0].values())
 
     def prob(context, c, yes):
         k = len(context)
         after = [(counts[k][context + d, True], counts[k][context + d, False]) for d in url_lm.SYMBOLS]
-        if sum(map(sum, after)) < total / p.contexts:
-            return prob(context[1:], c, yes)
         lower = prob(context[1:], c, yes) if k else 1 / (len(url_lm.SYMBOLS) - 1)
         return (counts[k][context + c, yes] + p.smooth * lower) / (sum(a if yes else b for a, b in after) + p.smooth)
 
@@ -286,18 +283,33 @@ def test_url_model_tells_kinds_apart_and_equals_a_plain_model(spark):
         assert out[i]["score"] == pytest.approx(want, abs=1e-9)
 
 
-def test_url_contexts_do_not_depend_on_what_else_is_there(spark):
+def test_rare_url_contexts_count_whatever_else_is_there(spark):
+    from math import log
     r = random.Random(7)
-    few = [(f"zq{i}", i % 2) for i in range(60)]
+    few = [("zq1", 1), ("zq1", 1), ("zq2", 0)]
     many = [("".join(r.choices("abcdefgh", k=120)), i % 2) for i in range(2000)]
+    scores = {}
     for broadcast_rows in (0, 200_000):
-        p = url_lm.Params(order=2, contexts=100, least=50, broadcast_rows=broadcast_rows)
+        p = url_lm.Params(order=2, broadcast_rows=broadcast_rows)
         tables = url_lm.model(spark.createDataFrame(few + many, "symbols string, accepted int"), p)
-        assert tables[2].where("gram = 'zq1'").count() == 1  # 60 of 240,000 places
-        scores = url_lm.with_score(spark.createDataFrame([(1, "zq1"), (2, "")], "key bigint, symbols string"), tables, p, "key").collect()
-        assert {x["key"] for x in scores} == {1, 2}
-        want = [t.where(f"gram = '{g}'").first()["ratio"] for t, g in zip([tables[2]] * 3, ["^^z", "^zq", "zq1"], strict=True)]
-        assert {x["key"]: x["score"] for x in scores} == {1: pytest.approx(sum(want) / 3), 2: 0.0}
+        held = {x["gram"]: (x["yes"], x["no"]) for x in tables[2].where("gram LIKE '%z%'").collect()}
+        assert held == {"^^z": (2, 1), "^zq": (2, 1), "zq1": (2, 0), "zq2": (0, 1)}  # 3 of 240,000 places
+        found = url_lm.with_score(spark.createDataFrame([(1, "zq1"), (2, ""), (3, "yyy")], "key bigint, symbols string"), tables, p, "key").collect()
+        scores[broadcast_rows] = {x["key"]: x["score"] for x in found}
+        ratio = {x["run"]: x["ratio"] for x in url_lm.with_ratio(spark.createDataFrame([("zq1",), ("zq9",)], "run string"), tables, p).collect()}
+        total = {v: sum(s.count(c) for s, a in few + many for c in set(s) if a == v) for v in (1, 0)}
+        base = {v: p.smooth / (len(url_lm.SYMBOLS) - 1) for v in (1, 0)}
+        single = lambda c, v: (sum(s.count(c) for s, a in few + many if a == v) + base[v]) / (total[v] + p.smooth)
+        want = {}
+        for c in "19":
+            odds = []
+            for v, n in ((1, 2), (0, 1)):
+                hit = sum(s == "zq" + c and a == v for s, a in few)
+                q = (hit + p.smooth * single(c, v)) / (n + p.smooth)
+                odds.append((hit + p.smooth * q) / (n + p.smooth))
+            want["zq" + c] = log(odds[0] / odds[1])
+        assert ratio == pytest.approx(want)
+    assert scores[0] == pytest.approx(scores[200_000]) and scores[0][2] == 0.0
 
 
 @pytest.mark.parametrize("folder", ["odd", SF])
@@ -396,56 +408,29 @@ def test_alignment():
 
 
 def brute_cuts(docs, p):
-    """Every later document against every earlier one that it proposes, in plain Python."""
-    import struct
-
+    """Every later document against every earlier one, in plain Python."""
     import xxhash
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     texts = {}
     for d, t in docs:
         if t is not None:
             texts[d, signed(xxhash.xxh64_intdigest(t.encode(), 42))] = [(i, x.strip()) for i, x in enumerate(t.split("\n")) if x.strip()]
-    holders = {}
-    for doc in sorted(texts):
-        for _, x in texts[doc]:
-            if doc not in holders.setdefault(x, []):
-                holders[x].append(doc)
-
-    def group(doc):
-        return xxhash.xxh64_intdigest(struct.pack("<q", doc[1]), xxhash.xxh64_intdigest(struct.pack("<q", doc[0]), 42))
-
-    kept, heads = {}, {}
-    for doc, lines in texts.items():
-        runs, run = [], []
-        for at, (no, x) in enumerate([*lines, (None, None)]):
-            if x is not None and len(holders[x]) > 1:
-                run.append((at, no, x))
-            else:
-                runs, run = [*runs, run], []
-        kept[doc] = [y for r in runs if sum(len(x.split()) for _, _, x in r) >= p.min_words for y in r]
-        heads[doc] = set()
-        for _, _, x in kept[doc]:
-            of = holders[x]
-            by = {}
-            for h in of:
-                by.setdefault(signed(group(h)) % 4, h)
-            heads[doc] |= set(by.values()) if len(of) <= p.rare else {of[0]}
     cuts = {}
-    for b in kept:
-        for a in heads[b]:
+    for b, ys in texts.items():
+        for a, xs in texts.items():
             if a < b:
-                xs, ys = kept[a], kept[b]
-                places = line_dedup.common_blocks([x for *_, x in xs], [y for *_, y in ys], [x[0] for x in xs], [y[0] for y in ys], [len(y[2].split()) for y in ys], p.min_words)
-                cuts.setdefault(b, set()).update(ys[i][1] for i in places)
+                places = line_dedup.common_blocks([x for _, x in xs], [y for _, y in ys], list(range(len(xs))), list(range(len(ys))),
+                                                  [len(y.split()) for _, y in ys], p.min_words)
+                cuts.setdefault(b, set()).update(ys[i][0] for i in places)
     return {b[0]: sorted(c) for b, c in cuts.items() if c}
 
 
-@pytest.mark.parametrize("rare", [2, 1000])
-def test_line_removals_equal_plain_ones(spark, rare):
-    r = random.Random(rare)
+@pytest.mark.parametrize("seed", [2, 1000])
+def test_line_removals_equal_plain_ones(spark, seed):
+    r = random.Random(seed)
     lines = [" ".join(r.choices("abcdefgh", k=r.choice([1, 4, 9]))) for _ in range(25)]
     docs = [(i, "\n".join(r.choice(["", "  "]) + x for x in r.choices(lines, k=r.randrange(1, 15)))) for i in range(40)]
-    p = line_dedup.Params(min_words=8, rare=rare)
+    p = line_dedup.Params(min_words=8)
     got = {x["doc"]["doc_id"]: x["cut"] for x in line_dedup.removals(spark.createDataFrame(docs, "doc_id bigint, text string"), p).collect()}
     assert got == brute_cuts(docs, p) and got
 
@@ -466,7 +451,7 @@ def test_lines_of_copies_go_and_the_first_stay(spark):
 def test_many_holders_of_a_line(spark):
     line = " ".join(f"w{i}" for i in range(60))
     docs = [(i, f"own {i}\n{line}\nend {i}") for i in range(300)]
-    out = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string"), line_dedup.Params(rare=10)).collect()
+    out = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string"), line_dedup.Params()).collect()
     assert sorted(r["doc_id"] for r in out if line in r["text"]) == [0]
     assert all(f"own {r['doc_id']}" in r["text"] for r in out)
 
@@ -474,7 +459,7 @@ def test_many_holders_of_a_line(spark):
 def test_copies_of_a_passage_whose_lines_have_other_first_holders(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(15)) for c in "ab")
     docs = [(0, f"{one}\nown zero"), (1, f"own one\n{two}"), *[(i, f"own {i}\n{one}\n{two}\nend {i}") for i in range(2, 40)]]
-    for p in (line_dedup.Params(rare=10), line_dedup.Params()):
+    for p in (line_dedup.Params(),):
         out = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string"), p).collect()
         assert sorted(r["doc_id"] for r in out if one in r["text"]) == [0, 2]
         assert sorted(r["doc_id"] for r in out if two in r["text"]) == [1, 2]
@@ -515,7 +500,7 @@ def test_deduplicate_equals_a_comparison_with_every_earlier_document(spark):
             words = [len(x.split()) for x in split[b]]
             cut |= set(line_dedup.common_blocks(split[a], split[b], list(range(len(split[a]))), list(range(len(split[b]))), words, 8))
         want[b] = sorted(cut)
-    out = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string"), line_dedup.Params(min_words=8, rare=2))
+    out = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string"), line_dedup.Params(min_words=8))
     assert {x["doc_id"]: x["line_cut"] or [] for x in out.collect()} == want and any(want.values())
 
 
