@@ -24,13 +24,10 @@ from codehealth.llm import byte_cnn, line_dedup, simhash_blocks, winnowing
 from codehealth.llm.common import shared_path, table
 from codehealth.llm.queries import bpe_digest
 
-LEAST_SCORE = 0.3  # a language of lesser probability counts as untold
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = byte_cnn.identify(docs, byte_cnn.fit(docs), "__language")
-    told = (F.col("__language.lang") != byte_cnn.UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)
-    return out.where(told).select(*docs.columns)
+    return out.where(F.col("__language.lang") != byte_cnn.UNKNOWN).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
