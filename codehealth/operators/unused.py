@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codehealth.functions.paths import ancestor_ids, exclude_globs, parent_path
+from codehealth.session import saved
 
 SNAP = ["repo", "snapshot_id"]
 
@@ -41,8 +42,9 @@ def unused_exports(exports: DataFrame, imports: DataFrame, entries: DataFrame |
                    include_entry_exports: bool = False) -> DataFrame:
     """C11: declared (file, symbol) nobody imports; entry files are exempt
     unless ``include_entry_exports``."""
-    declared = exports.select(*SNAP, "file", "symbol", "kind").distinct()
-    out = declared.join(imports.select(*SNAP, "file", "symbol"), [*SNAP, "file", "symbol"], "left_anti")
+    # joined before it is made distinct: the join's partitions serve both
+    out = (exports.select(*SNAP, "file", "symbol", "kind")
+           .join(imports.select(*SNAP, "file", "symbol"), [*SNAP, "file", "symbol"], "left_anti").distinct())
     if entries is not None and not include_entry_exports:
         out = out.join(entries.select(*SNAP, "file"), [*SNAP, "file"], "left_anti")
     return out
@@ -156,8 +158,8 @@ def workspace_issues(used: DataFrame, declared: DataFrame, manifests: DataFrame,
     if strict:
         used = exclude_globs(used, "file", NON_PRODUCTION_GLOBS)
         declared = declared.filter(F.col("kind") != "devDependencies")
-    used = used.withColumn("folder", parent_path(F.col("file"), ".")).distinct()
-    wants = used.select(*SNAP, "folder", "package").distinct()
+    used = saved(used.distinct().withColumn("folder", parent_path(F.col("file"), ".")))
+    wants = saved(used.select(*SNAP, "folder", "package").distinct())
     offers = wants.join(workspace_owners(wants, manifests, strict), [*SNAP, "folder"])
     unused = declared.select(*SNAP, "manifest", "package", "kind").distinct().join(
         offers.select(*SNAP, "manifest", "package"), [*SNAP, "manifest", "package"], "left_anti")
@@ -190,11 +192,11 @@ def manifest_issues(used: DataFrame, scripts: DataFrame, declared: DataFrame, ma
     provide and many scripts call makes no pairs. Rows with nulls in a key are left out, repeats count once.
     """
     optional = F.col("kind") == "optionalPeerDependencies"
-    used = used.select(*SNAP, "file", "package").dropna().withColumn("folder", parent_path(F.col("file"), ".")).distinct()
+    used = saved(used.select(*SNAP, "file", "package").dropna().distinct().withColumn("folder", parent_path(F.col("file"), ".")))
     declared = declared.select(*SNAP, "manifest", "package", "kind", "spec").dropna(subset=[*SNAP, "manifest", "package", "kind"])
     own = declared.filter(~optional).select(*SNAP, "manifest", "package", "kind").distinct()
-    calls = scripts.select(*SNAP, F.col("manifest").alias("folder"), "binary").dropna().distinct()
-    wants = used.select(*SNAP, "folder", "package").distinct()
+    calls = saved(scripts.select(*SNAP, F.col("manifest").alias("folder"), "binary").dropna().distinct())
+    wants = saved(used.select(*SNAP, "folder", "package").distinct())
     owners = workspace_owners(wants.select(*SNAP, "folder").union(calls.select(*SNAP, "folder")), manifests)
     key = [*SNAP, "manifest", "package"]
 
