@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from codehealth.functions import paths
+from codehealth.operators import clones as cl
 from codehealth.operators import depgraph as g
 from codehealth.operators import unused as un
 from codehealth.sources import reports as rp
@@ -63,3 +64,15 @@ def test_monthly_tables_share_one_join(spark, tmp_dir):
     assert [tuple(r) for r in edges.collect()] == [(month + 7, month + 8)]
     assert sorted((r.snapshot_id or "", r.node or 0, r.path, r.size) for r in modules.collect()) == [
         ("", 0, "src/B/7", 3), ("1995-12", month + 7, "src/B/7", 3), ("1995-12", month + 8, "src/C/8", 9)]
+
+
+def test_clones_normalise_lines_twice_at_most(spark, tmp_dir, monkeypatch):
+    text = "\n".join(f"let name{i} = call(other{i}, third{i}, fourth{i}, fifth{i});" for i in range(8))
+    rows = [("r", "s", f"{f}.ts", "ts", t) for f, t in (("a", text), ("b", "x;\n" + text), ("c", "y;\n" + text + "\nz;"), ("d", None))]
+    spark.createDataFrame(rows, "repo string, snapshot_id string, path string, language string, content string").write.parquet(f"{tmp_dir}/in")
+    passes, kept = [], cl.saved
+    monkeypatch.setattr(cl, "saved", lambda df: (passes.append(_plan(df).count(f"{tmp_dir}/in")), kept(df))[1])
+    runs = cl.clone_pairs(spark.read.parquet(f"{tmp_dir}/in"))
+    assert sum(passes) <= 2 and not any(tmp_dir in f for f in runs.inputFiles())
+    assert sorted((r.first_file, r.first_start, r.second_file, r.second_start, r.norm_lines) for r in runs.collect()) == [
+        ("a.ts", 1, "b.ts", 2, 8), ("a.ts", 1, "c.ts", 2, 8)]
