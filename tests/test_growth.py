@@ -76,3 +76,16 @@ def test_clones_normalise_lines_twice_at_most(spark, tmp_dir, monkeypatch):
     assert sum(passes) <= 2 and not any(tmp_dir in f for f in runs.inputFiles())
     assert sorted((r.first_file, r.first_start, r.second_file, r.second_start, r.norm_lines) for r in runs.collect()) == [
         ("a.ts", 1, "b.ts", 2, 8), ("a.ts", 1, "c.ts", 2, 8)]
+
+
+def test_entries_drop_large_parts_before_they_are_made_distinct(spark, tmp_dir):
+    day = datetime.datetime(1995, 12, 31)
+    spark.createDataFrame([(1, 1, 7, 1, "R", 5.0), (1, 2, 8, 1, "N", 5.0), (1, 3, 7, 2, "N", 5.0), (1, 4, None, 2, "N", 5.0)],
+                          "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_quantity double").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    spark.createDataFrame([(1, day)], "o_orderkey bigint, o_orderdate timestamp").write.parquet(f"{tmp_dir}/orders.parquet")
+    parts = [(7, "B", 3), (7, "B", 4), (8, "C", 9), (9, "C", 1), (None, "C", 1)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_size int").write.parquet(f"{tmp_dir}/part.parquet")
+    nodes = td.entries(spark, tmp_dir)
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")  # printed from the top
+    assert [r.node for r in nodes.collect()] == [(1995 * 12 + 12) * td.NODE_STEP + 7] * 2
