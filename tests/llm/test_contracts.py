@@ -526,3 +526,40 @@ def test_marks_are_split_from_letters_as_the_library_does():
     for _ in range(3000):
         text = "".join(r.choices("aZéñ .,!?$%&*#'_<>|/-()\"1\n日İ", k=20))
         assert words.encode(text) == words._library(text)
+
+
+def test_new_words_take_one_call_of_the_library(monkeypatch):
+    """op2 of round 3: a call for each new word took most of the time."""
+    import pyarrow as pa
+
+    words = token_orc._Words(Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8"))
+    library, calls = words.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(library, name)
+
+    words.tokenizer = Counted()
+    monkeypatch.setattr(token_orc, "MEMO_ENTRIES", 700)  # some groups make it drop pieces, of which others come again
+    r = random.Random(13)
+    line = lambda: " ".join("".join(r.choices("abéñẞst", k=r.choice([1, 2, 6]))).title() + r.choice(["", "", ",", ".\n"]) for _ in range(400))
+    for _ in range(12):
+        texts = [None, "", " \n", line(), "x́ İ. y", "<|endoftext|>, <|ENDOFTEXT|>", line(), "H̱, J̌"]
+        at, ids = words.encode_all(pa.array(["left out", *texts], pa.large_string()).slice(1), [2])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[*library.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+        assert len(words.ids) <= 2 * 700
+    new = ["".join(r.choices("abcdefghij", k=12)) for _ in range(500)]
+    calls.clear()
+    assert words.encode(" ".join(new)) == b"".join(i.to_bytes(4, "little") for i in library.encode(" ".join(new), add_special_tokens=False).ids)
+    assert calls == ["encode_batch_fast"]
+
+
+def test_long_texts_are_groups_of_their_own(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_orc, "GROUP_BYTES", 10)
+    texts = ["abc", "defg", "", "x" * 30, None, "y" * 10, "z", "", "é" * 8]
+    groups = [g.to_pylist() for g in token_orc._groups(pa.array(["left out", *texts], pa.large_string()).slice(1))]
+    assert [x for g in groups for x in g] == texts and all(len(g) == 1 or sum(len((x or "").encode()) for x in g) <= 10 for g in groups)
+    assert len(groups) < len(texts)
