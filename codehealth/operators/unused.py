@@ -63,13 +63,14 @@ def unused_dependencies(declared: DataFrame, used: DataFrame) -> DataFrame:
 
 def unlisted_dependencies(used: DataFrame, declared: DataFrame) -> DataFrame:
     """Packages used by a file but not declared."""
-    return (used.join(declared.select(*SNAP, "package").distinct(), [*SNAP, "package"], "left_anti")
+    # a difference needs no distinct right side, which would be dealt out once more
+    return (used.join(declared.select(*SNAP, "package"), [*SNAP, "package"], "left_anti")
             .select(*SNAP, "file", "package"))
 
 
 def unresolved_imports(specifiers: DataFrame, targets: DataFrame) -> DataFrame:
     """C14: import specifiers that resolve to no known module."""
-    known = targets.select(*SNAP, F.col("target").alias("specifier")).distinct()
+    known = targets.select(*SNAP, F.col("target").alias("specifier"))
     return specifiers.join(known, [*SNAP, "specifier"], "left_anti")
 
 

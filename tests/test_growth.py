@@ -89,3 +89,28 @@ def test_entries_drop_large_parts_before_they_are_made_distinct(spark, tmp_dir):
     plan = nodes._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")  # printed from the top
     assert [r.node for r in nodes.collect()] == [(1995 * 12 + 12) * td.NODE_STEP + 7] * 2
+
+
+def test_package_differences_deal_out_each_side_once(spark, tmp_dir):
+    day = datetime.datetime(1995, 12, 31)
+    spark.createDataFrame([(1, 1, 7, 1, "R", 5.0, day), (1, 2, 8, 1, "N", 5.0, day), (1, 3, 8, 1, "N", 5.0, day), (1, 4, None, 2, "N", 5.0, None), (2, 1, 8, None, "N", 1.0, day)],
+                          "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_quantity double, l_shipdate timestamp").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    spark.createDataFrame([(1, day), (2, None)], "o_orderkey bigint, o_orderdate timestamp").write.parquet(f"{tmp_dir}/orders.parquet")
+    spark.createDataFrame([(7, "B", 30), (7, "B", 45), (8, "C", 9), (9, "C", 50)], "p_partkey bigint, p_brand string, p_size int").write.parquet(f"{tmp_dir}/part.parquet")
+    used, declared = td.used_packages(spark, tmp_dir), td.declared_packages(spark, tmp_dir)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        # line items by part, parts twice, declared packages by package; used packages by package
+        unlisted, unused = un.unlisted_dependencies(used, declared), un.unused_dependencies(declared, used)
+        assert [_plan(x).count("Exchange ") for x in (unlisted, unused, td.modules(spark, tmp_dir))] == [5, 5, 3]
+    finally:
+        spark.conf.set(key, kept)
+    assert sorted((r.snapshot_id or "", r.package or "", r.file or "") for r in used.collect()) == [
+        ("", "pkg-8", ""), ("1995-12", "", "src/supp/2"), ("1995-12", "pkg-7", "src/supp/1"), ("1995-12", "pkg-8", "src/supp/1")]
+    assert sorted((r.snapshot_id, r.package, r.kind) for r in declared.collect()) == [
+        ("1995-12", "pkg-7", "dependencies"), ("1995-12", "pkg-7", "devDependencies")]
+    assert sorted((r.snapshot_id or "", r.package or "", r.file or "") for r in unlisted.collect()) == [
+        ("", "pkg-8", ""), ("1995-12", "", "src/supp/2"), ("1995-12", "pkg-8", "src/supp/1")]
+    assert unused.collect() == []
