@@ -1,6 +1,7 @@
 """What keeps the figures of large inputs in proportion: nothing stays in executor memory, inputs are read once."""
 
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from codehealth.functions import paths
 from codehealth.operators import clones as cl
 from codehealth.operators import depgraph as g
 from codehealth.operators import unused as un
+from codehealth.session import saved
 from codehealth.sources import reports as rp
 from codehealth.sources import testdata as td
 
@@ -91,6 +93,23 @@ def test_entries_drop_large_parts_before_they_are_made_distinct(spark, tmp_dir):
     assert [r.node for r in nodes.collect()] == [(1995 * 12 + 12) * td.NODE_STEP + 7] * 2
 
 
+def test_shuffle_files_go_with_the_query_that_wrote_them(spark, tmp_dir):
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folder.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = held()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    rows = sorted(map(tuple, df.collect()))
+    saved(df)
+    end = time.time() + 20
+    while held() - before and time.time() < end:  # files are removed in the background
+        time.sleep(0.1)
+    assert not held() - before
+    assert sorted(map(tuple, df.collect())) == rows and df.persist().count() == 7
+    df.unpersist()
+
+
 def test_package_differences_deal_out_each_side_once(spark, tmp_dir):
     day = datetime.datetime(1995, 12, 31)
     spark.createDataFrame([(1, 1, 7, 1, "R", 5.0, day), (1, 2, 8, 1, "N", 5.0, day), (1, 3, 8, 1, "N", 5.0, day), (1, 4, None, 2, "N", 5.0, None), (2, 1, 8, None, "N", 1.0, day)],
