@@ -93,6 +93,36 @@ def test_entries_drop_large_parts_before_they_are_made_distinct(spark, tmp_dir):
     assert [r.node for r in nodes.collect()] == [(1995 * 12 + 12) * td.NODE_STEP + 7] * 2
 
 
+def _odd_reports(spark, tmp_dir):
+    docs = ['{"files":["a",{"path":"b"},{"x":[{"name":"q"}]},5,null],"issues":[{"file":"c","exports":[{"name":"x","line":3},"y"],"types":{"a":["z",{"col":2}]}},null]}',
+            '{"issues":[{"file":5,"exports":[{"name":1.50},{"name":12345678901234567890},{"name":7,"line":2.0}]},{"file":{"b":1},"exports":["x"]}]}',
+            '{"issues":[{"file":"t","exports":["x"]}]} {"b":2}', "1,2", "[1", "2]", "{", "", None,
+            '{"issues":[{"file":"dup","exports":["x"],"exports":["y","z"]}]}', '{"files":["u\\ud83d\\ude00"],"issues":[{"\\u0066ile":"e","catalog":["q"]}]}',
+            '{"issues":[{"file":"","exports":"lone","types":{"name":""},"other":["no"],"files":["f"]}]}']
+    rows = [("r", f"s{i}", d) for i, d in enumerate(docs)] + [(None, "s", '{"files":["x"]}'), ("r", "s0", '{"files":[1]}')]
+    spark.createDataFrame(rows, "repo string, snapshot_id string, raw string").repartition(1).write.parquet(f"{tmp_dir}/in")
+    return spark.read.parquet(f"{tmp_dir}/in")
+
+
+def test_report_metrics_are_summed_where_reports_are_read(spark, tmp_dir):
+    out = rp.unused_report_metrics(_odd_reports(spark, tmp_dir))
+    plan = _plan(out)
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    # a snapshot with a null issue (s0), a null or a malformed report has no row; of repeated keys the last counts
+    assert sorted((r.repo or "", r.snapshot_id, r.unused_files, r.unused_exports, r.unused_dependencies, r.total_issues) for r in out.collect()) == [
+        ("", "s", 1, 0, 0, 1), ("r", "s1", 0, 4, 0, 4), ("r", "s10", 1, 0, 1, 2), ("r", "s11", 0, 0, 0, 0), ("r", "s9", 0, 2, 0, 2)]
+
+
+def test_report_texts_are_parsed_many_at_a_time(monkeypatch):
+    calls, loads = [], rp.json.loads
+    monkeypatch.setattr(rp.json, "loads", lambda t: (calls.append(t), loads(t))[1])
+    assert list(rp._values(['{"a":1}', " [2] ", None] * 300)) == [{"a": 1}, [2], None] * 300
+    assert len(calls) == 1
+    # texts that are no documents of their own, but would be together
+    assert list(rp._values(["1,2", "[3", "4]", '"a', 'b"', "", "5"])) == [None] * 6 + [5]
+    assert list(rp._values(["1 x", "{", "2"], first=True)) == [1, None, 2]
+
+
 def test_shuffle_files_go_with_the_query_that_wrote_them(spark, tmp_dir):
     folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
