@@ -113,6 +113,18 @@ def test_report_metrics_are_summed_where_reports_are_read(spark, tmp_dir):
         ("", "s", 1, 0, 0, 1), ("r", "s1", 0, 4, 0, 4), ("r", "s10", 1, 0, 1, 2), ("r", "s11", 0, 0, 0, 0), ("r", "s9", 0, 2, 0, 2)]
 
 
+def test_plain_reports_go_to_the_arrow_function_whole(spark, tmp_dir):
+    out = rp.unused_report_items(_odd_reports(spark, tmp_dir))
+    assert "RLIKE" in _plan(out)
+    # repeated keys make a report malformed here; text after a report is ignored
+    assert sorted((r.repo or "", r.snapshot_id, r.file or "", r.kind, r.name or "", r.line or 0) for r in out.collect()) == sorted([
+        ("", "s", "x", "files", "", 0), ("r", "s0", "a", "files", "", 0), ("r", "s0", "b", "files", "", 0), ("r", "s0", "q", "files", "", 0),
+        ("r", "s0", "c", "exports", "x", 3), ("r", "s0", "c", "exports", "y", 0), ("r", "s0", "c", "types", "z", 0), ("r", "s0", "c", "types", "", 0),
+        ("r", "s1", "5", "exports", "1.5", 0), ("r", "s1", "5", "exports", "12345678901234567890", 0), ("r", "s1", "5", "exports", "7", 2),
+        ("r", "s1", '{"b":1}', "exports", "x", 0), ("r", "s2", "t", "exports", "x", 0), ("r", "s10", "u\U0001f600", "files", "", 0),
+        ("r", "s10", "e", "catalog", "q", 0), ("r", "s11", "", "exports", "lone", 0), ("r", "s11", "", "types", "", 0)])
+
+
 def test_report_texts_are_parsed_many_at_a_time(monkeypatch):
     calls, loads = [], rp.json.loads
     monkeypatch.setattr(rp.json, "loads", lambda t: (calls.append(t), loads(t))[1])
